@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import line_dedup, pii, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op7_line_dedup": line_dedup.query,
+    "op9_pii": pii.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_line_dedup": line_dedup.SQL,
 }
