@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, pii, quality_rules
+from . import decontaminate, line_dedup, ngram_join, pii, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_decontaminate": decontaminate.query,
+    "op6_ngram_join": ngram_join.query,
     "op7_line_dedup": line_dedup.query,
     "op9_pii": pii.query,
 }
