@@ -27,6 +27,7 @@ import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import shingles as S
 from .common import table
@@ -151,21 +152,18 @@ class Index:
         return sorted((self.items[i], s, p, n) for i, (s, p, n) in best.items())
 
 
-SCHEMA = "row long, item_ids array<long>, similarities array<double>, starts array<int>, lengths array<int>"
-
-
 def _slices(bench: DataFrame, id_col: str, text_col: str) -> int:
     found = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("c")).first()
     return max(1, -(-found["n"] // MAX_INDEX_ITEMS), -(-found["c"] // MAX_INDEX_CHARS))
 
 
 def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """All input columns plus item_ids, similarities, starts and lengths (in words) of the matched passages, per document."""
+    """All input columns plus `hits`: item_id, similarity, start and length (in words) of each matched passage."""
     items = bench.select(F.col(bench.columns[0]).alias("item_id"), F.col("text"))
     slices = _slices(items, "item_id", "text")
     out = docs
     names = list(docs.columns)
-    struct = "array<struct<item_id:bigint,similarity:double,start:int,length:int>>"
+    struct = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     if slices > 1:
         out = out.withColumn("__hits", F.array().cast(struct))
     for k in range(slices):
@@ -175,7 +173,7 @@ def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str
     return out.withColumnRenamed("__hits", "hits")
 
 
-def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: str) -> DataFrame:
+def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: T.DataType) -> DataFrame:
     at = docs.columns.index(text_col)
     n = len(names)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("length", pa.int32())]))
