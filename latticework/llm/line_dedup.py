@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, words_of
+from .common import materialise, table, words_of
 
 DEPTH = 3
 SEGMENTS = 4
@@ -35,7 +35,7 @@ VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 def _keys(line, depth: int):
     """Template keys of a line: the exact one, then one per variable segment."""
-    tokens = words_of(F.regexp_replace(line, VARIABLE, "<*>"))
+    tokens = words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
 
     def of(t):
         n = F.size(t)
@@ -79,7 +79,9 @@ def dropped(occ: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """The input with the dropped lines taken out of the text, plus n_dropped."""
-    gone = dropped(occurrences(docs, text_col, id_col, depth), min_docs).withColumnRenamed("doc_id", "__gone_id")
+    # read twice, by the search for templates and by the look-up of each line
+    occ = materialise(occurrences(docs, text_col, id_col, depth), "line-keys")
+    gone = dropped(occ, min_docs).withColumnRenamed("doc_id", "__gone_id")
     joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left")
     text = F.when(
         gone["__lines"].isNull() | docs[text_col].isNull(), docs[text_col]
