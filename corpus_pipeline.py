@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import quality_rules
+from latticework.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from latticework.llm.common import materialise, table
 
-STAGES = [("quality_rules", quality_rules.stage)]
+STAGES = [
+    ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("ngram_join", ngram_join.stage),
+    ("decontaminate", decontaminate.stage),
+    ("bpe", bpe.stage),
+]
 
 ORACLE_SQL = None
 

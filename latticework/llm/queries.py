@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, ngram_join, pii, quality_rules
+from . import bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, token_file
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_decontaminate": decontaminate.query,
     "op6_ngram_join": ngram_join.query,
     "op7_line_dedup": line_dedup.query,
+    "op8_token_file": token_file.query,
     "op9_pii": pii.query,
+    "op10_bpe": bpe.query,
 }
 
 ORACLE_SQL = {
