@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, token_file
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, ngram_join, pii, quality_rules, sharding, token_file
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op2_decontaminate": decontaminate.query,
+    "op3_sharding": sharding.query,
+    "op4_language_id": language_id.query,
+    "op5_html_extract": html_extract.query,
     "op6_ngram_join": ngram_join.query,
     "op7_line_dedup": line_dedup.query,
     "op8_token_file": token_file.query,
