@@ -180,7 +180,7 @@ def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: T
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
-        for b in it:
+        for b in (part for whole in it for part in S.slices(whole, at)):
             first, hashes, _, _ = S.words(b.column(at), folded=True)
             found = [[dict(zip(("item_id", "similarity", "start", "length"), h)) for h in own.hits(hashes[p:q])] for p, q in zip(first[:-1], first[1:])]
             if b.num_columns > n:

@@ -88,7 +88,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, digest of the shingle set, band buckets; no shuffle. A text without words has a null digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in (part for whole in it for part in S.slices(whole, 1)):
             sets = sets_of(b.column(1))
             digest = [int(np.bitwise_xor.reduce(S.mix(s)) ^ np.add.reduce(s)) - (1 << 63) if len(s) else None for s in sets]
             flat = [band_buckets(signature(s)) for s in sets if len(s)]
@@ -108,8 +108,7 @@ def _signed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in S.slices(b, 1):
                 sets = sets_of(part.column(1))
                 sigs = pa.array([signature(s)[:COMPARED].tobytes() for s in sets], pa.binary())
                 flat = pa.array([s.tobytes() for s in sets], pa.binary())
