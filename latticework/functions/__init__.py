@@ -1 +1 @@
-"""Frame curation and detection-evaluation jobs on Spark."""
+"""Column expressions, numpy kernels and helpers for grouped walks."""
