@@ -104,7 +104,7 @@ def _signed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
     """The members (rep and their other columns) with sig and shingles, both little-endian bytes, from the text of document rep."""
     base = docs.select(F.coalesce(F.col(id_col), F.lit(NO_DOC)).cast("long").alias("rep"), F.col(text_col).alias("text"))
     names = list(members.columns)
-    chosen = base.join(members, "rep").select("rep", "text", *names[1:])
+    chosen = base.join(members.hint("shuffle_merge"), "rep").select("rep", "text", *names[1:])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
