@@ -60,12 +60,11 @@ class Index:
         cuts = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:])]
         self.by_size = {int(n): np.flatnonzero(self.words == n) for n in np.unique(self.words)}
-        # per size and block: item positions by block value
-        self.tables = {}
-        for n, own in self.by_size.items():
-            for k, (shift, mask) in enumerate(self.blocks):
-                values = (self.prints[own] >> shift) & mask
-                self.tables[n, k] = [own[values == v] for v in range(int(mask) + 1)]
+        # per size and block: which of the size's items have a block value
+        self.tables = {
+            n: [((self.prints[own] >> shift) & mask)[None, :] == np.arange(int(mask) + 1, dtype=np.uint64)[:, None] for shift, mask in self.blocks]
+            for n, own in self.by_size.items()
+        }
         # a small bit table answers "certainly no item shingle" at once
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.known >> np.uint64(42)).astype(np.int64)] = True
@@ -103,26 +102,32 @@ class Index:
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window position, item position) within the radius, through the block tables."""
-        pairs = [np.zeros(0, np.int64)]
-        for k, (shift, mask) in enumerate(self.blocks):
-            values = ((prints >> shift) & mask).astype(np.int64)
-            for v in np.unique(values):
-                own = self.tables[size, k][v]
-                at = np.flatnonzero(values == v)
-                pairs.append((at[:, None] * len(self.words) + own[None, :]).ravel())
-        both = np.unique(np.concatenate(pairs))
-        w, i = np.divmod(both, max(len(self.words), 1))
-        ok = np.bitwise_count(prints[w] ^ self.prints[i]) <= self.radius
-        return w[ok], i[ok]
-
-    def hits(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
+        own, found = self.by_size[size], []
+        for p in range(0, len(prints), 256):
+            part = prints[p : p + 256]
+            agree = np.zeros((len(part), len(own)), bool)
+            for (shift, mask), table_ in zip(self.blocks, self.tables[size]):
+                agree |= table_[((part >> shift) & mask).astype(np.int64)]
+            w, i = np.nonzero(agree)
+            ok = np.bitwise_count(part[w] ^ self.prints[own[i]]) <= self.radius
+            found.append((w[ok] + p, own[i[ok]]))
+        return np.concatenate([w for w, _ in found]), np.concatenate([i for _, i in found])
+
+    def matches(self, texts: pa.Array) -> list[list[tuple[int, float, int, int]]]:
+        """The hits of each text; texts without any item shingle are passed over."""
+        first, hashes, _, _ = S.words(texts, folded=True)
+        begin, bags = S.shingles(first, hashes, SHINGLE)
+        known = self.is_known(bags)
+        sums = np.concatenate([[0], np.cumsum(known)])
+        look = (sums[begin[1:]] > sums[begin[:-1]]) | any(n < SHINGLE for n in self.by_size)
+        return [self.hits(hashes[first[k] : first[k + 1]], bags[begin[k] : begin[k + 1]], known[begin[k] : begin[k + 1]]) if look[k] else [] for k in range(len(texts))]
+
+    def hits(self, words: np.ndarray, bag: np.ndarray, known: np.ndarray) -> list[tuple[int, float, int, int]]:
         """item_id, similarity, first word and word count of the best window of each matched item."""
-        _, bag = S.shingles(np.array([0, len(words)]), words, SHINGLE)
-        known = self.is_known(bag) if len(words) >= SHINGLE else np.zeros(len(bag), bool)
         best: dict[int, tuple[float, int, int]] = {}
         hits = np.concatenate([[0], np.cumsum(known)])
         for size, own in self.by_size.items():
-            if size > len(words) or size >= SHINGLE and not known.any():
+            if size > len(words) or size >= SHINGLE and hits[-1] < self.threshold / 2 * (size - SHINGLE + 1):
                 continue
             if size < SHINGLE:  # one shingle of all the item's words
                 at = np.arange(len(words) - size + 1)
@@ -181,8 +186,7 @@ def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: T
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for b in (part for whole in it for part in S.slices(whole, at)):
-            first, hashes, _, _ = S.words(b.column(at), folded=True)
-            found = [[dict(zip(("item_id", "similarity", "start", "length"), h)) for h in own.hits(hashes[p:q])] for p, q in zip(first[:-1], first[1:])]
+            found = [[dict(zip(("item_id", "similarity", "start", "length"), h)) for h in hits] for hits in own.matches(b.column(at))]
             if b.num_columns > n:
                 found = [(old or []) + new for old, new in zip(b.column(n).to_pylist(), found)]
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], [*b.schema.names[:n], "__hits"])

@@ -91,10 +91,12 @@ def shingles(first: np.ndarray, hashes: np.ndarray, n: int = 5) -> tuple[np.ndar
     many = np.maximum(count - n + 1, (count > 0).astype(np.int64))
     begin = np.zeros(len(first), np.int64)
     np.cumsum(many, out=begin[1:])
-    at = np.arange(begin[-1]) - np.repeat(begin[:-1], many) + np.repeat(first[:-1], many)
-    last = np.repeat(first[1:], many)
-    out = np.zeros(len(at), np.uint64)
+    # all runs of n words, then those that begin early enough in their text
+    runs = np.zeros(max(len(hashes) - n + 1, 0), np.uint64)
     for k in range(n):
-        ok = at + k < last
-        out[ok] += hashes[at[ok] + k] * _FACTORS[k]
+        runs += hashes[k : k + len(runs)] * _FACTORS[k]
+    at = np.arange(begin[-1]) + np.repeat(first[:-1] - begin[:-1], many)
+    out = runs[np.minimum(at, max(len(runs) - 1, 0))] if len(runs) else np.zeros(len(at), np.uint64)
+    for t in np.flatnonzero((count > 0) & (count < n)):
+        out[begin[t]] = (hashes[first[t] : first[t + 1]] * _FACTORS[: count[t]]).sum()
     return begin, mix(out)
