@@ -78,6 +78,9 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows and columns of the cheapest one-to-one assignment of a rectangular matrix (shortest augmenting paths)."""
     if not cost.size:
         return np.zeros(0, int), np.zeros(0, int)
+    if 1 in cost.shape:
+        k = int(cost.argmin())
+        return np.array([k // cost.shape[1]]), np.array([k % cost.shape[1]])
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
     n, m = c.shape

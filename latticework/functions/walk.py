@@ -40,8 +40,15 @@ def walk(df: DataFrame, keys: list[str], order: list, start: Callable[[], object
     return laid_out(df, keys, order).mapInPandas(run, schema)
 
 
-def groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[pd.DataFrame], pd.DataFrame], schema) -> DataFrame:
-    """Apply fn to each key's rows, for keys of bounded size (boxes of an image); many keys share one Python call."""
+def groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema) -> DataFrame:
+    """Apply fn to each key's rows, for keys of bounded size (boxes of an image); many keys share one Python call.
+
+    fn takes and returns a dict of equally long numpy columns.
+    """
+
+    def applied(columns: dict[str, np.ndarray], cuts: list[int]) -> pd.DataFrame:
+        out = [fn({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -54,11 +61,10 @@ def groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[pd.DataFra
                 v = pdf[k].to_numpy()
                 new[1:] |= v[1:] != v[:-1]
             cuts = [0, *np.flatnonzero(new)]
-            out = [fn(pdf.iloc[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
             held = pdf.iloc[cuts[-1] :]
-            if out:
-                yield pd.concat(out)
+            if len(cuts) > 1:
+                yield applied({c: pdf[c].to_numpy() for c in pdf.columns}, cuts)
         if held is not None and len(held):
-            yield fn(held)
+            yield applied({c: held[c].to_numpy() for c in held.columns}, [0, len(held)])
 
     return laid_out(df, keys, order).mapInPandas(run, schema)

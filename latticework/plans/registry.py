@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import curation
+from . import boxes, curation, detections
 
-MODULES = (curation,)
+MODULES = (curation, boxes, detections)
 
 
 def queries() -> dict:
