@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import boxes, curation, detections
+from . import boxes, curation, detections, runs, similarity
 
-MODULES = (curation, boxes, detections)
+MODULES = (curation, boxes, detections, similarity, runs)
 
 
 def queries() -> dict:
