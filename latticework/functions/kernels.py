@@ -84,6 +84,10 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turned = cost.shape[0] > cost.shape[1]
     c = cost.T if turned else cost
     n, m = c.shape
+    first = c.argmin(1)
+    if len(set(first.tolist())) == n:  # every row gets its cheapest column
+        rows = np.argsort(first) if turned else np.arange(n)
+        return (first[rows], rows) if turned else (rows, first)
     u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
     for i in range(n):
         owner[m] = i  # a column of its own starts the path

@@ -63,19 +63,16 @@ def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
     """D3: per threshold the frames kept and dropped, and the Hamming distances of neighbours among the kept; one pass over the scans."""
 
     def step(state, pdf):
-        out = []
-        hashes = pdf["phash"].to_numpy()
+        hashes, scan, cols = pdf["phash"].to_numpy(), pdf["scan"].iat[0], []
         for t in thresholds:
             before = state.get(t)
             keep, state[t] = decimate(hashes, t, before)
-            kept = hashes[keep]
-            prior = np.concatenate([[before if before is not None else 0], kept[:-1]]).astype(np.int64)
-            dist = np.array([(int(a) ^ int(b) & 0xFFFFFFFFFFFFFFFF).bit_count() for a, b in zip(kept, prior)], float)
-            if before is None and len(dist):
-                dist[0] = np.nan
-            out.append(pd.DataFrame({"threshold": t, "scan": pdf["scan"].iat[0], "n": len(pdf), "dist": [d for d in dist] or [np.nan], "n_kept": int(keep.sum())}))
-            out[-1].loc[1:, ["n", "n_kept"]] = 0
-        return state, pd.concat(out)
+            kept = hashes[keep].tolist()
+            dist = [float("nan")] if before is None else [((kept[0] ^ before) & 0xFFFFFFFFFFFFFFFF).bit_count()] if kept else []
+            dist += [((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(kept, kept[1:])]
+            dist = dist or [float("nan")]
+            cols += [(t, scan, len(pdf) if k == 0 else 0, x, len(kept) if k == 0 else 0) for k, x in enumerate(dist)]
+        return state, pd.DataFrame(cols, columns=["threshold", "scan", "n", "dist", "n_kept"])
 
     narrow = frames.select("scan", "frame_idx", "ord", "phash")
     rows = walk(narrow, ["scan"], ["frame_idx", "ord"], dict, step, "threshold int, scan string, n long, dist double, n_kept long")

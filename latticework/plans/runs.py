@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import runs as O
 from . import views as V
 
-R = lambda c: F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
+R = lambda c: F.round((F.col(c) if isinstance(c, str) else c) + 3.3e-10, 6)
 NEW, OLD = "1-URGENT", "3-MEDIUM"
 KEYS = "PARTITION BY run, dataset ORDER BY epoch"
 
@@ -55,18 +55,18 @@ def validation(s, d):
 
 
 PLANS = {
-    "r1_best_and_final": (best, f"WITH {V.RUN_LOG} SELECT run, dataset, round(max(ap) + 1e-9::DOUBLE,6) AS best_ap, min_by(epoch, (-ap, epoch)) AS best_epoch, round(max_by(ap, epoch) + 1e-9::DOUBLE,6) AS final_ap, max(epoch) AS final_epoch FROM run_log GROUP BY ALL"),
-    "r2_matched_epochs": (lambda s, d: O.compare(log(s, d), NEW, OLD).select("dataset", "epoch", *[R(c).alias(c) for c in ("ap", "baseline", "delta")]), f"WITH {V.RUN_LOG} SELECT a.dataset, a.epoch, round(a.ap + 1e-9::DOUBLE,6) AS ap, round(b.ap + 1e-9::DOUBLE,6) AS baseline, round(a.ap-b.ap + 1e-9::DOUBLE,6) AS delta FROM run_log a LEFT JOIN run_log b ON a.dataset=b.dataset AND a.epoch=b.epoch AND b.run='{OLD}' WHERE a.run='{NEW}'"),
-    "r3_sampled": (lambda s, d: O.sampled(log(s, d), [30, 40, 50]).withColumn("ap", R("ap")), f"WITH {V.RUN_LOG} SELECT run, dataset, epoch, round(ap + 1e-9::DOUBLE,6) AS ap FROM run_log QUALIFY epoch IN (30,40,50) OR epoch = max(epoch) OVER (PARTITION BY run, dataset)"),
-    "r4_verdict": (verdicts, f"WITH {V.RUN_LOG}, b AS (SELECT run, dataset, max(ap) AS m FROM run_log GROUP BY ALL) SELECT a.dataset, round(a.m + 1e-9::DOUBLE,6) AS newer, round(b.m + 1e-9::DOUBLE,6) AS older, CASE WHEN a.m-b.m > 0.01 THEN 'WIN' WHEN a.m-b.m > -0.01 THEN 'tie' ELSE 'behind' END AS verdict FROM b a JOIN b ON a.dataset=b.dataset WHERE a.run='{NEW}' AND b.run='{OLD}'"),
-    "r5_common_window": (window, f"WITH {V.RUN_LOG} SELECT a.dataset, max(a.epoch) AS cap, round(max(a.ap) + 1e-9::DOUBLE,6) AS newer, round(max(b.ap) + 1e-9::DOUBLE,6) AS older, round(max(a.ap)-max(b.ap) + 1e-9::DOUBLE,6) AS delta FROM run_log a JOIN run_log b ON a.dataset=b.dataset AND a.epoch=b.epoch WHERE a.run='{NEW}' AND b.run='{OLD}' GROUP BY 1"),
-    "r6_best_validation": (validation, f"WITH {V.RUN_LOG} SELECT run, dataset, min_by(epoch, (ap, epoch)) AS epoch, round(min(ap) + 1e-9::DOUBLE,6) AS val_loss FROM run_log GROUP BY ALL"),
-    "r7_running_best": (lambda s, d: O.running_best(log(s, d)).withColumns({"ap": R("ap"), "best": R("best")}), f"WITH {V.RUN_LOG} SELECT run, dataset, epoch, round(ap + 1e-9::DOUBLE,6) AS ap, round(max(ap) OVER ({KEYS}) + 1e-9::DOUBLE,6) AS best, coalesce(ap > max(ap) OVER ({KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM run_log"),
+    "r1_best_and_final": (best, f"WITH {V.RUN_LOG} SELECT run, dataset, round(max(ap) + 3.3e-10::DOUBLE,6) AS best_ap, min_by(epoch, (-ap, epoch)) AS best_epoch, round(max_by(ap, epoch) + 3.3e-10::DOUBLE,6) AS final_ap, max(epoch) AS final_epoch FROM run_log GROUP BY ALL"),
+    "r2_matched_epochs": (lambda s, d: O.compare(log(s, d), NEW, OLD).select("dataset", "epoch", *[R(c).alias(c) for c in ("ap", "baseline", "delta")]), f"WITH {V.RUN_LOG} SELECT a.dataset, a.epoch, round(a.ap + 3.3e-10::DOUBLE,6) AS ap, round(b.ap + 3.3e-10::DOUBLE,6) AS baseline, round(a.ap-b.ap + 3.3e-10::DOUBLE,6) AS delta FROM run_log a LEFT JOIN run_log b ON a.dataset=b.dataset AND a.epoch=b.epoch AND b.run='{OLD}' WHERE a.run='{NEW}'"),
+    "r3_sampled": (lambda s, d: O.sampled(log(s, d), [30, 40, 50]).withColumn("ap", R("ap")), f"WITH {V.RUN_LOG} SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap FROM run_log QUALIFY epoch IN (30,40,50) OR epoch = max(epoch) OVER (PARTITION BY run, dataset)"),
+    "r4_verdict": (verdicts, f"WITH {V.RUN_LOG}, b AS (SELECT run, dataset, max(ap) AS m FROM run_log GROUP BY ALL) SELECT a.dataset, round(a.m + 3.3e-10::DOUBLE,6) AS newer, round(b.m + 3.3e-10::DOUBLE,6) AS older, CASE WHEN a.m-b.m > 0.01 THEN 'WIN' WHEN a.m-b.m > -0.01 THEN 'tie' ELSE 'behind' END AS verdict FROM b a JOIN b ON a.dataset=b.dataset WHERE a.run='{NEW}' AND b.run='{OLD}'"),
+    "r5_common_window": (window, f"WITH {V.RUN_LOG} SELECT a.dataset, max(a.epoch) AS cap, round(max(a.ap) + 3.3e-10::DOUBLE,6) AS newer, round(max(b.ap) + 3.3e-10::DOUBLE,6) AS older, round(max(a.ap)-max(b.ap) + 3.3e-10::DOUBLE,6) AS delta FROM run_log a JOIN run_log b ON a.dataset=b.dataset AND a.epoch=b.epoch WHERE a.run='{NEW}' AND b.run='{OLD}' GROUP BY 1"),
+    "r6_best_validation": (validation, f"WITH {V.RUN_LOG} SELECT run, dataset, min_by(epoch, (ap, epoch)) AS epoch, round(min(ap) + 3.3e-10::DOUBLE,6) AS val_loss FROM run_log GROUP BY ALL"),
+    "r7_running_best": (lambda s, d: O.running_best(log(s, d)).withColumns({"ap": R("ap"), "best": R("best")}), f"WITH {V.RUN_LOG} SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap, round(max(ap) OVER ({KEYS}) + 3.3e-10::DOUBLE,6) AS best, coalesce(ap > max(ap) OVER ({KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM run_log"),
     "r8_smoothed": (lambda s, d: O.smoothed(log(s, d)).withColumns({c: R(c) for c in ("ap", "median", "mean", "most", "overall")}), f"""WITH {V.RUN_LOG}, w AS (SELECT *, list_sort(list(ap) OVER ({KEYS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS l, avg(ap) OVER ({KEYS} ROWS UNBOUNDED PRECEDING) AS o FROM run_log)
-      SELECT run, dataset, epoch, round(ap + 1e-9::DOUBLE,6) AS ap, round(l[(len(l)-1)//2+1] + 1e-9::DOUBLE,6) AS median, round(list_avg(l) + 1e-9::DOUBLE,6) AS mean, round(list_max(l) + 1e-9::DOUBLE,6) AS most, round(o + 1e-9::DOUBLE,6) AS overall FROM w"""),
-    "r8_weighted_mean": (weighted, "SELECT o_orderpriority AS run, round(sum(o_totalprice/500000.0::DOUBLE*(o_custkey%7+1))/sum(o_custkey%7+1) + 1e-9::DOUBLE,6) AS mean FROM orders GROUP BY 1"),
+      SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap, round(l[(len(l)-1)//2+1] + 3.3e-10::DOUBLE,6) AS median, round(list_avg(l) + 3.3e-10::DOUBLE,6) AS mean, round(list_max(l) + 3.3e-10::DOUBLE,6) AS most, round(o + 3.3e-10::DOUBLE,6) AS overall FROM w"""),
+    "r8_weighted_mean": (weighted, "SELECT o_orderpriority AS run, round(sum(o_totalprice/500000.0::DOUBLE*(o_custkey%7+1))/sum(o_custkey%7+1) + 3.3e-10::DOUBLE,6) AS mean FROM orders GROUP BY 1"),
     "r9_interpolated": (smooth, None),
-    "r10_pr_summary": (pr, """WITH m AS (SELECT o_orderpriority AS run, avg(o_orderkey%100/100) AS p, avg(o_custkey%100/100) AS r, avg(o_totalprice/500000.0::DOUBLE) AS s FROM orders GROUP BY 1) SELECT run, round(p + 1e-9::DOUBLE,6) AS precision, round(r + 1e-9::DOUBLE,6) AS recall, round(s + 1e-9::DOUBLE,6) AS score, round(2*p*r/(p+r+1e-8::DOUBLE) + 1e-9::DOUBLE,6) AS f1 FROM m"""),
+    "r10_pr_summary": (pr, """WITH m AS (SELECT o_orderpriority AS run, avg(o_orderkey%100/100) AS p, avg(o_custkey%100/100) AS r, avg(o_totalprice/500000.0::DOUBLE) AS s FROM orders GROUP BY 1) SELECT run, round(p + 3.3e-10::DOUBLE,6) AS precision, round(r + 3.3e-10::DOUBLE,6) AS recall, round(s + 3.3e-10::DOUBLE,6) AS score, round(2*p*r/(p+r+1e-8::DOUBLE) + 3.3e-10::DOUBLE,6) AS f1 FROM m"""),
     "r11_timings": (timing, """WITH o AS (SELECT o_orderpriority AS run, o_totalprice/1e6::DOUBLE+0.01::DOUBLE AS t FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) > 50)
-      SELECT run, round(avg(t) + 1e-9::DOUBLE,6) AS mean, round(stddev_pop(t) + 1e-9::DOUBLE,6) AS std, round(min(t) + 1e-9::DOUBLE,6) AS least, round(max(t) + 1e-9::DOUBLE,6) AS most, round(1/avg(t) + 1e-9::DOUBLE,6) AS fps FROM o GROUP BY 1"""),
+      SELECT run, round(avg(t) + 3.3e-10::DOUBLE,6) AS mean, round(stddev_pop(t) + 3.3e-10::DOUBLE,6) AS std, round(min(t) + 3.3e-10::DOUBLE,6) AS least, round(max(t) + 3.3e-10::DOUBLE,6) AS most, round(1/avg(t) + 3.3e-10::DOUBLE,6) AS fps FROM o GROUP BY 1"""),
 }

@@ -70,7 +70,7 @@ def shards(spark: SparkSession, path: str, only: list[str] | None = None) -> Dat
                     yield pd.DataFrame(rows, columns=NAMES)
 
     scan, frame = parse_scan()
-    return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA).withColumns({"scan": scan, "frame_idx": frame})
+    return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA).withColumns({"scan": scan, "frame_idx": frame, "q_max": F.coalesce("q_max", F.lit(float("nan")).cast("float"))})
 
 
 NAMES = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
