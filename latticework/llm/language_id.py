@@ -56,8 +56,10 @@ class Model:
                 for g in self.grams(word, size):
                     own = grams[size].setdefault(g, np.zeros(len(at)))
                     own += np.sqrt(n)  # a few very frequent words must not rule the n-grams
-        self.words = self._logs(counts)
+        # names and one matrix each: what is broadcast are a few arrays
+        self.words, self.logs = self._logs(counts)
         self.parts = [self._logs(x) for x in grams]
+        self.index: list[dict[str, int]] | None = None
         self.none = np.zeros(len(at), np.float32)
 
     @staticmethod
@@ -65,19 +67,22 @@ class Model:
         marked = f"^{word}$"
         return [marked[k : k + size] for k in range(len(marked) - size + 1)] if size > 1 else list(word)
 
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    def _logs(self, counts: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
         if not counts:
-            return {}
+            return [], np.zeros((0, len(self.langs)), np.float32)
         table_ = np.array(list(counts.values()))
         logs = np.log((table_ + 0.5) / (table_.sum(0) + 0.5 * len(table_))).astype(np.float32)
         # what all languages share says nothing and would only weigh long texts
-        return dict(zip(counts, logs - logs.max(1, keepdims=True)))
+        return list(counts), logs - logs.max(1, keepdims=True)
 
     def unseen(self, word: str) -> np.ndarray:
+        if self.index is None:
+            self.index = [{g: k for k, g in enumerate(names)} for names, _ in self.parts]
         for size in range(LONGEST, 0, -1):
-            known = [self.parts[size][g] for g in self.grams(word, size) if g in self.parts[size]]
+            own = self.index[size]
+            known = [own[g] for g in self.grams(word, size) if g in own]
             if known:
-                return np.mean(known, axis=0) * np.float32(2)
+                return self.parts[size][1][known].mean(0) * np.float32(2)
         return self.none
 
 
@@ -104,9 +109,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
         def learn_known() -> None:
             index.clear()
-            for k, (w, v) in enumerate(m.words.items()):
-                index[w] = k
-                matrix[k] = v
+            index.update(zip(m.words, range(len(m.words))))
+            matrix[: len(m.words)] = m.logs
 
         def at(word: str) -> int:
             if len(index) >= len(matrix) - 1:
