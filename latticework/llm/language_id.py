@@ -110,7 +110,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         def learn_known() -> None:
             index.clear()
             index.update(zip(m.words, range(len(m.words))))
-            matrix[: len(m.words)] = m.logs
+            if m.words:
+                matrix[: len(m.words)] = m.logs
 
         def at(word: str) -> int:
             if len(index) >= len(matrix) - 1:
