@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, table, words_of
+from .common import SPACES, materialise, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -142,10 +142,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the current policy accepts, with all their columns (the whole row is the ledger's id)."""
+    """Keep the documents that the current policy accepts, with all their columns (the whole row is the ledger's id).
+
+    The ledger is stored before the policy is applied: a filter on its bits would otherwise be moved below them, and
+    the optimiser would then evaluate the measurements inside the window functions, once per element.
+    """
     row = F.struct(*[docs[c] for c in docs.columns])
-    book = verdict(ledger(docs.select(row.alias("doc_id"), "text")))
-    return book.where("kept").select("doc_id.*")
+    book = materialise(ledger(docs.select(row.alias("doc_id"), "text")).select("doc_id", "failed"), "ledger")
+    return verdict(book).where("kept").select("doc_id.*")
 
 
 SQL = r"""
