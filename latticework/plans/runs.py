@@ -37,7 +37,7 @@ def weighted(s, d):
 
 def smooth(s, d):
     i = O.interpolated(log(s, d).withColumn("ap", F.when(F.col("epoch") % 4 > 0, F.col("ap"))))
-    return i.groupBy("run", "dataset").agg(F.count(F.lit(1)).alias("n"), R(F.max("smooth")).alias("most"))
+    return i.withColumns({"filled": R("filled"), "smooth": R("smooth")})
 
 
 def pr(s, d):
@@ -65,7 +65,13 @@ PLANS = {
     "r8_smoothed": (lambda s, d: O.smoothed(log(s, d)).withColumns({c: R(c) for c in ("ap", "median", "mean", "most", "overall")}), f"""WITH {V.RUN_LOG}, w AS (SELECT *, list_sort(list(ap) OVER ({KEYS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS l, avg(ap) OVER ({KEYS} ROWS UNBOUNDED PRECEDING) AS o FROM run_log)
       SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap, round(l[(len(l)-1)//2+1] + 3.3e-10::DOUBLE,6) AS median, round(list_avg(l) + 3.3e-10::DOUBLE,6) AS mean, round(list_max(l) + 3.3e-10::DOUBLE,6) AS most, round(o + 3.3e-10::DOUBLE,6) AS overall FROM w"""),
     "r8_weighted_mean": (weighted, "SELECT o_orderpriority AS run, round(sum(o_totalprice/500000.0::DOUBLE*(o_custkey%7+1))/sum(o_custkey%7+1) + 3.3e-10::DOUBLE,6) AS mean FROM orders GROUP BY 1"),
-    "r9_interpolated": (smooth, None),
+    "r9_interpolated": (smooth, f"""WITH {V.RUN_LOG}, g AS (SELECT run, dataset, epoch, CASE WHEN epoch % 4 > 0 THEN ap END AS ap, row_number() OVER ({KEYS}) AS n FROM run_log),
+      k AS (SELECT *, CASE WHEN ap IS NOT NULL THEN n END AS m FROM g),
+      b AS (SELECT *, last_value(ap IGNORE NULLS) OVER ({KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a0, last_value(m IGNORE NULLS) OVER ({KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n0,
+        first_value(ap IGNORE NULLS) OVER ({KEYS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a1, first_value(m IGNORE NULLS) OVER ({KEYS} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n1 FROM k),
+      f AS (SELECT run, dataset, epoch, n, CASE WHEN a1 IS NULL OR n0 = n1 THEN a0 ELSE a0 + (a1 - a0) * (n - n0) / (n1 - n0)::DOUBLE END AS filled FROM b)
+      SELECT x.run, x.dataset, x.epoch, round(any_value(x.filled) + 3.3e-10::DOUBLE,6) AS filled, round(sum(y.filled*pow(5/6::DOUBLE,x.n-y.n))/sum(pow(5/6::DOUBLE,x.n-y.n)) + 3.3e-10::DOUBLE,6) AS smooth
+      FROM f x LEFT JOIN f y ON x.run=y.run AND x.dataset=y.dataset AND y.n<=x.n AND y.filled IS NOT NULL GROUP BY ALL"""),
     "r10_pr_summary": (pr, """WITH m AS (SELECT o_orderpriority AS run, avg(o_orderkey%100/100) AS p, avg(o_custkey%100/100) AS r, avg(o_totalprice/500000.0::DOUBLE) AS s FROM orders GROUP BY 1) SELECT run, round(p + 3.3e-10::DOUBLE,6) AS precision, round(r + 3.3e-10::DOUBLE,6) AS recall, round(s + 3.3e-10::DOUBLE,6) AS score, round(2*p*r/(p+r+1e-8::DOUBLE) + 3.3e-10::DOUBLE,6) AS f1 FROM m"""),
     "r11_timings": (timing, """WITH o AS (SELECT o_orderpriority AS run, o_totalprice/1e6::DOUBLE+0.01::DOUBLE AS t FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) > 50)
       SELECT run, round(avg(t) + 3.3e-10::DOUBLE,6) AS mean, round(stddev_pop(t) + 3.3e-10::DOUBLE,6) AS std, round(min(t) + 3.3e-10::DOUBLE,6) AS least, round(max(t) + 3.3e-10::DOUBLE,6) AS most, round(1/avg(t) + 3.3e-10::DOUBLE,6) AS fps FROM o GROUP BY 1"""),

@@ -77,7 +77,7 @@ def adjacent(s, d):
 
 
 def contiguous(s, d):
-    v = V.descriptors(s, d).withColumn("scan", F.floor(F.col("vec_id") / 60)).where("vec_id % 97 > 0")
+    v = V.descriptors(s, d).withColumns({"scan": F.floor(F.col("vec_id") / 60), "frame_idx": F.col("vec_id") + F.floor(F.col("vec_id") / 97)})  # a gap after every 97 frames
     return S.contiguous_scans(v, 50)
 
 
@@ -150,7 +150,7 @@ def arrays(s, d):
 
 
 def masks(s, d):
-    m = X.mask_cells(V.frames(s, d).where("ord % 10 = 0"), 64, 0.6, 1)
+    m = X.mask_cells(V.frames(s, d), 64, 0.6, 1)
     return m.select(F.explode("masked").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("n_masked"))
 
 
@@ -222,7 +222,7 @@ PLANS = {
       p AS (SELECT a.m, {_corr('a.z', 'b.z')} AS c FROM g a JOIN g b ON a.m = b.m AND a.id < b.id) SELECT 'mat'||m AS material, (SELECT count(*) FROM g WHERE g.m = p.m) AS n_scans, {_Q.format('quantile_cont(c, 0.5)')} AS median, {_Q.format('quantile_cont(c, 0.9)')} AS p90, {_Q.format('max(c)')} AS most FROM p GROUP BY m"""),
     "j11_j13_neighbours": (adjacent, f"""WITH {_SPLIT}{_z('vm', 'zz')}, l AS (SELECT 1::BIGINT AS lag, scan, frame_idx, z, lead(z, 1) OVER w AS n, lead(frame_idx, 1) OVER w AS f FROM zz WINDOW w AS (PARTITION BY scan ORDER BY frame_idx) UNION ALL
       SELECT 30, scan, frame_idx, z, lead(z, 30) OVER w, lead(frame_idx, 30) OVER w FROM zz WINDOW w AS (PARTITION BY scan ORDER BY frame_idx)) SELECT lag, scan, frame_idx, {_Q.format(_corr('z', 'n'))} AS corr FROM l WHERE f IS NOT NULL"""),
-    "j11_contiguous": (contiguous, f"WITH {V.DESCRIPTORS} SELECT vec_id // 60 AS scan, count(*) AS n FROM descriptors WHERE vec_id % 97 > 0 GROUP BY 1 HAVING count(*) >= 50 AND max(frame_idx) - min(frame_idx) + 1 = count(*)"),
+    "j11_contiguous": (contiguous, f"WITH {V.DESCRIPTORS} SELECT vec_id // 60 AS scan, count(*) AS n FROM descriptors GROUP BY 1 HAVING count(*) >= 50 AND max(vec_id + vec_id // 97) - min(vec_id + vec_id // 97) + 1 = count(*)"),
     "j12_representations": (representations, f"""WITH {_SPLIT}, h AS (SELECT vec_id, v, list_transform(range(1, 65), lambda i: CASE WHEN (i-1) % 9 = 0 THEN 0.0::DOUBLE ELSE v[i] END) AS w FROM vm){_z('h', 'ha')}{_z('ha', 'hb', 'w', 'zw', 8, 'b')},
       c AS (SELECT {_corr('z', 'zw')} AS c FROM hb) SELECT count(*) AS n, {_Q.format('min(c)')} AS least, {_Q.format('quantile_cont(c, 0.5)')} AS median, {_Q.format('max(c)')} AS most, quantile_cont(c, 0.5) > 0.7 AS robust FROM c"""),
     "j13_raw_pairs": (raw_pairs, f"""WITH {V.FRAMES}, g AS (SELECT scan, frame_idx // 300 AS frame_idx, ord % 3 = 0 AS is_raw, min_by(key, ord) AS key, min(ord) AS o FROM frames GROUP BY ALL)
