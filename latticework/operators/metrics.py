@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 import numpy as np
 
 from pyspark.sql import Column, DataFrame
@@ -28,10 +26,10 @@ def q_costs(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, relative:
     return j.withColumn("cost", F.when(iou(XYXY, P_XYXY) <= min_iou, F.lit(NO_MATCH)).otherwise(cost))
 
 
-def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = False) -> DataFrame:
+def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """The cheapest one-to-one assignment of each image's whole cost matrix; then pairs at the limit or above go.
 
-    largest: maximise instead (IoU), keep pairs above the limit.
+    largest: maximise instead (IoU), keep pairs above the limit. carry: double columns of the pairs to keep.
     """
 
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -39,26 +37,34 @@ def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = F
         det, c = np.unique(g["det"], return_inverse=True)
         m = np.full((len(gt), len(det)), 0.0 if largest else NO_MATCH)
         m[r, c] = g["cost"]
+        at = np.zeros(m.shape, int)
+        at[r, c] = np.arange(len(r))
         i, j = assign(-m if largest else m)
         ok = m[i, j] > limit if largest else m[i, j] < limit
-        return {"image_id": np.repeat(g["image_id"][:1], ok.sum()), "gt": gt[i][ok], "det": det[j][ok], "cost": m[i, j][ok]}
+        kept = {name: g[name][at[i, j][ok]] for name in carry}
+        return {"image_id": np.repeat(g["image_id"][:1], ok.sum()), "gt": gt[i][ok], "det": det[j][ok], "cost": m[i, j][ok]} | kept
 
-    narrow = costs.select("image_id", "gt", F.col("p_det").alias("det"), "cost")
-    return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, cost double")
+    narrow = costs.select("image_id", "gt", F.col("p_det").alias("det"), "cost", *carry)
+    return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, cost double" + "".join(f", {c} double" for c in carry))
 
 
 def match(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, limit: float = MATCH_LIMIT) -> DataFrame:
     """image_id, kind (tp, fp, fn), gt, det, cost, score, level. Images without ground truth give no false positives."""
-    found = assign_pairs(q_costs(truths, dets, min_iou), limit)
-    with_both = found.join(dets.select("image_id", "det", "score"), ["image_id", "det"]).join(truths.select("image_id", "gt", "level"), ["image_id", "gt"])
-    tp = with_both.select("image_id", F.lit("tp").alias("kind"), "gt", "det", "cost", "score", "level")
-    seen = truths.select("image_id").distinct()
-    fp = dets.join(seen, "image_id", "left_semi").join(found.select("image_id", "det"), ["image_id", "det"], "left_anti")
-    fn = truths.join(found.select("image_id", "gt"), ["image_id", "gt"], "left_anti")
-    none = lambda t: F.lit(None).cast(t)
-    return tp.unionByName(fp.select("image_id", F.lit("fp").alias("kind"), none("long").alias("gt"), "det", none("double").alias("cost"), "score", none("int").alias("level"))).unionByName(
-        fn.select("image_id", F.lit("fn").alias("kind"), "gt", none("long").alias("det"), none("double").alias("cost"), none("double").alias("score"), "level")
+    found = assign_pairs(q_costs(truths, dets, min_iou), limit, carry=("p_score",))
+    # each found pair meets its truth and its detection in one join, so the assignment is planned once
+    truth_side = F.struct(F.lit(True).alias("is_gt"), F.col("gt").alias("id"), F.col("det").alias("other"), "cost", "p_score")
+    det_side = F.struct(F.lit(False).alias("is_gt"), F.col("det").alias("id"), F.col("gt").alias("other"), "cost", "p_score")
+    links = found.select("image_id", F.inline(F.array(truth_side, det_side)))
+    with_truth = dets.join(truths.select("image_id").distinct(), "image_id", "left_semi")
+    sides = truths.select("image_id", F.lit(True).alias("is_gt"), F.col("gt").alias("id"), F.lit(None).cast("double").alias("own_score"), "level").unionByName(
+        with_truth.select("image_id", F.lit(False).alias("is_gt"), F.col("det").alias("id"), F.col("score").alias("own_score"), F.lit(None).cast("int").alias("level"))
     )
+    rows = sides.join(links, ["image_id", "is_gt", "id"], "left").where("is_gt OR other IS NULL")
+    kind = F.when(~F.col("is_gt"), "fp").when(F.col("other").isNull(), "fn").otherwise("tp")
+    return rows.select(
+        "image_id", kind.alias("kind"), F.when(F.col("is_gt"), F.col("id")).alias("gt"), F.when(F.col("is_gt"), F.col("other")).otherwise(F.col("id")).alias("det"), "cost",
+        F.coalesce("p_score", "own_score").alias("score"), "level",
+    )
 
 
 def image_counts(matches: DataFrame) -> DataFrame:
