@@ -66,7 +66,9 @@ def test_split_bucket(spark):
 
 def test_match_against_brute_force(spark, sf_dir):
     t, d = views.truths(spark, sf_dir), P.above(P.suppress(views.boxes(spark, sf_dir).select("image_id", "det", *B.XYXY, "score", "label")), 0.1)
-    rows = E.match(t, d).collect()
+    matched = E.match(t, d)
+    rows = matched.collect()
+    counts = {r.image_id: (r.n_tp, r.n_fp, r.n_fn) for r in E.image_counts(matched).collect()}
     gt, det = {}, {}
     for r in t.collect():
         gt.setdefault(r.image_id, []).append(r)
@@ -80,6 +82,9 @@ def test_match_against_brute_force(spark, sf_dir):
         a = np.array([[x.x1, x.y1, x.x2, x.y2] for x in own])
         p = det.get(image, [])
         found = [r for r in by[image] if r.kind == "tp"]
+        assert counts[image] == tuple(sum(r.kind == k for r in by[image]) for k in ("tp", "fp", "fn"))
+        levels, scores = {x.gt: x.level for x in own}, {x.det: x.score for x in det.get(image, [])}
+        assert all(r.level == levels.get(r.gt) and r.score == scores.get(r.det) for r in by[image])
         assert len(found) + sum(r.kind == "fn" for r in by[image]) == len(own) and len(found) + sum(r.kind == "fp" for r in by[image]) == len(p)
         if p:
             b = np.array([[x.x1, x.y1, x.x2, x.y2] for x in p])
