@@ -28,7 +28,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|secret|api_key|token)=[^\x20\x09-\x0D]++)",
 }
-#: Cheap conditions that a text with a match must meet.
+#: Cheap conditions that a text with a match must meet; None: no cheaper one than the pattern itself.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "key": None}
 
 #: Words near a span that raise or lower its score.
@@ -104,8 +104,9 @@ def _spans(kind: str, text: Column) -> Column:
         return F.struct(F.coalesce(end, start).alias("at"), F.when(held, F.concat(s["got"], span)).otherwise(s["got"]).alias("got"))
 
     found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("got")), add)["got"]
-    need = text.rlike("[0-9]{2}|password|passwd|secret|api_key|token") if NEEDS[kind] is None else text.contains(NEEDS[kind])
-    need = need & text.rlike(PATTERNS[kind])
+    need = text.rlike(PATTERNS[kind])
+    if NEEDS[kind] is not None:
+        need = text.contains(NEEDS[kind]) & need
     if kind in ("iban", "key"):
         found = F.filter(found, lambda x: x["score"] >= MIN_SCORE)
     return F.when(need, found).otherwise(empty)
