@@ -4,6 +4,9 @@ Each document passes every rule once. The ledger holds the measurements and one
 versioned bit masks, so a verdict, a new policy or an ablation is a bitwise expression over the ledger, not a second
 pass over the texts.
 
+The `insults` bit means toxic: a fixed English insult, or `LEAST_TERMS` words of a list that `fit_terms` derives per
+language from labelled rows. The stage fits it; `query` has the fixed words only, as its SQL states the same rules.
+
 Defined results: a null or empty text has no words and fails `too_few_words`; null doc_id and repeated rows are kept
 as they are (one ledger row per input row); other columns of the input are ignored, so their names cannot clash.
 """
@@ -19,6 +22,50 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Plain insults that mark a toxic text.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+#: Fit of the toxic words: at most FIT_DOCS labelled rows, FIT_TERMS words; a language needs LEAST_TOXIC toxic rows, a word
+#: LEAST_SEEN of them and a share among them of RATIO times that among the other rows, of its language and of all.
+FIT_DOCS = 20_000
+FIT_TERMS = 2_000
+LEAST_TOXIC = 10
+LEAST_SEEN = 3
+RATIO = 20
+LEAST_TERMS = 2
+
+
+def fit_terms(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> list[str]:
+    """Words that mark toxic texts of each language, from labelled rows (doc_id, toxic)."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("__id"), (F.col("toxic") == 1).alias("toxic"))
+    known = known.orderBy(F.xxhash64(F.lit(11), F.col("__id")), "__id").limit(FIT_DOCS)
+    lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col in docs.columns else F.lit("")
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)))
+    texts = docs.select(F.col(id_col).alias("__id"), lang.alias("lang"), F.col(text_col).alias(text_col))
+    rows = materialise(texts.join(F.broadcast(known), "__id").select("lang", "toxic", words.alias("words")), "labelled")
+    totals = rows.groupBy("lang").agg(F.count_if("toxic").alias("n_toxic"), F.count_if(~F.col("toxic")).alias("n_other"))
+    seen = rows.select("lang", "toxic", F.explode("words").alias("word")).groupBy("lang", "word")
+    seen = seen.agg(F.count_if("toxic").alias("t"), F.count_if(~F.col("toxic")).alias("o"))
+    # the list holds for texts of any language, so a word must be rare in the others, too
+    anywhere = seen.groupBy("word").agg(F.sum("o").alias("o_any")).crossJoin(F.broadcast(totals.agg(F.sum("n_other").alias("n_any"))))
+    telling = seen.where(F.col("t") >= LEAST_SEEN).join(F.broadcast(totals.where(F.col("n_toxic") >= LEAST_TOXIC)), "lang").join(anywhere, "word")
+    for o, n in (("o", "n_other"), ("o_any", "n_any")):
+        telling = telling.where(F.col("t") * (F.col(n) + 1) >= RATIO * (F.col(o) + 0.5) * F.col("n_toxic"))
+    found = telling.groupBy("word").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "word").limit(FIT_TERMS)
+    return sorted(r["word"] for r in found.collect())
+
+
+def _one_of(words: list[str]) -> str:
+    """Pattern of the words as a prefix tree, so that a scan reads each start of a word once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def of(node: dict) -> str:
+        parts = [c + of(node[c]) for c in sorted(node, reverse=True)]
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return rf"(?<!\p{{L}})(?:{of(tree)})(?!\p{{L}})"
 
 
 def _rules() -> list[tuple[str, Column]]:
@@ -31,7 +78,7 @@ def _rules() -> list[tuple[str, Column]]:
         ("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         ("shouting", 10 * F.col("n_upper_words") > 4 * n),
         ("no_letters", 10 * F.col("n_no_letter_words") > 3 * n),
-        ("insults", F.col("n_insults") >= 1),
+        ("insults", (F.col("n_insults") >= 1) | (F.col("n_terms") >= LEAST_TERMS)),
     ]
 
 
@@ -58,8 +105,8 @@ def _without(text: Column, chars: str) -> Column:
     return text
 
 
-def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The measurements of each document; one row per input row."""
+def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
+    """The measurements of each document; one row per input row. `terms`: lower-case toxic words to count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), words_of(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
@@ -80,6 +127,7 @@ def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         F.size(F.filter("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).cast("long").alias("n_upper_words"),
         F.size(F.filter("_w", lambda w: F.upper(w) == F.lower(w))).cast("long").alias("n_no_letter_words"),
         F.when(known, F.regexp_count(F.lower(F.col("_t")), F.lit(rf"\b(?:{'|'.join(INSULTS)})\b"))).otherwise(0).cast("long").alias("n_insults"),
+        (F.regexp_count(F.lower(F.col("_t")), F.lit(_one_of(terms))) if terms else F.lit(0)).cast("long").alias("n_terms"),
     )
     # only documents with an equal pair of windows sort them
     again = F.size(F.array_distinct("_h")) < F.size("_h")
@@ -106,16 +154,16 @@ def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
         F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("_p") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
-        "n_upper_words", "n_no_letter_words", "n_insults",
+        "n_upper_words", "n_no_letter_words", "n_insults", "n_terms",
     )
 
 
-def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
     """Measurements plus `failed`, a bit per failed rule in the order of RULE_NAMES."""
     bits = F.lit(0)
     for k, (_, failing) in enumerate(_rules()):
         bits = bits.bitwiseOR(F.when(failing, 1 << k).otherwise(0))
-    return measure(docs, text_col, id_col).withColumn("failed", bits.cast("int"))
+    return measure(docs, text_col, id_col, terms).withColumn("failed", bits.cast("int"))
 
 
 def verdict(book: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -143,12 +191,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the current policy accepts, with all their columns (the whole row is the ledger's id).
+    The toxic words are fitted on the rows that the table `labels` knows.
 
     The ledger is stored before the policy is applied: a filter on its bits would otherwise be moved below them, and
     the optimiser would then evaluate the measurements inside the window functions, once per element.
     """
     row = F.struct(*[docs[c] for c in docs.columns])
-    book = materialise(ledger(docs.select(row.alias("doc_id"), "text")).select("doc_id", "failed"), "ledger")
+    terms = fit_terms(docs, table(spark, sf_dir, "labels"))
+    book = materialise(ledger(docs.select(row.alias("doc_id"), "text"), terms=terms).select("doc_id", "failed"), "ledger")
     return verdict(book).where("kept").select("doc_id.*")
 
 

@@ -111,6 +111,27 @@ def test_quality_policy_and_ablation(spark, sf_dir):
     book.unpersist()
 
 
+def test_toxic_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    everything = quality_rules.fit_terms(docs, labels)
+    clean = docs.join(labels.where("toxic = 0"), "doc_id")
+    assert quality_rules.ledger(clean, terms=everything).where(f"n_terms >= {quality_rules.LEAST_TERMS}").count() <= 0.02 * clean.count()
+    terms = quality_rules.fit_terms(docs, labels.where("doc_id % 2 = 0"))
+    other = docs.join(labels.where("doc_id % 2 = 1"), "doc_id")
+    book = quality_rules.ledger(other.select("doc_id", "text"), terms=terms).join(other.select("doc_id", "lang", "toxic", "quality"), "doc_id")
+    bit = 1 << quality_rules.RULE_NAMES.index("insults")
+    book = book.where("n_words >= 20").selectExpr("lang", "toxic", "quality", f"failed & {bit} <> 0 AS bad").groupBy("lang", "toxic", "quality")
+    rows = book.agg({"bad": "count_if", "*": "count"}).toDF("lang", "toxic", "quality", "bad", "n").toPandas()
+    for lang, least in {"de": 0.9, "en": 0.9, "fr": 0.9, "es": 0.4}.items():
+        toxic = rows[(rows.lang == lang) & (rows.toxic == 1)]
+        clean = rows[(rows.lang == lang) & (rows.toxic == 0) & (rows.quality == 1)]
+        assert toxic.bad.sum() >= least * toxic.n.sum(), lang
+        assert clean.bad.sum() <= 0.02 * clean.n.sum(), lang
+    assert quality_rules.fit_terms(docs.drop("lang").limit(0), labels) == []
+
+
 def test_line_dedup(spark):
     passage = "this very long passage of words repeats in some of the documents and should stay once only"
     log = "job {} finished after some seconds on the host named {} with exit status of success and nothing else"
