@@ -15,8 +15,8 @@ connect), n_links (other documents at the threshold or above, copies included),
 
 Defined results: a null or empty text, or one of white space only, has no shingles and is a class of its own without
 links; a text of one to four words has one shingle of all its words; rows that repeat a doc_id are counted as documents
-(equal ids never link to themselves in class_id, but count in n_links); a null doc_id is treated as the lowest id; other
-columns are not read.
+(classes are keyed by the digest of their shingles, so different texts of one doc_id, null too, stay apart); a null doc_id is
+treated as the lowest id; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles as S
@@ -84,27 +84,33 @@ def least_matches(threshold: float = THRESHOLD) -> np.ndarray:
     return np.array(out)
 
 
+def _place(id_col: str, text_col: str) -> list[Column]:
+    """What tells rows apart: the doc_id and a hash of the text. Rows equal in both have one text."""
+    return [F.coalesce(F.col(id_col), F.lit(NO_DOC)).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("mark")]
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest of the shingle set, band buckets; no shuffle. A text without words has a null digest."""
+    """doc_id, mark of the text, digest of the shingle set, band buckets; no shuffle. A text without words has a null digest."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for whole in it for part in S.slices(whole, 1)):
-            sets = sets_of(b.column(1))
+        for b in (part for whole in it for part in S.slices(whole, 2)):
+            sets = sets_of(b.column(2))
             digest = [int(np.bitwise_xor.reduce(S.mix(s)) ^ np.add.reduce(s)) - (1 << 63) if len(s) else None for s in sets]
             flat = [band_buckets(signature(s)) for s in sets if len(s)]
             ends = np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])])
             buckets = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.int64()), buckets], ["doc_id", "digest", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.int64()), buckets], ["doc_id", "mark", "digest", "buckets"])
 
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(NO_DOC)).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return base.mapInArrow(batches, "doc_id long, digest long, buckets array<long>")
+    base = docs.select(*_place(id_col, text_col), F.col(text_col).alias("text"))
+    return base.mapInArrow(batches, "doc_id long, mark long, digest long, buckets array<long>")
 
 
 def _signed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The members (rep and their other columns) with sig and shingles, both little-endian bytes, from the text of document rep."""
-    base = docs.select(F.coalesce(F.col(id_col), F.lit(NO_DOC)).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    names = list(members.columns)
-    chosen = base.join(members.hint("shuffle_merge"), "rep").select("rep", "text", *names[1:])
+    """The members (rep, mark and their other columns) with sig and shingles, both little-endian bytes, from the text of the row (rep, mark)."""
+    base = docs.select(*_place(id_col, text_col), F.col(text_col).alias("text")).withColumnRenamed("doc_id", "rep")
+    names = [c for c in members.columns if c != "mark"]
+    # rows equal in id and text give one member; the join has dealt and sorted them by these keys
+    chosen = base.join(members.hint("shuffle_merge"), ["rep", "mark"]).dropDuplicates(["rep", "mark"]).select("rep", "text", *names[1:])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -114,7 +120,7 @@ def _signed(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) ->
                 flat = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sigs, flat], [*names, "sig", "shingles"])
 
-    return chosen.mapInArrow(batches, ", ".join(f"{c} {t}" for c, t in members.dtypes) + ", sig binary, shingles binary")
+    return chosen.mapInArrow(batches, ", ".join(f"{c} {t}" for c, t in members.dtypes if c != "mark") + ", sig binary, shingles binary")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:
@@ -169,8 +175,9 @@ def compare(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], left: np.
 
 def _compare_group(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["rep"]).sort_values("rep")
-        ids, n = pdf.rep.to_numpy(), len(pdf)
+        # once per copy class, in the order of the classes; a block that meets itself comes once
+        pdf = pdf.drop_duplicates(["digest"]).sort_values(["rep", "digest"])
+        ids, digests, n = pdf.rep.to_numpy(), pdf.digest.to_numpy(), len(pdf)
         sigs = np.frombuffer(b"".join(pdf.sig), np.uint32).reshape(n, COMPARED)
         sets = [np.frombuffer(x, np.uint64) for x in pdf.shingles]
         members = pdf.members.to_numpy()
@@ -180,42 +187,53 @@ def _compare_group(threshold: float):
         i, j = compare(ids, sigs, sets, left, right, threshold)
         links = np.bincount(i, members[j], n) + np.bincount(j, members[i], n)
         kinds = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
-        low = ids[_local_groups(n, [(i, j)] if len(i) else [])]
-        return pd.DataFrame({"rep": ids, "blocks": pdf.blocks.to_numpy(), "links": links.astype("int64"), "kinds": kinds.astype("int64"), "low": low})
+        low = _local_groups(n, [(i, j)] if len(i) else [])
+        out = {"digest": digests, "rep": ids, "blocks": pdf.blocks.to_numpy(), "links": links.astype("int64"), "kinds": kinds.astype("int64")}
+        return pd.DataFrame(out | {"low_rep": ids[low], "low_digest": digests[low]})
 
     return run
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, copy_id, class_id, n_links, n_class_links."""
+def _linked(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of _classes, and per digest: its lowest row (rep, mark), members, links, kinds, and low, the lowest (rep, digest) of
+    the copy classes that links connect."""
     classes = materialise(_classes(docs, id_col, text_col), "classes")
-    reps = classes.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("members"))
+    first = F.min(F.struct("doc_id", "mark"))
+    reps = classes.where("digest IS NOT NULL").groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("members"))
+    reps = reps.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "members")
     bands = classes.select("digest", F.explode("buckets").alias("bucket"))
     heads = bands.groupBy("bucket").agg(F.min("digest").alias("head"), F.max("digest").alias("last")).where("head <> last").select("bucket", "head")
     edges = bands.join(heads, "bucket").where("digest <> head").select(F.col("digest").alias("a"), F.col("head").alias("b")).distinct()
     groups = components(edges, "candidates").withColumnRenamed("a", "digest")
     # blocks of a group: a seeded hash deals members evenly; groups up to a block have one
     sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("n")).select("comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(sizes, "comp").join(reps, "digest").select("rep", "comp", "blocks", F.pmod(F.xxhash64("rep", F.lit(7)), "blocks").cast("int").alias("block"), "members")
+    block = F.pmod(F.xxhash64("digest", F.lit(7)), "blocks").cast("int").alias("block")
+    dealt = groups.join(sizes, "comp").join(reps, "digest").select("rep", "mark", "digest", "comp", "blocks", block, "members")
     dealt = materialise(dealt, "groups")
     signed = _signed(docs, dealt, id_col, text_col)
     rows = signed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")})
-    schema = "rep long, blocks int, links long, kinds long, low long"
+    schema = "digest long, rep long, blocks int, links long, kinds long, low_rep long, low_digest long"
     found = materialise(rows.groupBy("comp", "x", "y").applyInPandas(_compare_group(threshold), schema), "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("kinds").alias("kinds"), F.min("low").alias("low"))
+    low = F.struct(F.col("low_rep").alias("rep"), F.col("low_digest").alias("digest"))
+    counts = found.groupBy("digest").agg(F.sum("links").alias("links"), F.sum("kinds").alias("kinds"), F.min(low).alias("low"))
     # members of one-block groups know their class; those of larger groups get it from the links between blocks
-    wide = found.where("blocks > 1 AND low <> rep").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    wide = found.where("blocks > 1 AND low_digest <> digest").select(F.struct("rep", "digest").alias("a"), low.alias("b"))
     if wide.limit(1).count():
-        joined = components(wide, "wide").withColumnRenamed("a", "rep")
-        counts = counts.join(joined, "rep", "left").select("rep", "links", "kinds", F.coalesce("comp", "low").alias("low"))
-    per_rep = reps.join(counts, "rep", "left").select(
-        "digest", "rep", "members", F.coalesce("low", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("kinds", F.lit(0)).alias("kinds")
-    )
-    out = classes.select("doc_id", "digest").join(per_rep, "digest", "left")
+        joined = components(wide, "wide").select(F.col("a.digest").alias("digest"), "comp")
+        counts = counts.join(joined, "digest", "left").select("digest", "links", "kinds", F.coalesce("comp", "low").alias("low"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    own = F.coalesce("low", F.struct("rep", "digest")).alias("low")
+    return classes, reps.join(counts, "digest", "left").select("digest", "rep", "mark", "members", own, zero("links"), zero("kinds"))
+
+
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """One row per input row: doc_id, copy_id, class_id, n_links, n_class_links."""
+    classes, per_class = _linked(docs, text_col, id_col, threshold)
+    out = classes.select("doc_id", "digest").join(per_class, "digest", "left")
     return out.select(
         F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"),
         F.coalesce("rep", "doc_id").alias("copy_id"),
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.coalesce("low.rep", "doc_id").alias("class_id"),
         F.coalesce(F.col("members") - 1 + F.col("links"), F.lit(0)).alias("n_links"),
         F.coalesce("kinds", F.lit(0)).alias("n_class_links"),
     )
@@ -226,6 +244,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the lowest doc_id stays (one row of it)."""
-    done = join(docs).where(F.coalesce("doc_id", F.lit(NO_DOC)) == F.col("class_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(done, docs["doc_id"].eqNullSafe(done["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the lowest row of the lowest copy class stays (by doc_id, then text), whatever ids other texts have;
+    texts without words stay. Of rows equal in id and text the lowest one stays."""
+    classes, per_class = _linked(docs, "text", "doc_id", THRESHOLD)
+    kept = per_class.where("low.digest = digest").select(F.col("rep").alias("doc_id"), "mark")
+    kept = kept.union(classes.where("digest IS NULL").select("doc_id", "mark").distinct())
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(*_place("doc_id", "text"), row).join(kept, ["doc_id", "mark"], "left_semi")
+    return rows.groupBy("doc_id", "mark").agg(F.min("row").alias("row")).select("row.*")

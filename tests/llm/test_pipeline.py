@@ -57,3 +57,16 @@ def test_stages_take_any_rows(spark, sf_dir):
     for docs in (odd, odd.limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             docs = materialise(stage(spark, docs, sf_dir), "test")
+
+
+def test_different_texts_with_one_id_stay(spark):
+    words = [f"{c}{k}" for c in "abcdef" for k in range(30)]
+    one, two, three, four = (" ".join(words[k : k + 30]) for k in (0, 30, 60, 90))
+    near = four + " and more"
+    rows = [(None, one), (None, two), (7, three), (7, four), (8, near), (8, one), (None, one), (9, two + " then some")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 5):
+        got = sorted((r.doc_id or 0, r.text) for r in ngram_join.stage(spark, docs.repartition(parts), "").collect())
+        assert got == sorted([(0, one), (0, two), (7, three), (7, four)])
+    links = sorted((r.doc_id or 0, r.n_class_links) for r in ngram_join.join(docs).collect())
+    assert links == [(0, 0), (0, 0), (0, 1), (7, 0), (7, 1), (8, 0), (8, 1), (9, 1)]
