@@ -3,17 +3,17 @@
 Every line descends a tree: its token count, its leading tokens (variable tokens as `<*>`), then its leaf. A leaf holds
 templates. A line belongs to the template of its whole masked content, and, if it has at least `MIN_CONSTANT` other
 tokens, to the templates in which one of `SEGMENTS` equal parts of the rest is the variable field. A template that
-occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, then line number) stays, every
+occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number) stays, every
 other one is dropped, in all documents. Repeats inside one document only are left alone.
 
 Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose.
 
-Only fixed-size keys (hash, doc_id, line number) are shuffled to find templates, not line texts, and they are
+Only fixed-size keys (hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
 pre-aggregated before the shuffle; the join with recurring keys has one row per key on its small side, so a very common line
 is split by adaptive skew handling.
 
-Defined results: a null text has no lines and stays null; an empty text stays empty; rows with one doc_id are one document (their
-lines keep); a null doc_id is a document of its own. All input columns are returned; texts that lose no line are
+Defined results: a null text has no lines and stays null; an empty text stays empty; a document is a doc_id (null, too) with its
+text, so different texts of one doc_id are different documents, and rows equal in both are one (their lines keep). All input columns are returned; texts that lose no line are
 returned unchanged.
 """
 
@@ -54,35 +54,39 @@ def _keys(line, depth: int):
     return F.get(F.transform(F.array(tokens), of), F.lit(0))
 
 
+def _mark(id_col: str, text_col: str):
+    """What tells documents apart, whether their doc_id is null or repeated or not."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """doc_id, line_no, key: the templates of each line."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).select("doc_id", "line_no", F.explode(_keys(F.col("line"), depth)).alias("key"))
+    """doc_id, mark, line_no, key: the templates of each line."""
+    lines = docs.select(F.col(id_col).alias("doc_id"), _mark(id_col, text_col).alias("mark"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    return lines.where(F.length(F.trim("line")) > 0).select("doc_id", "mark", "line_no", F.explode(_keys(F.col("line"), depth)).alias("key"))
 
 
 def recurring(occ: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """key, first: the templates that occur in min_docs documents or more, and where each occurs first."""
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("line_no").alias("l"))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("mark").alias("m"), F.col("line_no").alias("l"))
     if min_docs == 2:
-        seen = occ.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        return seen.where(F.col("first.d") != F.col("last.d")).select("key", "first")
-    in_doc = occ.groupBy("key", "doc_id").agg(F.min(place).alias("place"))
+        seen = occ.groupBy("key").agg(F.min(place).alias("first"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+        return seen.where("low <> high").select("key", "first")
+    in_doc = occ.groupBy("key", "mark").agg(F.min(place).alias("place"))
     return in_doc.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key", "first")
 
 
 def dropped(occ: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, lines: the line numbers that each document loses."""
-    hits = occ.join(recurring(occ, min_docs), "key")
-    own = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("line_no").alias("l"))
-    return hits.where(own != F.col("first")).groupBy("doc_id").agg(F.collect_set("line_no").alias("__lines"))
+    """mark, lines: the line numbers that each document loses."""
+    hits = occ.select("key", "mark", "line_no").join(recurring(occ, min_docs), "key")
+    return hits.where((F.col("mark") != F.col("first.m")) | (F.col("line_no") != F.col("first.l"))).groupBy("mark").agg(F.collect_set("line_no").alias("__lines"))
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
     """The input with the dropped lines taken out of the text, plus n_dropped."""
     # read twice, by the search for templates and by the look-up of each line
     occ = materialise(occurrences(docs, text_col, id_col, depth), "line-keys")
-    gone = dropped(occ, min_docs).withColumnRenamed("doc_id", "__gone_id")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__gone_id"]), "left")
+    gone = dropped(occ, min_docs).withColumnRenamed("mark", "__mark")
+    joined = docs.join(gone, _mark(id_col, text_col) == gone["__mark"], "left")
     text = F.when(
         gone["__lines"].isNull() | docs[text_col].isNull(), docs[text_col]
     ).otherwise(F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone["__lines"], i)), "\n"))

@@ -151,3 +151,16 @@ def test_line_dedup(spark):
     assert line_dedup.dedup(docs.limit(0)).count() == 0
     three = {r.doc_id: r.text for r in line_dedup.dedup(docs, min_docs=4).collect()}
     assert three[1] == texts[1]
+
+
+def test_line_dedup_keys_lines_by_document(spark):
+    often = "a line of several words that recurs in other documents"
+    rows = [
+        (None, f"{often}\nown words of the first null document here"), (None, "only one null document has this first line\nand this second line"),
+        (5, f"{often}\nwhat the fifth document says alone"), (5, "another text of the fifth id\nwith a line of its own"), (1, f"{often}\nend of one"),
+        (None, "this line is in two null documents\nleft"), (None, "this line is in two null documents\nright"),
+    ]
+    out = [r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(out) == len(rows)
+    assert {rows[1][1], rows[3][1], "what the fifth document says alone"} <= set(out)
+    assert sum(often in t for t in out) == 1 and sum("two null documents" in t for t in out) == 1
