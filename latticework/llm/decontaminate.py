@@ -8,6 +8,8 @@ weighted Jaccard similarity of the two shingle bags is at least the threshold.
 Windows that cannot reach the threshold are not fingerprinted: weights lie in [1, 2], so a window needs item shingles at
 `threshold / 2` of its places at least. This loses nothing.
 
+A text shorter than an item is one window. It is compared exactly with the items of which it has enough shingles.
+
 The index is broadcast only up to `MAX_INDEX_ITEMS` items and `MAX_INDEX_CHARS` characters; a larger benchmark is dealt by
 hash into slices of that size, and the documents pass each slice in turn.
 
@@ -65,6 +67,11 @@ class Index:
             n: [((self.prints[own] >> shift) & mask)[None, :] == np.arange(int(mask) + 1, dtype=np.uint64)[:, None] for shift, mask in self.blocks]
             for n, own in self.by_size.items()
         }
+        # per known shingle, the items that have it
+        each = [np.unique(b) for b in self.bags]
+        shingle = np.searchsorted(self.known, np.concatenate(each) if each else self.known)
+        self.holders = np.repeat(np.arange(len(each)), [len(x) for x in each])[np.argsort(shingle, kind="stable")].astype(np.int32)
+        self.held = np.concatenate([[0], np.cumsum(np.bincount(shingle, minlength=len(self.known)))])
         # a small bit table answers "certainly no item shingle" at once
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.known >> np.uint64(42)).astype(np.int64)] = True
@@ -154,8 +161,22 @@ class Index:
                     s = self.similarity(np.sort(bag[p : p + n]), self.bags[i])
                     if s >= self.threshold - 1e-12 and s > best.get(i, (0.0,))[0]:
                         best[i] = (s, p, size)
+        for i in self.longer(bag[known], len(words)):
+            s = self.similarity(np.sort(bag), self.bags[i])
+            if s >= self.threshold - 1e-12:
+                best[i] = (s, 0, len(words))
         return sorted((self.items[i], s, p, n) for i, (s, p, n) in best.items())
 
+    def longer(self, found: np.ndarray, n_words: int) -> np.ndarray:
+        """Items of more than n_words words that a text of so many words, all its known shingles given, may reach the threshold with."""
+        if not len(found) or n_words >= self.words.max():
+            return np.zeros(0, int)
+        keys, times = np.unique(found, return_counts=True)
+        at = np.searchsorted(self.known, keys)
+        items = np.concatenate([self.holders[self.held[k] : self.held[k + 1]] for k in at])
+        shared = np.bincount(items, np.repeat(times, self.held[at + 1] - self.held[at]), len(self.words))
+        return np.flatnonzero((self.words > n_words) & (shared > 0) & (shared >= self.threshold / 2 * (self.words - SHINGLE + 1)))
+
 
 def _slices(bench: DataFrame, id_col: str, text_col: str) -> int:
     found = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("c")).first()

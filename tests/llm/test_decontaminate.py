@@ -68,3 +68,32 @@ def test_edges(spark):
     assert sorted(len(r.hits) for r in rows) == [0, 0, 1, 1]
     assert decontaminate.find(docs.limit(0), bench).count() == 0
     assert all(not r.hits for r in decontaminate.find(docs, bench.limit(0)).collect())
+
+
+def brute_short(text, items):
+    """As brute, and a text shorter than an item is its one window."""
+    out, w = brute(text, items), words(text)
+    bags = {i: bag(words(t)) for i, t in items.items()}
+    df = Counter(s for b in bags.values() for s in b)
+    weight = lambda s: 1 + 1 / max(1, df[s])
+    for i, b in bags.items():
+        if len(w) < len(words(items[i])):
+            own = bag(w)
+            s = sum(weight(x) * c for x, c in (own & b).items()) / sum(weight(x) * c for x, c in (own | b).items())
+            if s >= 0.8 - 1e-12:
+                out[i] = s
+    return out
+
+
+def test_texts_shorter_than_an_item(spark, sf_dir):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    items = {r.item_id: r.text for r in bench.collect()}
+    texts = [" ".join(w[a : len(w) - b]) for w in (t.split() for t in items.values()) for a, b in ((0, 1), (2, 0), (1, 3), (0, 12), (0, len(w) - 4))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {h.item_id: h.similarity for h in r.hits} for r in decontaminate.find(docs, bench).collect()}
+    n_short = 0
+    for k, t in enumerate(texts):
+        want = brute_short(t, items)
+        assert set(got[k]) == set(want) and all(abs(got[k][i] - want[i]) < 1e-9 for i in want)
+        n_short += any(len(words(t)) < len(words(items[i])) for i in want)
+    assert n_short >= 2 * len(items)
