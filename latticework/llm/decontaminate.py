@@ -11,7 +11,8 @@ Windows that cannot reach the threshold are not fingerprinted: weights lie in [1
 A text shorter than an item is one window. It is compared exactly with the items of which it has enough shingles.
 
 The index is broadcast only up to `MAX_INDEX_ITEMS` items and `MAX_INDEX_CHARS` characters; a larger benchmark is dealt by
-hash into slices of that size, and the documents pass each slice in turn.
+hash into slices of that size, and the documents pass each slice in turn. Shingle weights are those of the whole benchmark: they
+are counted over all items, and what several items share goes along with each slice (12 bytes a shared shingle).
 
 Words are runs of letters and digits with capitals folded, so case and punctuation do not hide a passage.
 
@@ -44,7 +45,8 @@ MAX_INDEX_CHARS = 16_000_000
 class Index:
     """Fingerprints, shingle bags and weights of a slice of the benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, threshold: float = THRESHOLD):
+    def __init__(self, ids: list[int], texts: list[str], radius: int = RADIUS, threshold: float = THRESHOLD, shared: tuple[np.ndarray, np.ndarray] | None = None):
+        """`shared`: all shingles that several items of the whole benchmark have, sorted, and by how many; None: the slice is all."""
         first, hashes, _, _ = S.words(pa.array(texts, pa.string()), folded=True)
         self.threshold, self.radius, self.items, self.bags = threshold, radius, [], []
         self.words = []
@@ -56,7 +58,7 @@ class Index:
                 self.bags.append(np.sort(bag))
                 self.words.append(len(h))
         self.known, df = np.unique(np.concatenate([np.unique(b) for b in self.bags]) if self.bags else np.zeros(0, np.uint64), return_counts=True)
-        self.known_weight = 1 + 1 / df
+        self.shared = (self.known[df > 1], df[df > 1].astype(np.int32)) if shared is None else shared
         self.prints = np.array([self.fingerprint(b) for b in self.bags], np.uint64)
         self.words = np.array(self.words, np.int64)
         cuts = np.linspace(0, 64, radius + 2).astype(int)
@@ -77,8 +79,12 @@ class Index:
         self.filter[(self.known >> np.uint64(42)).astype(np.int64)] = True
 
     def weight(self, bag: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.known, bag), max(len(self.known) - 1, 0))
-        return np.where(self.known[at] == bag, self.known_weight[at], 2.0) if len(self.known) else np.full(len(bag), 2.0)
+        """1 + 1 / number of items of the whole benchmark; 2 for what at most one item has."""
+        keys, df = self.shared
+        if not len(keys):
+            return np.full(len(bag), 2.0)
+        at = np.minimum(np.searchsorted(keys, bag), len(keys) - 1)
+        return np.where(keys[at] == bag, 1 + 1 / df[at], 2.0)
 
     def is_known(self, bag: np.ndarray) -> np.ndarray:
         out = np.zeros(len(bag), bool)
@@ -183,6 +189,23 @@ def _slices(bench: DataFrame, id_col: str, text_col: str) -> int:
     return max(1, -(-found["n"] // MAX_INDEX_ITEMS), -(-found["c"] // MAX_INDEX_CHARS))
 
 
+def _shared(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several items have, sorted, and by how many."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in it for part in S.slices(whole, 0)):
+            first, hashes, _, _ = S.words(b.column(0), folded=True)
+            begin, bags = S.shingles(first, hashes, SHINGLE)
+            own = [np.unique(bags[x:y]) for x, y in zip(begin[:-1], begin[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64))], ["shingle"])
+
+    each = items.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(batches, "shingle long")
+    rows = each.groupBy("shingle").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1").toArrow()
+    keys = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], rows.column("df").to_numpy()[order]
+
+
 def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
     """All input columns plus `hits`: item_id, similarity, start and length (in words) of each matched passage."""
     items = bench.select(F.col(bench.columns[0]).alias("item_id"), F.col("text"))
@@ -192,9 +215,10 @@ def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str
     struct = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
     if slices > 1:
         out = out.withColumn("__hits", F.array().cast(struct))
+    shared = _shared(items) if slices > 1 else None
     for k in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id").collect()
-        index = bench.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], radius, threshold))
+        index = bench.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], radius, threshold, shared))
         out = _one_pass(out, index, text_col, names, struct)
     return out.withColumnRenamed("__hits", "hits")
 

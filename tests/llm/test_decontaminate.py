@@ -97,3 +97,25 @@ def test_texts_shorter_than_an_item(spark, sf_dir):
         assert set(got[k]) == set(want) and all(abs(got[k][i] - want[i]) < 1e-9 for i in want)
         n_short += any(len(words(t)) < len(words(items[i])) for i in want)
     assert n_short >= 2 * len(items)
+
+
+def test_slices_do_not_change_similarities(spark, monkeypatch):
+    rng = random.Random(5)
+    common = [[f"c{k}x{j}" for j in range(14)] for k in range(3)]
+    items = [(k, " ".join(common[k % 3] + [f"i{k}x{j}" for j in range(20)] + common[(k + 1) % 3])) for k in range(12)] + [(99, None)]
+    texts = []
+    for _, t in items[:-1]:
+        for n in (1, 2):
+            v = t.split()
+            for _ in range(n):
+                v[rng.randrange(len(v))] = "other"
+            texts += ["some words before " + " ".join(v) + " and behind", " ".join(v[2:])]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for most in (20_000, 5):
+        monkeypatch.setattr(decontaminate, "MAX_INDEX_ITEMS", most)
+        found.append({r.doc_id: sorted((h.item_id, round(h.similarity, 12), h.start, h.length) for h in r.hits) for r in decontaminate.find(docs, bench).collect()})
+    assert found[0] == found[1] and sum(map(len, found[0].values())) > 5
+    for k, t in enumerate(texts):
+        want = brute_short(t, dict(items))
+        assert all(abs(s - want[i]) < 1e-9 for i, s, _, _ in found[1][k])
