@@ -6,7 +6,8 @@ tokens, to the templates in which one of `SEGMENTS` equal parts of the rest is t
 occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number) stays, every
 other one is dropped, in all documents. Repeats inside one document only are left alone.
 
-Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose.
+Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose. The pipeline's stage
+drops a document of which only such lines are left.
 
 Only fixed-size keys (hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
 pre-aggregated before the shuffle; the join with recurring keys has one row per key on its small side, so a very common line
@@ -100,9 +101,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take recurring lines out of the texts; documents of which nothing is left go."""
+    """Take recurring lines out of the texts; documents that lost lines and keep only lines of fewer than MIN_TOKENS tokens, or none, go."""
     done = dedup(docs)
-    left = F.length(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " "))) > 0
+    left = F.exists(F.split("text", "\n"), lambda x: F.size(words_of(x)) >= MIN_TOKENS)
     text = F.col("text")
     out = done.where((F.col("_n_dropped") == 0) | left)
     if "n_chars" in docs.columns:

@@ -164,3 +164,10 @@ def test_line_dedup_keys_lines_by_document(spark):
     assert len(out) == len(rows)
     assert {rows[1][1], rows[3][1], "what the fifth document says alone"} <= set(out)
     assert sum(often in t for t in out) == 1 and sum("two null documents" in t for t in out) == 1
+
+
+def test_line_dedup_leaves_no_stubs(spark):
+    long = [f"line {c} of a text that two documents share in whole" for c in "ab"]
+    texts = ["\n".join([long[0], "Les.", long[1], "All rights reserved."])] * 2 + ["Les.\nOf.", long[0] + "\nLes.\nits own line of some words"]
+    kept = {r.doc_id: r.text for r in line_dedup.stage(spark, frame(spark, texts), "").collect()}
+    assert kept == {0: texts[0], 2: texts[2], 3: "Les.\nits own line of some words"}
