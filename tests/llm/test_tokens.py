@@ -1,5 +1,6 @@
 """Encoding against the tokenizers library, coder and file round trips."""
 
+import functools
 import hashlib
 import random
 import zlib
@@ -15,16 +16,18 @@ FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, ids_ string"
 
 
+tokenizer = functools.cache(bpe.tokenizer)
+
+
 def library(path, texts):
-    tok = bpe.tokenizer(path)
-    return [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in tokenizer(path).encode_batch(texts, add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", FILES)
 def test_real_documents(spark, sf_dir, name):
     path = bpe.public_path(name)
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    got = [np.frombuffer(x, np.uint32).tolist() for x in bpe.Encoder(path).encode(texts)]
+    got = [x.tolist() for x in bpe.Encoder(path).encode(texts)]
     assert got == library(path, texts)
 
 
@@ -35,26 +38,54 @@ def test_hard_texts(name):
     for n in (300, 600, 1500, 5000):
         texts += ["a" * n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)), "thething" * (n // 8), "é" * n, "=-" * (n // 2), " " * n + "x", "1" * n, "".join(rng.choice("éàüß日本語д") for _ in range(n))]
     for long, leaf in ((512, 256), (16, 8), (40, 3)):
-        got = [np.frombuffer(x, np.uint32).tolist() for x in bpe.Encoder(path, long=long, leaf=leaf).encode(texts)]
+        got = [x.tolist() for x in bpe.Encoder(path, long=long, leaf=leaf).encode(texts)]
         for t, a, b in zip(texts, got, library(path, texts)):
             assert a == b, (long, t[:40])
 
 
+ALPHABET = st.sampled_from(list("ab's tremvldE  \n1é.-<|") + ["'ll", "'ve", "  ", "<|endoftext|>", "word "])
+
+
+@pytest.mark.parametrize("name", FILES)
+@settings(max_examples=300, deadline=None)
+@given(parts=st.lists(st.lists(ALPHABET, max_size=60), max_size=4), leaf_text=st.integers(1, 9))
+def test_text_trees(name, parts, leaf_text):
+    """Leaves of a few characters, so that every cut, contraction and run of white space meets a join."""
+    texts = ["".join(x) for x in parts]
+    if (name, leaf_text) not in _small:
+        _small[name, leaf_text] = bpe.Encoder(bpe.public_path(name), leaf_text=leaf_text)
+    enc = _small[name, leaf_text]
+    before = enc.joins
+    assert [x.tolist() for x in enc.encode(texts)] == library(bpe.public_path(name), texts)
+    assert enc.joins > before or all(len(t) <= leaf_text or "<|" in t for t in texts)
+
+
+_small: dict = {}
+
+
+def test_documents_go_through_trees(spark, sf_dir):
+    """With the production leaf size, long documents of the table are joined from leaves."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    enc = bpe.Encoder(bpe.public_path(FILES[1]))
+    assert [x.tolist() for x in enc.encode(texts)] == library(bpe.public_path(FILES[1]), texts)
+    assert enc.joins >= sum(-(-len(t) // bpe.LEAF_TEXT) - 1 for t in texts) > 0
+
+
 @pytest.mark.parametrize("name", FILES)
 @settings(max_examples=150, deadline=None)
 @given(text=st.text(max_size=80))
 def test_any_text(name, text):
     enc = bpe.encoder(bpe.public_path(name))
-    ids = np.frombuffer(enc.encode([text])[0], np.uint32)
+    ids = enc.encode([text])[0]
     assert ids.tolist() == library(bpe.public_path(name), [text])[0]
-    assert enc.decode([ids])[0] == bpe.tokenizer(bpe.public_path(name)).decode(ids.tolist(), skip_special_tokens=False)
+    assert enc.decode([ids])[0] == tokenizer(bpe.public_path(name)).decode(ids.tolist(), skip_special_tokens=False)
 
 
 def test_small_table(spark, sf_dir):
     path = bpe.public_path(FILES[0])
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30).collect()]
     enc = bpe.Encoder(path, kept=50)
-    assert [np.frombuffer(enc.encode([t])[0], np.uint32).tolist() for t in texts] == library(path, texts)
+    assert [enc.encode([t])[0].tolist() for t in texts] == library(path, texts)
 
 
 def test_encode_decode_query(spark, sf_dir):
@@ -76,25 +107,45 @@ def test_encode_decode_edges(spark):
     assert bpe.encode_decode(docs.limit(0), bpe.public_path(FILES[1])).count() == 0
 
 
-def test_coder_round_trip():
+def test_coder_round_trip(monkeypatch):
     rng = np.random.default_rng(2)
-    blocks = [np.minimum(rng.zipf(1.2, n), 50256) for n in (0, 1, 2, 700, 1200)] + [np.full(900, 7), np.array([0, (1 << 20) - 1, 65536, 131071, 1 << 19]), rng.integers(0, 1 << 20, 400)]
-    coded = range_coder.encode(blocks)
-    assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, range_coder.decode(coded, [len(b) for b in blocks])))
-    assert len(coded[5]) < 60
-    assert [range_coder.encode([b])[0] for b in blocks] == coded  # blocks do not depend on each other
-    assert range_coder.encode([]) == [] and range_coder.decode([], []) == []
+    blocks = [np.minimum(rng.zipf(1.2, n), 50256) for n in (0, 1, 2, 255, 700, 5120, 90_000)] + [np.full(900, 7), np.array([0, (1 << 20) - 1, 65536, 131071, 1 << 19]), rng.integers(0, 1 << 20, 40_000)]
+    blocks.append(np.tile(np.arange(60_000), 3))
+    for lanes, least in ((range_coder.LANES, range_coder.LEAST), (7, 16), (1, 1)):
+        monkeypatch.setattr(range_coder, "LANES", lanes)
+        monkeypatch.setattr(range_coder, "LEAST", least)
+        for b in blocks if lanes > 1 else blocks[:6]:
+            coded = range_coder.encode(b.astype(np.uint32))
+            assert (range_coder.decode(coded, len(b)) == b).all()
+            assert range_coder.encode(b.astype(np.uint32)) == coded  # nothing is left of the blocks before
+    with pytest.raises(ValueError):
+        range_coder.encode(np.array([1 << 20]))
     with pytest.raises(ValueError):
-        range_coder.encode([np.array([1 << 20])])
+        range_coder.decode(coded[:-2], len(b))
+
+
+def test_coder_is_smaller_than_zlib(spark):
+    """Whole documents of the 0.01 table: bytes of the coded blocks against zlib on the same blocks."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    ids, _ = bpe.encoder(bpe.public_path(FILES[0])).encode_flat(texts)
+    for size in (4096, 1 << 17):
+        blocks = [ids[k : k + size] for k in range(0, min(len(ids), 40 * size), size)]
+        assert sum(len(range_coder.encode(b)) for b in blocks) < 0.9 * sum(len(zlib.compress(b.tobytes(), 6)) for b in blocks)
+
+
+def test_crc_of_parts():
+    data = np.random.default_rng(3).bytes(5000)
+    for cuts in ([], [0], [1], [100, 100, 4000], [4999]):
+        parts = [data[a:b] for a, b in zip([0, *cuts], [*cuts, len(data)])]
+        assert token_file.crc_of_parts([zlib.crc32(p) for p in parts], [len(p) for p in parts]) == zlib.crc32(data)
 
 
-def test_token_file(spark, sf_dir, tmp_path, monkeypatch):
-    monkeypatch.setattr(token_file, "BLOCK_IDS", 500)
-    monkeypatch.setattr(token_file, "LANES", 40)
+def test_token_file(spark, sf_dir, tmp_path):
     path = bpe.public_path(FILES[0])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(None, "first"), (100000, None), (100001, "long text " * 20000)], "doc_id long, text string")).repartition(4)
-    token_file.write(docs, str(tmp_path / "f"), path)
+    token_file.write(docs, str(tmp_path / "f"), path, block_ids=500)
+    assert token_file.read_pieces(spark, str(tmp_path / "f"), with_ids=False).where("seq > 50").count()
     rows = sorted(token_file.summary(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert [r.doc_id for r in rows] == sorted(texts, key=lambda k: -1 if k is None else k)
