@@ -66,7 +66,7 @@ def test_different_texts_with_one_id_stay(spark):
     rows = [(None, one), (None, two), (7, three), (7, four), (8, near), (8, one), (None, one), (9, two + " then some")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for parts in (1, 5):
-        got = sorted((r.doc_id or 0, r.text) for r in ngram_join.stage(spark, docs.repartition(parts), "").collect())
-        assert got == sorted([(0, one), (0, two), (7, three), (7, four)])
-    links = sorted((r.doc_id or 0, r.n_class_links) for r in ngram_join.join(docs).collect())
-    assert links == [(0, 0), (0, 0), (0, 1), (7, 0), (7, 1), (8, 0), (8, 1), (9, 1)]
+        got = sorted((r.doc_id or 99, r.text) for r in ngram_join.stage(spark, docs.repartition(parts), "").collect())
+        assert got == sorted([(8, one), (9, two + " then some"), (7, three), (7, four)])
+    links = sorted((r.doc_id or 99, r.n_class_links) for r in ngram_join.join(docs).collect())
+    assert links == [(7, 0), (7, 1), (8, 0), (8, 1), (9, 1), (99, 0), (99, 0), (99, 1)]
