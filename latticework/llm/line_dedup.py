@@ -3,27 +3,27 @@
 Every line descends a tree: its token count, its leading tokens (variable tokens as `<*>`), then its leaf. A leaf holds
 templates. A line belongs to the template of its whole masked content, and, if it has at least `MIN_CONSTANT` other
 tokens, to the templates in which one of `SEGMENTS` equal parts of the rest is the variable field. A template that
-occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number) stays, every
-other one is dropped, in all documents. Repeats inside one document only are left alone.
+occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number; documents without
+an id in the order of another hash) stays, every other one is dropped, in all documents. Repeats inside one document only are left alone.
 
 Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose. The pipeline's stage
 drops a document of which only such lines are left.
 
-Only fixed-size keys (hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
+Only fixed-size keys (128-bit hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
 pre-aggregated before the shuffle; the join with recurring keys has one row per key on its small side, so a very common line
 is split by adaptive skew handling.
 
 Defined results: a null text has no lines and stays null; an empty text stays empty; a document is a doc_id (null, too) with its
-text, so different texts of one doc_id are different documents, and rows equal in both are one (their lines keep). All input columns are returned; texts that lose no line are
-returned unchanged.
+text, so different texts of one doc_id are different documents, and rows equal in both are one (their lines keep). All input columns are
+returned, whatever their names (n_dropped gets `_` added if it is taken); texts that lose no line are returned unchanged.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, words_of
+from .common import free_name, materialise, table, words_of
 
 DEPTH = 3
 SEGMENTS = 4
@@ -35,79 +35,87 @@ VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _keys(line, depth: int):
-    """Template keys of a line: the exact one, then one per variable segment."""
+    """Template keys of a line, 128 bits each: the exact one, then one per variable segment."""
     tokens = words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
 
+    def key(seed: int, *parts):
+        return F.struct(F.xxhash64(F.lit(seed), *parts).alias("k1"), F.xxhash64(F.lit(~seed), *parts).alias("k2"))
+
     def of(t):
         n = F.size(t)
         rest = n - depth
-        exact = F.xxhash64(F.lit(-1), t)
         head = F.slice(t, 1, depth)
 
         def segment(j: int):
             a, b = F.floor(rest * j / SEGMENTS).cast("int"), F.floor(rest * (j + 1) / SEGMENTS).cast("int")
-            return F.xxhash64(F.lit(j), n, head, F.slice(t, depth + 1, a), F.slice(t, depth + 1 + b, rest - b))
+            return key(j + 1, n, head, F.slice(t, depth + 1, a), F.slice(t, depth + 1 + b, rest - b))
 
+        exact = key(0, t)
         wild = F.array(exact, *[segment(j) for j in range(SEGMENTS)])
         constant = rest - F.ceil(rest / SEGMENTS)
-        return F.when(n < MIN_TOKENS, F.array().cast("array<bigint>")).when(constant >= MIN_CONSTANT, wild).otherwise(F.array(exact))
+        none = F.array().cast("array<struct<k1:bigint,k2:bigint>>")
+        return F.when(n < MIN_TOKENS, none).when(constant >= MIN_CONSTANT, wild).otherwise(F.array(exact))
 
-    return F.get(F.transform(F.array(tokens), of), F.lit(0))
+    # every token is hashed once; the keys combine these numbers
+    hashed = F.transform(tokens, lambda x: F.xxhash64(x))
+    return F.get(F.transform(F.array(hashed), of), F.lit(0))
 
 
-def _mark(id_col: str, text_col: str):
-    """What tells documents apart, whether their doc_id is null or repeated or not."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def _document(id_col: str, text_col: str) -> list[Column]:
+    """What tells documents apart: the doc_id (another hash of the text where it is null) and a hash of the text."""
+    text = F.col(text_col)
+    return [F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.lit(1), text)).alias("d"), F.xxhash64(text).alias("m")]
 
 
 def occurrences(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """doc_id, mark, line_no, key: the templates of each line."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), _mark(id_col, text_col).alias("mark"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    return lines.where(F.length(F.trim("line")) > 0).select("doc_id", "mark", "line_no", F.explode(_keys(F.col("line"), depth)).alias("key"))
+    """d, m, line_no, k1, k2: the templates of each line."""
+    lines = docs.select(*_document(id_col, text_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    keys = lines.where(F.length(F.trim("line")) > 0).select("d", "m", "line_no", F.explode(_keys(F.col("line"), depth)).alias("key"))
+    return keys.select("d", "m", "line_no", "key.k1", "key.k2")
 
 
 def recurring(occ: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """key, first: the templates that occur in min_docs documents or more, and where each occurs first."""
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("d"), F.col("mark").alias("m"), F.col("line_no").alias("l"))
-    if min_docs == 2:
-        seen = occ.groupBy("key").agg(F.min(place).alias("first"), F.min("mark").alias("low"), F.max("mark").alias("high"))
-        return seen.where("low <> high").select("key", "first")
-    in_doc = occ.groupBy("key", "mark").agg(F.min(place).alias("place"))
-    return in_doc.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("key", "first")
+    """k1, k2, first: the templates that occur in min_docs documents or more, and where each occurs first."""
+    first = F.min(F.struct("d", "m", "line_no")).alias("first")
+    if min_docs == 2:  # the first place has the lowest d and, if there is only one d, the lowest m
+        seen = occ.groupBy("k1", "k2").agg(first, F.max("d").alias("d"), F.max("m").alias("m"))
+        return seen.where("d <> first.d OR m <> first.m").select("k1", "k2", "first")
+    in_doc = occ.groupBy("k1", "k2", "d", "m").agg(F.min("line_no").alias("line_no"))
+    return in_doc.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("k1", "k2", "first")
 
 
 def dropped(occ: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """mark, lines: the line numbers that each document loses."""
-    hits = occ.select("key", "mark", "line_no").join(recurring(occ, min_docs), "key")
-    return hits.where((F.col("mark") != F.col("first.m")) | (F.col("line_no") != F.col("first.l"))).groupBy("mark").agg(F.collect_set("line_no").alias("__lines"))
+    """d, m, lines: the line numbers that each document loses."""
+    hits = occ.join(recurring(occ, min_docs), ["k1", "k2"])
+    away = (F.col("m") != F.col("first.m")) | (F.col("d") != F.col("first.d")) | (F.col("line_no") != F.col("first.line_no"))
+    return hits.where(away).groupBy("d", "m").agg(F.collect_set("line_no").alias("lines"))
 
 
-def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
-    """The input with the dropped lines taken out of the text, plus n_dropped."""
+def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_docs: int = MIN_DOCS, depth: int = DEPTH, n_as: str = "n_dropped") -> DataFrame:
+    """The input with the dropped lines taken out of the text, plus n_as."""
     # read twice, by the search for templates and by the look-up of each line
     occ = materialise(occurrences(docs, text_col, id_col, depth), "line-keys")
-    gone = dropped(occ, min_docs).withColumnRenamed("mark", "__mark")
-    joined = docs.join(gone, _mark(id_col, text_col) == gone["__mark"], "left")
-    text = F.when(
-        gone["__lines"].isNull() | docs[text_col].isNull(), docs[text_col]
-    ).otherwise(F.array_join(F.filter(F.split(docs[text_col], "\n"), lambda x, i: ~F.array_contains(gone["__lines"], i)), "\n"))
+    gone = dropped(occ, min_docs)
+    d, m = _document(id_col, text_col)
+    joined = docs.join(gone, (d == gone["d"]) & (m == gone["m"]), "left")
+    lines, old = gone["lines"], docs[text_col]
+    text = F.when(lines.isNull() | old.isNull(), old).otherwise(F.array_join(F.filter(F.split(old, "\n"), lambda x, i: ~F.array_contains(lines, i)), "\n"))
     out = [text.alias(text_col) if c == text_col else docs[c] for c in docs.columns]
-    return joined.select(*out, F.coalesce(F.size(gone["__lines"]), F.lit(0)).cast("long").alias("_n_dropped"))
+    return joined.select(*out, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(free_name(docs.columns, n_as)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("_n_dropped").alias("n_dropped"))
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take recurring lines out of the texts; documents that lost lines and keep only lines of fewer than MIN_TOKENS tokens, or none, go."""
     done = dedup(docs)
+    n = F.col(done.columns[-1])
     left = F.exists(F.split("text", "\n"), lambda x: F.size(words_of(x)) >= MIN_TOKENS)
-    text = F.col("text")
-    out = done.where((F.col("_n_dropped") == 0) | left)
+    out = done.where((n == 0) | left)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(n > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

@@ -144,8 +144,8 @@ def test_token_file(spark, sf_dir, tmp_path):
     path = bpe.public_path(FILES[0])
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     docs = docs.union(spark.createDataFrame([(None, "first"), (100000, None), (100001, "long text " * 20000)], "doc_id long, text string")).repartition(4)
-    token_file.write(docs, str(tmp_path / "f"), path, block_ids=500)
-    assert token_file.read_pieces(spark, str(tmp_path / "f"), with_ids=False).where("seq > 50").count()
+    token_file.write(docs, str(tmp_path / "f"), path, block_ids=16_000)
+    assert token_file.read_pieces(spark, str(tmp_path / "f"), with_ids=False).where("seq > 1").count()
     rows = sorted(token_file.summary(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert [r.doc_id for r in rows] == sorted(texts, key=lambda k: -1 if k is None else k)
