@@ -48,10 +48,13 @@ def nms(boxes: np.ndarray, threshold: float) -> np.ndarray:
     return keep
 
 
-def fuse(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, models: int, threshold: float = 0.55) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weighted box fusion; boxes come by falling score. Returns fused boxes, scores, labels."""
-    sums, weights, counts, total, kinds, fused = [], [], [], [], [], np.zeros((0, 4))
-    for b, s, c in zip(boxes, scores, labels):
+def fuse(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, model: np.ndarray, models: int, threshold: float = 0.55) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted box fusion; boxes come by falling score, `model` tells where each is from. Returns fused boxes, scores, labels.
+
+    A cluster's score is its mean score times the share of the models that are in it.
+    """
+    sums, weights, counts, kinds, seen, fused = [], [], [], [], [], np.zeros((0, 4))
+    for b, s, c, m in zip(boxes, scores, labels, model):
         at = -1
         if len(fused):
             o = np.where(np.array(kinds) == c, iou(b[None], fused)[0], -1.0)
@@ -60,18 +63,18 @@ def fuse(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, models: int,
         if at < 0:
             sums.append(b * s)
             weights.append(s)
-            total.append(s)
             counts.append(1)
             kinds.append(c)
+            seen.append({m})
             fused = np.vstack([fused, b])
         else:
             sums[at] = sums[at] + b * s
             weights[at] += s
-            total[at] += s
             counts[at] += 1
+            seen[at].add(m)
             fused[at] = sums[at] / weights[at]
     n = np.array(counts)
-    return fused, np.array(total) / np.maximum(n, 1) * np.minimum(models, n) / models, np.array(kinds)
+    return fused, np.array(weights) / np.maximum(n, 1) * np.minimum(models, np.array([len(x) for x in seen], int)) / models, np.array(kinds)
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,27 +150,27 @@ def stretch(img: np.ndarray) -> np.ndarray:
     if x[ok].min() >= 0:
         x = np.log1p(x)
     lo, hi = np.percentile(x[ok], [1, 99])
-    x = np.clip((x - lo) / max(hi - lo, 1e-12), 0, 1) * 255
+    x = np.clip((x - lo) / (hi - lo if hi > lo else 1.0), 0, 1) * 255
     return np.where(ok, x, 0).astype(np.uint8)
 
 
-def quality(img: np.ndarray) -> tuple[float, float, float, bool]:
-    """Share of valid pixels, share of saturated ones, dynamic range, blank flag."""
+def quality(img: np.ndarray) -> tuple[float, float, float, float, bool]:
+    """Share of valid pixels, share of saturated ones, mean, dynamic range, blank flag."""
     n = int((img != 0).sum())
     v = img[img != 0]
     dyn = float(v.max()) - float(v.min()) if n else 0.0
-    return round(n / img.size, 4), round(float((img >= 254).sum()) / max(n, 1), 4), round(dyn, 2), bool(n < 0.02 * img.size or dyn < 4)
+    mean = round(float(v.mean()), 2) if n else 0.0
+    return round(n / img.size, 4), round(float((img >= 254).sum()) / max(n, 1), 4), mean, dyn, bool(n < 0.02 * img.size or dyn < 4)
 
 
 def descriptor(img: np.ndarray, h: int = 32, w: int = 64) -> np.ndarray:
-    """Masked z-scores of the area means, rounded to half precision."""
+    """Z-scores of the area means (no data counts as 0) over the cells that are mostly valid, rounded to half precision."""
     ok = valid(img)
     x = np.where(ok, img, 0).astype(np.float64)
-    if ok.any() and x[ok].min() >= 0:
+    if ok.sum() >= 16 and x[ok].min() >= 0:
         x = np.log1p(x)
-    mask = area_resize(ok, h, w)
-    cells = area_resize(x, h, w) / np.maximum(mask, 1e-6)
-    good = mask > 0.5
+    cells = area_resize(x, h, w)
+    good = area_resize(ok, h, w) > 0.5
     if good.sum() < 8:
         return np.zeros(h * w, np.float32)
     sd = cells[good].std()
@@ -218,25 +221,58 @@ def polar(img: np.ndarray, h: int = H, w: int = W) -> np.ndarray:
     return np.divide(num, den, out=np.zeros((h, w)), where=den > 0.5)
 
 
-def quasi_polar(img: np.ndarray, h: int = H, w: int = W, ratio: float = 0.6) -> np.ndarray:
-    """Polar re-grid in which a row's angle widens at small radius: angle x ratio / (1e-4 + r / rmax), at most pi."""
+def _sampled(img: np.ndarray, px: np.ndarray, py: np.ndarray, reach: int, weight) -> np.ndarray:
+    """Values at (px, py) from the pixels up to `reach` away on each axis; outside the frame is 0."""
     rows, cols = img.shape
-    r = np.linspace(0, np.hypot(rows, cols), w)[None, :]
-    angle = np.linspace(0, np.pi / 2, h)[:, None] * ratio / (1e-4 + r / r.max())
-    angle = np.minimum(angle, np.pi)
-    px, py = r * np.cos(angle), r * np.sin(angle)
     x0, y0 = np.floor(px).astype(int), np.floor(py).astype(int)
-    out = np.zeros((h, w))
-    for dy, wy in ((0, 1 - (py - y0)), (1, py - y0)):
-        for dx, wx in ((0, 1 - (px - x0)), (1, px - x0)):
+    out = np.zeros(px.shape)
+    for dy in range(1 - reach, reach + 1):
+        for dx in range(1 - reach, reach + 1):
             yy, xx = y0 + dy, x0 + dx
             inside = (yy >= 0) & (yy < rows) & (xx >= 0) & (xx < cols)
-            out += np.where(inside, wy * wx * img[np.clip(yy, 0, rows - 1), np.clip(xx, 0, cols - 1)], 0)
+            part = weight(np.abs(px - xx)) * weight(np.abs(py - yy))
+            out += np.where(inside, part * img[np.clip(yy, 0, rows - 1), np.clip(xx, 0, cols - 1)], 0)
     return out
 
 
+def _cubic(d: np.ndarray, a: float = -0.75) -> np.ndarray:
+    """Weight of a pixel at distance d of 0 to 2 in cubic convolution."""
+    near = (a + 2) * d**3 - (a + 3) * d**2 + 1
+    far = a * (d**3 - 5 * d**2 + 8 * d - 4)
+    return np.where(d <= 1, near, far)
+
+
+def _grid(img: np.ndarray, h: int, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angle from 0 to 90 degrees by row, radius from 0 to the far pixel by column; the beam centre is pixel (0, 0)."""
+    return np.linspace(0, np.pi / 2, h)[:, None], np.linspace(0, np.hypot(img.shape[0] - 1, img.shape[1] - 1), w)[None, :]
+
+
+def polar_cubic(img: np.ndarray, h: int = H, w: int = W) -> np.ndarray:
+    """Polar re-grid for evaluation, by cubic convolution."""
+    angle, r = _grid(img, h, w)
+    return _sampled(img, r * np.cos(angle), r * np.sin(angle), 2, _cubic)
+
+
+def quasi_polar(img: np.ndarray, h: int = H, w: int = W, ratio: float = 0.6) -> np.ndarray:
+    """Polar re-grid in which a row's angle widens at small radius: angle x ratio / (1e-4 + r / rmax), at most pi; linear."""
+    angle, r = _grid(img, h, w)
+    angle = np.minimum(angle * ratio / (1e-4 + r / r.max()), np.pi)
+    return _sampled(img, r * np.cos(angle), r * np.sin(angle), 1, lambda d: 1 - d)
+
+
+def equalise_levels(levels: np.ndarray) -> np.ndarray:
+    """Histogram equalisation of 8-bit levels: the lowest level in use becomes 0, the highest 255."""
+    count = np.bincount(levels, minlength=256)
+    first = int((count > 0).argmax())
+    rest = len(levels) - count[first]
+    if not rest:
+        return levels
+    table = np.rint((count.cumsum() - count[first]) * (np.float32(255) / np.float32(rest)))
+    return table.clip(0, 255).astype(np.uint8)[levels]
+
+
 def contrast(img: np.ndarray, clip: bool = True, logarithm: bool = True, equalise: bool = True, low: float = 5.0, high: float = 99.5) -> np.ndarray:
-    """Clip, log, min-max and histogram equalisation over the valid pixels; invalid ones are 0."""
+    """Clip, log, min-max and histogram equalisation of 8-bit levels over the valid pixels; invalid ones are 0."""
     ok = ~np.isnan(img) & (img != 0)
     out = np.zeros(img.shape)
     if not ok.any():
@@ -246,11 +282,10 @@ def contrast(img: np.ndarray, clip: bool = True, logarithm: bool = True, equalis
         v = np.clip(v, *np.percentile(v, [low, high]))
     if logarithm:
         v = np.log10(np.abs(v) + 1e-7)
-    v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
+    if logarithm or equalise:
+        v = (v - v.min()) / max(v.max() - v.min(), 1e-12)
     if equalise:
-        count, edges = np.histogram(v, 256)
-        share = count.cumsum() / count.sum() * 255
-        v = np.interp(v, edges[:-1], share) / 255
+        v = equalise_levels((v * 255).astype(np.uint8)) / 255
     out[ok] = v
     return out
 
@@ -292,25 +327,39 @@ def angular_profile(img: np.ndarray, qx: np.ndarray, qz: np.ndarray, n: int = 51
 
 
 def augment(img: np.ndarray, seed: int, version: int = 1) -> np.ndarray:
-    """Physics-legal augmentation of an image in [0, 1]: no-data pixels stay 0; one seed, one result."""
+    """Physics-legal augmentation of an image in [0, 1]: no-data pixels stay 0; one seed, one result.
+
+    Both versions flip chi with probability one half, apply a gamma and add noise; version 2 has wider ranges, an exposure factor
+    and a ramp along q between two random ends.
+    """
     rng = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF)
-    ok, x = img > 0, img.astype(np.float64)
-    if rng.random() < 0.5 and version == 1:
-        x, ok = x[::-1], ok[::-1]
-    x = np.clip(x, 0, 1) ** rng.uniform(*((0.8, 1.25) if version == 1 else (0.7, 1.4)))
-    if version == 2:
+    first = version == 1
+    x = img.astype(np.float64)
+    if rng.random() < 0.5:
+        x = x[::-1]
+    ok = x > 0
+    x = np.clip(x, 1e-6, 1) ** rng.uniform(*((0.8, 1.25) if first else (0.7, 1.4)))
+    if not first:
         if rng.random() < 0.7:
-            x = x * rng.uniform(0.8, 1.2)
+            x = np.clip(x * rng.uniform(0.8, 1.2), 0, 1)
         if rng.random() < 0.5:
-            x = x * np.linspace(1.0, rng.uniform(0.85, 1.0), x.shape[1])[None, :]
-    if rng.random() < (0.5 if version == 1 else 0.7):
-        x = x + rng.normal(0, 0.02 if version == 1 else 0.03, x.shape)
-    return np.where(ok, np.clip(x, 0, 1), 0)
+            x = np.clip(x * np.linspace(rng.uniform(0.85, 1), rng.uniform(0.85, 1), x.shape[1])[None, :], 0, 1)
+    if rng.random() < (0.5 if first else 0.7):
+        x = np.clip(x + rng.normal(0, 0.02 if first else 0.03, x.shape), 0, 1)
+    return np.where(ok, x, 0)
 
 
 # ---- PNG -----------------------------------------------------------------------------------------------------------
 
 
+def write_png(img: np.ndarray) -> bytes:
+    """An 8-bit grey PNG."""
+    h, w = img.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.hstack([np.zeros((h, 1), np.uint8), img.astype(np.uint8)]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def read_png(data: bytes) -> np.ndarray:
     """First channel of an 8-bit PNG without interlace. Raises ValueError on anything else."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":

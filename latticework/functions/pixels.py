@@ -36,11 +36,11 @@ def fingerprints(frames: DataFrame, keep: tuple[str, ...] = ("key",), keep_schem
     """F2, F4-F6, F14 in one pass over the pixels: quality, hash, descriptor and profiles."""
 
     def fn(img: np.ndarray, row: dict) -> dict:
-        frac, sat, dyn, blank = K.quality(img)
+        frac, sat, mean, dyn, blank = K.quality(img)
         col, line = K.profiles(img)
-        return {"frac_valid": frac, "saturation": sat, "dyn": dyn, "blank": blank, "phash": K.perceptual_hash(img), "desc": K.descriptor(img), "col": col, "row": line}
+        return {"frac_valid": frac, "saturation": sat, "mean": mean, "dyn": dyn, "blank": blank, "phash": K.perceptual_hash(img), "desc": K.descriptor(img), "col": col, "row": line}
 
-    return per_frame(frames, fn, f"{keep_schema}, frac_valid float, saturation float, dyn float, blank boolean, phash long, desc array<float>, col array<float>, row array<float>", keep)
+    return per_frame(frames, fn, f"{keep_schema}, frac_valid float, saturation float, mean float, dyn float, blank boolean, phash long, desc array<float>, col array<float>, row array<float>", keep)
 
 
 def augmented(frames: DataFrame, seed: int, version: int = 1) -> DataFrame:
@@ -61,27 +61,32 @@ def thumbnails(frames: DataFrame, h: int = 64, w: int = 128) -> DataFrame:
 def mask_cells(frames: DataFrame, cells: int, ratio: float, seed: int, key: str = "key") -> DataFrame:
     """round(ratio * cells) masked cells of a block grid per frame, drawn without replacement by seeded hashes."""
     n = round(ratio * cells)
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(key), c).alias("h"), c.alias("c"))))
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda c: F.struct(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string"), c.cast("string"))).alias("h"), c.alias("c"))))
     return frames.select(key, F.array_sort(F.transform(F.slice(drawn, 1, n), lambda x: x["c"])).alias("masked"))
 
 
 # ---- column expressions on arrays ------------------------------------------------------------------------------------
 
 
+# The path patterns of raw and converted frames and the trailing number of a name, capitals aside where (?i) says so.
+RAW_PATH = r"(?i)beamtimes/([^/]+)/(?:raw|Converted|converted)/(.+?)/pe/.*?-(\d+)(?:\.raw)?\.tif"
+TENSOR_PATH = r"(?i)tensor/([^/]+)/(.+)/[^/]+?_f?(\d+)\.(?:pt|png|tif)"
+TRAILING_NUMBER = r"(\d+)\D*$"
+
+
 def parse_scan(key: str = "key", source: str = "source") -> tuple[Column, Column]:
-    """scan and frame number from the source path, or from the member name if there is none."""
+    """scan and frame number from the source path, or from the member name if there is none; a path of neither form
+    leaves the member name's tokens and trailing number."""
     text = F.coalesce(F.nullif(F.col(source), F.lit("")), F.col(key))
-    raw = r"(?i)beamtimes/([^/]+)/(?:raw|converted)/(.+?)/pe/[^/]*?-(\d+)(?:\.raw)?\.tif"
-    exist = r"(?i)tensor/([^/]+)/(.+)/[^/]*?_f?(\d+)\.pt"
-    base = F.regexp_replace(F.element_at(F.split(text, "/"), -1), r"\.raw", "")
-    tokens = F.split(base, "__")
-    stem = F.regexp_replace(base, r"\.[A-Za-z0-9]+$", "")
-    tail = F.regexp_extract(stem, r"(\d+)$", 1)
-    fallback = F.when(F.size(tokens) >= 3, F.concat_ws("/", F.element_at(tokens, -3), F.element_at(tokens, -2))).otherwise(base)
-    scan = F.when(text.rlike(raw), F.concat_ws("/", F.regexp_extract(text, raw, 1), F.regexp_extract(text, raw, 2)))
-    scan = scan.when(text.rlike(exist), F.concat_ws("/", F.regexp_extract(text, exist, 1), F.regexp_extract(text, exist, 2))).otherwise(fallback)
-    number = F.when(text.rlike(raw), F.regexp_extract(text, raw, 3)).when(text.rlike(exist), F.regexp_extract(text, exist, 3)).otherwise(tail)
-    return scan, F.coalesce(F.try_to_number(F.nullif(number, F.lit("")), F.lit("9999999999")).cast("int"), F.lit(-1))
+    base = F.element_at(F.split(F.col(key), "/"), -1)
+    tokens = F.split(F.regexp_replace(F.regexp_replace(base, r"\.raw", ""), r"\.[^.]*$", ""), "__")
+    by_name = F.when(F.size(tokens) >= 3, F.concat_ws("/", F.element_at(tokens, -3), F.element_at(tokens, -2))).otherwise(base)
+    scan, number = by_name, F.regexp_extract(base, TRAILING_NUMBER, 1)
+    for pattern in (TENSOR_PATH, RAW_PATH):
+        at = lambda k: F.regexp_extract(text, pattern, k)  # noqa: B023, E731
+        scan = F.when(text.rlike(pattern), F.concat_ws("/", at(1), at(2))).otherwise(scan)
+        number = F.when(text.rlike(pattern), at(3)).otherwise(number)
+    return scan, F.coalesce(number.try_cast("int"), F.lit(-1))
 
 
 def parse_axis(text: Column | str) -> Column:
@@ -90,11 +95,19 @@ def parse_axis(text: Column | str) -> Column:
     return F.when(F.size(found) >= 4, F.transform(F.slice(found, 1, 4), lambda x: x.cast("double")))
 
 
-def axis_or_default(axis: Column, n: int, top: float = 3.8) -> Column:
-    """n evenly spaced points over a 4-number range, or from 0 to the top if it is missing or all zero."""
+def axis_or_default(axis: Column, n: int, top: float = 3.8, start: int = 0) -> Column:
+    """n evenly spaced points over the part of a 4-number range that begins at `start` (0: qz, 2: qx), or from 0 to the top if the
+    range is missing or all zero."""
     known = axis.isNotNull() & F.exists(axis, lambda x: x != 0)
-    low = F.when(known, F.get(axis, F.lit(0))).otherwise(0.0)
-    high = F.when(known, F.get(axis, F.lit(1))).otherwise(top)
+    return _spaced(F.when(known, F.get(axis, F.lit(start))).otherwise(0.0), F.when(known, F.get(axis, F.lit(start + 1))).otherwise(top), n)
+
+
+def axis_of_length(axis: Column, n: int) -> Column:
+    """a given axis, spaced anew between its least and largest value if it has not n points."""
+    return F.when(F.size(axis) == n, axis).otherwise(_spaced(F.array_min(axis), F.array_max(axis), n))
+
+
+def _spaced(low: Column, high: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: low + (high - low) * i / max(n - 1, 1))
 
 
@@ -173,3 +186,8 @@ def shared_correlation(a: Column, b: Column, least: int = 8) -> Column:
 def q_reach(qx: Column, qz: Column) -> Column:
     """largest |q| of a frame from the ends of its axes."""
     return F.sqrt(F.pow(F.element_at(qx, -1), 2) + F.pow(F.element_at(qz, -1), 2))
+
+
+def q_reach_of_shape(h: Column, w: Column, per_angstrom: Column | float) -> Column:
+    """largest |q| of a frame from its size and pixels per inverse angstrom."""
+    return F.sqrt(F.pow(h / per_angstrom, 2) + F.pow(w / per_angstrom, 2))

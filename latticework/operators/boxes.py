@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import dice
+
 XYXY = ("x1", "y1", "x2", "y2")
 EPS = 1e-6
 
@@ -99,10 +101,15 @@ def ciou(p, q) -> Column:
 
 
 def decode_box(tx, ty, tw, th) -> list[Column]:
-    """Raw outputs to a centre box: sigmoid of the centre, exponential of the size."""
-    tx, ty, tw, th = _cols((tx, ty, tw, th))
-    sigmoid = lambda c: 1 / (1 + F.exp(-c))
-    return cxcywh_to_xyxy(sigmoid(tx), sigmoid(ty), F.exp(tw), F.exp(th))
+    """Raw outputs to a box: sigmoid of all four, then the exponential of the sizes."""
+    x, y, w, h = [1 / (1 + F.exp(-c)) for c in _cols((tx, ty, tw, th))]
+    return cxcywh_to_xyxy(x, y, F.exp(w), F.exp(h))
+
+
+def raw_distances(p, q) -> tuple[Column, Column]:
+    """DIoU and CIoU distances (1 - x) of two raw outputs."""
+    a, b = decode_box(*p), decode_box(*q)
+    return 1 - diou(a, b), 1 - ciou(a, b)
 
 
 def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -156,22 +163,21 @@ def box_label_vector(names=XYXY, label: str = "label") -> Column:
 # ---- B9-B11: sampling and augmentation ------------------------------------------------------------------------------------
 
 
-def dice(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) that depends on seed and keys only, so a retried task draws the same."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 30))).cast("double") / float(1 << 30)
-
-
-def sample_known(boxes: DataFrame, seed: int = 0, image: str = "image_id", det: str = "det", label: str = "label") -> DataFrame:
-    """Marks boxes as known, by one dice per image: none, a random part, all but one per label, or all."""
-    mode = F.floor(dice(seed, image) * 4).cast("int")
+def sample_known(boxes: DataFrame, probabilities: tuple[float, float, float, float] = (0.0, 0.0, 0.8, 0.2), seed: int = 0, image: str = "image_id", det: str = "det", label: str = "label") -> DataFrame:
+    """Marks boxes as known, by one dice per image: with the four probabilities none, a random part (never all), all but one per
+    label, or all."""
+    d, mode = dice(seed, image), F.lit(3)
+    for k in (2, 1, 0):
+        mode = F.when(d < sum(probabilities[: k + 1]), k).otherwise(mode)
     order = dice(seed + 1, image, det)
     in_image = Window.partitionBy(image)
     rank = F.row_number().over(in_image.orderBy(order, det))
     count = F.count(F.lit(1)).over(in_image)
     in_label = F.row_number().over(Window.partitionBy(image, label).orderBy(order, det))
-    part = F.floor(dice(seed + 2, image) * (count + 1))
-    known = F.when(mode == 0, False).when(mode == 1, rank <= part).when(mode == 2, in_label > 1).otherwise(True)
-    return boxes.withColumns({"mode": mode, "known": known})
+    part = F.floor(dice(seed + 2, image) * count)
+    marked = boxes.withColumn("mode", mode)
+    mode = F.col("mode")
+    return marked.withColumn("known", F.when(mode == 0, False).when(mode == 1, rank <= part).when(mode == 2, in_label > 1).otherwise(True))
 
 
 def split_classes(boxes: DataFrame, share: float, seed: int = 0, label: str = "label") -> DataFrame:
@@ -179,14 +185,23 @@ def split_classes(boxes: DataFrame, share: float, seed: int = 0, label: str = "l
     return boxes.withColumn("known", dice(seed, label) < share)
 
 
-def jitter(boxes: DataFrame, ratio: float, drop: float = 0.0, seed: int = 0, keys=("image_id", "det")) -> DataFrame:
-    """Drop boxes at random, shift each side by up to ratio of the size; confidence is the IoU with the original."""
-    a, b, c, d = _cols(XYXY)
-    w, h = c - a, d - b
-    shift = lambda k, size: (dice(seed + k, *keys) * 2 - 1) * ratio * size
-    moved = [a + shift(1, w), b + shift(2, h), c + shift(3, w), d + shift(4, h)]
-    kept = boxes.where(dice(seed, *keys) >= drop).withColumns(dict(zip(("j1", "j2", "j3", "j4"), moved)))
-    return kept.withColumn("confidence", iou(XYXY, ("j1", "j2", "j3", "j4")))
+def jitter(boxes: DataFrame, ratio: float = 0.02, drop: float = 0.2, seed: int = 0, keys=("image_id", "det"), size: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Drop boxes at random, then move centre and size by up to ratio of the frame's size (width, height) each: j1..j4 as corners.
+    Confidence is the IoU with the original, itself up to ratio more or less."""
+    shift = lambda k: (dice(seed + k, *keys) - 0.5) * 2 * ratio
+    moved = [c + shift(k + 1) * size[k % 2] for k, c in enumerate(xyxy_to_cxcywh())]
+    kept = boxes.where(dice(seed, *keys) > drop).withColumns(dict(zip(("_cx", "_cy", "_w", "_h"), moved)))
+    kept = kept.withColumns(dict(zip(("j1", "j2", "j3", "j4"), cxcywh_to_xyxy("_cx", "_cy", "_w", "_h")))).drop("_cx", "_cy", "_w", "_h")
+    return kept.withColumn("confidence", iou(XYXY, ("j1", "j2", "j3", "j4"), 1e-6) * (1 + shift(5)))
+
+
+def cutout(boxes: DataFrame, seed: int = 0, keys=("image_id", "det")) -> DataFrame:
+    """For each unknown box one of half its size near its centre (j1..j4), with a random confidence of one half or more."""
+    cx, cy, w, h = xyxy_to_cxcywh()
+    moved = [cx + w * (dice(seed + 1, *keys) - 0.5) / 2, cy + h * (dice(seed + 2, *keys) - 0.5) / 2, w / 2, h / 2]
+    out = boxes.withColumns(dict(zip(("_cx", "_cy", "_w", "_h"), moved)))
+    out = out.withColumns(dict(zip(("j1", "j2", "j3", "j4"), cxcywh_to_xyxy("_cx", "_cy", "_w", "_h")))).drop("_cx", "_cy", "_w", "_h")
+    return out.withColumn("confidence", 0.5 + dice(seed, *keys) / 2)
 
 
 def crop(boxes: DataFrame, left: float, top: float, width: float, height: float) -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import dice
 from ..functions.kernels import decimate
+from ..functions.store import stored
 from ..functions.walk import walk
 
 
@@ -127,6 +129,7 @@ def scan_cap_counts(frames: DataFrame, caps: list[int], static: int = 1) -> Data
 
 def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, steps: int = 18) -> tuple[int, int]:
     """The cap whose kept count is nearest to the target, by bisection; each round tries the caps of three rounds at once."""
+    frames = stored(frames.select("scan", "frame_idx", "ord", "phash"), "cap-frames")  # read in each round
     best, done, known = (None, None), 0, {}
     while done < steps and low <= high:
         tree, level = [], [(low, high)]
@@ -207,6 +210,11 @@ def scan_sizes(frames: DataFrame) -> DataFrame:
     return n.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n_scans"), F.sum("n").alias("n_frames"), F.max("n").alias("largest"), F.percentile("n", 0.5).alias("median"))
 
 
+def largest_scans(frames: DataFrame, top: int = 10) -> DataFrame:
+    """The scans of most frames; of equal ones those that come first by name."""
+    return frames.groupBy("scan").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "scan").limit(top)
+
+
 def reductions(manifest: DataFrame, top: int = 12) -> DataFrame:
     """The largest scans with their frames and kept frames."""
     n = manifest.groupBy("scan").agg(F.count(F.lit(1)).alias("n_raw"), F.count_if("keep").alias("n_kept"))
@@ -279,6 +287,6 @@ def balanced_sample(frames: DataFrame, n: int, seed: int = 0) -> DataFrame:
     numbered = sizes.withColumn("scan_no", F.row_number().over(Window.orderBy("scan")) - 1)
     frame_no = frames.withColumn("frame_no", F.row_number().over(Window.partitionBy("scan").orderBy("frame_idx", "ord")) - 1)
     scans = sizes.count()
-    draws = spark.range(n).select(F.col("id").alias("draw"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(scans, 1))).cast("int").alias("scan_no"))
-    picked = draws.join(numbered, "scan_no").withColumn("frame_no", F.pmod(F.xxhash64(F.lit(seed + 1), "draw"), F.col("n")).cast("int"))
+    draws = spark.range(n).select(F.col("id").alias("draw"), F.floor(dice(seed, "id") * max(scans, 1)).cast("int").alias("scan_no"))
+    picked = draws.join(numbered, "scan_no").withColumn("frame_no", F.floor(dice(seed + 1, "draw") * F.col("n")).cast("int"))
     return picked.join(frame_no, ["scan", "frame_no"]).select("draw", "key", "scan", "frame_idx", (1.0 / F.col("n")).alias("weight"))

@@ -77,15 +77,15 @@ def pool(models: list[DataFrame], score: float = 0.1) -> DataFrame:
     return above(suppress(union), score)
 
 
-def fuse_boxes(dets: DataFrame, models: int, threshold: float = 0.55) -> DataFrame:
-    """Weighted box fusion per image: image_id, n, x1..y2, score, label."""
+def fuse_boxes(dets: DataFrame, models: int, threshold: float = 0.55, model: str = "model") -> DataFrame:
+    """Weighted box fusion per image of the detections of several models: image_id, n, x1..y2, score, label."""
 
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        boxes, scores, labels = fuse(_array(g), g["score"], g["label"], models, threshold)
+        boxes, scores, labels = fuse(_array(g), g["score"], g["label"], g[model], models, threshold)
         return {"image_id": np.repeat(g["image_id"][:1], len(boxes)), "n": np.arange(len(boxes)), **{c: boxes[:, k] for k, c in enumerate(XYXY)}, "score": scores, "label": labels}
 
     schema = "image_id long, n long, x1 double, y1 double, x2 double, y2 double, score double, label int"
-    return groups(dets.select("image_id", "det", *XYXY, "score", "label"), ["image_id"], [F.desc("score"), F.asc("det")], run, schema)
+    return groups(dets.select("image_id", model, "det", *XYXY, "score", "label"), ["image_id"], [F.desc("score"), F.asc(model), F.asc("det")], run, schema)
 
 
 def sweep(dets: DataFrame, ious: list[float], ring_iou: float = RING_IOU) -> DataFrame:

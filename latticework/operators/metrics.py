@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.kernels import MATCH_LIMIT, NO_MATCH, assign
+from ..functions.ordered import before, percentiles, sliced
+from ..functions.store import stored
 from ..functions.walk import groups
 from .boxes import P_XYXY, XYXY, iou, pairs
+from .detections import above, sweep
 
 LEVELS = ((1, "low"), (2, "med"), (3, "high"))
 
@@ -92,54 +95,51 @@ def mean_q_error(matched: DataFrame, score: float) -> DataFrame:
 
 # ---- E6-E10: curves --------------------------------------------------------------------------------------------------------
 
-CURVE_BUCKETS = 1 << 12
-
-
-def _bucket() -> Column:
-    """Slices of falling score, 0 first."""
-    return F.greatest(F.lit(0), F.least(F.lit(CURVE_BUCKETS - 1), F.floor((1 - F.col("score")) * CURVE_BUCKETS))).cast("int")
-
-
 def curve(matches: DataFrame, keys: list[str]) -> DataFrame:
-    """A row per detection by falling score: recall, precision, accuracy, fp share, recall per level, interpolated precision.
+    """A row per detection by falling score: recall, precision, accuracy, fp share, recall per level, interpolated precision; and
+    what recall and interpolated precision were one detection earlier (`..._before`).
 
-    One global order per key would put a whole data set into one task. Detections are sliced by score instead: counts
-    per slice are summed up over the few slices, and a window runs inside each slice only.
+    One global order per key would put a whole data set into one task. Detections are dealt to ranges of (score, image, det)
+    instead (`ordered.sliced`), whatever their ties: counts per slice are summed up over the few slices, a window runs inside each slice only.
     """
-    totals = matches.where("kind <> 'fp'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"), *[F.count_if(F.col("level") == k).alias(f"gt_{n}") for k, n in LEVELS])
-    dets = matches.where("kind <> 'fn'").withColumn("_b", _bucket())
+    narrow = stored(matches.select(*keys, "image_id", "det", "kind", "score", "level"), "matches")
+    totals = narrow.where("kind <> 'fp'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gt"), *[F.count_if(F.col("level") == k).alias(f"gt_{n}") for k, n in LEVELS])
+    order = [F.desc("score"), F.asc("image_id"), F.asc("det")]
+    dets = sliced(narrow.where("kind <> 'fn'"), keys, order, "curve")
     flags = {"tp": F.col("kind") == "tp", "fp": F.col("kind") == "fp"} | {f"tp_{n}": (F.col("kind") == "tp") & (F.col("level") == k) for k, n in LEVELS}
-    per = dets.groupBy(*keys, "_b").agg(*[F.count_if(c).alias(f"_{n}") for n, c in flags.items()])
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per.select(*keys, "_b", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in flags])
-    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "image_id", "det").rowsBetween(Window.unboundedPreceding, 0)
-    run = dets.join(offsets, [*keys, "_b"]).withColumns({n: F.sum(c.cast("long")).over(inside) + F.col(f"_{n}") for n, c in flags.items()})
+    offsets = before(dets, keys, {f"_{n}": F.count_if(c) for n, c in flags.items()})
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = dets.join(offsets, [*keys, "_slice"]).withColumns({n: F.sum(c.cast("long")).over(inside) + F.col(f"_{n}") for n, c in flags.items()})
     r = run.join(totals, keys)
-    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    share = lambda a, b: a / F.nullif(F.col(b), F.lit(0))
+    col = F.col
+    ratios = {"recall": ("tp", "n_gt")} | {f"recall_{n}": (f"tp_{n}", f"gt_{n}") for _, n in LEVELS}
     r = r.withColumns(
-        {"recall": share("tp", "n_gt"), "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "accuracy": F.col("tp") / (F.col("n_gt") + F.col("fp")), "fp_share": share("fp", "n_gt")}
-        | {f"recall_{n}": share(f"tp_{n}", f"gt_{n}") for _, n in LEVELS}
+        {"rank": col("tp") + col("fp"), "precision": col("tp") / (col("tp") + col("fp")), "accuracy": col("tp") / (col("n_gt") + col("fp")), "fp_share": share(col("fp"), "n_gt")}
+        | {n: share(col(a), b) for n, (a, b) in ratios.items()}
+        | {f"{n}_before": share(col(a) - flags[a].cast("long"), b) for n, (a, b) in ratios.items()}
     )
+    points = ["rank", "image_id", "det", "score", "recall", "precision", "accuracy", "fp_share", *[f"recall_{n}" for _, n in LEVELS], *[f"{n}_before" for n in ratios]]
+    earlier = F.when(col("rank") > 1, (col("tp") - flags["tp"].cast("long")) / (col("rank") - 1))
+    r = stored(r.select(*keys, "_slice", *points, earlier.alias("_earlier")), "curve-points")
     # Highest precision from here on, first over later slices, then inside the slice
-    after = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    best = r.groupBy(*keys, "_b").agg(F.max("precision").alias("_m")).select(*keys, "_b", F.max("_m").over(after).alias("_later"))
-    tail = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "image_id", "det").rowsBetween(0, Window.unboundedFollowing)
-    r = r.join(best, [*keys, "_b"]).withColumn("interpolated", F.greatest(F.max("precision").over(tail), F.coalesce("_later", F.lit(0.0))))
-    return r.withColumn("rank", F.col("tp") + F.col("fp")).select(*keys, "rank", "image_id", "det", "score", "recall", "precision", "interpolated", "accuracy", "fp_share", *[f"recall_{n}" for _, n in LEVELS])
+    after = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    best = r.groupBy(*keys, "_slice").agg(F.max("precision").alias("_m")).select(*keys, "_slice", F.max("_m").over(after).alias("_later"))
+    tail = Window.partitionBy(*keys, "_slice").orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.join(best, [*keys, "_slice"]).withColumn("interpolated", F.greatest(F.max("precision").over(tail), F.coalesce("_later", F.lit(0.0))))
+    # the value one detection earlier is the greater of its precision and of what follows
+    return r.withColumn("interpolated_before", F.greatest("_earlier", "interpolated")).select(*keys, *points, "interpolated", "interpolated_before")
 
 
 def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
     """Trapezoids of interpolated precision over recall, from recall 0 at the first precision; levels share the precisions.
 
-    Only the points at which recall changes or a slice begins matter; each point's predecessor is the rank before, an equi-join.
+    Each point of the curve holds what it needs of the point before, so this is one aggregation.
     """
     names = ["recall", *[f"recall_{n}" for _, n in LEVELS]]
-    p = points.select(*keys, "rank", "interpolated", *names)
-    prior = p.select(*keys, (F.col("rank") + 1).alias("rank"), F.col("interpolated").alias("_p"), *[F.col(n).alias(f"_{n}") for n in names])
-    j = p.join(prior, [*keys, "rank"], "left")
-    area = lambda n: F.sum((F.col(n) - F.coalesce(F.col(f"_{n}"), F.lit(0.0))) * (F.col("interpolated") + F.coalesce("_p", "interpolated")) / 2)
+    area = lambda n: F.sum((F.col(n) - F.col(f"{n}_before")) * (F.col("interpolated") + F.col("interpolated_before")) / 2)
     labels = ["ap_total", *[f"ap_{n}" for _, n in LEVELS]]
-    return j.groupBy(*keys).agg(*[area(n).alias(a) for n, a in zip(names, labels)])
+    return points.groupBy(*keys).agg(*[area(n).alias(a) for n, a in zip(names, labels)])
 
 
 def operating_points(points: DataFrame, keys: list[str], fp_share: float = 0.1, recall_high: float = 0.95) -> DataFrame:
@@ -155,6 +155,22 @@ def operating_points(points: DataFrame, keys: list[str], fp_share: float = 0.1,
     return agg.select(*keys, F.inline(kinds)).select(*keys, "point", "r.*")
 
 
+def suppression_sweep(truths: DataFrame, dets: DataFrame, ious: list[float], score: float = 0.1) -> DataFrame:
+    """Per segment threshold the average precision, and recall and false-positive share at the best accuracy.
+
+    One pass: every image counts once per threshold, under a number of its own, and a threshold is a data set of the curve.
+    """
+    n = len(ious)
+    place = lambda c: F.col("image_id") * n + c
+    which = F.array_position(F.array(*[F.lit(float(t)) for t in ious]), F.col("segment_iou")).cast("long") - 1
+    found = above(sweep(dets, ious), score).withColumn("image_id", place(which))
+    wanted = truths.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("image_id", place(F.col("_t"))).drop("_t")
+    rows = match(wanted, found.drop("segment_iou")).withColumn("segment_iou", F.element_at(F.array(*[F.lit(float(t)) for t in ious]), (F.pmod("image_id", F.lit(n)) + 1).cast("int")))
+    points = stored(curve(rows, ["segment_iou"]), "sweep-points")
+    best = operating_points(points, ["segment_iou"]).where("point = 'accuracy'").select("segment_iou", "recall", "fp_share")
+    return average_precision(points, ["segment_iou"]).select("segment_iou", "ap_total").join(best, "segment_iou")
+
+
 def verdict(aps: DataFrame, ensemble: str, margin: float = 1e-4, model: str = "model", ap: str = "ap_total", keys=("dataset",)) -> DataFrame:
     """Best single model, the ensemble's lead, WIN, tie or no gain."""
     a = aps.groupBy(*keys).agg(F.max(F.when(F.col(model) != ensemble, F.col(ap))).alias("best_single"), F.max(F.when(F.col(model) == ensemble, F.col(ap))).alias("ensemble"))
@@ -178,11 +194,10 @@ def recall_strata(matches: DataFrame) -> DataFrame:
 def false_positive_profile(matches: DataFrame) -> DataFrame:
     """E12."""
     n = matches.select("image_id").distinct().agg(F.count(F.lit(1)).alias("n_images"))
-    fp = matches.where("kind = 'fp'").agg(
-        F.count(F.lit(1)).alias("n_fp"), F.avg("score").alias("mean"), F.percentile("score", 0.5).alias("p50"), F.percentile("score", 0.9).alias("p90"),
-        F.avg((F.col("score") > 0.5).cast("double")).alias("share_sure"), F.avg((F.col("label") == 1).cast("double")).alias("share_ring"),
-    )
-    return fp.crossJoin(n).withColumn("per_image", F.col("n_fp") / F.col("n_images"))  # one row each
+    false = stored(matches.where("kind = 'fp'").select("score", "label"), "false-positives")
+    fp = false.agg(F.count(F.lit(1)).alias("n_fp"), F.avg("score").alias("mean"), F.avg((F.col("score") > 0.5).cast("double")).alias("share_sure"), F.avg((F.col("label") == 1).cast("double")).alias("share_ring"))
+    parts = percentiles(false, [], "score", {"p50": 0.5, "p90": 0.9})
+    return fp.crossJoin(F.broadcast(parts)).crossJoin(F.broadcast(n)).withColumn("per_image", F.col("n_fp") / F.col("n_images"))  # one row each
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, keys: list[str] | None = None, clip: bool = False) -> DataFrame:

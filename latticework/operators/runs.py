@@ -57,6 +57,14 @@ def running_best(log: DataFrame, value: str = "ap", largest: bool = True, keys=(
     return log.withColumns({"best": best.over(w.rowsBetween(Window.unboundedPreceding, 0)), "improved": before.isNull() | better})
 
 
+def best_by_kind(log: DataFrame, value: str = "ap", ema: str = "is_ema", largest: bool = True, keys=("run", "dataset")) -> DataFrame:
+    """Best value and its first epoch of all rows, of those of averaged weights and of the regular ones: kind all, ema, regular."""
+    kinds = F.explode(F.array(F.lit("all"), F.when(F.col(ema), "ema").otherwise("regular"))).alias("kind")
+    sign = -1 if largest else 1
+    first = F.min(F.struct((F.col(value) * sign).alias("v"), F.col("epoch"))).alias("_b")
+    return log.select(*keys, "epoch", value, kinds).groupBy(*keys, "kind").agg(first).select(*keys, "kind", (F.col("_b.v") * sign).alias("best_res"), F.col("_b.epoch").alias("best_ep"))
+
+
 def smoothed(log: DataFrame, value: str = "ap", window: int = 20, keys=("run", "dataset")) -> DataFrame:
     """Over the last values the lower median, mean, largest; the last one and the mean of all so far."""
     w = Window.partitionBy(*keys).orderBy("epoch")

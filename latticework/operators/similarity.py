@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.ordered import percentiles
 from ..functions.pixels import shared_correlation
+from ..functions.store import stored
 from .curation import hamming
 
 MAX_EVAL = 4096
@@ -43,7 +45,7 @@ def _masked_units(v: np.ndarray, least: int = 8) -> np.ndarray:
 
 
 def top_matches(evals: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "v", grid: tuple[int, int] | None = None, masked: bool = False) -> DataFrame:
-    """The k best corpus rows of each evaluation row by cosine: eval_id, key, score, rank.
+    """The k best corpus rows, other than itself, of each evaluation row by cosine: eval_id, key, score, rank.
 
     grid: the best of the four flips of the evaluation grid counts, and a score is 0 at least. masked: vectors are z-scored over
     their support first.
@@ -72,10 +74,12 @@ def top_matches(evals: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id"
                     score = np.maximum.reduce([x @ m.T for x in own])
                     score = np.maximum(score, 0) if grid else score
                     names = c[key].to_numpy()
+                    score = np.where(own_ids[:, None] == names[None, :], -np.inf, score)
                     # ties by key, so that results do not depend on batches
                     order = np.lexsort((np.broadcast_to(names, score.shape), -np.round(score, 9)), axis=1)[:, :k]
                     n = order.shape[1]
-                    yield pd.DataFrame({"eval_id": np.repeat(own_ids, n), key: names[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                    best = pd.DataFrame({"eval_id": np.repeat(own_ids, n), key: names[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+                    yield best[best.score > -np.inf]
 
         found = corpus.select(key, vector).mapInPandas(run, f"eval_id long, {key} long, score double")
         out = found if out is None else out.unionByName(found)
@@ -93,7 +97,7 @@ def nearest_hash(evals: DataFrame, corpus: DataFrame, key: str = "vec_id", order
     out = None
     for part in _slices(evals, key):
         e = part.select(F.col(key).alias("eval_id"), F.col("phash").alias("_e"))
-        j = corpus.select(key, order, "phash").join(F.broadcast(e), F.lit(True))
+        j = corpus.select(key, order, "phash").join(F.broadcast(e), F.col(key) != F.col("eval_id"))
         near = j.groupBy("eval_id").agg(F.min_by(F.struct(F.col(key), hamming("phash", "_e").alias("d")), F.struct(hamming("phash", "_e"), F.col(order))).alias("_r"))
         near = near.select("eval_id", F.col(f"_r.{key}").alias(key), F.col("_r.d").alias("distance"))
         out = near if out is None else out.unionByName(near)
@@ -108,7 +112,7 @@ def within_hamming(a: DataFrame, b: DataFrame, radius: int, key: str = "vec_id",
     parts = F.explode(F.array(*[F.struct(F.lit(k).alias("b"), band(k).alias("v")) for k in range(bands)]))
     left = a.select(F.col(key).alias("a"), F.col("phash").alias("_pa"), parts.alias("_x")).select("a", "_pa", "_x.*")
     right = b.select(F.col(key).alias("b_key"), F.col("phash").alias("_pb"), parts.alias("_x")).select("b_key", "_pb", "_x.*")
-    j = left.join(right, ["b", "v"]).withColumn("distance", hamming("_pa", "_pb")).where(F.col("distance") <= radius)
+    j = left.join(right, ["b", "v"]).withColumn("distance", hamming("_pa", "_pb")).where((F.col("distance") <= radius) & (F.col("a") != F.col("b_key")))
     return j.select("a", F.col("b_key").alias("b"), "distance").distinct()
 
 
@@ -188,12 +192,26 @@ def contiguous_scans(frames: DataFrame, least: int, scan: str = "scan") -> DataF
     return g.where((F.col("n") >= least) & (F.col("n") == F.col("_span"))).select(scan, "n")
 
 
+def adjacent_calibration(frames: DataFrame, least: int = 30, pairs: int = 30, controls: int = 30, seed: int = 0, scan: str = "scan", vector: str = "v") -> DataFrame:
+    """Per contiguous scan the median and least correlation of its first `pairs` neighbours, and the median correlation of its first
+    frame with `controls` frames drawn from all (those of the lowest digests of seed and frame)."""
+    whole = frames.join(contiguous_scans(frames, least, scan).select(scan), scan, "left_semi")
+    place = F.row_number().over(Window.partitionBy(scan).orderBy("frame_idx"))
+    first = whole.withColumn("_i", place).where(F.col("_i") <= pairs + 1)
+    near = neighbours(first, 1, scan, vector).groupBy(scan).agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile("corr", 0.5).alias("median"), F.min("corr").alias("least"))
+    digest = F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(scan).cast("string"), F.col("frame_idx").cast("string")))
+    drawn = frames.orderBy(digest, scan, "frame_idx").limit(controls).select(F.col(vector).alias("_d"))  # a fixed number of rows
+    other = first.where("_i = 1").join(F.broadcast(drawn)).select(scan, shared_correlation(F.col(vector), F.col("_d")).alias("corr"))
+    return near.join(other.groupBy(scan).agg(F.percentile("corr", 0.5).alias("random_median")), scan)
+
+
 def representations(a: DataFrame, b: DataFrame, key: str = "vec_id", vector: str = "v", robust: float = 0.7) -> DataFrame:
     """The same frames through two pipelines: least, median and largest correlation, and whether they agree."""
     j = a.select(key, F.col(vector).alias("_a")).join(b.select(key, F.col(vector).alias("_b")), key)
     c = j.select(shared_correlation(F.col("_a"), F.col("_b")).alias("c"))
-    s = c.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.percentile("c", 0.5).alias("median"), F.max("c").alias("most"))
-    return s.withColumn("robust", F.col("median") > robust)
+    c = stored(c, "representations")
+    s = c.agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least"), F.max("c").alias("most"))
+    return s.crossJoin(F.broadcast(percentiles(c, [], "c", {"median": 0.5}))).withColumn("robust", F.col("median") > robust)  # one row each
 
 
 def raw_pairs(frames: DataFrame, limit: int = 20) -> DataFrame:
@@ -214,13 +232,12 @@ def provenance_tokens(metadata: DataFrame, text: str, least: int = 6) -> DataFra
     return metadata.select(F.explode(found).alias("token")).where(F.length("token") >= least).distinct()
 
 
-def token_hits(tokens: DataFrame, scans: DataFrame, name: str = "name", limit: int = 10_000) -> DataFrame:
-    """Tokens that are part of a scan's name. Names are distinct; tokens are broadcast up to `limit` rows, else dealt in slices."""
+def token_hits(tokens: DataFrame, scans: DataFrame, name: str = "name", least: int = 6) -> DataFrame:
+    """Tokens that are part of a scan's name. A name that holds a token holds its last `least` characters, so names meet tokens by
+    an equi-join on their parts of that length; then the whole token is looked for."""
     names = scans.select(F.lower(name).alias("name")).distinct()
-    n = max(1, -(-tokens.count() // limit))
-    out = None
-    for k in range(n):
-        part = F.broadcast(tokens.where(F.pmod(F.xxhash64("token"), F.lit(n)) == k))
-        j = names.join(part, F.col("name").contains(F.col("token"))).select("token", "name")
-        out = j if out is None else out.unionByName(j)
-    return out
+    places = F.sequence(F.lit(1), F.length("name") - (least - 1))
+    part_of_name = F.when(F.length("name") >= least, F.array_distinct(F.transform(places, lambda i: F.substring(F.col("name"), i, F.lit(least)))))
+    parts = names.select("name", F.explode(part_of_name).alias("part"))
+    ends = tokens.where(F.length("token") >= least).select("token", F.substring("token", -least, least).alias("part"))
+    return parts.join(ends, "part").where(F.col("name").contains(F.col("token"))).select("token", "name")

@@ -52,13 +52,23 @@ def multi_hot(s, d):
 
 
 def known(s, d):
-    k = B.sample_known(V.boxes(s, d), 3)
-    return k.groupBy("mode").agg(F.count_distinct("image_id").alias("n_images"), F.count(F.lit(1)).alias("n_boxes"), F.count_if("known").alias("n_known"))
+    """All four ways to part an image's boxes."""
+    return B.sample_known(V.boxes(s, d), (0.2, 0.3, 0.3, 0.2), 3).select("image_id", "det", "mode", "known")
 
 
 def jittered(s, d):
-    j = B.jitter(V.boxes(s, d), 0.2, 0.1, 5)
-    return j.groupBy("label").agg(F.count(F.lit(1)).alias("n"), R(F.min("confidence"), 4).alias("least"), R(F.avg("confidence"), 4).alias("mean"))
+    """Known boxes moved, unknown ones cut out."""
+    b = V.boxes(s, d)
+    moved = B.jitter(b.where("cents % 2 = 0"), 0.02, 0.2, 5, size=(300.0, 400.0)).withColumn("kind", F.lit("known"))
+    cut = B.cutout(b.where("cents % 2 = 1"), 11).withColumn("kind", F.lit("cutout"))
+    return moved.unionByName(cut).select("kind", "image_id", "det", *[UP(F.col(c)).alias(c) for c in ("j1", "j2", "j3", "j4", "confidence")])
+
+
+def raw_losses(s, d):
+    """Distances of raw outputs."""
+    b = V.boxes(s, d).withColumns({"p0": F.col("x1") / 100 - 1, "p1": F.col("y1") / 100 - 1, "p2": F.col("score") - 0.5, "p3": F.col("qty") / 50 - 0.5, "q0": F.col("x2") / 100 - 1, "q1": F.col("y2") / 150 - 1, "q2": F.col("score") * 2 - 1, "q3": F.col("cents") % 7 / 7.0})
+    dist = B.raw_distances(("p0", "p1", "p2", "p3"), ("q0", "q1", "q2", "q3"))
+    return b.select("image_id", "det", *[UP(x).alias(n) for n, x in zip(("diou", "ciou"), dist)])
 
 
 def transforms(s, d):
@@ -97,6 +107,7 @@ _GEO = _PAIR + """, o AS (SELECT *, greatest(least(a3,b3)-greatest(a1,b1),0.0::D
   greatest(a3,b3)-least(a1,b1) AS hw, greatest(a4,b4)-least(a2,b2) AS hh FROM p),
 u AS (SELECT *, sa+sb-i AS u, hw*hh AS e, pow((a1+a3)/2-(b1+b3)/2,2)+pow((a2+a4)/2-(b2+b4)/2,2) AS near, hw*hw+hh*hh AS far,
   4/(pi()*pi())*pow(atan((b3-b1)/(b4-b2))-atan((a3-a1)/(a4-a2)),2) AS v FROM o)"""
+_dice = lambda seed, *keys: f"(('0x'||substr(md5('{seed}|'||{"||'|'||".join(keys)}),1,7))::BIGINT / 268435456.0::DOUBLE)"
 _clamp = lambda c, top: f"least(greatest({c}, 0.0::DOUBLE), {top}::DOUBLE)"
 
 
@@ -127,8 +138,21 @@ PLANS = {
       SELECT category, CASE WHEN category BETWEEN 1 AND 90 AND category NOT IN (SELECT m FROM m) THEN category - 1 - (SELECT count(*) FROM m WHERE m < category) END AS compact, n FROM c"""),
     "b8_multi_hot": (multi_hot, f"""WITH {V.BOXES}, g AS (SELECT image_id, list(DISTINCT qty % 8) AS s FROM boxes GROUP BY 1)
       SELECT image_id, array_to_string(list_transform(range(8), lambda k: CASE WHEN list_contains(s, k) THEN '1' ELSE '0' END), '') AS labels FROM g"""),
-    "b9_known_boxes": (known, None),
-    "b10_jitter": (jittered, None),
+    "b4_raw_distances": (raw_losses, f"""WITH {V.BOXES}, s AS (SELECT image_id, det, [x1/100-1, y1/100-1, score-0.5::DOUBLE, qty/50-0.5::DOUBLE, x2/100-1, y2/150-1, score*2-1, (cents % 7)/7.0::DOUBLE] AS r FROM boxes),
+      g AS (SELECT image_id, det, list_transform(r, lambda x: 1/(1+exp(-x))) AS r FROM s), e AS (SELECT image_id, det, r[1] AS cx, r[2] AS cy, exp(r[3]) AS w, exp(r[4]) AS h, r[5] AS dx, r[6] AS dy, exp(r[7]) AS v, exp(r[8]) AS k FROM g),
+      o AS (SELECT *, greatest(least(cx+w/2,dx+v/2)-greatest(cx-w/2,dx-v/2),0)*greatest(least(cy+h/2,dy+k/2)-greatest(cy-h/2,dy-k/2),0) AS i, pow(greatest(cx+w/2,dx+v/2)-least(cx-w/2,dx-v/2),2)+pow(greatest(cy+h/2,dy+k/2)-least(cy-h/2,dy-k/2),2) AS far,
+        pow(cx-dx,2)+pow(cy-dy,2) AS near, 4/(pi()*pi())*pow(atan(v/k)-atan(w/h),2) AS a FROM e), u AS (SELECT *, i/(w*h+v*k-i) AS iou FROM o)
+      SELECT image_id, det, round(1-greatest(-1.0::DOUBLE,least(1.0::DOUBLE,iou-near/far))+1e-9::DOUBLE,6) AS diou, round(1-greatest(-1.0::DOUBLE,least(1.0::DOUBLE,iou-near/far-CASE WHEN iou>0.5 AND a>0 THEN a*a/(1-iou+a) ELSE 0 END))+1e-9::DOUBLE,6) AS ciou FROM u"""),
+    "b9_known_boxes": (known, f"""WITH {V.BOXES}, k AS (SELECT image_id, det, label, {_dice(3, 'image_id')} AS d, {_dice(4, 'image_id', 'det')} AS o, {_dice(5, 'image_id')} AS p FROM boxes),
+      r AS (SELECT *, CASE WHEN d < 0.2 THEN 0 WHEN d < 0.2::DOUBLE + 0.3::DOUBLE THEN 1 WHEN d < 0.2::DOUBLE + 0.3::DOUBLE + 0.3::DOUBLE THEN 2 ELSE 3 END AS mode, row_number() OVER (PARTITION BY image_id ORDER BY o, det) AS rk, count(*) OVER (PARTITION BY image_id) AS n, row_number() OVER (PARTITION BY image_id, label ORDER BY o, det) AS il FROM k)
+      SELECT image_id, det, mode, CASE mode WHEN 0 THEN false WHEN 1 THEN rk <= floor(p * n) WHEN 2 THEN il > 1 ELSE true END AS known FROM r"""),
+    "b10_jitter": (jittered, f"""WITH {V.BOXES}, k AS (SELECT *, (x1+x2)/2 AS cx, (y1+y2)/2 AS cy, x2-x1 AS w, y2-y1 AS h FROM boxes),
+      m AS (SELECT *, cx + ({_dice(6, 'image_id', 'det')}-0.5::DOUBLE)*2*0.02::DOUBLE*300 AS mx, cy + ({_dice(7, 'image_id', 'det')}-0.5::DOUBLE)*2*0.02::DOUBLE*400 AS my, w + ({_dice(8, 'image_id', 'det')}-0.5::DOUBLE)*2*0.02::DOUBLE*300 AS mw, h + ({_dice(9, 'image_id', 'det')}-0.5::DOUBLE)*2*0.02::DOUBLE*400 AS mh,
+        1 + ({_dice(10, 'image_id', 'det')}-0.5::DOUBLE)*2*0.02::DOUBLE AS f FROM k WHERE cents % 2 = 0 AND {_dice(5, 'image_id', 'det')} > 0.2::DOUBLE),
+      o AS (SELECT *, greatest(least(x2,mx+mw/2)-greatest(x1,mx-mw/2),0)*greatest(least(y2,my+mh/2)-greatest(y1,my-mh/2),0) AS i FROM m),
+      c AS (SELECT *, cx + w*({_dice(12, 'image_id', 'det')}-0.5::DOUBLE)/2 AS mx, cy + h*({_dice(13, 'image_id', 'det')}-0.5::DOUBLE)/2 AS my, 0.5::DOUBLE + {_dice(11, 'image_id', 'det')}/2 AS cf FROM k WHERE cents % 2 = 1),
+      a AS (SELECT 'known' AS kind, image_id, det, mx-mw/2 AS j1, my-mh/2 AS j2, mx+mw/2 AS j3, my+mh/2 AS j4, i/(w*h+mw*mh-i+1e-6::DOUBLE)*f AS confidence FROM o UNION ALL SELECT 'cutout', image_id, det, mx-w/4, my-h/4, mx+w/4, my+h/4, cf FROM c)
+      SELECT kind, image_id, det, {', '.join(f'round({x}+1e-9::DOUBLE,6) AS {x}' for x in ('j1', 'j2', 'j3', 'j4', 'confidence'))} FROM a"""),
     "b11_transforms": (transforms, f"""WITH {V.BOXES}, b AS (SELECT *, max({_IOU_CROP} / ((x2-x1)*(y2-y1)+12000-{_IOU_CROP})) OVER (PARTITION BY image_id) AS best FROM boxes),
       t AS (SELECT 'crop' AS kind, image_id, det, {_clamp('x1-30', 100)} AS x1, {_clamp('y1-20', 120)} AS y1, {_clamp('x2-30', 100)} AS x2, {_clamp('y2-20', 120)} AS y2 FROM b
       UNION ALL SELECT 'hflip', image_id, det, 300-x2, y1, 300-x1, y2 FROM b UNION ALL SELECT 'both', image_id, det, 300-x2, 400-y2, 300-x1, 400-y1 FROM b

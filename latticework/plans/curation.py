@@ -76,14 +76,13 @@ def redundancy(spark, d):
 
 
 def sample(spark, d):
-    s = C.balanced_sample(V.frames(spark, d), 5000)
-    return s.groupBy("scan").agg(F.count(F.lit(1)).alias("n_draws"), F.round(F.max("weight"), 6).alias("weight"))
+    return C.balanced_sample(V.frames(spark, d), 5000).withColumn("weight", F.round("weight", 6))
 
 
 def last_wins(spark, d):
     f = V.frames(spark, d)
-    parts = f.withColumn("key", F.concat(F.lit("k"), F.col("ord") % 3000))
-    profiles = spark.range(3500).select(F.concat(F.lit("k"), "id").alias("key"))
+    parts = f.withColumn("key", F.concat(F.lit("k"), F.floor(F.col("ord") / 3)))
+    profiles = f.select(F.concat(F.lit("k"), "ord").alias("key"))
     return C.with_fingerprints(profiles, parts).select("key", "md5", "blank", "phash")
 
 
@@ -118,8 +117,8 @@ _C_SEL = f"SELECT e.key, e.scan, e.frame_idx, coalesce(e.excluded, CASE WHEN d.k
 _BOTH = f"WITH RECURSIVE {V.FRAMES}, {EXCLUDED}, {_even('small', SMALL_CAP)}, {_even('large', CAP)}"
 
 PLANS = {
-    "j1_last_part_wins": (last_wins, f"""WITH {V.FRAMES}, p AS (SELECT 'k'||(ord % 3000) AS key, max_by(md5, ord) AS md5, max_by(blank, ord) AS blank, max_by(phash, ord) AS phash FROM frames GROUP BY 1)
-SELECT key, md5, coalesce(blank, false) AS blank, coalesce(phash, 0) AS phash FROM (SELECT 'k'||i AS key FROM range(3500) t(i)) LEFT JOIN p USING (key)"""),
+    "j1_last_part_wins": (last_wins, f"""WITH {V.FRAMES}, p AS (SELECT 'k'||(ord // 3) AS key, max_by(md5, ord) AS md5, max_by(blank, ord) AS blank, max_by(phash, ord) AS phash FROM frames GROUP BY 1)
+SELECT key, md5, coalesce(blank, false) AS blank, coalesce(phash, 0) AS phash FROM (SELECT 'k'||ord AS key FROM frames) LEFT JOIN p USING (key)"""),
     "j2_shard_lookup": (lookup, f"{_C}, m AS ({_C_SEL}) SELECT 'shard'||(f.ord % 27) AS tar, count(*) AS n_frames, count(DISTINCT f.scan) AS n_scans FROM m JOIN frames f USING (key) WHERE reason = 'keep' GROUP BY 1"),
     "j15_train_only": (train_only, f"{_C}, m AS ({_C_SEL}) SELECT scan, reason = 'keep' AS kept, count(*) AS n FROM m GROUP BY ALL"),
     "d1_exact_duplicates": (lambda s, d: C.flag_exact_duplicates(V.frames(s, d)).select("key", "md5", "exact_dup"), f"WITH {V.FRAMES}, {DUPS} SELECT key, md5, exact_dup FROM dups"),
@@ -133,6 +132,7 @@ SELECT key, md5, coalesce(blank, false) AS blank, coalesce(phash, 0) AS phash FR
     "d8_manifest_c": (lambda s, d: C.manifest_c(V.frames(s, d), THRESHOLD), f"{_C}, m AS ({_C_SEL}) SELECT key, scan, frame_idx, reason = 'keep' AS keep, reason FROM m"),
     "d9_manifest_counts": (lambda s, d: C.manifest_counts(V.frames(s, d)), f"""{_A}, m AS (SELECT kept AS a, kept AND NOT exact_dup AS b, kept AND NOT exact_dup AND NOT blank AS c, {_REASON_A} = 'keep' AS e FROM dec)
 SELECT count(*) AS n_total, count_if(a)::BIGINT AS n_kept, count_if(b)::BIGINT AS n_minus_dup, count_if(c)::BIGINT AS n_minus_blank, count_if(e)::BIGINT AS n_final, round(100.0::DOUBLE * count_if(e) / count(*), 6) AS pct FROM m"""),
+    "d10_largest_scans": (lambda s, d: C.largest_scans(V.frames(s, d)), f"WITH {V.FRAMES} SELECT scan, count(*) AS n FROM frames GROUP BY 1 ORDER BY n DESC, scan LIMIT 10"),
     "d10_scan_sizes": (lambda s, d: C.scan_sizes(V.frames(s, d)), f"""WITH {V.FRAMES}, n AS (SELECT scan, count(*) AS n FROM frames GROUP BY 1)
 SELECT CASE WHEN n < 2 THEN '1' WHEN n < 10 THEN '2-9' WHEN n < 50 THEN '10-49' WHEN n < 200 THEN '50-199' WHEN n < 1000 THEN '200-999' ELSE '1000+' END AS bucket,
 count(*) AS n_scans, sum(n)::BIGINT AS n_frames, max(n) AS largest, quantile_cont(n, 0.5) AS median FROM n GROUP BY 1"""),
@@ -145,7 +145,9 @@ SELECT coalesce(quantile_cont(x, 0.5), 99.0::DOUBLE) AS median, {', '.join(f'coa
 SELECT key, scan, frame_idx, nearest FROM n WHERE (key, ord) NOT IN (SELECT key, ord FROM small)"""),
     "d14_growth": (lambda s, d: C.growth_per_scan(even(s, d, SMALL_CAP), even(s, d, CAP)), f"{_BOTH} SELECT scan, count(*) AS gained FROM large WHERE (key, ord) NOT IN (SELECT key, ord FROM small) GROUP BY 1 ORDER BY gained DESC, scan LIMIT 12"),
     "d15_split": (lambda s, d: C.split(V.frames(s, d)).groupBy("scan", "is_val").agg(F.count(F.lit(1)).alias("n")), None),
-    "d16_balanced_sample": (sample, None),
+    "d16_balanced_sample": (sample, f"""WITH {V.FRAMES}, sz AS (SELECT scan, count(*) AS n, row_number() OVER (ORDER BY scan) - 1 AS no FROM frames GROUP BY 1), fr AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY frame_idx, ord) - 1 AS fno FROM frames),
+dr AS (SELECT i AS draw, floor(('0x'||substr(md5('0|'||i),1,7))::BIGINT / 268435456.0::DOUBLE * (SELECT count(*) FROM sz))::BIGINT AS no, ('0x'||substr(md5('1|'||i),1,7))::BIGINT / 268435456.0::DOUBLE AS p FROM range(5000) t(i))
+SELECT draw, key, scan, frame_idx, round(1.0::DOUBLE / n, 6) AS weight FROM dr JOIN sz USING (no) JOIN fr USING (scan) WHERE fno = floor(p * n)::BIGINT"""),
     "d17_split_report": (lambda s, d: C.split_report(C.split(V.frames(s, d))), None),
     "s9_corpus_order": (corpus_order, f"{_B}, m AS ({_B_SEL}) SELECT key, scan, frame_idx, split_part(scan, '/', 1) AS beamtime, row_number() OVER (PARTITION BY scan ORDER BY frame_idx, key) AS place FROM m WHERE reason = 'keep'"),
 }

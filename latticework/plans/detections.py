@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import percentiles
+from ..functions.store import stored
 from ..operators import boxes as B
 from ..operators import detections as P
 from ..operators import metrics as E
@@ -38,7 +40,7 @@ def pooled(s, d):
 
 
 def fused(s, d):
-    f = P.fuse_boxes(dets(s, d), 2)
+    f = P.fuse_boxes(V.boxes(s, d).select(*DET, (F.col("cents") % 2).cast("int").alias("model")), 2)
     return f.select("image_id", "n", *[R(c).alias(c) for c in B.XYXY], R("score").alias("score"), "label")
 
 
@@ -46,6 +48,12 @@ def swept(s, d):
     return P.sweep(dets(s, d), [0.4, 0.3, 0.2, 0.15, 0.1]).groupBy("segment_iou", "label").agg(F.count(F.lit(1)).alias("n"), R(F.sum("score")).alias("score"))
 
 
+def sweep_metrics(s, d):
+    """Threshold, average precision, recall and fp share at the best accuracy."""
+    m = E.suppression_sweep(V.truths(s, d), dets(s, d), [0.4, 0.3, 0.2, 0.15, 0.1])
+    return m.select("segment_iou", *[R(c).alias(c) for c in ("ap_total", "recall", "fp_share")])
+
+
 def costs(s, d):
     c = E.q_costs(V.truths(s, d).select("image_id", "gt", *B.XYXY), V.boxes(s, d).select("image_id", "det", *B.XYXY), 0.1)
     return c.select("image_id", "gt", F.col("p_det").alias("det"), R("cost").alias("cost"))
@@ -122,7 +130,9 @@ def intensity(s, d):
 def nearest(s, d):
     m = V.matches(s, d)
     n = E.nearest_truth(m.where("kind <> 'fn'").select("image_id", "det", "xc"), m.where("kind <> 'fp'").select("image_id", "xc"))
-    return n.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") == float("inf")).alias("n_without"), R(F.percentile(F.when(F.col("distance") < float("inf"), F.col("distance")), 0.5)).alias("median"), R(F.avg((F.col("distance") < 8).cast("double"))).alias("share_8"), R(F.avg((F.col("distance") > 20).cast("double"))).alias("share_over_20"))
+    n = stored(n.select("distance"), "nearest")
+    half = percentiles(n.where(F.col("distance") < float("inf")), [], "distance", {"median": 0.5}).select(R("median").alias("median"))
+    return F.broadcast(half).crossJoin(n.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") == float("inf")).alias("n_without"), R(F.avg((F.col("distance") < 8).cast("double"))).alias("share_8"), R(F.avg((F.col("distance") > 20).cast("double"))).alias("share_over_20")))
 
 
 def confusion(s, d):
@@ -211,6 +221,7 @@ PLANS = {
     "p7_fuse": (fused, None),
     "p8_sweep": (swept, f"""WITH RECURSIVE {V.BOXES}, m AS (SELECT b.*, t AS segment_iou FROM boxes b, (SELECT unnest([0.4, 0.3, 0.2, 0.15, 0.1])::DOUBLE AS t)),
       {_nms('m', 'o', '(CASE WHEN r.label = 1 THEN 0.1::DOUBLE ELSE r.segment_iou END)', 'image_id, label, segment_iou')} SELECT segment_iou, label, count(*) AS n, round(sum(score), 6) AS score FROM o GROUP BY ALL"""),
+    "p8_sweep_metrics": (sweep_metrics, None),
     "e1_costs": (costs, f"""WITH {V.TRUTHS}, p AS (SELECT t.image_id, t.gt, b.det, abs((t.x1+t.x2-b.x1-b.x2)/2) AS c, greatest(least(t.x2,b.x2)-greatest(t.x1,b.x1),0)*greatest(least(t.y2,b.y2)-greatest(t.y1,b.y1),0) AS i,
       (t.x2-t.x1)*(t.y2-t.y1)+(b.x2-b.x1)*(b.y2-b.y1) AS a FROM truths t JOIN boxes b USING (image_id)) SELECT image_id, gt, det, round(CASE WHEN i/(a-i) <= 0.1 THEN 1e7 ELSE c END, 6) AS cost FROM p"""),
     "e2_e3_match": (matched, None),

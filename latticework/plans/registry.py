@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import boxes, curation, detections, runs, similarity
+from . import boxes, curation, detections, files, pixels, runs, similarity
 
-MODULES = (curation, boxes, detections, similarity, runs)
+MODULES = (curation, boxes, detections, similarity, runs, pixels, files)
 
 
 def queries() -> dict:

@@ -61,6 +61,8 @@ PLANS = {
     "r4_verdict": (verdicts, f"WITH {V.RUN_LOG}, b AS (SELECT run, dataset, max(ap) AS m FROM run_log GROUP BY ALL) SELECT a.dataset, round(a.m + 3.3e-10::DOUBLE,6) AS newer, round(b.m + 3.3e-10::DOUBLE,6) AS older, CASE WHEN a.m-b.m > 0.01 THEN 'WIN' WHEN a.m-b.m > -0.01 THEN 'tie' ELSE 'behind' END AS verdict FROM b a JOIN b ON a.dataset=b.dataset WHERE a.run='{NEW}' AND b.run='{OLD}'"),
     "r5_common_window": (window, f"WITH {V.RUN_LOG} SELECT a.dataset, max(a.epoch) AS cap, round(max(a.ap) + 3.3e-10::DOUBLE,6) AS newer, round(max(b.ap) + 3.3e-10::DOUBLE,6) AS older, round(max(a.ap)-max(b.ap) + 3.3e-10::DOUBLE,6) AS delta FROM run_log a JOIN run_log b ON a.dataset=b.dataset AND a.epoch=b.epoch WHERE a.run='{NEW}' AND b.run='{OLD}' GROUP BY 1"),
     "r6_best_validation": (validation, f"WITH {V.RUN_LOG} SELECT run, dataset, min_by(epoch, (ap, epoch)) AS epoch, round(min(ap) + 3.3e-10::DOUBLE,6) AS val_loss FROM run_log GROUP BY ALL"),
+    "r7_best_by_kind": (lambda s, d: O.best_by_kind(V.run_log(s, d).withColumn("is_ema", F.col("line_no") % 3 == 0)).withColumn("best_res", R("best_res")), f"""WITH {V.RUN_LOG}, k AS (SELECT *, 'all' AS kind FROM run_log UNION ALL SELECT *, CASE WHEN line_no % 3 = 0 THEN 'ema' ELSE 'regular' END FROM run_log)
+      SELECT run, dataset, kind, round(max(ap) + 3.3e-10::DOUBLE, 6) AS best_res, min_by(epoch, (-ap, epoch)) AS best_ep FROM k GROUP BY ALL"""),
     "r7_running_best": (lambda s, d: O.running_best(log(s, d)).withColumns({"ap": R("ap"), "best": R("best")}), f"WITH {V.RUN_LOG} SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap, round(max(ap) OVER ({KEYS}) + 3.3e-10::DOUBLE,6) AS best, coalesce(ap > max(ap) OVER ({KEYS} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM run_log"),
     "r8_smoothed": (lambda s, d: O.smoothed(log(s, d)).withColumns({c: R(c) for c in ("ap", "median", "mean", "most", "overall")}), f"""WITH {V.RUN_LOG}, w AS (SELECT *, list_sort(list(ap) OVER ({KEYS} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS l, avg(ap) OVER ({KEYS} ROWS UNBOUNDED PRECEDING) AS o FROM run_log)
       SELECT run, dataset, epoch, round(ap + 3.3e-10::DOUBLE,6) AS ap, round(l[(len(l)-1)//2+1] + 3.3e-10::DOUBLE,6) AS median, round(list_avg(l) + 3.3e-10::DOUBLE,6) AS mean, round(list_max(l) + 3.3e-10::DOUBLE,6) AS most, round(o + 3.3e-10::DOUBLE,6) AS overall FROM w"""),

@@ -31,20 +31,31 @@ FRAMES = """frames AS (SELECT 'f'||event_id AS key,
 
 
 def descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """vec_id, scan, frame_idx, is_eval, v (64 doubles, an 8 x 8 grid), sign hash of 62 bits. Every tenth vector is the evaluation side."""
+    """vec_id, scan, frame_idx, is_eval, v (64 doubles, an 8 x 8 grid), sign hash of 62 bits. Every twentieth vector is a query (is_eval)."""
     v = F.col("embedding").cast("array<double>")
     bits = [F.when(F.get(F.col("v"), F.lit(i)) > 0, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i in range(62)]
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("scan"), v.alias("v"), (F.col("vec_id") % 10 == 0).alias("is_eval"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("scan"), v.alias("v"), (F.col("vec_id") % 20 == 0).alias("is_eval"))
     total = bits[0]
     for b in bits[1:]:
         total = total + b
     return rows.select("vec_id", "scan", F.col("vec_id").alias("frame_idx"), "is_eval", "v", total.alias("phash"))
 
 
-DESCRIPTORS = """descriptors AS (SELECT vec_id, label AS scan, vec_id AS frame_idx, vec_id % 10 = 0 AS is_eval, embedding::DOUBLE[] AS v,
+DESCRIPTORS = """descriptors AS (SELECT vec_id, label AS scan, vec_id AS frame_idx, vec_id % 20 = 0 AS is_eval, embedding::DOUBLE[] AS v,
     list_sum(list_transform(range(62), lambda i: CASE WHEN embedding[i+1] > 0 THEN (1::BIGINT << i) ELSE 0::BIGINT END))::BIGINT AS phash FROM embeddings)"""
 
 
+def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, h, w, g (64 levels from 0 to 255, row by row), pixels (the same as bytes): an 8 x 8 frame per vector; 0 is no data."""
+    v = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    g = F.transform(v, lambda x: F.when(x < 0.02, 0).otherwise(F.least(F.floor(x * 600) + 1, F.lit(255))).cast("int"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(8).alias("h"), F.lit(8).alias("w"), F.slice(g, 1, 64).alias("g"))
+    return rows.withColumn("pixels", F.unhex(F.array_join(F.transform("g", lambda x: F.lpad(F.hex(x), 2, "0")), "")))
+
+
+GRIDS = """grids AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CASE WHEN abs(x) < 0.02 THEN 0 ELSE least(floor(abs(x) * 600) + 1, 255) END::INTEGER)[1:64] AS g FROM embeddings)"""
+
+
 def long_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, r, c, x: the 8 x 8 grid a row per pixel; |value| below 0.02 is no data (0)."""
     rows = descriptors(spark, sf_dir).select("vec_id", F.posexplode("v").alias("pos", "x"))

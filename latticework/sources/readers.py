@@ -19,17 +19,20 @@ from ..functions.kernels import read_png
 from ..functions.pixels import parse_scan
 
 #: Frames that a shard reader holds at once.
-BATCH = 64
+BATCH, BATCH_BYTES = 64, 64 << 20
 
 FRAME_SCHEMA = "key string, tar string, pos int, source string, beamtime string, q_max float, md5 string, is_raw boolean, h int, w int, pixels binary"
 
 
-def shards(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
-    """Frames of tar shards, a row per readable PNG member with its JSON sibling; a task per shard, rows as they are read.
+#: Shards of more bytes than this are not read as one cell but member by member from the store.
+STREAM_FROM = 256 << 20
 
-    Members that cannot be decoded are skipped; colour images keep their first channel; a missing sibling gives '', '' and NaN.
-    `pos` is the member's place in the shard; (tar, pos) is the order of first occurrence. `only` keeps shards whose name
-    contains one of the texts.
+
+def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream_from: int = STREAM_FROM) -> DataFrame:
+    """Frames of tar shards (see `members`). `only` keeps shards whose name contains one of the texts.
+
+    Small shards come as Spark reads them. Of larger ones only the path is dealt out, and the task reads one member at a time
+    from the store, so a shard of any size takes the memory of a few frames; such a store must be one that pyarrow opens by its address.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path)
     if only:
@@ -38,46 +41,72 @@ def shards(spark: SparkSession, path: str, only: list[str] | None = None) -> Dat
         for x in only:
             keep = keep | name.contains(x)
         files = files.where(keep)
+    large = files.where(F.col("length") > stream_from).select("path", F.lit(None).cast("binary").alias("content"))
+    large = large.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
+    return members(files.where(F.col("length") <= stream_from).select("path", "content").unionByName(large))
+
+
+def _opened(path: str, content: bytes | None):
+    if content is not None:
+        return tarfile.open(fileobj=io.BytesIO(content))
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return tarfile.open(fileobj=store.open_input_file(name))
+
+
+def _frames_of(path: str, tar: tarfile.TarFile) -> Iterator[tuple]:
+    files = [m for m in tar.getmembers() if m.isfile()]
+    by_name = {m.name: m for m in files}
+    for pos, m in enumerate(files):
+        if not m.name.endswith(".png"):
+            continue
+        data = tar.extractfile(m).read()
+        try:
+            img = read_png(data)
+        except ValueError:
+            continue
+        meta, sibling = {}, by_name.get(m.name[:-4] + ".json")
+        if sibling is not None:
+            try:
+                meta = json.loads(tar.extractfile(sibling).read())
+            except ValueError:
+                meta = {}
+        meta = meta if isinstance(meta, dict) else {}
+        q = meta.get("q_max")
+        yield (m.name, path.rsplit("/", 1)[-1], pos, meta.get("source") or "", meta.get("beamtime") or "", float("nan") if q is None else float(q), hashlib.md5(data).hexdigest(), m.name.endswith(".raw.png"), *img.shape, img.tobytes())
+
+
+def members(files: DataFrame) -> DataFrame:
+    """A row per readable PNG member of tar files (path, content; content null: read from the path), with its JSON sibling.
+
+    Members that cannot be decoded are skipped; colour images keep their first channel; a missing sibling gives '', '' and NaN.
+    `pos` is the member's place in the shard; (tar, pos) is the order of first occurrence.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for path_, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    members = [m for m in tar.getmembers() if m.isfile()]
-                    by_name = {m.name: m for m in members}
-                    for pos, m in enumerate(members):
-                        if not m.name.endswith(".png"):
-                            continue
-                        data = tar.extractfile(m).read()
-                        try:
-                            img = read_png(data)
-                        except ValueError:
-                            continue
-                        meta, sibling = {}, by_name.get(m.name[:-4] + ".json")
-                        if sibling is not None:
-                            try:
-                                meta = json.loads(tar.extractfile(sibling).read())
-                            except ValueError:
-                                meta = {}
-                        meta = meta if isinstance(meta, dict) else {}
-                        q = meta.get("q_max")
-                        rows.append((m.name, path_.rsplit("/", 1)[-1], pos, meta.get("source") or "", meta.get("beamtime") or "", float("nan") if q is None else float(q), hashlib.md5(data).hexdigest(), m.name.endswith(".raw.png"), *img.shape, img.tobytes()))
-                        if len(rows) == BATCH:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                rows, size = [], 0
+                with _opened(path, content) as tar:
+                    for row in _frames_of(path, tar):
+                        rows.append(row)
+                        size += len(row[-1])
+                        if len(rows) == BATCH or size > BATCH_BYTES:
                             yield pd.DataFrame(rows, columns=NAMES)
-                            rows = []
+                            rows, size = [], 0
                 if rows:
                     yield pd.DataFrame(rows, columns=NAMES)
 
     scan, frame = parse_scan()
-    return files.select("path", "content").mapInPandas(run, FRAME_SCHEMA).withColumns({"scan": scan, "frame_idx": frame, "q_max": F.coalesce("q_max", F.lit(float("nan")).cast("float"))})
+    return files.mapInPandas(run, FRAME_SCHEMA).withColumns({"scan": scan, "frame_idx": frame, "q_max": F.coalesce("q_max", F.lit(float("nan")).cast("float"))})
 
 
 NAMES = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
-    """S3: fingerprint parts written by shard."""
+    """S3: fingerprint parts written by shard (`sinks.write_parts`), with their shard."""
     return spark.read.parquet(path)
 
 
@@ -86,13 +115,24 @@ def layout(peaks: DataFrame) -> str:
     return "visibility" if {"visibility", "radius_width"} <= set(peaks.columns) else "roi"
 
 
-def coco(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations of box files with their image's size: image_id, file_name, width, height, category_id, x, y, w, h, area, iscrowd."""
+def peak_table(peaks: DataFrame) -> DataFrame:
+    """Peaks of either layout as one table: image_id, radius, radius_width, angle, angle_width, is_ring, visibility, score."""
+    if layout(peaks) == "visibility":
+        return peaks.select("image_id", "radius", "radius_width", "angle", "angle_width", "is_ring", "visibility", F.col("score").cast("double").alias("score"))
+    level = F.col("confidence_level")
+    visibility = F.when(level >= 1, 3).when(level >= 0.5, 2).otherwise(1)
+    return peaks.select(
+        "image_id", "radius", F.col("width").alias("radius_width"), "angle", F.col("angle_std").alias("angle_width"), (F.col("type") == 1).alias("is_ring"), visibility.alias("visibility"), level.cast("double").alias("score")
+    )
+
+
+def coco(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Annotations of box files (`lines`: a document per line) with their image's size: image_id, file_name, width, height, category_id, x, y, w, h, area, iscrowd."""
     schema = (
         "images array<struct<id:bigint,file_name:string,width:int,height:int>>,"
         "annotations array<struct<id:bigint,image_id:bigint,bbox:array<double>,category_id:int,area:double,iscrowd:int>>"
     )
-    doc = spark.read.option("multiLine", True).schema(schema).json(path)
+    doc = spark.read.option("multiLine", not lines).schema(schema).json(path)
     images = doc.select(F.inline("images")).withColumnRenamed("id", "image_id")
     boxes = doc.select(F.inline("annotations"))
     j = boxes.join(images, "image_id")
@@ -100,10 +140,10 @@ def coco(spark: SparkSession, path: str) -> DataFrame:
     return j.select("image_id", "file_name", "width", "height", F.col("id").alias("ann_id"), "category_id", at(0).alias("x"), at(1).alias("y"), at(2).alias("w"), at(3).alias("h"), "area", F.coalesce("iscrowd", F.lit(0)).alias("iscrowd"))
 
 
-def coco_panoptic(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of panoptic files, joined with images by the file's stem."""
+def coco_panoptic(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Segments of panoptic files (`lines`: a document per line), joined with images by the file's stem."""
     schema = "images array<struct<id:bigint,file_name:string,width:int,height:int>>, annotations array<struct<file_name:string,segments_info:array<struct<id:bigint,category_id:int,iscrowd:int,area:bigint>>>>"
-    doc = spark.read.option("multiLine", True).schema(schema).json(path)
+    doc = spark.read.option("multiLine", not lines).schema(schema).json(path)
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
     images = doc.select(F.inline("images")).withColumn("stem", stem(F.col("file_name")))
     ann = doc.select(F.inline("annotations")).select(stem(F.col("file_name")).alias("stem"), "segments_info")
@@ -117,9 +157,10 @@ def image_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """file, line_no and value of text files. A file is read as one row so that its lines keep their numbers; logs are small."""
-    rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), "value")
-    return rows.select("file", "changed", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
+    """file, folder, line_no and value of text files. A file is read as one row so that its lines keep their numbers; logs are small."""
+    folder = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")
+    rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("file"), folder, F.col("_metadata.file_modification_time").alias("changed"), "value")
+    return rows.select("file", "folder", "changed", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))
 
 
 def parse_ap_lines(lines: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -130,11 +171,12 @@ def parse_ap_lines(lines: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataF
     return ok.groupBy(*keys, "epoch").agg(F.max_by("ap", "line_no").alias("ap"))
 
 
-def ap_text(spark: SparkSession, paths) -> DataFrame:
-    return parse_ap_lines(_lines(spark, paths))
+def ap_text(spark: SparkSession, paths, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    return parse_ap_lines(_lines(spark, paths), keys)
 
 
-AP_LINE = r"\[epoch (\d+)\]\s+(41|organic)\s+ap_total\s*=\s*([0-9.eE+-]+)"
+#: Fixed value: the line that a run's log has per epoch and data set.
+AP_LINE = r"\[epoch (\d+)\]\s+(41|organic)\s+ap_total\s*=\s*([0-9.]+)"
 
 
 def parse_free_text(lines: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -159,7 +201,7 @@ def loss_csv(spark: SparkSession, paths) -> DataFrame:
     """Epoch, train and validation loss (and what follows) of lines with three numbers or more."""
     t = F.split(F.trim("value"), r"\s*,\s*")
     n = lambda k: F.get(t, F.lit(k)).try_cast("double")
-    rows = _lines(spark, paths).select("file", "line_no", n(0).cast("int").alias("epoch"), n(1).alias("train_loss"), n(2).alias("val_loss"), n(3).alias("lr"), n(4).alias("sec"))
+    rows = _lines(spark, paths).select("file", "folder", "line_no", n(0).cast("int").alias("epoch"), n(1).alias("train_loss"), n(2).alias("val_loss"), n(3).alias("lr"), n(4).alias("sec"))
     return rows.where("epoch IS NOT NULL AND train_loss IS NOT NULL AND val_loss IS NOT NULL")
 
 

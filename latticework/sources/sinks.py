@@ -22,6 +22,11 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     m.write.mode("overwrite").csv(f"{path}/tsv", sep="\t", header=True)
 
 
+def write_parts(prints: DataFrame, path: str) -> None:
+    """S3: fingerprints as one folder of parts per shard; a repeated write of a shard replaces its part only."""
+    prints.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tar").parquet(path)
+
+
 def write_keep_list(manifest: DataFrame, path: str) -> None:
     """Keys of the kept frames, a line each."""
     manifest.where("keep").select("key").write.mode("overwrite").text(path)

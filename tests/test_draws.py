@@ -1,38 +1,28 @@
 """Seeded draws against a plain version that hashes row by row in Python."""
 
-import struct
+import hashlib
 from collections import Counter, defaultdict
 
-import xxhash
-
 from latticework.functions import pixels as X
 from latticework.operators import boxes as B
 from latticework.operators import curation as C
 from latticework.plans import views
 
 
-def signed_hash(*values):
-    """Spark's xxhash64 of int, long (given as a tuple of one) and string values: each value seeds the next."""
-    h = 42
-    for v in values:
-        raw = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
-        h = xxhash.xxh64_intdigest(raw, seed=h)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def dice(seed, *keys):
-    return signed_hash(seed, *[(k,) for k in keys]) % (1 << 30) / (1 << 30)
+    return int(hashlib.md5("|".join(map(str, (seed, *keys))).encode()).hexdigest()[:7], 16) / (1 << 28)
 
 
 def test_known_boxes(spark, sf_dir):
-    rows = B.sample_known(views.boxes(spark, sf_dir), 3).select("image_id", "det", "label", "mode", "known").collect()
+    rows = B.sample_known(views.boxes(spark, sf_dir), (0.2, 0.3, 0.3, 0.2), 3).select("image_id", "det", "label", "mode", "known").collect()
     images = defaultdict(list)
     for r in rows:
         images[r.image_id].append(r)
     for image, own in images.items():
-        mode = int(dice(3, image) * 4)
+        d = dice(3, image)
+        mode = 0 if d < 0.2 else 1 if d < 0.2 + 0.3 else 2 if d < 0.2 + 0.3 + 0.3 else 3
         order = sorted(own, key=lambda r: (dice(4, image, r.det), r.det))
-        part, seen = int(dice(5, image) * (len(own) + 1)), Counter()
+        part, seen = int(dice(5, image) * len(own)), Counter()
         for place, r in enumerate(order):
             seen[r.label] += 1
             want = [False, place < part, seen[r.label] > 1, True][mode]
@@ -40,27 +30,39 @@ def test_known_boxes(spark, sf_dir):
     assert {r.mode for r in rows} == {0, 1, 2, 3}
 
 
+def test_known_boxes_by_default(spark, sf_dir):
+    """No image is blank or parted at random, a fifth is known in whole."""
+    rows = B.sample_known(views.boxes(spark, sf_dir)).select("image_id", "mode").distinct().collect()
+    assert {r.mode for r in rows} == {2, 3} and 0.7 < sum(r.mode == 2 for r in rows) / len(rows) < 0.9
+
+
 def test_jitter(spark, sf_dir):
     b = views.boxes(spark, sf_dir)
-    got = {(r.image_id, r.det): r for r in B.jitter(b, 0.2, 0.1, 5).collect()}
+    got = {(r.image_id, r.det): r for r in B.jitter(b, 0.02, 0.1, 5, size=(300.0, 400.0)).collect()}
     for r in b.collect():
         key = (r.image_id, r.det)
-        assert (key in got) == (dice(5, *key) >= 0.1)
+        assert (key in got) == (dice(5, *key) > 0.1)
         if key in got:
-            w, h = r.x2 - r.x1, r.y2 - r.y1
-            moved = [v + (dice(5 + k, *key) * 2 - 1) * 0.2 * size for k, v, size in ((1, r.x1, w), (2, r.y1, h), (3, r.x2, w), (4, r.y2, h))]
-            g = got[key]
+            cx, cy, w, h = [v + (dice(6 + k, *key) - 0.5) * 0.04 * (300, 400)[k % 2] for k, v in enumerate(((r.x1 + r.x2) / 2, (r.y1 + r.y2) / 2, r.x2 - r.x1, r.y2 - r.y1))]
+            moved, g = [cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], got[key]
             assert max(abs(p - q) for p, q in zip(moved, (g.j1, g.j2, g.j3, g.j4))) < 1e-9
             both = max(min(r.x2, moved[2]) - max(r.x1, moved[0]), 0) * max(min(r.y2, moved[3]) - max(r.y1, moved[1]), 0)
-            total = w * h + (moved[2] - moved[0]) * (moved[3] - moved[1]) - both
-            assert abs(g.confidence - both / total) < 1e-6
+            total = (r.x2 - r.x1) * (r.y2 - r.y1) + w * h - both
+            assert abs(g.confidence - both / total * (1 + (dice(10, *key) - 0.5) * 0.04)) < 1e-6
+
+
+def test_cutout(spark, sf_dir):
+    for r in B.cutout(views.boxes(spark, sf_dir), 11).collect():
+        w, h = r.x2 - r.x1, r.y2 - r.y1
+        cx, cy = (r.x1 + r.x2) / 2 + w * (dice(12, r.image_id, r.det) - 0.5) / 2, (r.y1 + r.y2) / 2 + h * (dice(13, r.image_id, r.det) - 0.5) / 2
+        assert max(abs(p - q) for p, q in zip((cx - w / 4, cy - h / 4, cx + w / 4, cy + h / 4), (r.j1, r.j2, r.j3, r.j4))) < 1e-9 and 0.5 <= r.confidence < 1
 
 
 def test_mask_cells(spark, sf_dir):
     rows = X.mask_cells(views.frames(spark, sf_dir), 64, 0.6, 1).collect()
     assert len(rows) == views.frames(spark, sf_dir).count()
     for r in rows:
-        drawn = sorted(range(64), key=lambda c: signed_hash(1, r.key, c))
+        drawn = sorted(range(64), key=lambda c: hashlib.md5(f"1|{r.key}|{c}".encode()).hexdigest())
         assert r.masked == sorted(drawn[:38])
 
 
@@ -72,6 +74,6 @@ def test_balanced_sample(spark, sf_dir):
     names, got = sorted(scans), C.balanced_sample(f, 700).orderBy("draw").collect()
     assert [r.draw for r in got] == list(range(700))
     for r in got:
-        scan = names[signed_hash(0, (r.draw,)) % len(names)]
+        scan = names[int(dice(0, r.draw) * len(names))]
         own = scans[scan]
-        assert (r.scan, r.key, r.weight) == (scan, own[signed_hash(1, (r.draw,)) % len(own)], 1 / len(own))
+        assert (r.scan, r.key, r.weight) == (scan, own[int(dice(1, r.draw) * len(own))], 1 / len(own))

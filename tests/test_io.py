@@ -45,6 +45,8 @@ def test_shards_to_corpus(spark, tmp_path):
     assert rows["m1_3.png"].scan == "bt1/s/x" and rows["m1_3.png"].frame_idx == 3 and abs(rows["m1_3.png"].q_max - 3.1) < 1e-6
     assert rows["d/p__q__name0.raw.png"].is_raw and rows["d/p__q__name0.raw.png"].scan == "p/q" and np.isnan(rows["blank0.png"].q_max) and rows["blank0.png"].frame_idx == 0
     assert R.shards(spark, str(tmp_path), ["shard1"]).count() == 8
+    streamed = {r.key: (r.md5, r.pos) for r in R.shards(spark, str(tmp_path), stream_from=0).collect()}
+    assert streamed == {r.key: (r.md5, r.pos) for r in rows.values()}
     prints = X.fingerprints(frames.select("key", "h", "w", "pixels"))
     named = frames.drop("pixels").join(prints, "key").withColumn("ord", (C.F.substring("tar", 6, 1).cast("long") * 1000 + C.F.col("pos")))
     m = C.manifest_b(named.select("key", "scan", C.F.col("frame_idx").cast("long").alias("frame_idx"), "ord", "phash", "md5", "blank"), 3)
@@ -102,10 +104,15 @@ def test_logs(spark, tmp_path):
 
 def test_paths(spark):
     cases = [("beamtimes/bt1/raw/sampleA/x/pe/foo-00012.tif", "bt1/sampleA/x", 12), ("beamtimes/bt1/Converted/s/pe/foo-7.raw.tif", "bt1/s", 7), ("tensor/bt2/a/b/frame_f003.pt", "bt2/a/b", 3), ("d/p__q__name0042.png", "p/q", 42), ("plain.png", "plain.png", -1)]
-    df = spark.createDataFrame([(c[0], None) for c in cases] + [("k.png", c[0]) for c in cases], "key string, source string")
+    both = cases[:3] + [
+        ("tensor/bt1/s1/x_f12.png", "bt1/s1", 12), ("TENSOR/bt1/s1/x_7.tif", "bt1/s1", 7), ("beamtimes/b/raw/s/pe/sub/x-00012.tif", "b/s", 12),
+        ("beamtimes/b/converted/s/a/pe/x-1-2.tif", "b/s/a", 2), ("beamtimes/b/RAW/s/pe/y/pe/z-3.tif", "b/s", 3),
+    ]
+    by_name = cases[3:] + [("a/p__q__12a.png", "p/q", 12), ("a__b.raw__c.raw.png", "a/b", -1), ("two__7.x.png", "two__7.x.png", 7)]
+    rows = [(c[0], None) for c in both + by_name] + [("k.png", c[0]) for c in both] + [(c[0], "some/other_9.dat") for c in by_name]
     scan, number = X.parse_scan()
-    got = [(r.s, r.n) for r in df.select(scan.alias("s"), number.alias("n")).collect()]
-    assert got == [(c[1], c[2]) for c in cases] * 2
+    got = [(r.s, r.n) for r in spark.createDataFrame(rows, "key string, source string").select(scan.alias("s"), number.alias("n")).collect()]
+    assert got == [(c[1], c[2]) for c in both + by_name + both + by_name]
 
 
 def test_streams(spark, tmp_path):

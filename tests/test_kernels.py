@@ -72,8 +72,42 @@ def test_suppression(threshold):
 
 def test_fusion():
     b = np.array([[0, 0, 10, 10], [1, 0, 11, 10], [50, 50, 60, 60.0]])
-    boxes, scores, labels = K.fuse(b, np.array([0.8, 0.4, 0.6]), np.array([0, 0, 1]), 2)
+    boxes, scores, labels = K.fuse(b, np.array([0.8, 0.4, 0.6]), np.array([0, 0, 1]), np.array([0, 1, 1]), 2)
     assert len(boxes) == 2 and np.allclose(boxes[0], b[0] * 2 / 3 + b[1] / 3) and np.allclose(scores, [0.6, 0.3]) and labels.tolist() == [0, 1]
+    # two boxes of one model are one model
+    assert np.allclose(K.fuse(b, np.array([0.8, 0.4, 0.6]), np.array([0, 0, 1]), np.array([1, 1, 1]), 2)[1], [0.3, 0.3])
+
+
+def plain_fusion(rows, models, limit=0.55):
+    """Cluster by cluster with whole lists, rows (score, box, label, model) by falling score."""
+    def iou(a, b):
+        both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
+        whole = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
+        return both / whole if whole > 0 else 0
+    groups = []
+    for row in rows:
+        near = [(iou(row[1], mean(g)), -k) for k, g in enumerate(groups) if g[0][2] == row[2]]
+        best = max(near, default=(0, 0))
+        if best[0] > limit:
+            groups[-best[1]].append(row)
+        else:
+            groups.append([row])
+    return [(mean(g), sum(r[0] for r in g) / len(g) * min(len({r[3] for r in g}), models) / models, g[0][2]) for g in groups]
+
+
+def mean(group):
+    return [sum(r[0] * r[1][k] for r in group) / sum(r[0] for r in group) for k in range(4)]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_fusion_against_plain_lists(seed):
+    rng = np.random.default_rng(seed)
+    n = 60
+    b, sc = random_boxes(n, rng), np.sort(rng.random(n))[::-1]
+    lab, mod = rng.integers(0, 2, n), rng.integers(0, 3, n)
+    boxes, scores, labels = K.fuse(b, sc, lab, mod, 3)
+    want = plain_fusion(list(zip(sc.tolist(), b.tolist(), lab.tolist(), mod.tolist())), 3)
+    assert np.allclose(boxes, [w[0] for w in want]) and np.allclose(scores, [w[1] for w in want]) and labels.tolist() == [w[2] for w in want]
 
 
 @settings(max_examples=50, deadline=None)
@@ -97,8 +131,9 @@ def frame(h=512, w=1024):
 
 def test_fingerprints():
     img = frame()
-    frac, sat, dyn, blank = K.quality(img)
-    assert 0.9 < frac < 0.96 and sat < 0.01 and not blank and K.quality(np.zeros((4, 4), np.uint8))[3]
+    frac, sat, average, dyn, blank = K.quality(img)
+    assert abs(average - img[img > 0].mean()) < 0.006
+    assert 0.9 < frac < 0.96 and sat < 0.01 and not blank and K.quality(np.zeros((4, 4), np.uint8))[4]
     d = K.descriptor(img)
     assert d.shape == (2048,) and abs(d[d != 0].mean()) < 0.01 and (d == d.astype(np.float16)).all()
     assert not K.descriptor(np.zeros((512, 1024), np.uint8)).any()
@@ -131,8 +166,45 @@ def test_normalisations():
     a, b = K.augment(img / 255, 5), K.augment(img / 255, 5)
     assert (a == b).all() and not (a == K.augment(img / 255, 6)).all() and (a >= 0).all() and (a <= 1).all()
     two = K.augment(img / 255, 7, version=2)
-    assert (two[img == 0] == 0).all()
+    assert not two[:, :50].any()
+    # version 2 flips, too, and its ramp may rise as well as fall
+    flat = np.full((8, 400), 0.5)
+    flat[:4] = 0.25
+    flipped, rising = set(), set()
+    for seed in range(60):
+        a = K.augment(flat, seed, version=2)
+        flipped.add(bool(a[:4].mean() > a[4:].mean()))
+        rising.add(bool(a[:, 200:].mean() > a[:, :200].mean() + 0.01))
+    assert flipped == rising == {True, False}
     r = K.resample_q(np.ones(1024), None)
     assert len(r) == 300 and r[0] == 1 and r[-1] == 0 and np.isclose(r.sum(), 270, atol=2)
     q = np.linspace(0, 5, 20)
     assert np.isclose(K.radial_profile(np.full((20, 20), 3.0), q, q).max(), np.log(4)) and K.angular_profile(np.full((20, 20), 3.0), q, q).max() <= np.log(4) + 1e-9
+
+
+def test_descriptor_of_partly_covered_cells():
+    """Cells are means over the zero-filled image, whatever share of them has data; the log needs 16 valid pixels."""
+    img = np.zeros((64, 128))
+    img[:, :100] = RNG.integers(5, 200, (64, 100))
+    img[::3] = 0
+    x = np.where(img > 0, np.log1p(img), 0).reshape(32, 2, 64, 2).mean((1, 3))
+    good = (img > 0).reshape(32, 2, 64, 2).mean((1, 3)) > 0.5
+    want = np.where(good, (x - x[good].mean()) / x[good].std(), 0).astype(np.float16)
+    assert np.allclose(K.descriptor(img).reshape(32, 64), want, atol=2e-3)
+    few = np.zeros((32, 64))
+    few[0, :10] = np.arange(1, 11)
+    assert np.allclose(K.descriptor(few)[:10], (few[0, :10] - 5.5) / np.std(np.arange(1, 11)), atol=2e-3)
+
+
+def test_equalised_levels():
+    levels = np.array([3, 3, 7, 7, 7, 200], np.uint8)
+    assert K.equalise_levels(levels).tolist() == [0, 0, 191, 191, 191, 255] and K.equalise_levels(np.full(4, 9, np.uint8)).tolist() == [9] * 4
+
+
+def test_cubic_regrid():
+    y, x = np.mgrid[0:30, 0:40]
+    p, r = K.polar_cubic(2.0 * x + 3 * y, 16, 32), np.linspace(0, np.hypot(29, 39), 32)
+    a = np.linspace(0, np.pi / 2, 16)
+    inside = (np.outer(np.cos(a), r) < 37) & (np.outer(np.sin(a), r) < 27) & (np.outer(np.cos(a), r) > 2) & (np.outer(np.sin(a), r) > 2)
+    assert np.allclose(p[inside], (2 * np.outer(np.cos(a), r) + 3 * np.outer(np.sin(a), r))[inside], atol=0.4)  # a plane stays nearly one
+    assert K.polar_cubic(np.eye(30), 16, 32)[0, 0] == 1

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from latticework.functions import kernels as K
+from latticework.functions import ordered as O
 from latticework.operators import boxes as B
 from latticework.operators import curation as C
 from latticework.operators import detections as P
@@ -94,9 +95,50 @@ def test_match_against_brute_force(spark, sf_dir):
             assert np.isclose(sum(r.cost for r in found), cost[i, j][cost[i, j] < 10].sum())
 
 
+def test_curve_with_ties_and_many_slices(spark, sf_dir):
+    """A third of all detections share one score; the curve is that of a plain walk over the sorted rows."""
+    m = views.matches(spark, sf_dir).withColumn("score", C.F.when(C.F.col("det") % 3 == 0, C.F.when(C.F.col("kind") != "fn", 0.25)).otherwise(C.F.col("score")))
+    got = {(r.dataset, r["rank"]): r for r in E.curve(m.repartition(7), ["dataset"]).collect()}
+    for name in ("organic", "41"):
+        rows = m.where(m.dataset == name).collect()
+        truth = sum(r.kind != "fp" for r in rows)
+        dets = sorted((r for r in rows if r.kind != "fn"), key=lambda r: (-r.score, r.image_id, r.det))
+        tp, precision, recall = 0, [], []
+        for k, r in enumerate(dets, 1):
+            tp += r.kind == "tp"
+            precision.append(tp / k)
+            recall.append(tp / truth)
+        best = np.maximum.accumulate(precision[::-1])[::-1]
+        for k, r in enumerate(dets, 1):
+            g = got[name, k]
+            assert (g.image_id, g.det) == (r.image_id, r.det) and np.isclose(g.recall, recall[k - 1]) and np.isclose(g.interpolated, best[k - 1])
+            assert np.isclose(g.recall_before, recall[k - 2] if k > 1 else 0) and np.isclose(g.interpolated_before, best[max(k - 2, 0)])
+
+
+def test_percentiles(spark):
+    rows = [(k % 3, float(k * 7 % 50) if k % 11 else None) for k in range(400)] + [(3, 1.5)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(6)
+    got = {r.k: (r.a, r.b) for r in O.percentiles(df, ["k"], "v", {"a": 0.5, "b": 0.9}).collect()}
+    for k in range(4):
+        own = [v for g, v in rows if g == k and v is not None]
+        assert np.allclose(got[k], np.percentile(own, [50, 90]))
+    assert O.percentiles(df, [], "v", {"a": 0.1}).collect()[0].a == np.percentile([v for _, v in rows if v is not None], 10)
+
+
+def test_sweep_metrics_one_by_one(spark, sf_dir):
+    t, d = views.truths(spark, sf_dir), views.boxes(spark, sf_dir).select("image_id", "det", *B.XYXY, "score", "label")
+    got = {r.segment_iou: r for r in E.suppression_sweep(t, d, [0.4, 0.1]).collect()}
+    for iou in (0.4, 0.1):
+        m = E.match(t, P.above(P.sweep(d, [iou]).drop("segment_iou"), 0.1)).withColumn("one", C.F.lit(1))
+        points = E.curve(m, ["one"])
+        best = E.operating_points(points, ["one"]).where("point = 'accuracy'").first()
+        want = (E.average_precision(points, ["one"]).first().ap_total, best.recall, best.fp_share)
+        assert np.allclose((got[iou].ap_total, got[iou].recall, got[iou].fp_share), want)
+
+
 def test_empty_inputs(spark, sf_dir):
     b = views.boxes(spark, sf_dir).select("image_id", "det", *B.XYXY, "score", "label").limit(0)
-    assert P.suppress(b).count() == 0 and P.fuse_boxes(b, 2).count() == 0 and E.match(views.truths(spark, sf_dir).limit(0), b).count() == 0
+    assert P.suppress(b).count() == 0 and P.fuse_boxes(b.withColumn("model", C.F.lit(0)), 2).count() == 0 and E.match(views.truths(spark, sf_dir).limit(0), b).count() == 0
     assert C.manifest_a(views.frames(spark, sf_dir).limit(0)).count() == 0
 
 
