@@ -4,8 +4,8 @@ Each document passes every rule once. The ledger holds the measurements and one
 versioned bit masks, so a verdict, a new policy or an ablation is a bitwise expression over the ledger, not a second
 pass over the texts.
 
-The `insults` bit means toxic: a fixed English insult, or `LEAST_TERMS` words of a list that `fit_terms` derives per
-language from labelled rows. The stage fits it; `query` has the fixed words only, as its SQL states the same rules.
+The `toxic` bit: a fixed English insult, or `LEAST_TERMS` words of a list that `fit_terms` derives per language from labelled
+rows (a bounded sample; the query's SQL states the same fit without the bound, which its tables do not reach).
 
 Defined results: a null or empty text has no words and fails `too_few_words`; null doc_id and repeated rows are kept
 as they are (one ledger row per input row); other columns of the input are ignored, so their names cannot clash.
@@ -78,11 +78,11 @@ def _rules() -> list[tuple[str, Column]]:
         ("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
         ("shouting", 10 * F.col("n_upper_words") > 4 * n),
         ("no_letters", 10 * F.col("n_no_letter_words") > 3 * n),
-        ("insults", (F.col("n_insults") >= 1) | (F.col("n_terms") >= LEAST_TERMS)),
+        ("toxic", (F.col("n_insults") >= 1) | (F.col("n_terms") >= LEAST_TERMS)),
     ]
 
 
-RULE_NAMES = ("too_few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting", "no_letters", "insults")
+RULE_NAMES = ("too_few_words", "repeated_windows", "symbols", "repeated_lines", "word_length", "shouting", "no_letters", "toxic")
 
 
 def mask(*names: str) -> int:
@@ -93,7 +93,7 @@ BASE = mask("too_few_words", "repeated_windows")
 #: Versioned policies: a document is kept if none of the policy's bits is set.
 POLICIES = {
     "base": BASE,
-    "form": mask(*RULE_NAMES) & ~mask("insults"),
+    "form": mask(*RULE_NAMES) & ~mask("toxic"),
     "strict": mask(*RULE_NAMES),
 }
 CURRENT = "strict"
@@ -110,10 +110,11 @@ def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ter
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), words_of(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
-    windows = F.when(
-        F.size("_w") >= WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("_w"), i, WINDOW))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # every word is hashed once; a window combines the numbers of its words
+    hashed_words = F.transform("_w", lambda w: F.xxhash64(w))
+    places = F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1))
+    windows = F.get(F.transform(F.array(hashed_words), lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i, WINDOW)))), F.lit(0))
+    windows = F.when(F.size("_w") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
     known = F.lit(False)
     for x in INSULTS:
         known = known | F.lower(F.col("_t")).contains(x)
@@ -183,17 +184,34 @@ def ablations(book: DataFrame, policy: str = CURRENT) -> DataFrame:
     return book.agg(*sums).select(F.lit(policy).alias("policy"), "n_docs", "n_kept", F.inline(F.array(*rows)))
 
 
+def stored_ledger(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The ledger of documents (doc_id, text, lang) as a table of its own, with the toxic words of the labelled rows."""
+    return materialise(ledger(docs, terms=fit_terms(docs, labels)), "ledger")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = verdict(ledger(table(spark, sf_dir, "documents")))
-    failed = F.col("failed").bitwiseAND(F.lit(BASE)) != 0
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "failed")
+    """One pass over the texts fills the ledger; all policies are then read off its bits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    book = verdict(stored_ledger(docs, table(spark, sf_dir, "labels")))
+    base, form = (F.col("failed").bitwiseAND(F.lit(POLICIES[x])) for x in ("base", "form"))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (base != 0).alias("base_failed"), "kept", (form == 0).alias("kept_form"), "failed")
+
+
+def ablation_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy costs: bitwise aggregations over one stored ledger."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    book = stored_ledger(docs, table(spark, sf_dir, "labels"))
+    out = ablations(book, "base")
+    for policy in ("form", "strict"):
+        out = out.unionByName(ablations(book, policy))
+    return out
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the current policy accepts, with all their columns (the whole row is the ledger's id).
+    """Keep the documents that the current policy accepts, with all their columns.
     The toxic words are fitted on the rows that the table `labels` knows.
 
-    The ledger is stored before the policy is applied: a filter on its bits would otherwise be moved below them, and
+    The ledger is stored under the row (a struct) before the policy is applied: a filter on its bits would otherwise be moved below them, and
     the optimiser would then evaluate the measurements inside the window functions, once per element.
     """
     row = F.struct(*[docs[c] for c in docs.columns])
@@ -202,8 +220,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return verdict(book).where("kept").select("doc_id.*")
 
 
-SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+#: The rules over the supplied tables, without the final SELECT.
+_RULES = r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 win AS (SELECT doc_id, p, array_to_string(w[p : p + 7], chr(1)) AS g
@@ -211,6 +230,14 @@ win AS (SELECT doc_id, p, array_to_string(w[p : p + 7], chr(1)) AS g
 rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, sum(least(8, coalesce(nx - p, 8))) AS c
         FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS nx FROM rep) GROUP BY doc_id),
+lt AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(t), '\p{L}+')) AS word FROM d),
+lb AS (SELECT DISTINCT coalesce(lt.lang, '') AS lang, doc_id, toxic = 1 AS toxic, word FROM labels JOIN lt USING (doc_id) WHERE toxic IS NOT NULL),
+tot AS (SELECT coalesce(d.lang, '') AS lang, count_if(toxic = 1) AS n_toxic, count_if(toxic <> 1) AS n_other FROM labels JOIN d USING (doc_id) WHERE toxic IS NOT NULL GROUP BY 1),
+seen AS (SELECT lang, word, count_if(toxic) AS t, count_if(NOT toxic) AS o FROM lb GROUP BY ALL),
+anyw AS (SELECT word, sum(o) AS o_any FROM seen GROUP BY 1),
+term AS (SELECT DISTINCT word FROM seen JOIN tot USING (lang) JOIN anyw USING (word) WHERE t >= 3 AND n_toxic >= 10
+        AND t * (n_other + 1) >= 20 * (o + 0.5) * n_toxic AND t * ((SELECT sum(n_other) FROM tot) + 1) >= 20 * (o_any + 0.5) * n_toxic),
+trm AS (SELECT doc_id, count(*) AS n_terms FROM lt JOIN term USING (word) GROUP BY 1),
 m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words,
         length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -219,8 +246,8 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words,
         coalesce(c, 0)::BIGINT AS n_repeat_words,
         len(list_filter(w, lambda x: upper(x) = x AND lower(x) <> x AND length(x) > 1)) AS n_up,
         len(list_filter(w, lambda x: upper(x) = lower(x))) AS n_nl,
-        len(regexp_extract_all(lower(t), '\b(?:clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless)\b')) AS n_in
-      FROM w LEFT JOIN cov USING (doc_id)),
+        len(regexp_extract_all(lower(t), '\b(?:clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless)\b')) AS n_in, coalesce(n_terms, 0) AS n_terms
+      FROM w LEFT JOIN cov USING (doc_id) LEFT JOIN trm USING (doc_id)),
 b AS (SELECT *, greatest(n_words, 1) AS n FROM m),
 f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
         + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
@@ -229,6 +256,16 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END
         + CASE WHEN word_chars < 2 * n OR word_chars > 15 * n THEN 16 ELSE 0 END
         + CASE WHEN 10 * n_up > 4 * n THEN 32 ELSE 0 END
         + CASE WHEN 10 * n_nl > 3 * n THEN 64 ELSE 0 END
-        + CASE WHEN n_in >= 1 THEN 128 ELSE 0 END)::INTEGER AS failed FROM b)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM f
+        + CASE WHEN n_in >= 1 OR n_terms >= 2 THEN 128 ELSE 0 END)::INTEGER AS failed FROM b)
+"""
+
+SQL = _RULES + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed & 127 = 0 AS kept_form, failed FROM f
+"""
+
+ABLATION_SQL = _RULES + """,
+p AS (SELECT * FROM (VALUES ('base', 3), ('form', 127), ('strict', 255)) v(policy, held)),
+r AS (SELECT * FROM (VALUES ('too_few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('repeated_lines', 8), ('word_length', 16), ('shouting', 32), ('no_letters', 64), ('toxic', 128)) v(rule, bit))
+SELECT policy, rule, count(*) AS n_docs, count_if(failed & held = 0) AS n_kept, count_if(failed & bit <> 0) AS n_failed, count_if(failed & held = bit) AS n_only, count_if(failed & held IN (0, bit)) AS n_kept_without
+FROM p JOIN r ON held & bit <> 0, f GROUP BY policy, rule
 """

@@ -6,6 +6,7 @@ from . import bpe, decontaminate, html_extract, language_id, line_dedup, ngram_j
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "quality_ablations": quality_rules.ablation_query,
     "op2_decontaminate": decontaminate.query,
     "op3_sharding": sharding.query,
     "op4_language_id": language_id.query,
@@ -19,5 +20,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "quality_ablations": quality_rules.ABLATION_SQL,
     "op7_line_dedup": line_dedup.SQL,
 }

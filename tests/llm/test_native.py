@@ -59,9 +59,48 @@ def test_pii_texts_without_adjacent_digits(spark):
     assert [(s.start, s.end, s.kind) for k in range(4) for s in found[k]] == [(0, 31, "card"), (0, 31, "card"), (0, 20, "key"), (2, 22, "key")]
 
 
+def plain_score(kind, t, start, end):
+    around = (t[max(start - pii.NEAR, 0) : start] + " " + t[end : end + pii.NEAR]).lower()
+    found = lambda words: re.search(rf"\b(?:{words})\b", around) is not None
+    return round(pii.BASE_SCORE[kind] + 0.1 * found(pii.CONTEXT[kind]) - 0.3 * found(pii.AGAINST), 3)
+
+
+def plain_added(t):
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", t):
+        flat = re.sub("[^A-Z0-9]", "", m[0])
+        if int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1:
+            out.append((m.start(), 4, m.end(), "iban"))
+    for m in re.finditer(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|passwd|secret|api_key|token)=[^\x20\x09-\x0D]+)", t):
+        out.append((m.start(), 5, m.end(), "key"))
+    return [x for x in out if plain_score(x[3], t, x[0], x[2]) >= pii.MIN_SCORE]
+
+
+def test_pii_added_spans_and_scores(spark, sf_dir):
+    real = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    pad = "é😀 word " * 400  # spans far from the start, near the rims of blocks
+    more = [pad[:k] + " bank IBAN DE89 3704 0044 0532 0130 00, mail a@b.cd or call +1 (988) 555-2485 invoice password=x" for k in range(2030, 2060, 3)]
+    texts = HARD + real + more
+    found = {r.doc_id: r.spans for r in pii.find(frame(spark, texts)).collect()}
+    for k, t in enumerate(texts):
+        want = sorted(brute_spans(t or "") + plain_added(t or ""))
+        assert [(s.start, s.rank, s.end, s.kind) for s in found[k]] == want, t
+        assert [s.score for s in found[k]] == [plain_score(s.kind, t, s.start, s.end) for s in found[k]], t
+
+
+def test_pii_many_matches_in_one_text(spark):
+    n = 40_000
+    text = " ".join(f"u{k}@mail{k % 7}.org" for k in range(n))
+    (row,) = pii.find(frame(spark, [text])).collect()
+    assert [(s.start, s.end) for s in row.spans] == [(a, b) for a, _, b, _ in brute_spans(text)] and len(row.spans) == n
+
+
 def test_pii_redact_and_empty(spark):
     got = [r.text for r in pii.redact(frame(spark, ["mail a@b.cd now", None, "none"])).orderBy("doc_id").collect()]
     assert got == ["mail [email] now", "", "none"]
+    both = ["a@1.2.3.4 x 10.1.1.1", "😀 é +1 988 5552485 and 4111 1111 1111 1111", "token=a@b.cd.ef tail"]
+    got = [r.text for r in pii.redact(frame(spark, both)).orderBy("doc_id").collect()]
+    assert got == ["[email] x [ip]", "😀 é [phone] and [card]", "[key] tail"]
     assert pii.find(frame(spark, ["x"]).limit(0)).count() == 0
 
 
@@ -121,7 +160,7 @@ def test_toxic_recall_by_language(spark):
     terms = quality_rules.fit_terms(docs, labels.where("doc_id % 2 = 0"))
     other = docs.join(labels.where("doc_id % 2 = 1"), "doc_id")
     book = quality_rules.ledger(other.select("doc_id", "text"), terms=terms).join(other.select("doc_id", "lang", "toxic", "quality"), "doc_id")
-    bit = 1 << quality_rules.RULE_NAMES.index("insults")
+    bit = 1 << quality_rules.RULE_NAMES.index("toxic")
     book = book.where("n_words >= 20").selectExpr("lang", "toxic", "quality", f"failed & {bit} <> 0 AS bad").groupBy("lang", "toxic", "quality")
     rows = book.agg({"bad": "count_if", "*": "count"}).toDF("lang", "toxic", "quality", "bad", "n").toPandas()
     for lang, least in {"de": 0.9, "en": 0.9, "fr": 0.9, "es": 0.4}.items():
