@@ -43,6 +43,8 @@ CONTEXT = {
 AGAINST = r"version|order|invoice|isbn|serial|example"
 BASE_SCORE = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.8, "key": 0.7}
 NEAR = 40
+#: Characters of a block of text in which a span's neighbourhood is looked up, and matches of a run.
+BLOCK, RUN = 1024, 64
 MIN_SCORE = 0.5
 
 
@@ -87,23 +89,66 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(text: Column) -> Column:
+    """The text in parts of BLOCK characters."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _around(blocks: Column, start: Column, end: Column) -> Column:
+    """The NEAR characters before and after a span, from the blocks that hold them: the cost does not grow with the place in the text."""
+
+    def part(a: Column, b: Column) -> Column:
+        k = F.floor(a / BLOCK).cast("int")
+        two = F.concat(F.coalesce(F.get(blocks, k), F.lit("")), F.coalesce(F.get(blocks, k + 1), F.lit("")))
+        return F.substring(two, a - k * BLOCK + 1, b - a)
+
+    first = F.greatest(start - NEAR, F.lit(0))
+    return F.lower(F.concat(part(first, start), F.lit(" "), part(end, end + NEAR)))
+
+
 def _spans(kind: str, text: Column) -> Column:
-    """Array of the valid spans of one kind: start, end, rank of the kind, kind, score."""
+    """Array of the valid spans of one kind: start, end, rank of the kind, kind, score.
+
+    Gaps and matches are summed up to positions in runs of RUN matches, then from run to run, so that a text of many matches does not
+    copy its list of spans once per match.
+    """
     pattern = F.lit(PATTERNS[kind])
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
     rank = KINDS.index(kind)
+    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))
 
-    def add(s: Column, x: Column) -> Column:
-        start = s["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        around = F.lower(F.concat(F.substring(text, F.greatest(start - NEAR + 1, F.lit(1)), F.least(start, F.lit(NEAR))), F.lit(" "), F.substring(text, end + 1, F.lit(NEAR))))
+    def span(blocks: Column, start: Column, hit: Column) -> Column:
+        end = start + F.length(hit)
+        around = _around(blocks, start, end)
         score = F.lit(BASE_SCORE[kind]) + F.when(around.rlike(rf"\b(?:{CONTEXT[kind]})\b"), 0.1).otherwise(0.0) - F.when(around.rlike(rf"\b(?:{AGAINST})\b"), 0.3).otherwise(0.0)
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.round(score, 3).alias("score")))
-        held = F.when(x["hit"].isNull(), False).otherwise(_valid(kind, x["hit"]))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(held, F.concat(s["got"], span)).otherwise(s["got"]).alias("got"))
+        return F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), F.round(score, 3).alias("score"))
+
+    def of_run(blocks: Column, run: Column, at: Column) -> Column:
+        def add(s: Column, x: Column) -> Column:
+            start = s["at"] + F.length(x["gap"])
+            held = F.when(x["hit"].isNull(), False).otherwise(_valid(kind, x["hit"]))
+            got = F.when(held, F.concat(s["got"], F.array(span(blocks, start, x["hit"])))).otherwise(s["got"])
+            return F.struct((s["at"] + size(x)).alias("at"), got.alias("got"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("got")), add)["got"]
+        return F.aggregate(run, F.struct(at.alias("at"), empty.alias("got")), add)["got"]
+
+    def of_runs(v: Column) -> Column:
+        total = lambda run: F.aggregate(run, F.lit(0), lambda t, x: t + size(x))
+        ends = F.aggregate(F.transform(v["runs"], total), F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
+        return _let(F.struct(v["runs"].alias("runs"), v["blocks"].alias("blocks"), ends.alias("ends")), lambda w: F.flatten(F.transform(w["runs"], lambda run, k: of_run(w["blocks"], run, F.get(w["ends"], k)))))
+
+    def cut(pairs: Column) -> Column:
+        n = F.floor((F.size(pairs) - 1) / RUN).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), n), lambda k: F.slice(pairs, k * RUN + 1, F.lit(RUN)))
+        return _let(F.struct(runs.alias("runs"), _blocks(text).alias("blocks")), of_runs)
+
+    found = _let(pairs, cut)
     need = text.rlike(PATTERNS[kind])
     if NEEDS[kind] is not None:
         need = text.contains(NEEDS[kind]) & need
@@ -124,14 +169,25 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     spans = F.array_sort(F.concat(*[_spans(kind, F.col("_t")) for kind in KINDS]))
 
-    def add(s: Column, x: Column) -> Column:
-        inside = x["start"] < s["at"]
-        kept = F.concat(s["out"], F.substring(F.col("_t"), s["at"] + 1, x["start"] - s["at"]), F.lit("["), x["kind"], F.lit("]"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(inside, s["out"]).otherwise(kept).alias("out"))
-
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
-    rest = F.substring(F.col("_t"), done["at"] + 1, F.length("_t"))
-    return base.select("doc_id", F.concat(done["out"], rest).alias("text"))
+    # spans as they are shown: one that begins inside what is hidden already adds its end only
+    def hide(a: Column, x: Column) -> Column:
+        last = F.element_at(a, -1)
+        inside = (F.size(a) > 0) & (x["start"] < F.try_element_at(a, F.lit(-1))["end"])
+        piece = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))
+        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when(inside, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(wider))).otherwise(F.concat(a, F.array(piece)))
+
+    hidden = F.aggregate(spans, F.array().cast("array<struct<start:int,end:int,kind:string>>"), hide)
+
+    def shown(v: Column) -> Column:
+        cut = lambda a, b: F.array_join(F.slice(v["chars"], a + 1, b - a), "")
+        end_before = lambda k: F.when(k > 0, F.get(v["hidden"], k - 1)["end"]).otherwise(0)
+        parts = F.transform(v["hidden"], lambda x, k: F.concat(cut(end_before(k), x["start"]), F.lit("["), x["kind"], F.lit("]")))
+        return F.concat(F.array_join(parts, ""), cut(end_before(F.size(v["hidden"])), F.size(v["chars"])))
+
+    chars = F.regexp_extract_all(F.col("_t"), F.lit("(?s)."), F.lit(0))
+    text = F.when(F.size(spans) == 0, F.col("_t")).otherwise(_let(F.struct(hidden.alias("hidden"), chars.alias("chars")), shown))
+    return base.select("doc_id", text.alias("text"))
 
 
 def _joined(spans: Column) -> Column:
