@@ -1,10 +1,15 @@
 """Sharding, language ID and main-text extraction."""
 
+import itertools
 import re
 import zlib
+from collections import Counter, defaultdict
 from html import unescape
+from math import exp, log, prod
 
 import pytest
+import regex
+import xxhash
 
 from latticework.llm import html_extract, language_id, sharding
 
@@ -35,6 +40,45 @@ def test_sharding(spark, sf_dir, tmp_path, monkeypatch):
     sharding.write(docs.limit(0), str(tmp_path / "none"), shards=5)
 
 
+def spark_hash(*values):
+    """Spark's xxhash64: each value seeds the next, nulls do not count; ints come as (value, 4), longs as (value, 8)."""
+    h = 42
+    for v in values:
+        if v is None:
+            continue
+        raw = v.encode() if isinstance(v, str) else int(v).to_bytes(4, "little", signed=True) if isinstance(v, bool) else v[0].to_bytes(v[1], "little", signed=True)
+        h = xxhash.xxh64_intdigest(raw, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def test_sharding_replayed(spark, tmp_path, monkeypatch):
+    """Placement against a plain replay: hash, bucket, order, Fisher-Yates; half of all rows are equal, and some have nulls."""
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(sharding, "RUN", 100)
+    rows = [(k, f"text {k} " * 4, f"s{k % 3}") for k in range(900)] + [(7, "the same", "x")] * 1200 + [(None, None, "y")] * 5 + [(3, "few", None)] * 8 + [(3, None, "few")] * 12
+    docs = spark.createDataFrame(rows, "doc_id long, shard string, slot string").withColumnRenamed("shard", "text")
+    buckets = sharding.bucket_count(docs)
+    assert buckets > 5
+    held = {}
+    for row, n in Counter(rows).items():
+        parts = [x for v, kind in zip(row, "lss") for x in ((v, 8) if kind == "l" and v is not None else v, v is None)]
+        k, k2 = spark_hash((sharding.SEED, 4), *parts), spark_hash((~sharding.SEED, 4), *parts)
+        for copy in range(n):
+            own = k if copy == 0 or n <= sharding.COPIES else spark_hash((k, 8), (copy, 8))
+            held.setdefault(own % buckets, []).append((own, k2, row))
+    assert max(map(len, held.values())) < 2 * len(rows) / buckets
+    want, at = Counter(), 0
+    for b in sorted(held):
+        own = sorted(held[b], key=lambda x: x[:2])
+        for place, k in enumerate(sharding.fisher_yates(len(own), sharding.SEED * 1_000_003 + b)):
+            want[(*own[k][2], (at + place) % 5, (at + place) // 5)] += 1
+        at += len(own)
+    sharding.write(docs.repartition(6), str(tmp_path / "r"), shards=5)
+    got = sharding.read(spark, str(tmp_path / "r"))
+    assert got.columns == ["doc_id", "text", "slot", "slot_", "shard"]
+    assert Counter((r.doc_id, r.text, r.slot, r.shard, r.slot_) for r in got.collect()) == want
+
+
 def test_fisher_yates():
     seen = {tuple(sharding.fisher_yates(3, s)) for s in range(200)}
     assert len(seen) == 6
@@ -58,6 +102,57 @@ def test_language_held_out(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def plain_language(rows, text):
+    """Language and score by dictionaries: words first, else the mean of the longest known n-grams."""
+    langs = sorted({x for x, _, _ in rows})
+    words, grams = defaultdict(Counter), [defaultdict(lambda: defaultdict(float)) for _ in range(5)]
+    for lang, word, n in rows:
+        words[word][lang] += n
+    of = lambda w, k: [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)] if k > 1 else list(w)
+    for word, n in words.items():
+        for k in range(1, 5):
+            for g in of(word, k):
+                for x in langs:
+                    grams[k][g][x] += n[x] ** 0.5
+
+    def logs(table):
+        total = {x: sum(c[x] for c in table.values()) for x in langs}
+        out = {}
+        for name, c in table.items():
+            v = [log((c[x] + 0.5) / (total[x] + 0.5 * len(table))) for x in langs]
+            out[name] = [y - max(v) for y in v]
+        return out
+
+    known, parts = logs(words), [logs(g) for g in grams]
+    found = regex.findall(r"\p{L}+", text.lower()) if text else []
+    if not found:
+        return "und", 0.0
+    total = [0.0] * len(langs)
+    for w in found:
+        if w in known:
+            v = known[w]
+        else:
+            v = [0.0] * len(langs)
+            for k in range(4, 0, -1):
+                own = [parts[k][g] for g in of(w, k) if g in parts[k]]
+                if own:
+                    v = [2 * sum(x) / len(own) for x in zip(*own)]
+                    break
+        total = [a + b for a, b in zip(total, v)]
+    p = [exp(x / len(found) * min(len(found), language_id.SURE)) for x in total]
+    best = p.index(max(p))
+    return langs[best], p[best] / sum(p)
+
+
+def test_language_against_dictionaries(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").limit(60)
+    rows = [(d.lang, w, 1) for d in docs.where("doc_id % 2 = 0").collect() if d.lang and d.text for w in regex.findall(r"\p{L}+", d.text.lower())]
+    model = language_id.fit(docs.where("doc_id % 2 = 0"))
+    for r in language_id.predict(docs, model).join(docs, "doc_id").collect():
+        lang, score = plain_language(rows, r.text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame(
         [(k, t, x) for k, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et la maison", "fr"), (None, "en"), ("12 .. !", None), ("THE", None), ("zzqxj", None), ("la " * 50000, None), ("", "fr")])],
@@ -118,6 +213,52 @@ def test_broken_markup(model):
     assert model.extract(long) == "\n\n".join([STORY] * 3000)
 
 
+def enumerated(m, page):
+    """Content marginals by summing over all labellings of the tree."""
+    n = len(page.tag)
+    odds = [max(-30.0, min(30.0, sum(m.odds.get(f, 0.0) for f in html_extract.features(page, k)))) for k in range(n)]
+    moves = [m.move[html_extract.kind_of(page, k)] for k in range(n)]
+    content, whole = [0.0] * n, 0.0
+    for y in itertools.product((0, 1), repeat=n):
+        weight = (0.01 if y[0] else 1.0) * prod(exp(o) for o, x in zip(odds, y) if x)
+        weight *= prod(moves[k][2 * y[page.parent[k]] + y[k]] for k in range(1, n))
+        whole += weight
+        content = [c + weight * x for c, x in zip(content, y)]
+    return [c / whole for c in content]
+
+
+@pytest.mark.parametrize("source", ["<p>a", f"<body><nav><a href=x>Home</a></nav><div><p>{STORY}</p><p>x</p></div></body>", f"<div class=post><h1>T</h1>{STORY}<div class=ad>Buy</div><ul><li>a<li>b</ul></div>", f"<article><p>{STORY}</article><footer>c</footer>"])
+def test_messages_against_enumeration(model, source):
+    page = html_extract.parse(source)
+    assert len(page.tag) <= 14
+    for a, b in zip(model.marginals(page), enumerated(model, page)):
+        assert abs(a - b) < 1e-9
+
+
+def unmarked(source):
+    """The page without the marks that labels come from: no <article> or <main>, no class, id or role."""
+    return re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", re.sub(r"<(/?)(?:article|main)\b", r"<\1div", source))
+
+
+def test_fit_and_test_pages_differ(spark):
+    """Fitted on half of the pages, read on the other half, as they are and without any mark of the main text; against no fitting at all."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    fitted, prior = html_extract.fit(pages.where("page_id % 2 = 0")), html_extract.fit(pages.limit(0))
+    other = [r.html for r in pages.where("page_id % 2 = 1").collect()]
+    assert sum(fitted.extract(x) == article(x) for x in other) >= 0.99 * len(other)
+
+    def shared_words(m):
+        hit = all_ = 0
+        for x in other:
+            got, want = Counter(m.extract(unmarked(x)).split()), Counter(article(x).split())
+            hit += 2 * (got & want).total()
+            all_ += got.total() + want.total()
+        return hit / all_
+
+    print("F1 of words without marks: fitted", shared_words(fitted), "pseudo-counts only", shared_words(prior))
+    assert shared_words(fitted) >= max(0.8, shared_words(prior) - 0.02)
+
+
 def test_pages_edges(spark, model):
     pages = spark.createDataFrame([(1, None, "x"), (1, "<p>a</p>", "x"), (None, "", None)], "page_id long, html string, kind string")
     assert html_extract.extract(pages, model).count() == 3
