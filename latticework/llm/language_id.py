@@ -5,8 +5,8 @@ rim marked) of those words. A known word adds its log frequencies; an unseen wor
 4-grams, or, if it has none, 3-grams, and so on. The language with the highest sum wins; the score is its share
 after a softmax of the mean per word, scaled by at most `SURE` words.
 
-Bounds (documented parameters): the model is fitted on about `FIT_DOCS` labelled documents, chosen by hash, and keeps the
-`FIT_WORDS` most frequent (language, word) rows; so what is broadcast has a fixed size. Prediction reads whole texts.
+Bound (a documented parameter): the model is fitted on about `FIT_DOCS` labelled documents, chosen by hash, and knows all their words;
+so what is broadcast does not grow with the corpus. Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null lang is not learned; no labelled
 documents at all give `und` for all; repeated rows and null ids give a row each; other columns are not read.
@@ -26,8 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-FIT_DOCS = 20_000
-FIT_WORDS = 120_000
+FIT_DOCS = 6_000
 LONGEST = 4
 SURE = 12
 #: Entries of a task's table of unseen words.
@@ -93,8 +92,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = min(1.0, FIT_DOCS / max(n, 1))
     chosen = labelled.where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     words = chosen.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = words.groupBy("lang", "word").count().orderBy(F.desc("count"), "lang", "word").limit(FIT_WORDS)
-    return Model([(r["lang"], r["word"], r["count"]) for r in counts.collect()])
+    rows = words.groupBy("lang", "word").count().toArrow().sort_by([("word", "ascending"), ("lang", "ascending")])
+    return Model(list(zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows["count"].to_pylist())))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
