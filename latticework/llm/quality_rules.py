@@ -52,7 +52,7 @@ def fit_terms(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     return sorted(r["word"] for r in found.collect())
 
 
-def _one_of(words: list[str]) -> str:
+def _tree_of(words: list[str]) -> str:
     """Pattern of the words as a prefix tree, so that a scan reads each start of a word once."""
     tree: dict = {}
     for w in words:
@@ -65,7 +65,7 @@ def _one_of(words: list[str]) -> str:
         parts = [c + of(node[c]) for c in sorted(node, reverse=True)]
         return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
 
-    return rf"(?<!\p{{L}})(?:{of(tree)})(?!\p{{L}})"
+    return f"(?:{of(tree)})"
 
 
 def _rules() -> list[tuple[str, Column]]:
@@ -108,16 +108,13 @@ def _without(text: Column, chars: str) -> Column:
 def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", terms: list[str] | None = None) -> DataFrame:
     """The measurements of each document; one row per input row. `terms`: lower-case toxic words to count."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), words_of(F.col(text_col)).alias("_w"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("_t"), F.lower(text).alias("_lower"), words_of(F.col(text_col)).alias("_w"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.length(F.trim(x, F.lit(SPACES))) > 0)
     # every word is hashed once; a window combines the numbers of its words
     hashed_words = F.transform("_w", lambda w: F.xxhash64(w))
     places = F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1))
     windows = F.get(F.transform(F.array(hashed_words), lambda h: F.transform(places, lambda i: F.xxhash64(F.slice(h, i, WINDOW)))), F.lit(0))
     windows = F.when(F.size("_w") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>"))
-    known = F.lit(False)
-    for x in INSULTS:
-        known = known | F.lower(F.col("_t")).contains(x)
     counted = base.select(
         "doc_id",
         F.size("_w").cast("long").alias("n_words"),
@@ -127,8 +124,8 @@ def measure(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", ter
         windows.alias("_h"),
         F.size(F.filter("_w", lambda w: (F.upper(w) == w) & (F.lower(w) != w) & (F.length(w) > 1))).cast("long").alias("n_upper_words"),
         F.size(F.filter("_w", lambda w: F.upper(w) == F.lower(w))).cast("long").alias("n_no_letter_words"),
-        F.when(known, F.regexp_count(F.lower(F.col("_t")), F.lit(rf"\b(?:{'|'.join(INSULTS)})\b"))).otherwise(0).cast("long").alias("n_insults"),
-        (F.regexp_count(F.lower(F.col("_t")), F.lit(_one_of(terms))) if terms else F.lit(0)).cast("long").alias("n_terms"),
+        F.regexp_count("_lower", F.lit(rf"\b{_tree_of(list(INSULTS))}\b")).cast("long").alias("n_insults"),
+        (F.regexp_count("_lower", F.lit(rf"(?<!\p{{L}}){_tree_of(terms)}(?!\p{{L}})")) if terms else F.lit(0)).cast("long").alias("n_terms"),
     )
     # only documents with an equal pair of windows sort them
     again = F.size(F.array_distinct("_h")) < F.size("_h")
