@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows and exact weighted-shingle similarity.
 
-Every benchmark item has a 64-bit SimHash of its weighted five-word shingles. Every window of a document as long as an
-item has one too. The item fingerprints are indexed in `RADIUS + 1` bit blocks: two fingerprints within the radius agree
-in at least one block, so the look-up finds all items within the radius. A candidate is confirmed if the exact
-weighted Jaccard similarity of the two shingle bags is at least the threshold.
+Every benchmark item has a 128-bit SimHash of its weighted five-word shingles. Every window of a document as long as an
+item has one too. The item fingerprints are indexed by `BLOCKS` blocks of two bits: each differing bit spoils one block at most, so
+fingerprints within `RADIUS` agree in at least BLOCKS - RADIUS = 30 of 64 blocks, and looking up all blocks and counting
+finds every item within the radius; unlike fingerprints agree in about 16 (see the test for how many pass). A candidate
+is confirmed if the exact weighted Jaccard similarity of the two shingle bags is at least the threshold.
 
 Windows that cannot reach the threshold are not fingerprinted: weights lie in [1, 2], so a window needs item shingles at
 `threshold / 2` of its places at least. This loses nothing.
@@ -18,7 +19,7 @@ Words are runs of letters and digits with capitals folded, so case and punctuati
 
 Defined results: null and empty texts are clean; an item without words matches nothing; an item of one to four words has one
 shingle of all its words and is compared with windows of as many words; repeated rows and a null doc_id give a
-row each; other columns are not read.
+row each; other columns are kept, and the new column `hits` gets `_` added until its name is free.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles as S
-from .common import table
+from .common import free_name, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RADIUS = 18
+RADIUS = 34
+BLOCKS = 64
 MAX_INDEX_ITEMS = 20_000
 MAX_INDEX_CHARS = 16_000_000
 
@@ -59,16 +61,11 @@ class Index:
                 self.words.append(len(h))
         self.known, df = np.unique(np.concatenate([np.unique(b) for b in self.bags]) if self.bags else np.zeros(0, np.uint64), return_counts=True)
         self.shared = (self.known[df > 1], df[df > 1].astype(np.int32)) if shared is None else shared
-        self.prints = np.array([self.fingerprint(b) for b in self.bags], np.uint64)
+        self.prints = np.array([self.fingerprint(b) for b in self.bags], np.uint64).reshape(-1, 2)
         self.words = np.array(self.words, np.int64)
-        cuts = np.linspace(0, 64, radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:])]
         self.by_size = {int(n): np.flatnonzero(self.words == n) for n in np.unique(self.words)}
         # per size and block: which of the size's items have a block value
-        self.tables = {
-            n: [((self.prints[own] >> shift) & mask)[None, :] == np.arange(int(mask) + 1, dtype=np.uint64)[:, None] for shift, mask in self.blocks]
-            for n, own in self.by_size.items()
-        }
+        self.tables = {n: (self.block_values(self.prints[own]).T[:, None, :] == np.arange(4, dtype=np.uint8)[None, :, None]).astype(np.uint8) for n, own in self.by_size.items()}
         # per known shingle, the items that have it
         each = [np.unique(b) for b in self.bags]
         shingle = np.searchsorted(self.known, np.concatenate(each) if each else self.known)
@@ -95,16 +92,36 @@ class Index:
         return out
 
     def signs(self, bag: np.ndarray) -> np.ndarray:
-        """Weighted +1 / -1 per bit, a row of 64 per shingle, in 1/64 units so that sums are exact."""
-        bits = np.unpackbits(bag.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        """Weighted +1 / -1 per bit, a row of 128 per shingle, in 1/64 units so that sums are exact."""
+        both = np.stack([bag, S.mix(bag ^ np.uint64(0x2545F4914F6CDD1D))], axis=1).astype("<u8")
+        bits = np.unpackbits(both.view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").astype(np.int32)
         return (2 * bits - 1) * np.round(self.weight(bag) * 64).astype(np.int32)[:, None]
 
     @staticmethod
     def pack(sums: np.ndarray) -> np.ndarray:
-        return np.packbits(sums > 0, axis=-1, bitorder="little").view("<u8").reshape(sums.shape[:-1])
+        """Two 64-bit halves of each fingerprint."""
+        return np.packbits(sums > 0, axis=-1, bitorder="little").view("<u8")
 
-    def fingerprint(self, bag: np.ndarray) -> int:
-        return int(self.pack(self.signs(bag).sum(0)[None])[0])
+    def fingerprint(self, bag: np.ndarray) -> np.ndarray:
+        return self.pack(self.signs(bag).sum(0)[None])[0]
+
+    @staticmethod
+    def block_values(prints: np.ndarray) -> np.ndarray:
+        """The two bits of each block, a row of BLOCKS per fingerprint."""
+        bits = np.unpackbits(np.ascontiguousarray(prints).astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+        return bits[:, ::2] | bits[:, 1::2] << 1
+
+    def candidates(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (window position, item position) that agree in enough blocks; all within the radius are among them."""
+        table_, found = self.tables[size], [(np.zeros(0, int), np.zeros(0, int))]
+        for p in range(0, len(prints), 256):
+            values = self.block_values(prints[p : p + 256])
+            agree = np.zeros((len(values), table_.shape[2]), np.uint8)
+            for block in range(BLOCKS):
+                agree += table_[block, values[:, block]]
+            w, i = np.nonzero(agree >= BLOCKS - self.radius)
+            found.append((w + p, self.by_size[size][i]))
+        return np.concatenate([w for w, _ in found]), np.concatenate([i for _, i in found])
 
     def similarity(self, a: np.ndarray, b: np.ndarray) -> float:
         """Weighted Jaccard similarity of two shingle bags."""
@@ -115,16 +132,9 @@ class Index:
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (window position, item position) within the radius, through the block tables."""
-        own, found = self.by_size[size], []
-        for p in range(0, len(prints), 256):
-            part = prints[p : p + 256]
-            agree = np.zeros((len(part), len(own)), bool)
-            for (shift, mask), table_ in zip(self.blocks, self.tables[size]):
-                agree |= table_[((part >> shift) & mask).astype(np.int64)]
-            w, i = np.nonzero(agree)
-            ok = np.bitwise_count(part[w] ^ self.prints[own[i]]) <= self.radius
-            found.append((w[ok] + p, own[i[ok]]))
-        return np.concatenate([w for w, _ in found]), np.concatenate([i for _, i in found])
+        w, i = self.candidates(size, prints)
+        ok = np.bitwise_count(prints[w] ^ self.prints[i]).sum(1, dtype=np.int64) <= self.radius
+        return w[ok], i[ok]
 
     def matches(self, texts: pa.Array) -> list[list[tuple[int, float, int, int]]]:
         """The hits of each text; texts without any item shingle are passed over."""
@@ -159,7 +169,7 @@ class Index:
             lo, hi = int(starts[0]), int(starts[-1]) + n
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1) if hi - lo > 4 * n else [starts]:
                 lo, hi = int(part[0]), int(part[-1]) + n
-                sums = np.zeros((hi - lo + 1, 64), np.int64)
+                sums = np.zeros((hi - lo + 1, 128), np.int32)
                 np.cumsum(self.signs(bag[lo:hi]), axis=0, out=sums[1:])
                 prints = self.pack(sums[part - lo + n] - sums[part - lo])
                 for w, i in zip(*self.near(size, prints)):
@@ -206,24 +216,23 @@ def _shared(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], rows.column("df").to_numpy()[order]
 
 
-def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, radius: int = RADIUS) -> DataFrame:
-    """All input columns plus `hits`: item_id, similarity, start and length (in words) of each matched passage."""
-    items = bench.select(F.col(bench.columns[0]).alias("item_id"), F.col("text"))
+def find(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, radius: int = RADIUS, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """All input columns plus, as the last one, `hits`: item_id, similarity, start and length (in words) of each matched passage."""
+    items = bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     slices = _slices(items, "item_id", "text")
-    out = docs
     names = list(docs.columns)
+    hits = free_name(names, "hits")
     struct = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType())]))
-    if slices > 1:
-        out = out.withColumn("__hits", F.array().cast(struct))
+    out = docs.withColumn(hits, F.array().cast(struct)) if slices > 1 else docs
     shared = _shared(items) if slices > 1 else None
     for k in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k).orderBy("item_id").collect()
         index = bench.sparkSession.sparkContext.broadcast(Index([r.item_id for r in rows], [r.text or "" for r in rows], radius, threshold, shared))
-        out = _one_pass(out, index, text_col, names, struct)
-    return out.withColumnRenamed("__hits", "hits")
+        out = _one_pass(out, index, text_col, names, hits, struct)
+    return out
 
 
-def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: T.DataType) -> DataFrame:
+def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], hits: str, struct: T.DataType) -> DataFrame:
     at = docs.columns.index(text_col)
     n = len(names)
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("length", pa.int32())]))
@@ -231,12 +240,12 @@ def _one_pass(docs: DataFrame, index, text_col: str, names: list[str], struct: T
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index.value
         for b in (part for whole in it for part in S.slices(whole, at)):
-            found = [[dict(zip(("item_id", "similarity", "start", "length"), h)) for h in hits] for hits in own.matches(b.column(at))]
+            found = [[dict(zip(("item_id", "similarity", "start", "length"), h)) for h in each] for each in own.matches(b.column(at))]
             if b.num_columns > n:
                 found = [(old or []) + new for old, new in zip(b.column(n).to_pylist(), found)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], [*b.schema.names[:n], "__hits"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(found, kind)], [*b.schema.names[:n], hits])
 
-    fields = docs.select(*names).schema.add("__hits", struct)
+    fields = docs.select(*names).schema.add(hits, struct)
     return docs.mapInArrow(batches, fields)
 
 
@@ -254,4 +263,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return find(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    found = find(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)

@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
 from latticework.llm import decontaminate
 
 
@@ -44,10 +46,10 @@ def test_against_all_windows(spark, sf_dir, monkeypatch):
             for _ in range(k):
                 v[rng.choice([0, 1, len(v) - 1])] = "other"
             texts.append("intro words here " + " ".join(v) + " and then more")
-    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, hits string").drop("hits").repartition(3)
+    docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, hits string").repartition(3)
     for slices in (1, 3):
         monkeypatch.setattr(decontaminate, "MAX_INDEX_ITEMS", 20_000 if slices == 1 else 15)
-        got = {r.doc_id: {h.item_id: h.similarity for h in r.hits} for r in decontaminate.find(docs, bench).collect()}
+        got = {r.doc_id: {h.item_id: h.similarity for h in r.hits_} for r in decontaminate.find(docs, bench).collect()}
         assert len(got) == len(texts)
         missed = 0
         for k, t in enumerate(texts):
@@ -61,6 +63,44 @@ def test_against_all_windows(spark, sf_dir, monkeypatch):
         assert missed == 0
 
 
+def test_blocks_find_all_within_the_radius_and_little_else():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 40)) for _ in range(300)]
+    index = decontaminate.Index(list(range(300)), texts)
+    size = 40
+    random_prints = rng.integers(0, 1 << 63, (2000, 2), dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, (2000, 2), dtype=np.uint64)
+    w, _ = index.candidates(size, random_prints)
+    assert len(w) < 0.001 * len(random_prints) * len(texts)
+    near, want = [], set()
+    for k in range(600):  # prints at every distance up to a little more than the radius
+        p = index.prints[k % 300].copy()
+        for bit in rng.choice(128, k % (decontaminate.RADIUS + 4), replace=False):
+            p[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        near.append(p)
+    near = np.array(near)
+    for k in range(len(near)):
+        d = np.bitwise_count(index.prints ^ near[k]).sum(1)
+        want |= {(k, int(i)) for i in np.flatnonzero(d <= decontaminate.RADIUS)}
+    w, i = index.near(size, near)
+    assert set(zip(w.tolist(), i.tolist())) == want and len(want) > 500
+
+
+def test_columns_by_name(spark):
+    bench = spark.createDataFrame([("alpha beta gamma delta epsilon zeta eta", 5, "x")], "question string, no int, item_id string")
+    docs = spark.createDataFrame([("h", "so alpha beta gamma delta epsilon zeta eta it is", 3), (None, "other words", 4)], "hits string, body string, item_id int")
+    got = decontaminate.find(docs, bench, text_col="body", item_col="no", item_text_col="question")
+    assert got.columns == ["hits", "body", "item_id", "hits_"]
+    assert sorted((r.item_id, [h.item_id for h in r.hits_]) for r in got.collect()) == [(3, [5]), (4, [])]
+    own = docs.withColumnRenamed("body", "text")
+    real = spark.createDataFrame([(9, "alpha beta gamma delta epsilon zeta eta")], "item_id long, text string")
+    monkey = decontaminate.table
+    try:
+        decontaminate.table = lambda *_: real
+        assert [r.item_id for r in decontaminate.stage(spark, own, "").collect()] == [4]
+    finally:
+        decontaminate.table = monkey
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "a tiny item here"), (1, "a tiny item here"), (None, "x " * 50000), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "Tiny item"), (8, None), (9, "")], "item_id long, text string")
