@@ -8,12 +8,12 @@ text if its content marginal is at least `CUT`.
 Training: pages that mark their main text with one <article>, <main> or role="main" label their own nodes; everything
 inside is content, but for nested menus, headers of the page, forms, adverts and comments. Each page counts twice, once with
 those tags read as plain <div>, so that the model also learns from the other features. Counts are aggregated in Spark over
-about `FIT_PAGES` labelled pages, chosen by hash (a documented bound), on top of the pseudo-counts in PRIOR.
+about `FIT_PAGES` labelled pages, chosen by hash (a documented bound); only the word lists of class, id and role have pseudo-counts of weight.
 
 Text: character references decoded, white space inside a block made one space, blocks joined by an empty line.
 
-Defined results: a null or empty page gives an empty text; text outside any element belongs to the root; a table without labelled pages leaves the
-pseudo-counts alone; repeated rows and null ids give a row each; other columns are not read.
+Defined results: a null or empty page gives an empty text; text outside any element belongs to the root; without labelled pages only the word lists
+speak, so that text without them is left out; repeated rows and null ids give a row each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 FIT_PAGES = 2_000
 CUT = 0.5
@@ -68,12 +68,9 @@ ENDS = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in RAW}
 #: Largest absolute log odds of a feature of each group: what one corpus has by chance must not rule.
 MOST = {"kw": 8.0, "tag": 3.0, "run": 2.5, "links": 3.0, "stop": 1.5, "mark": 3.0}
 
-#: Pseudo-counts: feature, content, other.
-PRIOR = {
-    "kw:against": (0.05, 300), "kw:for": (200, 2), "tag:nav": (0.1, 20), "tag:footer": (0.1, 20), "tag:header": (0.5, 10), "tag:aside": (0.1, 20), "tag:form": (0.1, 20),
-    "tag:article": (20, 0.5), "tag:main": (20, 0.5), "tag:p": (30, 8), "tag:h1": (8, 3), "tag:h2": (8, 3), "tag:blockquote": (8, 1), "tag:pre": (8, 1), "tag:head": (0.01, 30),
-    "tag:button": (0.1, 10), "tag:select": (0.1, 10), "tag:option": (0.1, 10), "tag:li": (30, 8), "tag:ul": (30, 8), "tag:ol": (30, 8), "tag:div": (20, 20), "tag:section": (10, 10), "links:most": (1, 12), "links:none": (30, 12), "stop:yes": (25, 8),
-}
+#: Pseudo-counts of the two word lists (content, other): they stand for words of class, id and role that the fitting pages lack. Tags,
+#: lengths, links and marks have none: what they say is learned.
+PRIOR = {"kw:against": (0.05, 300), "kw:for": (200, 2)}
 
 #: Kinds of nodes and pseudo-counts of their labels, by the parent's label: a run of text follows its element, a paragraph
 #: its box, a box may differ, a marked element decides for itself.
@@ -331,8 +328,9 @@ def fit(pages: DataFrame, html_col: str = "html") -> Model:
 
 
 def extract(pages: DataFrame, model: Model, html_col: str = "html", text_as: str = "text") -> DataFrame:
-    """The input without its html, with the main text."""
+    """The input without its html, with the main text; text_as gets `_` added until it is free."""
     names = [c for c in pages.columns if c != html_col]
+    text_as = free_name(names, text_as)
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
