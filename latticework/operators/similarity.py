@@ -90,18 +90,32 @@ def top_matches(evals: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id"
 
 
 def nearest_hash(evals: DataFrame, corpus: DataFrame, key: str = "vec_id", order: str = "frame_idx") -> DataFrame:
-    """The corpus frame of least Hamming distance for each evaluation frame; partial aggregation, no sort.
+    """The corpus frame of least Hamming distance, other than itself, for each evaluation frame: eval_id, key, distance.
 
-    Slices of the evaluation side are broadcast (their size is bounded), so this is a stated query set against all rows.
+    A stated query set against all rows, in blocks: slices of the evaluation side are broadcast (their size is bounded), every Arrow batch
+    of the corpus emits its nearest row per evaluation frame, an aggregation keeps the nearest of all.
     """
     out = None
     for part in _slices(evals, key):
-        e = part.select(F.col(key).alias("eval_id"), F.col("phash").alias("_e"))
-        j = corpus.select(key, order, "phash").join(F.broadcast(e), F.col(key) != F.col("eval_id"))
-        near = j.groupBy("eval_id").agg(F.min_by(F.struct(F.col(key), hamming("phash", "_e").alias("d")), F.struct(hamming("phash", "_e"), F.col(order))).alias("_r"))
-        near = near.select("eval_id", F.col(f"_r.{key}").alias(key), F.col("_r.d").alias("distance"))
+        rows = part.select(key, "phash").orderBy(key).collect()
+        shared = evals.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own_ids, own = shared.value
+            for pdf in batches:
+                for a in range(0, len(pdf), 4096):
+                    c = pdf.iloc[a : a + 4096].sort_values(order, kind="stable")  # of equal distances the first one in order counts
+                    names = c[key].to_numpy()
+                    far = np.bitwise_count((own[:, None] ^ c.phash.to_numpy()[None, :]).view(np.uint64)).astype(np.int64)
+                    far[own_ids[:, None] == names[None, :]] = 65
+                    at = far.argmin(1)
+                    best = pd.DataFrame({"eval_id": own_ids, key: names[at], "distance": far[np.arange(len(at)), at], "place": c[order].to_numpy()[at]})
+                    yield best[best.distance < 65]
+
+        near = corpus.select(key, F.col(order).cast("long").alias(order), "phash").mapInPandas(run, f"eval_id long, {key} long, distance long, place long")
         out = near if out is None else out.unionByName(near)
-    return out
+    best = out.groupBy("eval_id").agg(F.min_by(F.struct(key, "distance"), F.struct("distance", "place", key)).alias("_r"))
+    return best.select("eval_id", f"_r.{key}", "_r.distance")
 
 
 def within_hamming(a: DataFrame, b: DataFrame, radius: int, key: str = "vec_id", bits: int = 64) -> DataFrame:
