@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import dice
 from ..functions.kernels import decimate
+from ..functions.ordered import before, sliced
 from ..functions.store import stored
 from ..functions.walk import walk
 
@@ -280,12 +281,15 @@ def split_report(parts: DataFrame) -> DataFrame:
 def balanced_sample(frames: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """N draws with replacement, each a uniform scan and then a uniform frame of it; draws are hashes of (seed, draw), so retries agree.
 
-    Scans are numbered by a window over the distinct scans only; frames by a window within their scan.
+    Scans are numbered by a window over the distinct scans only; frames by ranges of their scan, so that a very long scan is not one task.
     """
     spark = frames.sparkSession
-    sizes = frames.groupBy("scan").agg(F.count(F.lit(1)).alias("n"))
+    rows = sliced(frames.select("key", "scan", "frame_idx", "ord"), ["scan"], [F.col("frame_idx"), F.col("ord")], "balanced")
+    sizes = rows.groupBy("scan").agg(F.count(F.lit(1)).alias("n"))
     numbered = sizes.withColumn("scan_no", F.row_number().over(Window.orderBy("scan")) - 1)
-    frame_no = frames.withColumn("frame_no", F.row_number().over(Window.partitionBy("scan").orderBy("frame_idx", "ord")) - 1)
+    offsets = before(rows, ["scan"], {"_o": F.count(F.lit(1))})
+    inside = F.row_number().over(Window.partitionBy("scan", "_slice").orderBy("frame_idx", "ord"))
+    frame_no = rows.join(offsets, ["scan", "_slice"]).withColumn("frame_no", (inside + F.col("_o") - 1).cast("int")).drop("_slice", "_o")
     scans = sizes.count()
     draws = spark.range(n).select(F.col("id").alias("draw"), F.floor(dice(seed, "id") * max(scans, 1)).cast("int").alias("scan_no"))
     picked = draws.join(numbered, "scan_no").withColumn("frame_no", F.floor(dice(seed + 1, "draw") * F.col("n")).cast("int"))

@@ -99,6 +99,16 @@ def report(s, d):
     return s.read.csv(path, header=True, schema="eval_id long, vec_id long, score double, leak boolean")
 
 
+def corpus_pixels(s, d):
+    """Kept frames, resized, written in the order of scan and frame, and read back."""
+    g = V.grids(s, d)
+    frames = g.select(F.concat(F.lit("k"), "vec_id").alias("key"), F.concat(F.lit("bt"), F.col("vec_id") % 5, F.lit("/s"), F.col("vec_id") % 11).alias("scan"), F.col("vec_id").cast("int").alias("frame_idx"), "h", "w", "pixels")
+    keep = g.select(F.concat(F.lit("k"), "vec_id").alias("key"), (F.col("vec_id") % 3 == 0).alias("keep"))
+    path = folder(s, "corpus")
+    S.write_corpus(S.corpus(frames, keep, 16, 32), path)
+    return s.read.parquet(path).select("key", "scan", "beamtime", "frame_idx", "h", "w", _sum("pixels").alias("total"))
+
+
 def coco(s, d):
     """A document per image with its annotations."""
     a = V.boxes(s, d)
@@ -203,6 +213,7 @@ PLANS = {
     "s6_manifest": (manifest, f"SELECT keep, reason, scan, frame_idx, key FROM ({_B})"),
     "s7_keep_list": (keep_list, f"SELECT key FROM ({_B}) WHERE keep"),
     "s8_report": (report, similarity.PLANS["j7_combined_leaks"][1]),
+    "s9_corpus_pixels": (corpus_pixels, f"WITH {V.GRIDS} SELECT 'k'||vec_id AS key, 'bt'||(vec_id % 5)||'/s'||(vec_id % 11) AS scan, 'bt'||(vec_id % 5) AS beamtime, vec_id::INTEGER AS frame_idx, 16 AS h, 32 AS w, 8 * list_sum(g)::BIGINT AS total FROM grids WHERE vec_id % 3 = 0"),
     "s10_coco": (coco, f"""WITH {V.BOXES} SELECT image_id, 'i'||image_id||'.jpg' AS file_name, 400 AS width, 500 AS height, image_id * 100 + det AS ann_id, label + 1 AS category_id, x1 AS x, y1 AS y, x2-x1 AS w, y2-y1 AS h, (x2-x1)*(y2-y1) AS area, (CASE WHEN qty % 3 > 0 THEN qty % 3 - 1 ELSE 0 END)::INTEGER AS iscrowd FROM boxes"""),
     "s10_panoptic": (panoptic, f"WITH {V.BOXES} SELECT image_id, 'i'||image_id AS stem, 400 AS width, 500 AS height, det AS segment_id, label AS category_id, 0 AS iscrowd, qty AS area FROM boxes"),
     "s11_image_tsv": (image_tsv, f"WITH {V.GRIDS} SELECT 'k'||vec_id AS key, CASE WHEN vec_id % 9 > 0 THEN (vec_id % 9)::INTEGER END AS label, md5(unhex(array_to_string(list_transform(g, lambda x: printf('%02X', x)), ''))) AS md5 FROM grids"),
