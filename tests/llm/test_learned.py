@@ -258,3 +258,9 @@ def test_pages_edges(spark, model):
     assert html_extract.extract(pages, model).count() == 3
     assert html_extract.extract(pages.limit(0), model).count() == 0
     html_extract.fit(pages.limit(0))
+
+
+def test_names_that_are_taken(spark, model):
+    pages = spark.createDataFrame([(1, f"<article><p>{STORY}</p></article>", "mine")], "page_id long, html string, text string")
+    (row,) = html_extract.extract(pages, model).collect()
+    assert (row.text, row.text_) == ("mine", STORY)

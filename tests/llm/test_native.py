@@ -210,3 +210,13 @@ def test_line_dedup_leaves_no_stubs(spark):
     texts = ["\n".join([long[0], "Les.", long[1], "All rights reserved."])] * 2 + ["Les.\nOf.", long[0] + "\nLes.\nits own line of some words"]
     kept = {r.doc_id: r.text for r in line_dedup.stage(spark, frame(spark, texts), "").collect()}
     assert kept == {0: texts[0], 2: texts[2], 3: "Les.\nits own line of some words"}
+
+
+def test_line_dedup_with_clashing_names(spark):
+    often = "a line of several words that recurs in other documents"
+    rows = [(k, f"{often}\nown words of document number {'abc'[k]}", k, k + 1, ["x"], 5 + k, True) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d long, m long, lines array<string>, n_dropped long, key boolean")
+    out = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+    assert [out[k].n_dropped for k in range(3)] == [5, 6, 7] and [out[k].n_dropped_ for k in range(3)] == [0, 1, 1]
+    assert out[0].text == rows[0][1] and out[2].text == "own words of document number c" and out[2].lines == ["x"]
+    assert line_dedup.stage(spark, docs, "").columns == docs.columns

@@ -157,3 +157,9 @@ def test_token_file(spark, sf_dir, tmp_path):
     empty = docs.limit(0)
     token_file.write(empty, str(tmp_path / "e"), path)
     assert token_file.summary(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_names_that_are_taken(spark):
+    docs = spark.createDataFrame([(1, "some words", "own", "mine")], "doc_id long, text string, ids string, Decoded string")
+    (row,) = bpe.encode_decode(docs, bpe.public_path(FILES[1])).collect()
+    assert (row.ids, row.Decoded, row.decoded_) == ("own", "mine", "some</w> words</w>") and len(row.ids_) == 2
