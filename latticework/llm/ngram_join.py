@@ -258,6 +258,8 @@ def _linked(docs: DataFrame, text_col: str, id_col: str, threshold: float) -> tu
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row per input row: doc_id, copy_id, class_id, n_links, n_class_links, class_key."""
     classes, per_class = _linked(docs, text_col, id_col, threshold)
+    # stored, so that the join below has both sides as they come and adaptive execution can split a class of very many copies
+    per_class = materialise(per_class, "per-class")
     out = classes.select("doc_id", "d1", "d2").join(per_class, ["d1", "d2"], "left")
     real = lambda c, name: F.nullif(c, F.lit(NO_DOC)).alias(name)
     return out.select(
