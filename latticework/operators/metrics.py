@@ -22,18 +22,25 @@ LEVELS = ((1, "low"), (2, "med"), (3, "high"))
 
 
 def q_costs(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, relative: bool = False) -> DataFrame:
-    """Per pair of an image the distance of box centres along q; pairs at min_iou or below cost 1e7."""
+    """Per pair of an image the distance of box centres along q, and their overlap (IoU); pairs at min_iou or below cost 1e7."""
     j = pairs(truths, dets, ["image_id"])
     cost = F.abs((F.col("x1") + F.col("x2") - F.col("p_x1") - F.col("p_x2")) / 2)
     cost = cost / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)) if relative else cost
-    return j.withColumn("cost", F.when(iou(XYXY, P_XYXY) <= min_iou, F.lit(NO_MATCH)).otherwise(cost))
+    j = j.withColumn("overlap", iou(XYXY, P_XYXY))
+    return j.withColumn("cost", F.when(F.col("overlap") <= min_iou, F.lit(NO_MATCH)).otherwise(cost))
 
 
-def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+#: What full overlap of a pair takes off its cost when assignments are compared: of equally cheap ones that of more overlap counts.
+TIE = 1e-4
+
+
+def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = False, carry: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
     """The cheapest one-to-one assignment of each image's whole cost matrix; then pairs at the limit or above go.
 
-    largest: maximise instead (IoU), keep pairs above the limit. carry: double columns of the pairs to keep.
+    largest: maximise instead (IoU), keep pairs above the limit. carry: double columns of the pairs to keep. tie: the column of
+    overlaps that decides between assignments of one cost (centres on a line often tie); without it the choice is arbitrary.
     """
+    used = list(dict.fromkeys([*carry, *([tie] if tie else [])]))
 
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         gt, r = np.unique(g["gt"], return_inverse=True)
@@ -42,18 +49,21 @@ def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = F
         m[r, c] = g["cost"]
         at = np.zeros(m.shape, int)
         at[r, c] = np.arange(len(r))
-        i, j = assign(-m if largest else m)
+        weighed = -m if largest else m.copy()
+        if tie:
+            weighed[r, c] -= TIE * g[tie]
+        i, j = assign(weighed)
         ok = m[i, j] > limit if largest else m[i, j] < limit
         kept = {name: g[name][at[i, j][ok]] for name in carry}
         return {"image_id": np.repeat(g["image_id"][:1], ok.sum()), "gt": gt[i][ok], "det": det[j][ok], "cost": m[i, j][ok]} | kept
 
-    narrow = costs.select("image_id", "gt", F.col("p_det").alias("det"), "cost", *carry)
+    narrow = costs.select("image_id", "gt", F.col("p_det").alias("det"), "cost", *used)
     return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, cost double" + "".join(f", {c} double" for c in carry))
 
 
 def match(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, limit: float = MATCH_LIMIT) -> DataFrame:
     """image_id, kind (tp, fp, fn), gt, det, cost, score, level. Images without ground truth give no false positives."""
-    found = assign_pairs(q_costs(truths, dets, min_iou), limit, carry=("p_score",))
+    found = assign_pairs(q_costs(truths, dets, min_iou), limit, carry=("p_score",), tie="overlap")
     # each found pair meets its truth and its detection in one join, so the assignment is planned once
     truth_side = F.struct(F.lit(True).alias("is_gt"), F.col("gt").alias("id"), F.col("det").alias("other"), "cost", "p_score")
     det_side = F.struct(F.lit(False).alias("is_gt"), F.col("det").alias("id"), F.col("gt").alias("other"), "cost", "p_score")

@@ -180,6 +180,33 @@ def _nms(src: str, out: str, thr: str, keys: str = "image_id, label") -> str:
 {out} AS (SELECT r.* EXCLUDE (rn) FROM {out}_r r JOIN {out}_n n ON {on} AND r.rn = n.rn WHERE n.ok)"""
 
 
+# The best matching of an image, by trying every way to pair its overlapping boxes: most pairs first, then least cost, then most overlap. A pair that may not match
+# costs more than all others together, so this is the cheapest assignment of the whole matrix.
+_MATCHED = """dt AS (SELECT image_id, det, x1, y1, x2, y2, score FROM o WHERE score > 0.1),
+tn AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gt) AS k, count(*) OVER (PARTITION BY image_id) AS nt FROM truths),
+pr AS (SELECT t.image_id, t.k, d.det, abs((t.x1+t.x2-d.x1-d.x2)/2) AS cost, greatest(least(t.x2,d.x2)-greatest(t.x1,d.x1),0)*greatest(least(t.y2,d.y2)-greatest(t.y1,d.y1),0) AS i,
+  (t.x2-t.x1)*(t.y2-t.y1)+(d.x2-d.x1)*(d.y2-d.y1) AS a FROM tn t JOIN dt d USING (image_id)),
+ed AS (SELECT image_id, k, det, cost, cost - 1e-4::DOUBLE * i/(a-i) AS wt FROM pr WHERE i/(a-i) > 0.1 UNION ALL SELECT image_id, k, NULL, 0, 0 FROM tn),
+ms AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS n, 0.0::DOUBLE AS cost, []::STRUCT(k BIGINT, det BIGINT, cost DOUBLE)[] AS picks FROM tn
+  UNION ALL SELECT m.image_id, e.k, CASE WHEN e.det IS NULL THEN m.used ELSE list_append(m.used, e.det) END, m.n + (e.det IS NOT NULL)::BIGINT, m.cost + e.wt,
+    CASE WHEN e.det IS NULL THEN m.picks ELSE list_append(m.picks, {'k': e.k, 'det': e.det, 'cost': e.cost}) END
+  FROM ms m JOIN ed e ON e.image_id = m.image_id AND e.k = m.k + 1 WHERE e.det IS NULL OR NOT list_contains(m.used, e.det)),
+bm AS (SELECT m.image_id, m.picks FROM ms m JOIN (SELECT DISTINCT image_id, nt FROM tn) t ON t.image_id = m.image_id AND m.k = t.nt QUALIFY row_number() OVER (PARTITION BY m.image_id ORDER BY m.n DESC, round(m.cost, 9), m.picks) = 1),
+fd AS (SELECT image_id, p.k AS k, p.det AS det, p.cost AS cost FROM (SELECT image_id, unnest(picks) AS p FROM bm) WHERE p.cost < 10),
+mt AS (SELECT t.image_id, CASE WHEN f.det IS NULL THEN 'fn' ELSE 'tp' END AS kind, t.gt, f.det, f.cost, d.score, t.level FROM tn t LEFT JOIN fd f ON f.image_id = t.image_id AND f.k = t.k LEFT JOIN dt d ON d.image_id = t.image_id AND d.det = f.det
+  UNION ALL SELECT d.image_id, 'fp', NULL, d.det, NULL, d.score, NULL FROM dt d WHERE d.image_id IN (SELECT image_id FROM tn) AND NOT EXISTS (SELECT 1 FROM fd f WHERE f.image_id = d.image_id AND f.det = d.det))"""
+_OVER = "greatest(least(c.f3,r.x2)-greatest(c.f1,r.x1),0)*greatest(least(c.f4,r.y2)-greatest(c.f2,r.y1),0)"
+_IOUS = f"list_transform(w.cl, lambda c: CASE WHEN c.lb = r.label THEN {_OVER} / ((c.f3-c.f1)*(c.f4-c.f2)+(r.x2-r.x1)*(r.y2-r.y1)-{_OVER}) ELSE -1.0::DOUBLE END)"
+_NEW = "{'f1': r.x1, 'f2': r.y1, 'f3': r.x2, 'f4': r.y2, 's1': r.x1*r.score, 's2': r.y1*r.score, 's3': r.x2*r.score, 's4': r.y2*r.score, 'w': r.score, 'c': 1, 'ms': [r.model], 'lb': r.label}"
+_WIDER = "{" + ", ".join(f"'f{k}': (c.s{k}+r.{x}*r.score)/(c.w+r.score)" for k, x in enumerate(B.XYXY, 1)) + ", " + ", ".join(f"'s{k}': c.s{k}+r.{x}*r.score" for k, x in enumerate(B.XYXY, 1)) + ", 'w': c.w+r.score, 'c': c.c+1, 'ms': list_append(c.ms, r.model), 'lb': c.lb}"
+# weighted fusion: the detections of an image one after the other, with the list of clusters so far
+_FUSED = f"""fr AS (SELECT *, cents % 2 AS model, row_number() OVER (PARTITION BY image_id ORDER BY score DESC, cents % 2, det) AS rn FROM boxes),
+fw AS (SELECT image_id, rn, [{_NEW}] AS cl FROM fr r WHERE rn = 1 UNION ALL
+  SELECT image_id, rn, CASE WHEN list_max(io) > 0.55 THEN list_transform(cl, lambda c, i: CASE WHEN i = list_position(io, list_max(io)) THEN {_WIDER} ELSE c END) ELSE list_append(cl, {_NEW}) END
+  FROM (SELECT r, r.image_id, r.rn, w.cl, {_IOUS} AS io FROM fw w JOIN fr r ON r.image_id = w.image_id AND r.rn = w.rn + 1)),
+fl AS (SELECT image_id, unnest(cl) AS c, unnest(range(len(cl))) AS n FROM fw QUALIFY rn = max(rn) OVER (PARTITION BY image_id))"""
+
+
 _THR = "(CASE WHEN r.label = 1 THEN 0.1::DOUBLE ELSE 0.4::DOUBLE END)"
 _D = ", ".join(DET)
 _LV = ((1, "low"), (2, "med"), (3, "high"))
@@ -218,14 +245,17 @@ PLANS = {
     "p4_suppress_by_shape": (lambda s, d: P.suppress_by_shape(dets(s, d), 200), f"WITH RECURSIVE {V.BOXES}, sh AS (SELECT image_id, det, x1, y1, x2, y2, score, (y2-y1 >= 0.35::DOUBLE*200)::INTEGER AS label FROM boxes), {_nms('sh', 'o', _THR)} SELECT {_D} FROM o"),
     "p3_single_class": (lambda s, d: P.suppress(dets(s, d), P.SINGLE_IOU, by_label=False), f"WITH RECURSIVE {V.BOXES}, {_nms('boxes', 'o', '0.4::DOUBLE', 'image_id')} SELECT {_D} FROM o"),
     "p6_pool": (pooled, f"WITH RECURSIVE {V.BOXES}, {_nms('boxes', 'o', _THR)} SELECT {_D} FROM o WHERE score > 0.3"),
-    "p7_fuse": (fused, None),
+    "p7_fuse": (fused, f"WITH RECURSIVE {V.BOXES}, {_FUSED} SELECT image_id, n, round(c.f1, 6) AS x1, round(c.f2, 6) AS y1, round(c.f3, 6) AS x2, round(c.f4, 6) AS y2, round(c.w / c.c * least(2, len(list_distinct(c.ms))) / 2, 6) AS score, c.lb AS label FROM fl"),
     "p8_sweep": (swept, f"""WITH RECURSIVE {V.BOXES}, m AS (SELECT b.*, t AS segment_iou FROM boxes b, (SELECT unnest([0.4, 0.3, 0.2, 0.15, 0.1])::DOUBLE AS t)),
       {_nms('m', 'o', '(CASE WHEN r.label = 1 THEN 0.1::DOUBLE ELSE r.segment_iou END)', 'image_id, label, segment_iou')} SELECT segment_iou, label, count(*) AS n, round(sum(score), 6) AS score FROM o GROUP BY ALL"""),
-    "p8_sweep_metrics": (sweep_metrics, None),
+    "p8_sweep_metrics": (sweep_metrics, f"""WITH RECURSIVE {V.TRUTHS.replace('truths AS', 'truths0 AS')}, th AS (SELECT i, [0.4, 0.3, 0.2, 0.15, 0.1][i+1]::DOUBLE AS t FROM (SELECT unnest(range(5)) AS i)),
+      m AS (SELECT b.* REPLACE (image_id * 5 + i AS image_id), t AS segment_iou FROM boxes b, th), truths AS (SELECT t0.* REPLACE (image_id * 5 + i AS image_id) FROM truths0 t0, th),
+      {_nms('m', 'o', '(CASE WHEN r.label = 1 THEN 0.1::DOUBLE ELSE r.segment_iou END)', 'image_id, label')}, {_MATCHED}, mm AS (SELECT (SELECT t FROM th WHERE i = image_id % 5) AS dataset, * FROM mt), {_curve('mm')}, {_ap()},
+      bp AS (SELECT DISTINCT ON (dataset) dataset, recall, fp_share FROM crv ORDER BY dataset, accuracy DESC, rank) SELECT dataset AS segment_iou, round(ap_total, 6) AS ap_total, round(recall, 6) AS recall, round(fp_share, 6) AS fp_share FROM ap JOIN bp USING (dataset)"""),
     "e1_costs": (costs, f"""WITH {V.TRUTHS}, p AS (SELECT t.image_id, t.gt, b.det, abs((t.x1+t.x2-b.x1-b.x2)/2) AS c, greatest(least(t.x2,b.x2)-greatest(t.x1,b.x1),0)*greatest(least(t.y2,b.y2)-greatest(t.y1,b.y1),0) AS i,
       (t.x2-t.x1)*(t.y2-t.y1)+(b.x2-b.x1)*(b.y2-b.y1) AS a FROM truths t JOIN boxes b USING (image_id)) SELECT image_id, gt, det, round(CASE WHEN i/(a-i) <= 0.1 THEN 1e7 ELSE c END, 6) AS cost FROM p"""),
-    "e2_e3_match": (matched, None),
-    "e4_image_counts": (matched_counts, None),
+    "e2_e3_match": (matched, f"WITH RECURSIVE {V.TRUTHS}, {_nms('boxes', 'o', _THR)}, {_MATCHED} SELECT * FROM mt"),
+    "e4_image_counts": (matched_counts, f"WITH RECURSIVE {V.TRUTHS}, {_nms('boxes', 'o', _THR)}, {_MATCHED} SELECT image_id, count_if(kind = 'tp')::BIGINT AS n_tp, count_if(kind = 'fp')::BIGINT AS n_fp, count_if(kind = 'fn')::BIGINT AS n_fn FROM mt GROUP BY 1"),
     "e5_q_error": (q_error, f"WITH {V.TRUTHS} SELECT count(*) AS n, round(avg((b.x1+b.x2-t.x1-t.x2)/2),6) AS q_error FROM truths t JOIN boxes b ON t.image_id = b.image_id AND t.gt = b.det WHERE b.score > 0.3"),
     "e6_e7_curve": (curve, f"WITH {V.MATCHES}, {_curve()} SELECT dataset, rank, image_id, det, {', '.join(f'round({c} + 1e-9::DOUBLE, 6) AS {c}' for c in ('score', 'recall', 'precision', 'interpolated', 'accuracy', 'fp_share', 'recall_low', 'recall_med', 'recall_high'))} FROM crv"),
     "e8_average_precision": (ap, f"WITH {V.MATCHES}, {_curve()}, {_ap()} SELECT dataset, {', '.join(f'round({c}, 6) AS {c}' for c in ('ap_total', 'ap_low', 'ap_med', 'ap_high'))} FROM ap"),

@@ -91,7 +91,7 @@ def test_match_against_brute_force(spark, sf_dir):
             b = np.array([[x.x1, x.y1, x.x2, x.y2] for x in p])
             cost = np.abs((a[:, None, 0] + a[:, None, 2] - b[None, :, 0] - b[None, :, 2]) / 2)
             cost[K.iou(a, b) <= 0.1] = K.NO_MATCH
-            i, j = K.assign(cost)
+            i, j = K.assign(cost - E.TIE * K.iou(a, b))
             assert np.isclose(sum(r.cost for r in found), cost[i, j][cost[i, j] < 10].sum())
 
 
