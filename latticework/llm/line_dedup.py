@@ -9,7 +9,7 @@ an id in the order of another hash) stays, every other one is dropped, in all do
 Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose. The pipeline's stage
 drops a document of which only such lines are left.
 
-Only fixed-size keys (96-bit hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
+Only fixed-size keys (95-bit hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
 pre-aggregated before the shuffle; the join with recurring keys has one row per key on its small side, so a very common line
 is split by adaptive skew handling.
 
@@ -35,8 +35,8 @@ VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 
 
 def _keys(line, depth: int):
-    """Template keys of a line, 96 bits each: the exact one, then one per variable segment. 5e12 keys of a web-sized corpus have an equal pair by
-    chance with probability 2e-4."""
+    """Template keys of a line, 95 bits each: the exact one, then one per variable segment. 5e12 keys of a web-sized corpus have an equal pair by
+    chance with probability 3e-4."""
     tokens = words_of(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, "<*>")).otherwise(line))
 
     def key(seed: int, *parts):
