@@ -1,8 +1,8 @@
-"""The ten operators' queries and their SQL."""
+"""The operators' queries and their SQL."""
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, ngram_join, pii, quality_rules, sharding, token_file
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, merkle, ngram_join, pii, quality_rules, sharding, token_file
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_token_file": token_file.query,
     "op9_pii": pii.query,
     "op10_bpe": bpe.query,
+    "op12_merkle_manifest": merkle.query,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "quality_ablations": quality_rules.ABLATION_SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op12_merkle_manifest": merkle.SQL,
 }
