@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, merkle, ngram_join, pii, quality_rules, sharding, token_file
+from . import bpe, decontaminate, html_extract, language_id, line_dedup, merkle, ngram_join, pii, quality_rules, score_index, sharding, token_file
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_file": token_file.query,
     "op9_pii": pii.query,
     "op10_bpe": bpe.query,
+    "op11_exact_top_k": score_index.query,
     "op12_merkle_manifest": merkle.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
     "quality_ablations": quality_rules.ABLATION_SQL,
     "op7_line_dedup": line_dedup.SQL,
+    "op11_exact_top_k": score_index.SQL,
     "op12_merkle_manifest": merkle.SQL,
 }
