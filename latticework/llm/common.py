@@ -28,10 +28,10 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/latticework/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder and read it back: later stages survive a lost executor."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

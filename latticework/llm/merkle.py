@@ -25,12 +25,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import materialise as _materialise
+from .common import table
 
 ARITY = 16
 #: What a leaf of the documents holds, in this order.
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 _STEP = "struct<left string, right string>"
+#: Nodes of a level in one file at least.
+FILE_ROWS = 50_000
+
+
+def materialise(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
+    """Stored as it is, since digests do not compress; a table of at most `rows` rows in no more files than it needs."""
+    return _materialise(df if rows is None else df.coalesce(-(-rows // FILE_ROWS) or 1), label, "uncompressed")
 
 
 def value(x: Column) -> Column:
@@ -43,16 +51,17 @@ def leaf_digest(values: list[Column]) -> Column:
     return F.sha2(F.concat(*[value(x) for x in values]), 256)
 
 
-def placed(rows: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, int]:
-    """Rows with `g` and `item`: pos, the place within g (from 0), and n, the rows of g; the largest n. No group is ever in one task."""
+def placed(rows: DataFrame, order: list[Column], label: str) -> tuple[DataFrame, int, int, int]:
+    """Rows with `g` and `item`: pos, the place within g (from 0), and n, the rows of g; the largest n, all rows, and the groups. No group is ever in one task."""
     dealt = rows.repartitionByRange("g", *order).sortWithinPartitions("g", *order)
     slices = materialise(dealt.withColumns({"_slice": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), label)
     per = slices.groupBy("g", "_slice").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_c"))
     own = Window.partitionBy("g")  # a row per slice
     before = F.sum("_c").over(own.orderBy("_slice")) - F.col("_c")
-    per = materialise(per.select("g", "_slice", (before - F.col("_first")).alias("_shift"), F.sum("_c").over(own).alias("n")), f"{label}-counts")
-    most = per.agg(F.max("n")).first()[0] or 0
-    return slices.join(per, ["g", "_slice"]).select("g", (F.col("_row") + F.col("_shift")).alias("pos"), "n", "item"), most
+    per = materialise(per.select("g", "_slice", "_first", "_c", (before - F.col("_first")).alias("_shift"), F.sum("_c").over(own).alias("n")), f"{label}-counts")
+    most, total, groups = per.agg(F.max("n"), F.sum("_c"), F.count_if(F.col("_shift") + F.col("_first") == 0)).first()
+    at = slices.join(per, ["g", "_slice"]).select("g", (F.col("_row") + F.col("_shift")).alias("pos"), "n", "item")
+    return at, most or 0, total or 0, groups
 
 
 def _digests(items: Column) -> Column:
@@ -70,18 +79,19 @@ def _runs(nodes: DataFrame, arity: int) -> DataFrame:
     return met.select("g", F.floor(F.col("zero") / arity).alias("pos"), F.ceil(F.col("n") / arity).alias("n"), items.alias("items"))
 
 
-def _climb(nodes: DataFrame, most: int, arity: int, label: str) -> tuple[list[tuple[DataFrame, DataFrame | None]], DataFrame]:
+def _climb(nodes: DataFrame, most: int, total: int, groups: int, arity: int, label: str) -> tuple[list[tuple[DataFrame, DataFrame | None]], DataFrame]:
     """Levels from the leaves up as (nodes that are alone in their tree, stored parents of the others), and the top of every tree: g, digest."""
     levels = []
     while True:
-        runs = materialise(_runs(nodes.where(F.col("n") > 1), arity), label) if most > 1 else None
+        total = total // arity + groups  # every group has one run at most that is not full
+        runs = materialise(_runs(nodes.where(F.col("n") > 1), arity), label, total) if most > 1 else None
         levels.append((nodes.where(F.col("n") == 1), runs))
         if runs is None:
             break
         nodes = runs.select("g", "pos", "n", F.struct(F.sha2(_digests(F.col("items")), 256).alias("digest")).alias("item"))
         most = -(-most // arity)
     tops = [alone.select("g", F.col("item.digest").alias("digest")) for alone, _ in levels]
-    return levels, materialise(reduce(DataFrame.unionByName, tops), f"{label}-tops")
+    return levels, materialise(reduce(DataFrame.unionByName, tops), f"{label}-tops", groups)
 
 
 def _descend(levels: list[tuple[DataFrame, DataFrame | None]], tops: DataFrame, arity: int) -> DataFrame:
@@ -109,13 +119,13 @@ def manifest(rows: DataFrame, group: str, order: str, fields: list[str], carried
     """A row per input row: id (the order value), carried columns, leaf, subroot, root, path (array of left and right siblings' digests,
     from leaf to root)."""
     made = leaves(rows, group, order, fields, carried)
-    low, most = placed(made, [F.col("item.id").asc_nulls_first(), F.col("item.digest")], "places")
-    levels, subroots = _climb(low, most, arity, "level")
-    groups, most = placed(subroots.select(F.lit("").alias("g"), F.struct("digest", F.col("g").alias("id")).alias("item")), [F.col("item.id")], "groups")
-    upper, roots = _climb(groups, most, arity, "group-level")
+    low, *sizes = placed(made, [F.col("item.id").asc_nulls_first(), F.col("item.digest")], "places")
+    levels, subroots = _climb(low, *sizes, arity, "level")
+    groups, *sizes = placed(subroots.select(F.lit("").alias("g"), F.struct("digest", F.col("g").alias("id")).alias("item")), [F.col("item.id")], "groups")
+    upper, roots = _climb(groups, *sizes, arity, "group-level")
     root = roots.select("g", F.struct(F.col("digest").alias("root"), F.array().cast(f"array<{_STEP}>").alias("path")).alias("top"))
     tops = _descend(upper, root, arity).select(F.col("item.id").alias("g"), F.struct("path", F.col("item.digest").alias("subroot"), "top.root").alias("top"))
-    found = _descend(levels, materialise(tops, "group-paths"), arity)
+    found = _descend(levels, materialise(tops, "group-paths", sizes[1]), arity)
     return found.select("item.id", *[f"item.{n}" for n in carried or {}], F.col("item.digest").alias("leaf"), "top.subroot", "top.root", "path")
 
 
