@@ -161,6 +161,8 @@ def _cells(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """index: rows of the index with the number of a group; queries: with the block that they are to meet."""
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return V.no_rows(q_block=pa.int32(), q_at=pa.int32(), query_id=pa.int64(), vec_id=pa.int64(), score=pa.int64())
         posted = left.filter(left["impact"].is_valid())
         own = left.filter(left["impact"].is_null()).sort_by("at")
         rows = V.matrix(own["ints"], own.num_rows)
