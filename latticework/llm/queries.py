@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_extract, language_id, line_dedup, merkle, ngram_join, pii, quality_rules, score_index, sharding, token_file
+from . import bpe, decontaminate, hard_negatives, html_extract, language_id, line_dedup, merkle, ngram_join, pii, quality_rules, score_index, sharding, token_file
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_bpe": bpe.query,
     "op11_exact_top_k": score_index.query,
     "op12_merkle_manifest": merkle.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_line_dedup": line_dedup.SQL,
     "op11_exact_top_k": score_index.SQL,
     "op12_merkle_manifest": merkle.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

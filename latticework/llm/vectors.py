@@ -50,3 +50,8 @@ def first_k(owner: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np
     begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
     rank = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
     return order[rank < k]
+
+
+def no_rows(**kinds: pa.DataType) -> pa.Table:
+    """What a cell without rows on one side gives."""
+    return pa.table({c: pa.array([], t) for c, t in kinds.items()})
