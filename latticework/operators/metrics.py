@@ -141,15 +141,21 @@ def curve(matches: DataFrame, keys: list[str]) -> DataFrame:
     return r.withColumn("interpolated_before", F.greatest("_earlier", "interpolated")).select(*keys, *points, "interpolated", "interpolated_before")
 
 
-def average_precision(points: DataFrame, keys: list[str]) -> DataFrame:
+def average_precision(points: DataFrame, keys: list[str], matches: DataFrame | None = None) -> DataFrame:
     """Trapezoids of interpolated precision over recall, from recall 0 at the first precision; levels share the precisions.
 
-    Each point of the curve holds what it needs of the point before, so this is one aggregation.
+    Each point of the curve holds what it needs of the point before, so this is one aggregation. matches: what the curve was made of;
+    keys that it has truths of and no detection get 0.
     """
     names = ["recall", *[f"recall_{n}" for _, n in LEVELS]]
     area = lambda n: F.sum((F.col(n) - F.col(f"{n}_before")) * (F.col("interpolated") + F.col("interpolated_before")) / 2)
     labels = ["ap_total", *[f"ap_{n}" for _, n in LEVELS]]
-    return points.groupBy(*keys).agg(*[area(n).alias(a) for n, a in zip(names, labels)])
+    found = points.groupBy(*keys).agg(*[area(n).alias(a) for n, a in zip(names, labels)])
+    if matches is None:
+        return found
+    per = matches.groupBy(*keys).agg(F.count_if(F.col("kind") != "fn").alias("_n"))
+    all_ = per.join(found, keys, "left") if keys else per.crossJoin(found)  # without keys a row each
+    return all_.select(*keys, *[F.when(F.col("_n") == 0, 0.0).otherwise(F.col(a)).alias(a) for a in labels])
 
 
 def operating_points(points: DataFrame, keys: list[str], fp_share: float = 0.1, recall_high: float = 0.95) -> DataFrame:
@@ -178,7 +184,7 @@ def suppression_sweep(truths: DataFrame, dets: DataFrame, ious: list[float], sco
     rows = match(wanted, found.drop("segment_iou")).withColumn("segment_iou", F.element_at(F.array(*[F.lit(float(t)) for t in ious]), (F.pmod("image_id", F.lit(n)) + 1).cast("int")))
     points = stored(curve(rows, ["segment_iou"]), "sweep-points")
     best = operating_points(points, ["segment_iou"]).where("point = 'accuracy'").select("segment_iou", "recall", "fp_share")
-    return average_precision(points, ["segment_iou"]).select("segment_iou", "ap_total").join(best, "segment_iou")
+    return average_precision(points, ["segment_iou"], rows).select("segment_iou", "ap_total").join(best, "segment_iou", "left")
 
 
 def verdict(aps: DataFrame, ensemble: str, margin: float = 1e-4, model: str = "model", ap: str = "ap_total", keys=("dataset",)) -> DataFrame:

@@ -78,7 +78,9 @@ def curve(s, d):
 
 
 def ap(s, d):
-    a = E.average_precision(E.curve(V.matches(s, d), ["dataset"]), ["dataset"])
+    m = V.matches(s, d)
+    m = m.unionByName(m.where("kind = 'fn' AND image_id % 7 = 0").withColumn("dataset", F.lit("missed")))  # truths only
+    a = E.average_precision(E.curve(m, ["dataset"]), ["dataset"], m)
     return a.select("dataset", *[R(c).alias(c) for c in ("ap_total", "ap_low", "ap_med", "ap_high")])
 
 
@@ -95,7 +97,8 @@ def _model_matches(s, d):
 
 
 def verdict(s, d):
-    aps = E.average_precision(E.curve(_model_matches(s, d), ["dataset", "model"]), ["dataset", "model"])
+    m = _model_matches(s, d)
+    aps = E.average_precision(E.curve(m, ["dataset", "model"]), ["dataset", "model"], m)
     v = E.verdict(aps, "ensemble")
     return v.select("dataset", *[R(c).alias(c) for c in ("best_single", "ensemble", "delta")], "verdict")
 
@@ -258,7 +261,7 @@ PLANS = {
     "e4_image_counts": (matched_counts, f"WITH RECURSIVE {V.TRUTHS}, {_nms('boxes', 'o', _THR)}, {_MATCHED} SELECT image_id, count_if(kind = 'tp')::BIGINT AS n_tp, count_if(kind = 'fp')::BIGINT AS n_fp, count_if(kind = 'fn')::BIGINT AS n_fn FROM mt GROUP BY 1"),
     "e5_q_error": (q_error, f"WITH {V.TRUTHS} SELECT count(*) AS n, round(avg((b.x1+b.x2-t.x1-t.x2)/2),6) AS q_error FROM truths t JOIN boxes b ON t.image_id = b.image_id AND t.gt = b.det WHERE b.score > 0.3"),
     "e6_e7_curve": (curve, f"WITH {V.MATCHES}, {_curve()} SELECT dataset, rank, image_id, det, {', '.join(f'round({c} + 1e-9::DOUBLE, 6) AS {c}' for c in ('score', 'recall', 'precision', 'interpolated', 'accuracy', 'fp_share', 'recall_low', 'recall_med', 'recall_high'))} FROM crv"),
-    "e8_average_precision": (ap, f"WITH {V.MATCHES}, {_curve()}, {_ap()} SELECT dataset, {', '.join(f'round({c}, 6) AS {c}' for c in ('ap_total', 'ap_low', 'ap_med', 'ap_high'))} FROM ap"),
+    "e8_average_precision": (ap, f"WITH {V.MATCHES}, {_curve()}, {_ap()} SELECT dataset, {', '.join(f'round({c}, 6) AS {c}' for c in ('ap_total', 'ap_low', 'ap_med', 'ap_high'))} FROM ap UNION ALL SELECT DISTINCT 'missed', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM matches WHERE kind = 'fn' AND image_id % 7 = 0"),
     "e9_operating_points": (operating, f"""WITH {V.MATCHES}, {_curve()}, o AS (
       (SELECT DISTINCT ON (dataset) dataset, 'accuracy' AS point, {_OP} FROM crv ORDER BY dataset, accuracy DESC, rank) UNION ALL
       (SELECT DISTINCT ON (dataset) dataset, 'fp', {_OP} FROM crv ORDER BY dataset, abs(fp_share-0.1::DOUBLE), rank) UNION ALL

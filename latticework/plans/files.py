@@ -148,8 +148,9 @@ def results(s, d):
 
 
 def _logs(s, d, line, label: str) -> str:
-    """A folder per run with one text file, lines in the order of line_no."""
-    log = V.run_log(s, d).withColumn("run", F.substring("run", 1, 1)).where("dataset <> 'P'").withColumn("dataset", F.when(F.col("dataset") == "O", "41").otherwise("organic"))
+    """A folder per run with one text file, lines in the order of line_no. Status P makes runs of its own."""
+    run = F.concat(F.substring("run", 1, 1), F.when(F.col("dataset") == "P", "P").otherwise(""))
+    log = V.run_log(s, d).withColumn("run", run).withColumn("dataset", F.when(F.col("dataset") == "O", "41").otherwise("organic"))
     path = folder(s, label)
     lines = log.select("run", "line_no", line.alias("value")).repartition("run").sortWithinPartitions("run", "line_no")
     lines.select("run", "value").write.partitionBy("run").text(path)
@@ -168,9 +169,9 @@ def ap_text(s, d):
 
 def free_text(s, d):
     """Lines of the newest file of each run."""
-    line = F.concat(F.lit("noise [epoch "), "epoch", F.lit("]  "), "dataset", F.lit(" ap_total = "), F.format_number("ap", 5))
+    line = F.concat(F.lit("noise [epoch "), "epoch", F.lit("]  "), "dataset", F.lit(" ap_total = "), F.col("ap").cast("string"))
     rows = R.free_text(s, _logs(s, d, line, "out") + "/*", F.col("folder"))
-    return rows.select(_run("prefix"), "dataset", F.col("epoch").cast("long").alias("epoch"), "ap")
+    return rows.select(_run("prefix"), "dataset", F.col("epoch").cast("long").alias("epoch"), UP("ap"))
 
 
 def loss_csv(s, d):
@@ -192,13 +193,13 @@ def appended(s, d):
     log, path = V.run_log(s, d), folder(s, "metrics")
     for half in (0, 1):
         own = log.where(F.col("line_no") % 2 == half)
-        S.append_metrics({x: own.where(F.col("dataset") == x) for x in ("F", "O")} | {"bad": own.drop("ap")}, path)
+        S.append_metrics({x: own.where(F.col("dataset") == x) for x in ("F", "O", "P")} | {"bad": own.drop("ap")}, path)
     one = lambda x: s.read.parquet(f"{path}/{x}").select(F.lit(x).alias("dataset"), "epoch", UP("ap"))
-    return one("F").unionByName(one("O"))
+    return one("F").unionByName(one("O")).unionByName(one("P"))
 
 
 _B = curation.PLANS["d7_manifest_b"][1]
-_LOG = f"{V.RUN_LOG}, lg AS (SELECT run[1:1] AS run, CASE dataset WHEN 'O' THEN '41' ELSE 'organic' END AS dataset, epoch, ap, line_no FROM run_log WHERE dataset <> 'P')"
+_LOG = f"{V.RUN_LOG}, lg AS (SELECT run[1:1]||CASE dataset WHEN 'P' THEN 'P' ELSE '' END AS run, CASE dataset WHEN 'O' THEN '41' ELSE 'organic' END AS dataset, epoch, ap, line_no FROM run_log)"
 _TAR = V.GRIDS + f""", tars AS (SELECT vec_id, g, 'd/p__s'||(vec_id % 7)||'__f'||vec_id||'.png' AS key, vec_id // {PER_TAR} AS t FROM grids),
  pos AS (SELECT *, 'shard'||t||'.tar' AS tar, coalesce(sum(CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY t ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos FROM tars)"""
 _Q = "round({0} + 1e-9::DOUBLE, 6) AS {0}"
@@ -219,8 +220,8 @@ PLANS = {
     "s11_image_tsv": (image_tsv, f"WITH {V.GRIDS} SELECT 'k'||vec_id AS key, CASE WHEN vec_id % 9 > 0 THEN (vec_id % 9)::INTEGER END AS label, md5(unhex(array_to_string(list_transform(g, lambda x: printf('%02X', x)), ''))) AS md5 FROM grids"),
     "s12_results": (results, f"WITH {V.BOXES} SELECT image_id, label AS category_id, x1 AS x, y1 AS y, x2-x1 AS w, y2-y1 AS h, {_Q.format('score')} FROM boxes"),
     "s13_ap_text": (ap_text, f"WITH {_LOG}, m AS (SELECT run, epoch, max_by(ap, line_no) AS ap FROM lg WHERE line_no % 11 <> 0 GROUP BY ALL) SELECT run, epoch, {_Q.format('ap')} FROM m"),
-    "s14_free_text": (free_text, f"WITH {_LOG} SELECT run, dataset, epoch, round(ap, 5) AS ap FROM lg"),
+    "s14_free_text": (free_text, f"WITH {_LOG} SELECT run, dataset, epoch, {_Q.format('ap')} FROM lg"),
     "s15_loss_csv": (loss_csv, f"WITH {_LOG}, m AS (SELECT run, epoch, ap AS train_loss, ap / 2 AS val_loss FROM lg WHERE line_no % 11 <> 0 AND line_no % 13 <> 0) SELECT run, epoch, {_Q.format('train_loss')}, {_Q.format('val_loss')}, 0.001::DOUBLE AS lr FROM m"),
     "s16_json_logs": (json_logs, f"WITH {_LOG} SELECT run, dataset, epoch, {_Q.format('ap')} FROM lg"),
-    "s17_appended": (appended, f"WITH {V.RUN_LOG} SELECT dataset, epoch, {_Q.format('ap')} FROM run_log WHERE dataset <> 'P'"),
+    "s17_appended": (appended, f"WITH {V.RUN_LOG} SELECT dataset, epoch, {_Q.format('ap')} FROM run_log"),
 }
