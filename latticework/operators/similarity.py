@@ -1,32 +1,26 @@
 """Similarity search between evaluation frames and a corpus, and its calibration.
 
-The evaluation side is small by nature (tens of frames). It is broadcast only up to MAX_EVAL rows, which is checked; a
-larger one is dealt by hash into slices of that size, and the corpus passes each slice. The corpus never leaves its partitions: each
-Arrow batch emits its local best K, a window keeps the global best.
+Both sides are dealt out: corpus rows to blocks, evaluation frames to groups, and a task compares a block with a group in bounded
+memory (`in_cells`). Exact searches meet every block; the index (inverted.py) meets the rows of the probed cells only. Nothing is
+collected, neither side is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arrays import matrix
 from ..functions.ordered import percentiles
 from ..functions.pixels import shared_correlation
 from ..functions.store import stored
-from .curation import hamming
-
-MAX_EVAL = 4096
 
-
-def _slices(evals: DataFrame, key: str) -> list[DataFrame]:
-    n = max(1, -(-evals.count() // MAX_EVAL))
-    return [evals.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+#: Corpus rows of a block and evaluation frames of a group, about.
+BLOCK, GROUP = 8192, 2048
 
 
 def _units(v: np.ndarray) -> np.ndarray:
@@ -44,90 +38,67 @@ def _masked_units(v: np.ndarray, least: int = 8) -> np.ndarray:
     return _units(np.where(ok & good[:, None], (v - mean[:, None]) / np.where(sd > 0, sd, 1)[:, None], 0))
 
 
-def top_matches(evals: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "v", grid: tuple[int, int] | None = None, masked: bool = False) -> DataFrame:
-    """The k best corpus rows, other than itself, of each evaluation row by cosine: eval_id, key, score, rank.
-
-    grid: the best of the four flips of the evaluation grid counts, and a score is 0 at least. masked: vectors are z-scored over
-    their support first.
-    """
-    out = None
-    for part in _slices(evals, key):
-        rows = part.select(key, vector).orderBy(key).collect()
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        v = np.array([r[1] for r in rows], np.float64)
-        v = _masked_units(v) if masked else _units(v)
-        views = [v]
-        if grid:
-            g = v.reshape(-1, *grid)
-            views = [x.reshape(v.shape) for x in (g, g[:, ::-1], g[:, :, ::-1], g[:, ::-1, ::-1])]
-        shared = evals.sparkSession.sparkContext.broadcast((ids, views))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own_ids, own = shared.value
-            for pdf in batches:
-                for a in range(0, len(pdf), 8192):
-                    c = pdf.iloc[a : a + 8192]
-                    m = np.stack(c[vector].to_numpy()).astype(np.float64)
-                    m = _masked_units(m) if masked else _units(m)
-                    score = np.maximum.reduce([x @ m.T for x in own])
-                    score = np.maximum(score, 0) if grid else score
-                    names = c[key].to_numpy()
-                    score = np.where(own_ids[:, None] == names[None, :], -np.inf, score)
-                    # ties by key, so that results do not depend on batches
-                    order = np.lexsort((np.broadcast_to(names, score.shape), -np.round(score, 9)), axis=1)[:, :k]
-                    n = order.shape[1]
-                    best = pd.DataFrame({"eval_id": np.repeat(own_ids, n), key: names[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-                    yield best[best.score > -np.inf]
-
-        found = corpus.select(key, vector).mapInPandas(run, f"eval_id long, {key} long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return evals.sparkSession.createDataFrame([], f"eval_id long, {key} long, score double, rank int")
+def views_of(v: np.ndarray, grid: tuple[int, int] | None, masked: bool) -> list[np.ndarray]:
+    """Unit vectors of the evaluation side: one, or the four flips of a grid."""
+    v = _masked_units(v) if masked else _units(v)
+    if not grid:
+        return [v]
+    g = v.reshape(-1, *grid)
+    return [x.reshape(v.shape) for x in (g, g[:, ::-1], g[:, :, ::-1], g[:, ::-1, ::-1])]
+
+
+def best_of(own_ids: np.ndarray, own: list[np.ndarray], names: np.ndarray, m: np.ndarray, k: int, floor: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each evaluation frame: its place, the row's place, the score. Ties by name, so results do not depend on blocks."""
+    score = np.maximum.reduce([x @ m.T for x in own])
+    score = np.maximum(score, 0) if floor else score
+    score = np.where(own_ids[:, None] == names[None, :], -np.inf, score)
+    near = score
+    if score.shape[1] > 4 * k:  # what k others surpass clearly is out before the sort
+        least = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+        near = np.where(score >= least[:, None] - 1e-8, score, -np.inf)
+    i, j = np.nonzero(near > -np.inf)
+    order = np.lexsort((names[j], -np.round(score[i, j], 9), i))
+    i, j = i[order], j[order]
+    rank = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[rank < k], j[rank < k], score[i, j][rank < k]
+
+
+def in_cells(evals: DataFrame, corpus: DataFrame, cells: list[str], k: int, key: str, vector: str, grid: tuple[int, int] | None, masked: bool) -> DataFrame:
+    """eval_id, key, score: the k best rows of each evaluation frame in every cell that both sides have."""
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"eval_id": pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        ids, names = left[key].to_numpy(), right[key].to_numpy()
+        m = matrix(right[vector], len(names))
+        m = _masked_units(m) if masked else _units(m)
+        out = []
+        views = views_of(matrix(left[vector], len(ids)), grid, masked)
+        for a in range(0, len(ids), 256):
+            i, j, score = best_of(ids[a : a + 256], [x[a : a + 256] for x in views], names, m, k, bool(grid))
+            out.append((ids[a + i], names[j], score))
+        return pa.table({n: np.concatenate(x) for n, x in zip(("eval_id", key, "score"), zip(*out))})
+
+    return evals.groupBy(*cells).cogroup(corpus.groupBy(*cells)).applyInArrow(cell, f"eval_id long, {key} long, score double")
+
+
+def ranked(found: DataFrame, k: int, key: str) -> DataFrame:
     w = Window.partitionBy("eval_id").orderBy(F.desc(F.round("score", 9)), key)
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def nearest_hash(evals: DataFrame, corpus: DataFrame, key: str = "vec_id", order: str = "frame_idx") -> DataFrame:
-    """The corpus frame of least Hamming distance, other than itself, for each evaluation frame: eval_id, key, distance.
+def top_matches(evals: DataFrame, corpus: DataFrame, k: int, key: str = "vec_id", vector: str = "v", grid: tuple[int, int] | None = None, masked: bool = False) -> DataFrame:
+    """The k best corpus rows, other than itself, of each evaluation row by cosine: eval_id, key, score, rank. Exact.
 
-    A stated query set against all rows, in blocks: slices of the evaluation side are broadcast (their size is bounded), every Arrow batch
-    of the corpus emits its nearest row per evaluation frame, an aggregation keeps the nearest of all.
+    grid: the best of the four flips of the evaluation grid counts, and a score is 0 at least. masked: vectors are z-scored over
+    their support first.
     """
-    out = None
-    for part in _slices(evals, key):
-        rows = part.select(key, "phash").orderBy(key).collect()
-        shared = evals.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own_ids, own = shared.value
-            for pdf in batches:
-                for a in range(0, len(pdf), 4096):
-                    c = pdf.iloc[a : a + 4096].sort_values(order, kind="stable")  # of equal distances the first one in order counts
-                    names = c[key].to_numpy()
-                    far = np.bitwise_count((own[:, None] ^ c.phash.to_numpy()[None, :]).view(np.uint64)).astype(np.int64)
-                    far[own_ids[:, None] == names[None, :]] = 65
-                    at = far.argmin(1)
-                    best = pd.DataFrame({"eval_id": own_ids, key: names[at], "distance": far[np.arange(len(at)), at], "place": c[order].to_numpy()[at]})
-                    yield best[best.distance < 65]
-
-        near = corpus.select(key, F.col(order).cast("long").alias(order), "phash").mapInPandas(run, f"eval_id long, {key} long, distance long, place long")
-        out = near if out is None else out.unionByName(near)
-    best = out.groupBy("eval_id").agg(F.min_by(F.struct(key, "distance"), F.struct("distance", "place", key)).alias("_r"))
-    return best.select("eval_id", f"_r.{key}", "_r.distance")
-
-
-def within_hamming(a: DataFrame, b: DataFrame, radius: int, key: str = "vec_id", bits: int = 64) -> DataFrame:
-    """Large against large: all pairs within the radius. Two hashes within it agree in one of radius + 1 bands: equi-join on bands, verify."""
-    bands = radius + 1
-    cuts = [bits * k // bands for k in range(bands + 1)]
-    band = lambda k: F.shiftrightunsigned("phash", cuts[k]).bitwiseAND(F.lit((1 << (cuts[k + 1] - cuts[k])) - 1))
-    parts = F.explode(F.array(*[F.struct(F.lit(k).alias("b"), band(k).alias("v")) for k in range(bands)]))
-    left = a.select(F.col(key).alias("a"), F.col("phash").alias("_pa"), parts.alias("_x")).select("a", "_pa", "_x.*")
-    right = b.select(F.col(key).alias("b_key"), F.col("phash").alias("_pb"), parts.alias("_x")).select("b_key", "_pb", "_x.*")
-    j = left.join(right, ["b", "v"]).withColumn("distance", hamming("_pa", "_pb")).where((F.col("distance") <= radius) & (F.col("a") != F.col("b_key")))
-    return j.select("a", F.col("b_key").alias("b"), "distance").distinct()
+    blocks, groups = (max(1, -(-df.count() // n)) for df, n in ((corpus, BLOCK), (evals, GROUP)))
+    number = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = corpus.select(F.col(key), F.col(vector), number(blocks).alias("block"), every(groups).alias("group"))
+    asked = evals.select(F.col(key).alias(key), F.col(vector).alias(vector), number(groups).alias("group"), every(blocks).alias("block"))
+    return ranked(in_cells(stored(asked, "asked"), rows, ["block", "group"], k, key, vector, grid, masked), k, key)
 
 
 def rerank(matches: DataFrame, evals: DataFrame, corpus: DataFrame, key: str = "vec_id", vector: str = "v") -> DataFrame:
@@ -236,6 +207,7 @@ def raw_pairs(frames: DataFrame, limit: int = 20) -> DataFrame:
     return j.orderBy("_o").limit(limit).select("scan", "frame_idx", "raw_key", "key")
 
 
+# Fixed value: the two forms of a sample's name in the metadata.
 TOKENS = (r"[a-z0-9][a-z0-9_]+?_\d{3,6}", r"([a-z0-9_]+?_\d{4,6})-\d+")
 
 

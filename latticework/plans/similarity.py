@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixels as X
+from ..operators import hashes as H
 from ..operators import similarity as S
 from . import views as V
 
@@ -25,12 +26,12 @@ def flip_search(s, d):
 
 def nearest_hash(s, d):
     e, c, _ = _split(s, d)
-    return S.nearest_hash(e, c)
+    return H.nearest(e, c)
 
 
 def within(s, d):
     e, c, _ = _split(s, d)
-    return S.within_hamming(e, c, 21, bits=62)
+    return H.within(e, c, 21)
 
 
 def leaks(s, d):
