@@ -41,6 +41,8 @@ LOOK = 4
 LONG, LEAF, WINDOW = P.SHORT, 128, 8
 #: Entries of a worker's table of pieces; it is emptied when full.
 KEPT = 1_500_000
+#: Characters of the pieces that are kept as strings: long ones, and those that share a hash.
+ODD = 1 << 22
 #: Pieces in one call of the library.
 AT_ONCE = 500
 
@@ -72,6 +74,7 @@ class Encoder:
         self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
         self.long, self.leaf, self.leaf_text = min(long, LONG), leaf, leaf_text
         self.table = P.Table(kept)
+        self.odd, self.odd_chars = {}, 0
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.strings = [""] * (max(vocab.values()) + 1)
         for s, i in vocab.items():
@@ -171,32 +174,43 @@ class Encoder:
         """Begin, end and table row of every piece of the units that begin at `edges`; rows of new pieces are made."""
         begin, end = P.split(codes, kinds, edges, self.word)
         h = P.hashes_of(codes, begin, end)
-        rows = self.table.find(h)
-        new = np.flatnonzero(rows < 0)
+        rows = np.full(len(h), -1)
+        short = np.flatnonzero(end - begin <= P.SHORT)
+        rows[short] = self.table.find(h[short], codes, begin[short], end[short])
+        new = short[rows[short] == -1]
         if len(new):
             _, first = np.unique(h[new], return_index=True)
             at = new[first]
-            b, e = begin[at].tolist(), end[at].tolist()
-            fresh = [text[x:y] for x, y in zip(b, e)]
-            long = [k for k, p in enumerate(fresh) if len(p) > self.long]
-            if long:  # encoded as trees, put in at their places
-                own = {k: self.long_piece(fresh[k]) for k in long}
-                short = [p for k, p in enumerate(fresh) if k not in own]
-                counts, ids = self._encode_new(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
-                parts = np.split(ids, np.cumsum(counts)[:-1]) if short else []
-                parts = iter(parts)
-                each = [own[k] if k in own else next(parts) for k in range(len(fresh))]
-                counts, ids = np.array([len(x) for x in each]), np.concatenate(each)
-            else:
-                counts, ids = self._encode_new(fresh)
-            self.table.add(h[at], counts, ids)
-            rows[new] = self.table.find(h[new])
+            counts, ids = self._encode_all([text[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist())])
+            self.table.add(h[at], counts, ids, codes, begin[at], end[at])
+            rows[new] = self.table.find(h[new], codes, begin[new], end[new])
+        # long pieces, and those whose hash another piece has, are told apart as strings
+        for k in np.flatnonzero(rows < 0).tolist():
+            piece = text[begin[k] : end[k]]
+            if piece not in self.odd:
+                if self.odd_chars + len(piece) > ODD:
+                    self.odd, self.odd_chars = {}, 0
+                self.odd[piece] = int(self.table.append(*self._encode_all([piece]))[0])
+                self.odd_chars += len(piece)
+            rows[k] = self.odd[piece]
         return begin, end, rows
 
+    def _encode_all(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each piece, and all ids; pieces of more than `long` characters as trees."""
+        if all(len(p) <= self.long for p in fresh):
+            return self._encode_new(fresh)
+        own = {k: self.long_piece(p) for k, p in enumerate(fresh) if len(p) > self.long}
+        short = [p for k, p in enumerate(fresh) if k not in own]
+        counts, ids = self._encode_new(short) if short else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        parts = iter(np.split(ids, np.cumsum(counts)[:-1]) if short else [])
+        each = [own[k] if k in own else next(parts) for k in range(len(fresh))]
+        return np.array([len(x) for x in each]), np.concatenate(each)
+
     def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids before each text (one more entry)."""
-        if self.table.n > self.table.most:
+        if self.table.n > self.table.most or self.table.used > 16 * self.table.most:
             self.table.clear()
+            self.odd, self.odd_chars = {}, 0
         whole = "".join(texts)
         special = any(x in whole for x in self.special)
         if self.word:

@@ -1,7 +1,7 @@
 """Splitting of a batch of texts into a tokenizer's pieces, and a table of pieces already encoded, in flat numpy arrays.
 
 No Python object is made per piece: a batch is one array of code points, a piece is a range of it, and its table row is
-found by a 64-bit hash (polynomial from prefix sums, mixed once; pieces of the table are at most `SHORT` characters).
+found by a 64-bit hash and then compared, character by character, with what the table holds (pieces of at most `SHORT` characters).
 """
 
 from __future__ import annotations
@@ -114,11 +114,12 @@ class Table:
     def clear(self) -> None:
         self.bits = 12
         self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
-        self.n, self.used = 0, 0
+        self.n, self.used, self.chars = 0, 0, 0
         self.start, self.count, self.pool = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
+        self.text_at, self.length, self.text = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Row of each hash, -1 for unknown ones."""
+    def find(self, h: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Row of each piece, -1 for unknown hashes, -2 for hashes that another piece has."""
         mask, shift = (1 << self.bits) - 1, np.uint64(64 - self.bits)
         slot = (h >> shift).astype(np.int64)
         got = self.keys[slot]
@@ -130,6 +131,19 @@ class Table:
             hit = got == h[left]
             out[left[hit]] = self.rows[slot[left[hit]]]
             left = left[~hit & (got != 0)]
+        hit = np.flatnonzero(out >= 0)
+        size = (end - begin)[hit]
+        row = out[hit]
+        wrong = self.length[row] != size
+        size = np.where(wrong, 0, size)
+        ends = np.cumsum(size)
+        if len(ends) and ends[-1]:
+            inside = np.arange(ends[-1])
+            before = np.repeat(ends - size, size)
+            same = codes[np.repeat(begin[hit], size) + inside - before] == self.text[np.repeat(self.text_at[row], size) + inside - before]
+            if not same.all():
+                wrong[np.searchsorted(ends, np.flatnonzero(~same), side="right")] = True
+        out[hit[wrong]] = -2
         return out
 
     def _place(self, h: np.ndarray, rows: np.ndarray) -> None:
@@ -141,10 +155,12 @@ class Table:
             self.rows[slot[own]] = rows[own]
             h, rows, slot = h[~own], rows[~own], (slot[~own] + 1) & mask
 
-    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        """New pieces: distinct unknown hashes, ids per piece, all ids."""
-        n, used = self.n + len(h), self.used + len(ids)
-        for name, size, need in (("start", self.n, n), ("count", self.n, n), ("pool", self.used, used)):
+    def append(self, counts: np.ndarray, ids: np.ndarray, texts: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """Rows that no hash leads to: ids per piece, all ids; texts and sizes: all characters, and those of each."""
+        texts = np.zeros(0, np.uint32) if texts is None else texts
+        sizes = np.zeros(len(counts), np.int64) if sizes is None else sizes
+        n, used, chars = self.n + len(counts), self.used + len(ids), self.chars + len(texts)
+        for name, size, need in (("start", self.n, n), ("count", self.n, n), ("pool", self.used, used), ("text_at", self.n, n), ("length", self.n, n), ("text", self.chars, chars)):
             old = getattr(self, name)
             if need > len(old):
                 new = np.zeros(max(need, 2 * len(old)), old.dtype)
@@ -153,7 +169,19 @@ class Table:
         self.start[self.n : n] = self.used + np.cumsum(counts) - counts
         self.count[self.n : n] = counts
         self.pool[self.used : used] = ids
+        self.text_at[self.n : n] = self.chars + np.cumsum(sizes) - sizes
+        self.length[self.n : n] = sizes
+        self.text[self.chars : chars] = texts
         rows = np.arange(self.n, n)
+        self.n, self.used, self.chars = n, used, chars
+        return rows
+
+    def add(self, h: np.ndarray, counts: np.ndarray, ids: np.ndarray, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        """New pieces: distinct unknown hashes, ids per piece, all ids, and where the pieces lie."""
+        size = end - begin
+        at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        rows = self.append(counts, ids, codes[at], size)
+        n = self.n
         if 3 * n > 1 << self.bits:
             full = self.keys != 0
             old_keys, old_rows = self.keys[full], self.rows[full]
@@ -162,7 +190,6 @@ class Table:
             self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int64)
             self._place(old_keys, old_rows)
         self._place(h, rows)
-        self.n, self.used = n, used
 
     def expand(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other, and the number of ids before each row (one more entry)."""

@@ -1,17 +1,22 @@
 """Words and word shingles of a batch of texts as flat numpy arrays, straight from an Arrow string buffer.
 
-No Python string is made per word. A word's hash is a polynomial over its bytes (modulo 2**64, from prefix sums), mixed
-once; a shingle's hash combines the hashes of its words with odd factors.
+No Python string is made per word. A word's hash takes its bytes eight at a time and mixes after each eight, so that no two words
+are equal by the algebra of a polynomial; a word of more than `LONG` bytes has a BLAKE2 digest. A shingle's hash combines the
+hashes of its words with odd factors.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FACTORS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
+#: Words of more bytes than this are hashed one by one.
+LONG = 256
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -53,6 +58,26 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (offsets - offsets[0] if len(texts) else np.zeros(1, np.int64)), raw
 
 
+def _hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes."""
+    size = end - begin
+    out = mix(size.astype(np.uint64) + _B)
+    held = np.append(raw, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(raw) + 1,), "<u8", held, 0, (1,))  # the eight bytes from each place on
+    who, at = np.flatnonzero(size <= LONG), 0
+    while len(who):
+        left = size[who] - at
+        x = eight[begin[who] + at]
+        part = left < 8
+        x[part] &= (np.uint64(1) << (left[part] * 8).astype(np.uint64)) - np.uint64(1)
+        out[who] = mix((out[who] ^ x) * _B + np.uint64(at))
+        at += 8
+        who = who[left > 8]
+    for k in np.flatnonzero(size > LONG):
+        out[k] = np.frombuffer(hashlib.blake2b(raw[begin[k] : end[k]].tobytes(), digest_size=8).digest(), "<u8")[0]
+    return out
+
+
 def words(texts: pa.Array, folded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First word of each text (len + 1 entries), then per word its hash and its byte range within the batch.
 
@@ -79,9 +104,7 @@ def words(texts: pa.Array, folded: bool = False) -> tuple[np.ndarray, np.ndarray
     starts[edges] = inside[edges]  # texts lie side by side
     ends[edges - 1] = inside[edges - 1]
     a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("b", _B, n), out=sums[1:])
-    hashes = mix((sums[b] - sums[a]) * _power("inv", _B_INV, n)[a] + (b - a).astype(np.uint64))
+    hashes = _hashes(raw, a, b)
     return np.searchsorted(a, offsets), hashes, a, b
 
 

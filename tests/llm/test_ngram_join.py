@@ -76,3 +76,15 @@ def test_words_of_a_sliced_batch():
 def test_prune_limits():
     least = ngram_join.least_matches(0.8)
     assert (np.diff(least) > 0).all() and least[-1] < 0.8 * ngram_join.COMPARED
+
+
+def test_words_of_one_polynomial_hash(spark):
+    """Words that a polynomial modulo 2**64 cannot tell apart are not copies; long and short words have hashes of their own."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    a, b = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    texts = [a, b, a[:1024], b[:1024], a[:256], b[:256], "x", "x" * 8, "x" * 9, "x" * 16, "x" * 17, "x" * 256, "x" * 257, "xy", "yx", "a\0", "a", "a\0\0"]
+    _, hashes, _, _ = shingles.words(pa.array([" ".join(texts), *texts]))
+    assert len(np.unique(hashes)) == len(texts) and (hashes[: len(texts)] == hashes[len(texts) :]).all()
+    docs = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in ngram_join.join(docs).collect()}
+    assert [rows[k].n_links for k in (1, 2)] == [0, 0] and rows[1].copy_id != rows[2].copy_id

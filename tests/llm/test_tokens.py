@@ -163,3 +163,30 @@ def test_names_that_are_taken(spark):
     docs = spark.createDataFrame([(1, "some words", "own", "mine")], "doc_id long, text string, ids string, Decoded string")
     (row,) = bpe.encode_decode(docs, bpe.public_path(FILES[1])).collect()
     assert (row.ids, row.Decoded, row.decoded_) == ("own", "mine", "some</w> words</w>") and len(row.ids_) == 2
+
+
+def thue_morse(n):
+    """Two words that every polynomial hash modulo 2**64 takes for one."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_words_of_one_polynomial_hash(name):
+    texts = [w for n in (256, 512, 1024, 2048, 4096) for w in thue_morse(n)]
+    got = [x.tolist() for x in bpe.Encoder(bpe.public_path(name)).encode([*texts, " ".join(texts)])]
+    assert got == library(bpe.public_path(name), [*texts, " ".join(texts)])
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_that_share_a_hash(monkeypatch, name):
+    """With hashes of four bits nearly all pieces meet another one in the table."""
+    from latticework.llm import pieces
+
+    whole = pieces.hashes_of
+    monkeypatch.setattr(pieces, "hashes_of", lambda *x: (whole(*x) & np.uint64(15)) + np.uint64(1))
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcde") for _ in range(rng.randint(1, 300))) for _ in range(40)) for _ in range(6)]
+    enc = bpe.Encoder(bpe.public_path(name), leaf_text=500)
+    for _ in range(2):
+        assert [x.tolist() for x in enc.encode(texts)] == library(bpe.public_path(name), texts)
