@@ -11,8 +11,3 @@ def matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0)])
     return flat.astype(np.float64).reshape(rows, -1 if len(flat) else 0)
 
-
-def lists(m: np.ndarray) -> pa.Array:
-    """The rows of a matrix as a column of lists."""
-    ends = np.arange(len(m) + 1) * m.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(m.ravel()))

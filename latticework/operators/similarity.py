@@ -111,9 +111,10 @@ def _no_data(v: Column) -> Column:
     return ~F.exists(v, lambda x: x != 0)
 
 
-def profile_leaks(evals: DataFrame, corpus: DataFrame, k: int = 10, keep: int = 3, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """Best and `keep` best correlations per evaluation frame; a frame without data gives 0, no match and -1."""
-    found = rerank(top_matches(evals, corpus, k, key, vector, masked=True), evals, corpus, key, vector)
+def profile_leaks(evals: DataFrame, corpus: DataFrame, k: int = 10, keep: int = 3, key: str = "vec_id", vector: str = "v", matches: DataFrame | None = None) -> DataFrame:
+    """Best and `keep` best correlations per evaluation frame; a frame without data gives 0, no match and -1. matches: those of an index."""
+    matches = top_matches(evals, corpus, k, key, vector, masked=True) if matches is None else matches
+    found = rerank(matches, evals, corpus, key, vector)
     best = found.groupBy("eval_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("corr", (-F.col(key)).alias("_k"))), False), 1, keep).alias("top"))
     all_ = evals.select(F.col(key).alias("eval_id"), _no_data(F.col(vector)).alias("_none"))
     first = F.get("top", F.lit(0))
@@ -130,18 +131,19 @@ def combined_score(corr_q: Column, corr_chi: Column, corr_chi_reversed: Column)
     return F.least(corr_q, F.greatest(corr_chi, corr_chi_reversed))
 
 
-def combined_leaks(evals: DataFrame, corpus: DataFrame, k: int = 12, flag: float = 0.95, key: str = "vec_id", q: str = "v", chi: str = "chi") -> DataFrame:
-    """eval_id, best match, score, leak flag."""
-    m = top_matches(evals, corpus, k, key, q, masked=True)
+def combined_leaks(evals: DataFrame, corpus: DataFrame, k: int = 12, flag: float = 0.95, key: str = "vec_id", q: str = "v", chi: str = "chi", matches: DataFrame | None = None) -> DataFrame:
+    """eval_id, best match, score, leak flag. matches: those of an index."""
+    m = top_matches(evals, corpus, k, key, q, masked=True) if matches is None else matches
     j = m.join(evals.select(F.col(key).alias("eval_id"), F.col(q).alias("_eq"), F.col(chi).alias("_ec")), "eval_id").join(corpus.select(key, F.col(q).alias("_cq"), F.col(chi).alias("_cc")), key)
     score = combined_score(shared_correlation(F.col("_eq"), F.col("_cq")), shared_correlation(F.col("_ec"), F.col("_cc"), 4), shared_correlation(F.reverse("_ec"), F.col("_cc"), 4))
     best = j.withColumn("score", score).groupBy("eval_id").agg(F.max_by(F.struct(F.col(key), F.col("score")), F.struct(F.round("score", 9), -F.col(key))).alias("_r"))
     return best.select("eval_id", F.col(f"_r.{key}").alias(key), F.col("_r.score").alias("score"), (F.col("_r.score") >= flag).alias("leak"))
 
 
-def confirmation_list(evals: DataFrame, corpus: DataFrame, k: int = 12, top: int = 4, limit: int = 22, same: float = 0.985, key: str = "vec_id", vector: str = "v") -> DataFrame:
-    """For the evaluation frames with the best correlations, their `top` candidates and whether each is the same frame."""
-    r = rerank(top_matches(evals, corpus, k, key, vector, masked=True), evals, corpus, key, vector).withColumn("corr", F.round("corr", 9))
+def confirmation_list(evals: DataFrame, corpus: DataFrame, k: int = 12, top: int = 4, limit: int = 22, same: float = 0.985, key: str = "vec_id", vector: str = "v", matches: DataFrame | None = None) -> DataFrame:
+    """For the evaluation frames with the best correlations, their `top` candidates and whether each is the same frame. matches: those of an index."""
+    matches = top_matches(evals, corpus, k, key, vector, masked=True) if matches is None else matches
+    r = rerank(matches, evals, corpus, key, vector).withColumn("corr", F.round("corr", 9))
     w = Window.partitionBy("eval_id").orderBy(F.desc("corr"), key)
     r = r.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
     chosen = r.groupBy("eval_id").agg(F.max("corr").alias("best")).orderBy(F.desc("best"), "eval_id").limit(limit)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as X
 from ..operators import hashes as H
+from ..operators import inverted as I
 from ..operators import similarity as S
 from . import views as V
 
@@ -24,6 +25,36 @@ def flip_search(s, d):
     return S.top_matches(e, c, 6, grid=(8, 8)).select("eval_id", "vec_id", UP(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _by_index(s, d, k, grid, masked):
+    """The matches that the inverted file finds, with the exact ones."""
+    e, c, _ = _split(s, d)
+    index = I.build(c, masked=masked)
+    found = I.top_matches(e, index, k, I.probes_needed(e, c, index, k, grid), grid)
+    return e, c, found
+
+
+def inverted_search(s, d):
+    """J3 by the inverted file."""
+    _, _, found = _by_index(s, d, 6, (8, 8), False)
+    return found.select("eval_id", "vec_id", UP(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def inverted_recall(s, d):
+    """Matches of the exact searches, and whether the inverted file finds nine in ten of them."""
+    out = None
+    for name, k, grid, masked in (("flips", 6, (8, 8), False), ("profiles", 10, None, True)):
+        e, c, found = _by_index(s, d, k, grid, masked)
+        r = I.recall(found, S.top_matches(e, c, k, grid=grid, masked=masked)).select(F.lit(name).alias("search"), "n_true", (F.col("recall") >= 0.9).alias("enough"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def inverted_leaks(s, d):
+    """J7 on the matches of the inverted file."""
+    e, c, found = _by_index(s, d, 12, None, True)
+    return S.combined_leaks(_chi(e), _chi(c), matches=found).select("eval_id", "vec_id", UP(F.col("score")).alias("score"), "leak")
+
+
 def nearest_hash(s, d):
     e, c, _ = _split(s, d)
     return H.nearest(e, c)
@@ -225,6 +256,9 @@ _Q = "round({} + 1e-9::DOUBLE, 6)"
 
 PLANS = {
     "j3_flip_search": (flip_search, f"{_TOPF} SELECT eval_id, vec_id, {_Q.format('score')} AS score, rank FROM tf"),
+    "j3_inverted_search": (inverted_search, None),
+    "j3_inverted_recall": (inverted_recall, f"{_TOPF}, {_COARSE.removeprefix('WITH ').removeprefix(_SPLIT).removeprefix(', ')} SELECT 'flips' AS search, count(*) AS n_true, true AS enough FROM tf UNION ALL SELECT 'profiles', count(*), true FROM ck WHERE rk <= 10"),
+    "j7_inverted_leaks": (inverted_leaks, None),
     "j4_nearest_hash": (nearest_hash, f"WITH {V.DESCRIPTORS}, j AS (SELECT e.vec_id AS eval_id, c.vec_id, bit_count(xor(e.phash, c.phash))::BIGINT AS distance FROM descriptors e, descriptors c WHERE e.is_eval AND c.vec_id <> e.vec_id) SELECT DISTINCT ON (eval_id) eval_id, vec_id, distance FROM j ORDER BY eval_id, distance, vec_id"),
     "j4_within_hamming": (within, f"WITH {V.DESCRIPTORS} SELECT e.vec_id AS a, c.vec_id AS b, bit_count(xor(e.phash, c.phash))::BIGINT AS distance FROM descriptors e, descriptors c WHERE e.is_eval AND c.vec_id <> e.vec_id AND bit_count(xor(e.phash, c.phash)) <= 21"),
     "j5_j6_profile_leaks": (leaks, f"{_COARSE}, rr AS (SELECT eval_id, vec_id, {_corr('ez', 'cz')} AS corr FROM ck WHERE rk <= 10) SELECT eval_id, {_Q.format('max(corr)')} AS corr, max_by(vec_id, corr) AS vec_id, array_to_string(list_slice(list(vec_id ORDER BY corr DESC, vec_id), 1, 3), ',') AS best FROM rr GROUP BY 1"),
