@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import io
 import json
+import os
+import struct
 import tarfile
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels as X
-from ..functions.kernels import write_png
 from ..functions.store import folder
 from ..operators import curation as C
 from ..sources import readers as R
@@ -26,6 +28,14 @@ UP = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
 PER_TAR = 40
 
 
+def _png(img: np.ndarray) -> bytes:
+    """An 8-bit grey PNG."""
+    h, w = img.shape
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    lines = np.hstack([np.zeros((h, 1), np.uint8), img.astype(np.uint8)]).tobytes()
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
 def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
     """A tar of the frames of one shard: PNG members and, but for every fourth, their JSON siblings; one member is no PNG."""
     out = io.BytesIO()
@@ -37,20 +47,44 @@ def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
             tar.addfile(info, io.BytesIO(data))
 
         for r in pdf.sort_values("vec_id").itertuples():
-            add(f"d/p__s{r.vec_id % 7}__f{r.vec_id}.png", write_png(np.frombuffer(r.pixels, np.uint8).reshape(r.h, r.w)))
+            add(f"d/p__s{r.vec_id % 7}__f{r.vec_id}.png", _png(np.frombuffer(r.pixels, np.uint8).reshape(r.h, r.w)))
             if r.vec_id % 4:
                 add(f"d/p__s{r.vec_id % 7}__f{r.vec_id}.json", json.dumps({"source": f"beamtimes/bt{r.vec_id % 3}/raw/s/x/pe/foo-{r.vec_id}.tif", "beamtime": f"bt{r.vec_id % 3}", "q_max": r.vec_id % 5 + 0.5}).encode())
         add("broken.png", b"\x89PNG")
     return pd.DataFrame({"path": [f"store/shard{pdf.tar.iloc[0]}.tar"], "content": [out.getvalue()]})
 
 
+def _grids(s, d) -> DataFrame:
+    return V.grids(s, d).select("vec_id", "h", "w", "pixels", F.floor(F.col("vec_id") / PER_TAR).alias("tar"))
+
+
 def _tars(s, d) -> DataFrame:
-    g = V.grids(s, d).select("vec_id", "h", "w", "pixels", F.floor(F.col("vec_id") / PER_TAR).alias("tar"))
     path = folder(s, "tars")
-    g.groupBy("tar").applyInPandas(_packed, "path string, content binary").write.parquet(path)
+    _grids(s, d).groupBy("tar").applyInPandas(_packed, "path string, content binary").write.parquet(path)
     return s.read.schema("path string, content binary").parquet(path)
 
 
+def _tar_files(s, d) -> str:
+    """The shards as files of the shared folder; a file gets its name when it is whole, so a task may be repeated."""
+    path = folder(s, "tar-files")
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        made = _packed(pdf)
+        store, top = fs.FileSystem.from_uri(path)
+        store.create_dir(top)
+        name = f"{top}/{made.path.iloc[0].rsplit('/', 1)[-1]}"
+        part = f"{name}.{os.getpid()}"
+        with store.open_output_stream(part) as out:
+            out.write(made.content.iloc[0])
+        store.move(part, name)
+        return made[["path"]]
+
+    _grids(s, d).groupBy("tar").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return path
+
+
 def _sum(pixels: str):
     """Sum of the byte values."""
     hexed = F.hex(pixels)
@@ -58,9 +92,9 @@ def _sum(pixels: str):
 
 
 def shards(s, d):
-    """Members of the shards whose name contains a 1 or a 2."""
-    wanted = _tars(s, d).where(F.col("path").contains("1") | F.col("path").contains("2"))
-    return R.members(wanted).select("key", "tar", F.col("pos").cast("long").alias("pos"), "source", "beamtime", F.when(F.isnan("q_max"), -1.0).otherwise(F.col("q_max").cast("double")).alias("q_max"), "scan", F.col("frame_idx").cast("long").alias("frame_idx"), "is_raw", "h", "w", _sum("pixels").alias("total"))
+    """Members of the shards whose name contains a 1 or a 2, each read as byte ranges by several tasks."""
+    frames = R.shards(s, _tar_files(s, d), ["1", "2"], stream_from=0, range_bytes=16 << 10)
+    return frames.select("key", "tar", F.col("pos").cast("long").alias("pos"), "source", "beamtime", F.when(F.isnan("q_max"), -1.0).otherwise(F.col("q_max").cast("double")).alias("q_max"), "scan", F.col("frame_idx").cast("long").alias("frame_idx"), "is_raw", "h", "w", _sum("pixels").alias("total"))
 
 
 def parts(s, d):

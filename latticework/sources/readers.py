@@ -11,12 +11,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import read_png
 from ..functions.pixels import parse_scan
+from . import tars
 
 #: Frames that a shard reader holds at once.
 BATCH, BATCH_BYTES = 64, 64 << 20
@@ -24,15 +26,14 @@ BATCH, BATCH_BYTES = 64, 64 << 20
 FRAME_SCHEMA = "key string, tar string, pos int, source string, beamtime string, q_max float, md5 string, is_raw boolean, h int, w int, pixels binary"
 
 
-#: Shards of more bytes than this are not read as one cell but member by member from the store.
-STREAM_FROM = 256 << 20
+#: Shards of more bytes than this are not read as one cell but as byte ranges (tars.py).
+STREAM_FROM = 64 << 20
 
 
-def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream_from: int = STREAM_FROM) -> DataFrame:
+def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream_from: int = STREAM_FROM, range_bytes: int = tars.RANGE_BYTES) -> DataFrame:
     """Frames of tar shards (see `members`). `only` keeps shards whose name contains one of the texts.
 
-    Small shards come as Spark reads them. Of larger ones only the path is dealt out, and the task reads one member at a time
-    from the store, so a shard of any size takes the memory of a few frames; such a store must be one that pyarrow opens by its address.
+    Small shards come as Spark reads them, a task for a few of them. A larger one is read by a task per `range_bytes` of it.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path)
     if only:
@@ -41,44 +42,48 @@ def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream
         for x in only:
             keep = keep | name.contains(x)
         files = files.where(keep)
-    large = files.where(F.col("length") > stream_from).select("path", F.lit(None).cast("binary").alias("content"))
+    small = members(files.where(F.col("length") <= stream_from).select("path", "content"))
+    large = files.where(F.col("length") > stream_from).select("path")
+    if large.isEmpty():
+        return small
     large = large.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
-    return members(files.where(F.col("length") <= stream_from).select("path", "content").unionByName(large))
+    return small.unionByName(_named(tars.frames(spark, large, range_bytes)))
 
 
-def _opened(path: str, content: bytes | None):
-    if content is not None:
-        return tarfile.open(fileobj=io.BytesIO(content))
-    from pyarrow import fs
+def frame_row(path: str, name: str, pos: int, data: bytes, sibling: bytes | None) -> tuple | None:
+    """A row of FRAME_SCHEMA from a PNG member and its JSON sibling; None if it cannot be decoded."""
+    try:
+        img = read_png(data)
+    except ValueError:
+        return None
+    try:
+        meta = json.loads(sibling) if sibling is not None else {}
+    except ValueError:
+        meta = {}
+    meta = meta if isinstance(meta, dict) else {}
+    q = meta.get("q_max")
+    return name, path.rsplit("/", 1)[-1], pos, meta.get("source") or "", meta.get("beamtime") or "", float("nan") if q is None else float(q), hashlib.md5(data).hexdigest(), name.endswith(".raw.png"), *img.shape, img.tobytes()
 
-    store, name = fs.FileSystem.from_uri(path)
-    return tarfile.open(fileobj=store.open_input_file(name))
+
+def record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of FRAME_SCHEMA for Arrow."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.float32(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], NAMES)
 
 
 def _frames_of(path: str, tar: tarfile.TarFile) -> Iterator[tuple]:
     files = [m for m in tar.getmembers() if m.isfile()]
     by_name = {m.name: m for m in files}
     for pos, m in enumerate(files):
-        if not m.name.endswith(".png"):
-            continue
-        data = tar.extractfile(m).read()
-        try:
-            img = read_png(data)
-        except ValueError:
-            continue
-        meta, sibling = {}, by_name.get(m.name[:-4] + ".json")
-        if sibling is not None:
-            try:
-                meta = json.loads(tar.extractfile(sibling).read())
-            except ValueError:
-                meta = {}
-        meta = meta if isinstance(meta, dict) else {}
-        q = meta.get("q_max")
-        yield (m.name, path.rsplit("/", 1)[-1], pos, meta.get("source") or "", meta.get("beamtime") or "", float("nan") if q is None else float(q), hashlib.md5(data).hexdigest(), m.name.endswith(".raw.png"), *img.shape, img.tobytes())
+        if m.name.endswith(".png"):
+            sibling = by_name.get(m.name[:-4] + ".json")
+            row = frame_row(path, m.name, pos, tar.extractfile(m).read(), tar.extractfile(sibling).read() if sibling is not None else None)
+            if row:
+                yield row
 
 
 def members(files: DataFrame) -> DataFrame:
-    """A row per readable PNG member of tar files (path, content; content null: read from the path), with its JSON sibling.
+    """A row per readable PNG member of tar files (path, content), with its JSON sibling.
 
     Members that cannot be decoded are skipped; colour images keep their first channel; a missing sibling gives '', '' and NaN.
     `pos` is the member's place in the shard; (tar, pos) is the order of first occurrence.
@@ -88,7 +93,7 @@ def members(files: DataFrame) -> DataFrame:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
                 rows, size = [], 0
-                with _opened(path, content) as tar:
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
                     for row in _frames_of(path, tar):
                         rows.append(row)
                         size += len(row[-1])
@@ -98,8 +103,13 @@ def members(files: DataFrame) -> DataFrame:
                 if rows:
                     yield pd.DataFrame(rows, columns=NAMES)
 
+    return _named(files.mapInPandas(run, FRAME_SCHEMA))
+
+
+def _named(frames: DataFrame) -> DataFrame:
+    """With scan and frame number from the path."""
     scan, frame = parse_scan()
-    return files.mapInPandas(run, FRAME_SCHEMA).withColumns({"scan": scan, "frame_idx": frame, "q_max": F.coalesce("q_max", F.lit(float("nan")).cast("float"))})
+    return frames.withColumns({"scan": scan, "frame_idx": frame, "q_max": F.coalesce("q_max", F.lit(float("nan")).cast("float"))})
 
 
 NAMES = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
@@ -157,7 +167,7 @@ def image_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, paths) -> DataFrame:
-    """file, folder, line_no and value of text files. A file is read as one row so that its lines keep their numbers; logs are small."""
+    """file, folder, line_no and value of text files. A file is read as one row so that its lines keep their numbers; a log has less than 2 GB."""
     folder = F.element_at(F.split("_metadata.file_path", "/"), -2).alias("folder")
     rows = spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_name").alias("file"), folder, F.col("_metadata.file_modification_time").alias("changed"), "value")
     return rows.select("file", "folder", "changed", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value"))

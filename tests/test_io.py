@@ -45,8 +45,11 @@ def test_shards_to_corpus(spark, tmp_path):
     assert rows["m1_3.png"].scan == "bt1/s/x" and rows["m1_3.png"].frame_idx == 3 and abs(rows["m1_3.png"].q_max - 3.1) < 1e-6
     assert rows["d/p__q__name0.raw.png"].is_raw and rows["d/p__q__name0.raw.png"].scan == "p/q" and np.isnan(rows["blank0.png"].q_max) and rows["blank0.png"].frame_idx == 0
     assert R.shards(spark, str(tmp_path), ["shard1"]).count() == 8
-    streamed = {r.key: (r.md5, r.pos) for r in R.shards(spark, str(tmp_path), stream_from=0).collect()}
-    assert streamed == {r.key: (r.md5, r.pos) for r in rows.values()}
+    # byte ranges: siblings and members of a range lie anywhere, and one shard is read by many tasks
+    ranges = R.shards(spark, str(tmp_path), stream_from=0, range_bytes=100_000)
+    assert sorted(map(str, ranges.drop("pixels").collect())) == sorted(map(str, rows.values()))
+    assert {r.key: bytes(r.pixels) for r in ranges.collect()} == {r.key: bytes(r.pixels) for r in frames.collect()}
+    assert R.shards(spark, str(tmp_path), ["shard1"], stream_from=0, range_bytes=100_000).select(C.F.spark_partition_id()).distinct().count() > 2
     prints = X.fingerprints(frames.select("key", "h", "w", "pixels"))
     named = frames.drop("pixels").join(prints, "key").withColumn("ord", (C.F.substring("tar", 6, 1).cast("long") * 1000 + C.F.col("pos")))
     m = C.manifest_b(named.select("key", "scan", C.F.col("frame_idx").cast("long").alias("frame_idx"), "ord", "phash", "md5", "blank"), 3)
