@@ -5,7 +5,7 @@ rim marked) of those words. A known word adds its log frequencies; an unseen wor
 4-grams, or, if it has none, 3-grams, and so on. The language with the highest sum wins; the score is its share
 after a softmax of the mean per word, scaled by at most `SURE` words.
 
-Bound (a documented parameter): the model is fitted on about `FIT_DOCS` labelled documents, chosen by hash, and knows all their words;
+Bound (a documented parameter): the model is fitted on `FIT_DOCS` different labelled rows at most, those of the lowest hashes of id, text and language, and knows all their words;
 so what is broadcast does not grow with the corpus. Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null lang is not learned; no labelled
@@ -88,10 +88,10 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on labelled rows; `docs` holds none that is held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = labelled.select(id_col).count()
-    share = min(1.0, FIT_DOCS / max(n, 1))
-    chosen = labelled.where(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = chosen.select(F.col(lang_col).alias("lang"), F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(WORD), F.lit(0))).alias("word"))
+    hashed = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(11), F.col(id_col), F.col(text_col), F.col(lang_col)).alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"), F.first("lang").alias("lang"))  # equal rows count once
+    words = chosen.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word"))
     rows = words.groupBy("lang", "word").count().toArrow().sort_by([("word", "ascending"), ("lang", "ascending")])
     return Model(list(zip(rows["lang"].to_pylist(), rows["word"].to_pylist(), rows["count"].to_pylist())))
 

@@ -1,13 +1,12 @@
 """Line dedup by a template tree of fixed depth (built-in column functions only).
 
-Every line descends a tree: its token count, its leading tokens (variable tokens as `<*>`), then its leaf. A leaf holds
-templates. A line belongs to the template of its whole masked content, and, if it has at least `MIN_CONSTANT` other
-tokens, to the templates in which one of `SEGMENTS` equal parts of the rest is the variable field. A template that
-occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number; documents without
+Every line descends a tree: its token count, its `DEPTH` leading tokens (variable tokens as `<*>`), then its leaf. The lines of a leaf are
+split by the agreement of their other tokens: a line belongs to the template of its whole masked content, and to those in which one
+of `SEGMENTS` equal parts of the rest (of single tokens, where there are no more) is a variable field. Lines that differ in that
+field only share the template, whatever stands there; a template has three constant tokens at least, so lines of one to three tokens
+have no field. A template that occurs in `min_docs` documents or more is recurring: its first occurrence (lowest doc_id, text hash, line number; documents without
 an id in the order of another hash) stays, every other one is dropped, in all documents. Repeats inside one document only are left alone.
-
-Lines of fewer than `MIN_TOKENS` tokens are left alone: short sentences recur by chance in clean prose. The pipeline's stage
-drops a document of which only such lines are left.
+The pipeline's stage drops a document that has lost lines and has no word left.
 
 Only fixed-size keys (95-bit hash, doc_id, text hash, line number) are shuffled to find templates, not line texts, and they are
 pre-aggregated before the shuffle; the join with recurring keys has one row per key on its small side, so a very common line
@@ -25,10 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import free_name, materialise, table, words_of
 
-DEPTH = 3
-SEGMENTS = 4
-MIN_TOKENS = 4
-MIN_CONSTANT = 9
+DEPTH = 2
+SEGMENTS = 3
 MIN_DOCS = 2
 #: A token with a digit is variable.
 VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
@@ -47,15 +44,18 @@ def _keys(line, depth: int):
         rest = n - depth
         head = F.slice(t, 1, depth)
 
+        parts = F.least(rest, F.lit(SEGMENTS))
+
         def segment(j: int):
-            a, b = F.floor(rest * j / SEGMENTS).cast("int"), F.floor(rest * (j + 1) / SEGMENTS).cast("int")
+            a, b = (F.floor(rest * k / parts).cast("int") for k in (j, j + 1))
             return key(j + 1, n, head, F.slice(t, depth + 1, a), F.slice(t, depth + 1 + b, rest - b))
 
         exact = key(0, t)
-        wild = F.array(exact, *[segment(j) for j in range(SEGMENTS)])
-        constant = rest - F.ceil(rest / SEGMENTS)
-        none = F.array().cast("array<struct<k1:bigint,k2:int>>")
-        return F.when(n < MIN_TOKENS, none).when(constant >= MIN_CONSTANT, wild).otherwise(F.array(exact))
+        wild = [F.array(exact, *[segment(j) for j in range(k)]) for k in range(SEGMENTS + 1)]
+        out = F.when(n == 0, F.array().cast("array<struct<k1:bigint,k2:int>>")).when(n < max(4, depth + 1), wild[0])
+        for k in range(1, SEGMENTS):
+            out = out.when(rest == k, wild[k])
+        return out.otherwise(wild[SEGMENTS])
 
     # every token is hashed once; the keys combine these numbers
     hashed = F.transform(tokens, lambda x: F.xxhash64(x))
@@ -110,10 +110,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take recurring lines out of the texts; documents that lost lines and keep only lines of fewer than MIN_TOKENS tokens, or none, go."""
+    """Take recurring lines out of the texts; documents that lost lines and have no word left go."""
     done = dedup(docs)
     n = F.col(done.columns[-1])
-    left = F.exists(F.split("text", "\n"), lambda x: F.size(words_of(x)) >= MIN_TOKENS)
+    left = F.size(words_of(F.col("text"))) > 0
     out = done.where((n == 0) | left)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(n > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -126,13 +126,13 @@ WITH l AS (
   FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS g FROM documents WHERE text IS NOT NULL)),
 t AS (SELECT doc_id, line_no,
         regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS t FROM l),
-n AS (SELECT *, len(t) AS n, len(t) - 3 AS r FROM t WHERE len(t) >= 4),
+n AS (SELECT *, len(t) AS n, len(t) - 2 AS r, least(len(t) - 2, 3) AS s FROM t WHERE len(t) >= 1),
 k AS (
   SELECT doc_id, line_no, '-1|' || array_to_string(t, ' ') AS key FROM n
   UNION ALL
-  SELECT doc_id, line_no, j || '|' || n || '|' || array_to_string(t[1:3], ' ') || '|'
-      || array_to_string(t[4 : 3 + (r * j // 4)], ' ') || '|' || array_to_string(t[4 + (r * (j + 1) // 4) : n], ' ')
-  FROM n, (SELECT unnest([0, 1, 2, 3]) AS j) WHERE r - ceil(r / 4.0) >= 9),
+  SELECT doc_id, line_no, j || '|' || n || '|' || array_to_string(t[1:2], ' ') || '|'
+      || array_to_string(t[3 : 2 + (r * j // s)], ' ') || '|' || array_to_string(t[3 + (r * (j + 1) // s) : n], ' ')
+  FROM n, (SELECT unnest([0, 1, 2]) AS j) WHERE n >= 4 AND j < s),
 f AS (SELECT key, min((doc_id, line_no)) AS first FROM k GROUP BY key HAVING min(doc_id) <> max(doc_id)),
 g AS (SELECT DISTINCT k.doc_id, k.line_no FROM k JOIN f USING (key) WHERE (k.doc_id, k.line_no) <> f.first),
 o AS (SELECT l.doc_id, string_agg(CASE WHEN g.doc_id IS NULL THEN line END, chr(10) ORDER BY line_no) AS text, count(g.doc_id) AS n_dropped

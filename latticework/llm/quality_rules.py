@@ -22,10 +22,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Plain insults that mark a toxic text.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-#: Fit of the toxic words: at most FIT_DOCS labelled rows, FIT_TERMS words; a language needs LEAST_TOXIC toxic rows, a word
+#: Fit of the toxic words: at most FIT_DOCS labelled rows, all words that pass; a language needs LEAST_TOXIC toxic rows, a word
 #: LEAST_SEEN of them and a share among them of RATIO times that among the other rows, of its language and of all.
 FIT_DOCS = 20_000
-FIT_TERMS = 2_000
 LEAST_TOXIC = 10
 LEAST_SEEN = 3
 RATIO = 20
@@ -48,8 +47,7 @@ def fit_terms(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col
     telling = seen.where(F.col("t") >= LEAST_SEEN).join(F.broadcast(totals.where(F.col("n_toxic") >= LEAST_TOXIC)), "lang").join(anywhere, "word")
     for o, n in (("o", "n_other"), ("o_any", "n_any")):
         telling = telling.where(F.col("t") * (F.col(n) + 1) >= RATIO * (F.col(o) + 0.5) * F.col("n_toxic"))
-    found = telling.groupBy("word").agg(F.sum("t").alias("t")).orderBy(F.desc("t"), "word").limit(FIT_TERMS)
-    return sorted(r["word"] for r in found.collect())
+    return sorted(r["word"] for r in telling.select("word").distinct().collect())  # words of FIT_DOCS texts at most
 
 
 def _tree_of(words: list[str]) -> str:

@@ -264,3 +264,12 @@ def test_names_that_are_taken(spark, model):
     pages = spark.createDataFrame([(1, f"<article><p>{STORY}</p></article>", "mine")], "page_id long, html string, text string")
     (row,) = html_extract.extract(pages, model).collect()
     assert (row.text, row.text_) == ("mine", STORY)
+
+
+def test_language_fit_is_bounded_by_rows(spark, monkeypatch):
+    """Rows that share an id, or are equal, do not pass the bound."""
+    monkeypatch.setattr(language_id, "FIT_DOCS", 50)
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in str(k))
+    rows = [(1, f"w{word(k)}", "en") for k in range(600)] + [(None, "ein text", "de")] * 300
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    assert 45 <= len(model.words) <= 51
