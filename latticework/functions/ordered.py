@@ -13,9 +13,9 @@ from pyspark.sql.window import Window
 from .store import stored
 
 
-def sliced(df: DataFrame, keys: list[str], order: list[Column], label: str = "slices") -> DataFrame:
-    """The rows with `_slice`: slices follow each other in the order of keys and order. Stored, so a slice keeps its number."""
-    return stored(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()), label)
+def sliced(df: DataFrame, keys: list[str], order: list[Column], label: str = "slices", n: int | None = None) -> DataFrame:
+    """The rows with `_slice`: slices (n of them, if given) follow each other in the order of keys and order. Stored, so a slice keeps its number."""
+    return stored(df.repartitionByRange(*([n] if n else []), *[F.col(k) for k in keys], *order).withColumn("_slice", F.spark_partition_id()), label)
 
 
 def before(slices: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import dice
 from ..functions.kernels import decimate
+from ..functions.linked import runs, walk_runs
 from ..functions.ordered import before, sliced
 from ..functions.store import stored
-from ..functions.walk import walk
 
 
 def last_per_key(parts: DataFrame, key: str, columns: list[str], order: str = "ord") -> DataFrame:
@@ -50,35 +50,49 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("long")
 
 
+ORDER = ["frame_idx", "ord"]
+
+
+def _runs(frames: DataFrame) -> DataFrame:
+    """Narrow rows of the scans, cut into runs."""
+    return runs(frames.select("scan", "frame_idx", "ord", "key", "phash"), "scan", ORDER)
+
+
 def flag_decimated(frames: DataFrame, threshold: int, name: str = "kept") -> DataFrame:
-    """Greedy last-kept decimation of each scan by frame_idx; only narrow rows are moved, the state is one hash."""
+    """Greedy last-kept decimation of each scan by frame_idx; only narrow rows are moved, the state is one hash, and a scan of
+    any size is walked by many tasks (linked.py)."""
+
+    def advance(states, pdf):
+        return [decimate(pdf["phash"].to_numpy(), threshold, states[0])[1]]
 
-    def step(last, pdf):
-        keep, last = decimate(pdf["phash"].to_numpy(), threshold, last)
-        return last, pdf[["key", "ord"]].assign(kept=keep)
+    def step(states, pdf):
+        keep, last = decimate(pdf["phash"].to_numpy(), threshold, states[0])
+        return [last], pdf[["key", "ord"]].assign(kept=keep)
 
-    narrow = frames.select("scan", "frame_idx", "ord", "key", "phash")
-    done = walk(narrow, ["scan"], ["frame_idx", "ord"], lambda: None, step, "key string, ord long, kept boolean")
+    done = walk_runs(_runs(frames), "scan", ORDER, advance, 1, step, "key string, ord long, kept boolean")
     return frames.join(done.withColumnRenamed("kept", name), ["key", "ord"])
 
 
 def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
     """D3: per threshold the frames kept and dropped, and the Hamming distances of neighbours among the kept; one pass over the scans."""
 
-    def step(state, pdf):
-        hashes, scan, cols = pdf["phash"].to_numpy(), pdf["scan"].iat[0], []
-        for t in thresholds:
-            before = state.get(t)
-            keep, state[t] = decimate(hashes, t, before)
+    def advance(states, pdf):
+        hashes = pdf["phash"].to_numpy()
+        return [decimate(hashes, t, last)[1] for t, last in zip(thresholds, states)]
+
+    def step(states, pdf):
+        hashes, scan, cols, ends = pdf["phash"].to_numpy(), pdf["scan"].iat[0], [], []
+        for t, before in zip(thresholds, states):
+            keep, end = decimate(hashes, t, before)
+            ends.append(end)
             kept = hashes[keep].tolist()
             dist = [float("nan")] if before is None else [((kept[0] ^ before) & 0xFFFFFFFFFFFFFFFF).bit_count()] if kept else []
             dist += [((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() for x, y in zip(kept, kept[1:])]
             dist = dist or [float("nan")]
             cols += [(t, scan, len(pdf) if k == 0 else 0, x, len(kept) if k == 0 else 0) for k, x in enumerate(dist)]
-        return state, pd.DataFrame(cols, columns=["threshold", "scan", "n", "dist", "n_kept"])
+        return ends, pd.DataFrame(cols, columns=["threshold", "scan", "n", "dist", "n_kept"])
 
-    narrow = frames.select("scan", "frame_idx", "ord", "phash")
-    rows = walk(narrow, ["scan"], ["frame_idx", "ord"], dict, step, "threshold int, scan string, n long, dist double, n_kept long")
+    rows = walk_runs(_runs(frames), "scan", ORDER, advance, len(thresholds), step, "threshold int, scan string, n long, dist double, n_kept long")
     d = F.when(~F.isnan("dist"), F.col("dist"))
     return rows.groupBy("threshold").agg(
         F.sum("n_kept").alias("n_kept"), (F.sum("n") - F.sum("n_kept")).alias("n_dropped"), F.count_distinct("scan").alias("n_scans"),
@@ -86,11 +100,11 @@ def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
     )
 
 
-def even_positions(frames: DataFrame, cap: Column | int) -> DataFrame:
-    """Frames of each scan at the positions floor(j * (n - 1) / (cap - 1)), the last one always; all if the scan has at most cap."""
-    by_scan = Window.partitionBy("scan")
-    ranked = frames.withColumns({"_i": F.row_number().over(by_scan.orderBy("frame_idx", "ord")) - 1, "_n": F.count(F.lit(1)).over(by_scan)})
-    cap = F.lit(cap) if isinstance(cap, int) else cap
+def even_positions(frames: DataFrame, cap: int) -> DataFrame:
+    """Frames of each scan at the positions floor(j * (n - 1) / (cap - 1)), the last one always; all if the scan has at most cap.
+    Places are found on narrow rows, run by run."""
+    ranked = _runs(frames)
+    cap = F.lit(cap)
     step = (F.col("_n") - 1).cast("double") / (cap - 1)
     near = F.floor(F.col("_i") / step)  # the position is one of floor(j * step): try the j around i / step
     taken = F.lit(False)
@@ -98,7 +112,7 @@ def even_positions(frames: DataFrame, cap: Column | int) -> DataFrame:
         at = F.when(j == cap - 1, F.col("_n") - 1).otherwise(F.floor(j * step))
         taken = taken | ((j >= 0) & (j < cap) & (at == F.col("_i")))
     taken = F.when(F.col("_n") <= cap, True).when(cap == 1, F.col("_i") == 0).otherwise(taken)
-    return ranked.where(taken).drop("_i", "_n")
+    return frames.join(ranked.where(taken).select("key", "ord"), ["key", "ord"], "left_semi")
 
 
 def capped(frames: DataFrame, cap: int, static: int = 1) -> DataFrame:
@@ -108,29 +122,27 @@ def capped(frames: DataFrame, cap: int, static: int = 1) -> DataFrame:
 
 def scan_cap_counts(frames: DataFrame, caps: list[int], static: int = 1) -> DataFrame:
     """Frames kept per cap, for several caps in one pass over the scans (cap, n_kept)."""
+    return _cap_counts(_runs(frames), caps, static)
 
-    def step(state, pdf):
-        out = []
-        n, hashes = int(pdf["_n"].iat[0]), pdf["phash"].to_numpy()
-        at = pdf["_i"].to_numpy()
-        for cap in caps:
-            if n <= cap:
-                take = np.ones(len(at), bool)
-            else:
-                picks = np.linspace(0, n - 1, cap).astype(int) if cap > 1 else np.array([0])
-                take = np.isin(at, picks)
-            keep, state[cap] = decimate(hashes[take], static, state.get(cap))
-            out.append((cap, int(keep.sum())))
-        return state, pd.DataFrame(out, columns=["cap", "n_kept"])
 
-    by_scan = Window.partitionBy("scan")
-    ranked = frames.select("scan", "frame_idx", "ord", "phash", (F.row_number().over(by_scan.orderBy("frame_idx", "ord")) - 1).alias("_i"), F.count(F.lit(1)).over(by_scan).alias("_n"))
-    return walk(ranked, ["scan"], ["frame_idx", "ord"], dict, step, "cap int, n_kept long").groupBy("cap").agg(F.sum("n_kept").alias("n_kept"))
+def _cap_counts(ranked: DataFrame, caps: list[int], static: int = 1) -> DataFrame:
+    def each(states, pdf):
+        n, hashes, at = int(pdf["_n"].iat[0]), pdf["phash"].to_numpy(), pdf["_i"].to_numpy()
+        for cap, last in zip(caps, states):
+            picks = np.linspace(0, n - 1, cap).astype(int) if cap > 1 else np.array([0])
+            yield decimate(hashes if n <= cap else hashes[np.isin(at, picks)], static, last)
+
+    def step(states, pdf):
+        done = list(each(states, pdf))
+        return [last for _, last in done], pd.DataFrame({"cap": caps, "n_kept": [int(keep.sum()) for keep, _ in done]})
+
+    found = walk_runs(ranked, "scan", ORDER, lambda states, pdf: [last for _, last in each(states, pdf)], len(caps), step, "cap int, n_kept long")
+    return found.groupBy("cap").agg(F.sum("n_kept").alias("n_kept"))
 
 
 def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, steps: int = 18) -> tuple[int, int]:
     """The cap whose kept count is nearest to the target, by bisection; each round tries the caps of three rounds at once."""
-    frames = stored(frames.select("scan", "frame_idx", "ord", "phash"), "cap-frames")  # read in each round
+    ranked = stored(_runs(frames).repartition("scan", "_slice").sortWithinPartitions("scan", "_slice", *ORDER), "cap-frames")  # read in each round
     best, done, known = (None, None), 0, {}
     while done < steps and low <= high:
         tree, level = [], [(low, high)]
@@ -143,7 +155,7 @@ def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, ste
                     nxt += [(a, m - 1), (m + 1, b)]
             level = nxt
         fresh = [c for c in dict.fromkeys(tree) if c not in known]
-        known |= {r["cap"]: r["n_kept"] for r in scan_cap_counts(frames, fresh).collect()}
+        known |= {r["cap"]: r["n_kept"] for r in _cap_counts(ranked, fresh).collect()}
         for _ in range(3):
             if done >= steps or low > high:
                 break

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from latticework.functions import kernels as K
+from latticework.functions import linked as L
 from latticework.functions import ordered as O
 from latticework.operators import boxes as B
 from latticework.operators import curation as C
@@ -147,3 +148,28 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("spread", [40, 3])
+def test_a_scan_of_many_runs(spark, monkeypatch, spread):
+    """A third of all frames in one scan: many tasks walk it, and the result is that of one walk, also where runs hardly ever agree."""
+    rng = np.random.default_rng(spread)
+    rows = [(f"k{i}", "hot" if i % 3 == 0 else f"s{i % 17}", i, i, int(rng.integers(0, 1 << spread))) for i in range(1500)]
+    rows += [(f"e{i}", "still", i, 2000 + i, 5 if i < 590 else 255) for i in range(600)]  # no frame is kept for several runs
+    frames = spark.createDataFrame(rows, "key string, scan string, frame_idx long, ord long, phash long").repartition(5)
+    jobs = {
+        "sweep": lambda: sorted(map(str, C.decimation_sweep(frames, [0, 1, 2, 4]).collect())),
+        "capped": lambda: sorted(map(str, C.capped(frames, 60).collect())),
+        "counts": lambda: sorted(map(str, C.scan_cap_counts(frames, [1, 9, 60, 5000]).collect())),
+    }
+    whole = {name: job() for name, job in jobs.items()}
+    monkeypatch.setattr(L, "RUN_ROWS", 200)
+    assert {name: job() for name, job in jobs.items()} == whole
+    cut = L.runs(frames, "scan", ["frame_idx", "ord"])
+    assert cut.where("scan = 'hot'").select("_slice").distinct().count() > 2
+    kept, last = [], None
+    for key, scan, *_, h in sorted(rows, key=lambda r: r[2]):
+        if scan == "hot" and (last is None or bin(h ^ last).count("1") > 2):
+            kept.append(key)
+            last = h
+    assert sorted(r.key for r in C.flag_decimated(frames, 2).where("scan = 'hot' AND kept").collect()) == sorted(kept)
