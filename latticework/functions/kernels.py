@@ -78,7 +78,8 @@ def fuse(boxes: np.ndarray, scores: np.ndarray, labels: np.ndarray, model: np.nd
 
 
 def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the cheapest one-to-one assignment of a rectangular matrix (shortest augmenting paths)."""
+    """Rows and columns of the cheapest one-to-one assignment of a rectangular matrix (shortest augmenting paths). Costs may be whole numbers
+    of any size (objects)."""
     if not cost.size:
         return np.zeros(0, int), np.zeros(0, int)
     if 1 in cost.shape:
@@ -91,10 +92,11 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(set(first.tolist())) == n:  # every row gets its cheapest column
         rows = np.argsort(first) if turned else np.arange(n)
         return (first[rows], rows) if turned else (rows, first)
-    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
+    u, v, owner = np.zeros(n, c.dtype), np.zeros(m + 1, c.dtype), np.full(m + 1, -1)
+    endless = np.inf if c.dtype != object else 2 * (n + m + 1) * int(np.abs(c).max()) + 1
     for i in range(n):
         owner[m] = i  # a column of its own starts the path
-        j, best, way, done = m, np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        j, best, way, done = m, np.full(m, endless, c.dtype), np.full(m, -1), np.zeros(m, bool)
         while owner[j] >= 0:
             row = owner[j]
             if j < m:
@@ -102,7 +104,7 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             near = c[row] - u[row] - v[:m]
             better = ~done & (near < best)
             best[better], way[better] = near[better], j
-            k = int(np.where(done, np.inf, best).argmin())
+            k = int(np.where(done, endless, best).argmin())
             step = best[k]
             u[i] += step
             for d in np.flatnonzero(done):
@@ -122,6 +124,58 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (cols, rows) if turned else (rows, cols)
 
 
+def whole_numbers(x: np.ndarray) -> list[int]:
+    """Doubles times the least power of two that makes all of them whole: sums and comparisons are exact."""
+    part, power = np.frexp(x)
+    units, power = np.ldexp(part, 53).astype(np.int64).tolist(), (power - 53).tolist()
+    low = min((p for u, p in zip(units, power) if u), default=0)
+    return [u << (p - low) if u else 0 for u, p in zip(units, power)]
+
+
+def components(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The component of each edge of a bipartite graph: its least node of side a."""
+    label = np.arange(a.max(initial=-1) + 1)
+    other = np.zeros(b.max(initial=-1) + 1, np.int64)
+    while True:
+        other[:] = len(label)
+        np.minimum.at(other, b, label[a])
+        new = label.copy()
+        np.minimum.at(new, a, other[b])
+        new = new[new]  # a label's own label is nearer to the end
+        if (new == label).all():
+            return label[a]
+        label = new
+
+
+def best_matching(a: np.ndarray, b: np.ndarray, cost: np.ndarray, overlap: np.ndarray | None) -> np.ndarray:
+    """Edges (a, b) of the best matching: as many as possible, of these the cheapest, then most overlap (to nine digits), then the lowest b for the
+    lowest a. Components are matched one by one, with whole numbers, so no key disturbs the one before it."""
+    group = components(a, b)
+    order = np.lexsort((b, a, group))
+    begin = np.flatnonzero(np.append(True, np.diff(group[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    taken = []
+    for x, y in zip(begin, np.append(begin[1:], len(order))):
+        e = order[x:y]
+        if len(e) == 1:
+            taken.append(e)
+            continue
+        rows, i = np.unique(a[e], return_inverse=True)
+        cols, j = np.unique(b[e], return_inverse=True)
+        n, m = len(rows), len(cols)
+        price = whole_numbers(cost[e])
+        shared = [0] * len(e) if overlap is None else [round(float(o) * 1e9) for o in overlap[e]]
+        place = [(int(q) - m) * (m + 1) ** (n - 1 - int(p)) for p, q in zip(i, j)]  # below 0, which is no partner
+        room = (m + 1) ** n
+        more = room * (1 + n * max(map(abs, shared)))
+        most = more * (1 + n * max(map(abs, price)))
+        weight = np.zeros((n, m), object)
+        for p, q, c, o, t in zip(i, j, price, shared, place):
+            weight[p, q] = -4 * most + 2 * more * c - room * 2 * o + t
+        edge = {(p, q): k for k, p, q in zip(e.tolist(), i.tolist(), j.tolist())}
+        taken.append(np.array([edge[p, q] for p, q in zip(*(z.tolist() for z in assign(weight))) if (p, q) in edge], np.int64))
+    return np.concatenate(taken) if taken else np.zeros(0, np.int64)
+
+
 # ---- polar frames: uint8 (chi rows, q columns), 0 = no data ---------------------------------------------------------
 
 

@@ -40,13 +40,15 @@ def walk(df: DataFrame, keys: list[str], order: list, start: Callable[[], object
     return laid_out(df, keys, order).mapInPandas(run, schema)
 
 
-def groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema) -> DataFrame:
+def groups(df: DataFrame, keys: list[str], order: list, fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema, many: bool = False) -> DataFrame:
     """Apply fn to each key's rows, for keys of bounded size (boxes of an image); many keys share one Python call.
 
-    fn takes and returns a dict of equally long numpy columns.
+    fn takes and returns a dict of equally long numpy columns; many: of all rows of several keys.
     """
 
     def applied(columns: dict[str, np.ndarray], cuts: list[int]) -> pd.DataFrame:
+        if many:
+            return pd.DataFrame(fn({c: v[: cuts[-1]] for c, v in columns.items()}))
         out = [fn({c: v[a:b] for c, v in columns.items()}) for a, b in zip(cuts[:-1], cuts[1:])]
         return pd.DataFrame({c: np.concatenate([o[c] for o in out]) for c in out[0]})
 

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.kernels import MATCH_LIMIT, NO_MATCH, assign
+from ..functions.kernels import MATCH_LIMIT, NO_MATCH, assign, best_matching, components
 from ..functions.ordered import before, percentiles, sliced
 from ..functions.store import stored
 from ..functions.walk import groups
-from .boxes import P_XYXY, XYXY, iou, pairs
+from .boxes import P_XYXY, XYXY, iou, near_pairs, pairs
 from .detections import above, sweep
 
 LEVELS = ((1, "low"), (2, "med"), (3, "high"))
@@ -30,40 +31,69 @@ def q_costs(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, relative:
     return j.withColumn("cost", F.when(F.col("overlap") <= min_iou, F.lit(NO_MATCH)).otherwise(cost))
 
 
-#: What full overlap of a pair takes off its cost when assignments are compared: of equally cheap ones that of more overlap counts.
-TIE = 1e-4
+def gated(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, relative: bool = False) -> DataFrame:
+    """The pairs of `q_costs` that may match, met on a grid: an image's boxes meet their neighbours only."""
+    j = near_pairs(truths, dets, ["image_id"])
+    cost = F.abs((F.col("x1") + F.col("x2") - F.col("p_x1") - F.col("p_x2")) / 2)
+    cost = cost / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0)) if relative else cost
+    return j.withColumns({"overlap": iou(XYXY, P_XYXY), "cost": cost}).where(F.col("overlap") > min_iou)
 
 
-def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, largest: bool = False, carry: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
-    """The cheapest one-to-one assignment of each image's whole cost matrix; then pairs at the limit or above go.
+def assign_pairs(costs: DataFrame, limit: float = MATCH_LIMIT, carry: tuple[str, ...] = (), tie: str | None = None) -> DataFrame:
+    """The cheapest one-to-one assignment of each image, from the pairs that may match; then pairs at the limit or above go.
 
-    largest: maximise instead (IoU), keep pairs above the limit. carry: double columns of the pairs to keep. tie: the column of
-    overlaps that decides between assignments of one cost (centres on a line often tie); without it the choice is arbitrary.
+    A pair that may not match costs more than all others together, so the cheapest assignment of the whole matrix has as many of the given pairs as
+    possible; of such assignments the one of least total cost counts, then the one of most overlap (`tie`), then the lowest detections
+    of the lowest truths. The components of an image are solved one by one: no matrix of a whole image is made. carry: double columns to keep.
     """
     used = list(dict.fromkeys([*carry, *([tie] if tie else [])]))
 
+    def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        image = pd.factorize(g["image_id"])[0].astype(np.int64)
+        a, b = (_numbers(image, g[c]) for c in ("gt", "det"))
+        e = best_matching(a, b, g["cost"].astype(np.float64), g[tie] if tie else None)
+        e = e[g["cost"][e] < limit]
+        return {c: g[c][e] for c in ("image_id", "gt", "det", "cost", *carry)}
+
+    narrow = costs.where(F.col("cost") < NO_MATCH).select("image_id", "gt", F.col("p_det").alias("det"), "cost", *used)
+    return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, cost double" + "".join(f", {c} double" for c in carry), many=True)
+
+
+def assign_by_overlap(pairs_: DataFrame, limit: float = 0.0) -> DataFrame:
+    """The one-to-one assignment of each image of most total IoU; pairs above the limit stay. pairs_: image_id, gt, p_det, overlap."""
+
     def run(g: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         gt, r = np.unique(g["gt"], return_inverse=True)
         det, c = np.unique(g["det"], return_inverse=True)
-        m = np.full((len(gt), len(det)), 0.0 if largest else NO_MATCH)
-        m[r, c] = g["cost"]
-        at = np.zeros(m.shape, int)
-        at[r, c] = np.arange(len(r))
-        weighed = -m if largest else m.copy()
-        if tie:
-            weighed[r, c] -= TIE * g[tie]
-        i, j = assign(weighed)
-        ok = m[i, j] > limit if largest else m[i, j] < limit
-        kept = {name: g[name][at[i, j][ok]] for name in carry}
-        return {"image_id": np.repeat(g["image_id"][:1], ok.sum()), "gt": gt[i][ok], "det": det[j][ok], "cost": m[i, j][ok]} | kept
-
-    narrow = costs.select("image_id", "gt", F.col("p_det").alias("det"), "cost", *used)
-    return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, cost double" + "".join(f", {c} double" for c in carry))
+        kept = []
+        for k in np.unique(group := components(r, c)):
+            e = np.flatnonzero(group == k)
+            rows, i = np.unique(r[e], return_inverse=True)
+            cols, j = np.unique(c[e], return_inverse=True)
+            m, at = np.zeros((len(rows), len(cols))), np.full((len(rows), len(cols)), -1)
+            m[i, j], at[i, j] = -g["overlap"][e], e
+            kept.append(at[assign(m)])
+        e = np.concatenate(kept)
+        e = e[e >= 0]
+        e = e[g["overlap"][e] > limit]
+        return {c: g[c][e] for c in ("image_id", "gt", "det", "overlap")}
+
+    narrow = pairs_.where("overlap > 0").select("image_id", "gt", F.col("p_det").alias("det"), "overlap")
+    return groups(narrow, ["image_id"], [F.asc("gt"), F.asc("det")], run, "image_id long, gt long, det long, overlap double")
+
+
+def _numbers(image: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """A number per (image, id), in order of both."""
+    order = np.lexsort((ids, image))
+    new = np.append(True, (np.diff(image[order]) != 0) | (np.diff(ids[order]) != 0))
+    out = np.empty(len(ids), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
 
 
 def match(truths: DataFrame, dets: DataFrame, min_iou: float = 0.1, limit: float = MATCH_LIMIT) -> DataFrame:
     """image_id, kind (tp, fp, fn), gt, det, cost, score, level. Images without ground truth give no false positives."""
-    found = assign_pairs(q_costs(truths, dets, min_iou), limit, carry=("p_score",), tie="overlap")
+    found = assign_pairs(gated(truths, dets, min_iou), limit, carry=("p_score",), tie="overlap")
     # each found pair meets its truth and its detection in one join, so the assignment is planned once
     truth_side = F.struct(F.lit(True).alias("is_gt"), F.col("gt").alias("id"), F.col("det").alias("other"), "cost", "p_score")
     det_side = F.struct(F.lit(False).alias("is_gt"), F.col("det").alias("id"), F.col("gt").alias("other"), "cost", "p_score")

@@ -189,12 +189,12 @@ _MATCHED = """dt AS (SELECT image_id, det, x1, y1, x2, y2, score FROM o WHERE sc
 tn AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gt) AS k, count(*) OVER (PARTITION BY image_id) AS nt FROM truths),
 pr AS (SELECT t.image_id, t.k, d.det, abs((t.x1+t.x2-d.x1-d.x2)/2) AS cost, greatest(least(t.x2,d.x2)-greatest(t.x1,d.x1),0)*greatest(least(t.y2,d.y2)-greatest(t.y1,d.y1),0) AS i,
   (t.x2-t.x1)*(t.y2-t.y1)+(d.x2-d.x1)*(d.y2-d.y1) AS a FROM tn t JOIN dt d USING (image_id)),
-ed AS (SELECT image_id, k, det, cost, cost - 1e-4::DOUBLE * i/(a-i) AS wt FROM pr WHERE i/(a-i) > 0.1 UNION ALL SELECT image_id, k, NULL, 0, 0 FROM tn),
-ms AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS n, 0.0::DOUBLE AS cost, []::STRUCT(k BIGINT, det BIGINT, cost DOUBLE)[] AS picks FROM tn
-  UNION ALL SELECT m.image_id, e.k, CASE WHEN e.det IS NULL THEN m.used ELSE list_append(m.used, e.det) END, m.n + (e.det IS NOT NULL)::BIGINT, m.cost + e.wt,
+ed AS (SELECT image_id, k, det, cost, round(i/(a-i) * 1e9::DOUBLE) AS ov FROM pr WHERE i/(a-i) > 0.1 UNION ALL SELECT image_id, k, NULL, 0, 0 FROM tn),
+ms AS (SELECT DISTINCT image_id, 0::BIGINT AS k, []::BIGINT[] AS used, 0::BIGINT AS n, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS ov, []::STRUCT(k BIGINT, det BIGINT, cost DOUBLE)[] AS picks FROM tn
+  UNION ALL SELECT m.image_id, e.k, CASE WHEN e.det IS NULL THEN m.used ELSE list_append(m.used, e.det) END, m.n + (e.det IS NOT NULL)::BIGINT, m.cost + e.cost, m.ov + e.ov,
     CASE WHEN e.det IS NULL THEN m.picks ELSE list_append(m.picks, {'k': e.k, 'det': e.det, 'cost': e.cost}) END
   FROM ms m JOIN ed e ON e.image_id = m.image_id AND e.k = m.k + 1 WHERE e.det IS NULL OR NOT list_contains(m.used, e.det)),
-bm AS (SELECT m.image_id, m.picks FROM ms m JOIN (SELECT DISTINCT image_id, nt FROM tn) t ON t.image_id = m.image_id AND m.k = t.nt QUALIFY row_number() OVER (PARTITION BY m.image_id ORDER BY m.n DESC, round(m.cost, 9), m.picks) = 1),
+bm AS (SELECT m.image_id, m.picks FROM ms m JOIN (SELECT DISTINCT image_id, nt FROM tn) t ON t.image_id = m.image_id AND m.k = t.nt QUALIFY row_number() OVER (PARTITION BY m.image_id ORDER BY m.n DESC, m.cost, m.ov DESC, m.picks) = 1),
 fd AS (SELECT image_id, p.k AS k, p.det AS det, p.cost AS cost FROM (SELECT image_id, unnest(picks) AS p FROM bm) WHERE p.cost < 10),
 mt AS (SELECT t.image_id, CASE WHEN f.det IS NULL THEN 'fn' ELSE 'tp' END AS kind, t.gt, f.det, f.cost, d.score, t.level FROM tn t LEFT JOIN fd f ON f.image_id = t.image_id AND f.k = t.k LEFT JOIN dt d ON d.image_id = t.image_id AND d.det = f.det
   UNION ALL SELECT d.image_id, 'fp', NULL, d.det, NULL, d.score, NULL FROM dt d WHERE d.image_id IN (SELECT image_id FROM tn) AND NOT EXISTS (SELECT 1 FROM fd f WHERE f.image_id = d.image_id AND f.det = d.det))"""

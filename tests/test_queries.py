@@ -1,5 +1,7 @@
 """Every query against its SQL in DuckDB, and operators against brute force."""
 
+from fractions import Fraction
+
 import duckdb
 import numpy as np
 import pytest
@@ -92,10 +94,11 @@ def test_match_against_brute_force(spark, sf_dir):
             b = np.array([[x.x1, x.y1, x.x2, x.y2] for x in p])
             cost = np.abs((a[:, None, 0] + a[:, None, 2] - b[None, :, 0] - b[None, :, 2]) / 2)
             cost[K.iou(a, b) <= 0.1] = K.NO_MATCH
-            i, j = K.assign(cost - E.TIE * K.iou(a, b))
+            i, j = K.assign(cost)
             assert np.isclose(sum(r.cost for r in found), cost[i, j][cost[i, j] < 10].sum())
 
 
+
 def test_curve_with_ties_and_many_slices(spark, sf_dir):
     """A third of all detections share one score; the curve is that of a plain walk over the sorted rows."""
     m = views.matches(spark, sf_dir).withColumn("score", C.F.when(C.F.col("det") % 3 == 0, C.F.when(C.F.col("kind") != "fn", 0.25)).otherwise(C.F.col("score")))
@@ -173,3 +176,55 @@ def test_a_scan_of_many_runs(spark, monkeypatch, spread):
             kept.append(key)
             last = h
     assert sorted(r.key for r in C.flag_decimated(frames, 2).where("scan = 'hot' AND kept").collect()) == sorted(kept)
+
+
+def best_by_trying(edges):
+    """All matchings of a few edges (a, b, cost, overlap): most edges, least cost, most overlap, lowest b for the lowest a."""
+    best = None
+    for mask in range(1 << len(edges)):
+        some = [e for k, e in enumerate(edges) if mask >> k & 1]
+        if len({e[0] for e in some}) == len(some) == len({e[1] for e in some}):
+            cost = sum((Fraction(e[2]) for e in some), Fraction(0))
+            key = (-len(some), cost, -sum(round(e[3] * 1e9) for e in some), sorted(e[:2] for e in some))
+            best = key if best is None or key < best else best
+    return best[3]
+
+
+def test_best_matching():
+    rng = np.random.default_rng(6)
+    for trial in range(150):
+        n, m = rng.integers(1, 5, 2)
+        at = [(a, b) for a in range(n) for b in range(m) if rng.random() < 0.6][:11]
+        cost = rng.integers(0, 3, len(at)) * (0.5 if trial % 2 else 1e-7) + (rng.random(len(at)) * 1e-12 if trial % 3 == 0 else 0)
+        edges = [(a, b, float(c), float(o)) for (a, b), c, o in zip(at, cost, rng.integers(1, 4, len(at)) / 4)]
+        a, b, c, o = (np.array(x) for x in zip(*edges)) if edges else (np.zeros(0, int),) * 4
+        got = K.best_matching(a, b, np.asarray(c, float), np.asarray(o, float))
+        assert sorted((int(a[k]), int(b[k])) for k in got) == (best_by_trying(edges) if edges else [])
+    # the least cost counts before any overlap, and one more pair before any cost
+    one = K.best_matching(np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.array([4e-5, 0, 0, 4e-5]), np.array([0.9, 0.11, 0.11, 0.9]))
+    assert sorted(one.tolist()) == [1, 2]
+    assert sorted(K.best_matching(np.array([0, 0, 1]), np.array([0, 1, 0]), np.array([0.0, 9e9, 9e9]), None).tolist()) == [1, 2]
+
+
+def test_boxes_meet_on_a_grid(spark):
+    """The same overlapping pairs as all against all, each once; an image of many boxes makes few rows."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i % 2), int(i), *map(float, (x, y, x + w, y + h))) for i, (x, y, w, h) in enumerate(rng.integers(-50, 300, (400, 4)) % [350, 350, 60, 60])]
+    rows += [(0, 900, -500.0, -500.0, 900.0, 900.0), (0, 901, 32.0, 32.0, 32.0, 64.0), (1, 902, 64.0, 0.0, 96.0, 32.0), (1, 903, 96.0, 0.0, 128.0, 32.0)]
+    left = spark.createDataFrame(rows, "image_id long, gt long, x1 double, y1 double, x2 double, y2 double")
+    right = left.withColumnRenamed("gt", "det").withColumns({"x1": C.F.col("x1") + 3, "x2": C.F.col("x2") + 3})
+    near = sorted((r.image_id, r.gt, r.p_det) for r in B.near_pairs(left, right, ["image_id"]).collect())
+    every = B.pairs(left, right, ["image_id"]).where((C.F.greatest("x1", "p_x1") < C.F.least("x2", "p_x2")) & (C.F.greatest("y1", "p_y1") < C.F.least("y2", "p_y2")))
+    assert near == sorted((r.image_id, r.gt, r.p_det) for r in every.collect())
+    assert near == sorted((r.image_id, r.gt, r.p_det) for r in B.near_pairs(left, right, ["image_id"], 7.0).collect())
+    costs = E.q_costs(left, right, 0.1).where("cost < 1e7").select("image_id", "gt", "p_det", "cost", "overlap")
+    assert sorted(map(str, costs.collect())) == sorted(map(str, E.gated(left, right, 0.1).select(*costs.columns).collect()))
+    best = E.assign_by_overlap(E.gated(left, right, 0.0)).collect()
+    assert len({(r.image_id, r.gt) for r in best}) == len(best) == len({(r.image_id, r.det) for r in best}) and all(r.overlap > 0 for r in best)
+
+
+def test_average_precision_of_nothing_found(spark):
+    rows = [("a", 1, 1, "tp", 0.9, 1), ("a", 1, 2, "fn", None, 1), ("b", 2, 1, "fn", None, 2)]
+    m = spark.createDataFrame(rows, "dataset string, image_id long, det long, kind string, score double, level int")
+    got = {r.dataset: r.ap_total for r in E.average_precision(E.curve(m, ["dataset"]), ["dataset"], m).collect()}
+    assert got == {"a": 0.5, "b": 0.0}
