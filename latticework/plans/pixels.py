@@ -99,8 +99,13 @@ PLANS = {
       dl AS (SELECT vec_id, cell, x, CASE WHEN n >= 16 AND x <> 0 THEN ln(1+x) ELSE x END AS y FROM sl), dz AS (SELECT vec_id, avg(y) AS m, stddev_pop(y) AS sd FROM dl WHERE x <> 0 GROUP BY 1),
       dv AS (SELECT vec_id, cell, CASE WHEN x = 0 OR n = 0 THEN 0 ELSE (y - m) / CASE WHEN sd < 1e-6 THEN 1 ELSE sd END END AS z FROM dl LEFT JOIN dz USING (vec_id) JOIN qu USING (vec_id)),
       de AS (SELECT vec_id, string_agg((CASE WHEN abs(z) < pow(2, -14) THEN round_even(z * 16777216, 0) ELSE round_even(z / pow(2, floor(log2(abs(z))) - 10), 0) * pow(2, floor(log2(abs(z))) - 10) * 16777216 END)::BIGINT::VARCHAR, ',' ORDER BY cell) AS descriptor FROM dv GROUP BY 1),
-      co AS (SELECT u, p, sum(cos(pi() * (2 * (4 * p + k) + 1) * u / 64)) AS k FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS p), (SELECT unnest(range(4)) AS k) GROUP BY ALL),
-      lo AS (SELECT vec_id, a.u AS u, b.u AS v, sum(a.k * b.k * y) AS low FROM st JOIN co a ON a.p = r JOIN co b ON b.p = c GROUP BY ALL), md AS (SELECT vec_id, quantile_cont(low, 0.5) AS md FROM lo GROUP BY 1),
+      lc AS (SELECT xx, x, x - (xx + 0.5::DOUBLE) / 4 + 0.5 AS d FROM (SELECT unnest(range(32)) AS xx), (SELECT unnest(range(8)) AS x) WHERE x >= greatest(trunc((xx + 0.5) / 4 - 2.5), 0) AND x < least(trunc((xx + 0.5) / 4 + 3.5), 8)),
+      lk AS (SELECT xx, x, CASE WHEN d = 0 THEN 1.0::DOUBLE WHEN abs(d) >= 3 THEN 0 ELSE sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) END AS w FROM lc), ln AS (SELECT xx, x, w / sum(w) OVER (PARTITION BY xx) AS w FROM lk),
+      lw AS (SELECT xx, x, trunc(w * 4194304 + CASE WHEN w < 0 THEN -0.5::DOUBLE ELSE 0.5::DOUBLE END) AS k FROM ln),
+      hz AS (SELECT vec_id, r, xx AS c, least(greatest(floor((sum(y * k) + 2097152) / 4194304), 0), 255) AS y FROM st JOIN lw ON x = c GROUP BY ALL),
+      vz AS (SELECT vec_id, xx AS r, c, least(greatest(floor((sum(y * k) + 2097152) / 4194304), 0), 255) AS y FROM hz JOIN lw ON x = r GROUP BY ALL),
+      co AS (SELECT u, p, cos(pi() * (2 * p + 1) * u / 64) AS k FROM (SELECT unnest(range(8)) AS u), (SELECT unnest(range(32)) AS p)), lv AS (SELECT vec_id, r, b.u AS v, sum(y * k) AS y FROM vz JOIN co b ON b.p = c GROUP BY ALL),
+      lo AS (SELECT vec_id, a.u AS u, v, sum(y * k) AS low FROM lv JOIN co a ON a.p = r GROUP BY ALL), md AS (SELECT vec_id, quantile_cont(low, 0.5) AS md FROM lo GROUP BY 1),
       ph AS (SELECT vec_id, sum(CASE WHEN low > md THEN CASE WHEN u + v = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (63 - u * 8 - v)::INTEGER) END ELSE 0 END)::BIGINT AS phash FROM lo JOIN md USING (vec_id) GROUP BY 1)
       SELECT vec_id, round_even(n / 64.0::DOUBLE, 4) AS frac_valid, round_even(sa / greatest(n, 1)::DOUBLE, 4) AS saturation, round_even(coalesce(mean, 0), 2)::FLOAT::DOUBLE AS mean, coalesce(dyn, 0) AS dyn, n < 1.28 OR coalesce(dyn, 0) < 4 AS blank, phash, descriptor FROM qu JOIN de USING (vec_id) JOIN ph USING (vec_id)"""),
     "f7_cake": (lambda s, d: _cells(_frames(s, d), lambda i: K.polar(i, 16, 24)), "WITH " + _regrid(16, 24, "q * cos(a)", "7 - q * sin(a)", 1, _LINEAR, True)),
