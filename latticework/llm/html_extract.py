@@ -22,7 +22,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import exp, log
 
 import pyarrow as pa
 
@@ -48,6 +48,7 @@ CLOSES = {  # an open element of the first kind ends when one of these begins
     "option": frozenset(["option", "optgroup"]),
     "head": frozenset(["body"]),
 }
+CLOSED_BY = {name: [own for own, names in CLOSES.items() if name in names] for names_ in CLOSES.values() for name in names_}
 SCOPE = frozenset("ul ol dl table select nav div section article main aside body html form".split())
 # Words in class, id or role that speak for or against main text.
 AGAINST = frozenset(
@@ -105,9 +106,18 @@ def _keyword(attrs: str) -> str:
 def parse(source: str) -> Page:
     """The tree of a page; never fails on broken markup."""
     page, stack = Page(), [0]
+    places: dict[str, list[int]] = {}  # places in the stack of each open tag, and of those that end a scope
+    scopes: list[int] = []
     run: list[str] = []
     linked = in_link = 0
 
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            own = page.tag[stack.pop()]
+            places[own].pop()
+            if own in SCOPE:
+                scopes.pop()
+
     def flush() -> None:
         nonlocal linked
         if run:
@@ -147,10 +157,8 @@ def parse(source: str) -> Page:
         in_link = 0
         tags = page.tag
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if places.get(name):
+                cut(places[name][-1])
             continue
         if name in ENDS:
             if not m[0].endswith("/>"):
@@ -158,14 +166,10 @@ def parse(source: str) -> Page:
                 pos = end.end() if end else n
             continue
         if tags[stack[-1]] == "p":
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            own = tags[stack[k]]
-            if name in CLOSES.get(own, ()):
-                del stack[k:]
-                break
-            if own in SCOPE:
-                break
+            cut(len(stack) - 1)
+        nearest = max((places[x][-1] for x in CLOSED_BY.get(name, ()) if places.get(x)), default=0)
+        if nearest and nearest >= (scopes[-1] if scopes else 0):
+            cut(nearest)
         if name in VOID:
             continue
         page.parent.append(stack[-1])
@@ -173,6 +177,9 @@ def parse(source: str) -> Page:
         page.kw.append(_keyword(m[3]))
         page.text.append(None)
         page.links.append(0.0)
+        places.setdefault(name, []).append(len(stack))
+        if name in SCOPE:
+            scopes.append(len(stack))
         stack.append(len(page.tag) - 1)
     flush()
     # share of linked text in every element
@@ -237,6 +244,15 @@ def counts_of(page: Page) -> Counter:
     return out
 
 
+def _through(odds: float, t00: float, t01: float, t10: float, t11: float) -> float:
+    """Log odds of one end of a link from those of the other: log of (t10 + t11 e**odds) / (t00 + t01 e**odds)."""
+    if odds > 0:
+        e = exp(-min(odds, 700.0))
+        return log((t10 * e + t11) / (t00 * e + t01))
+    e = exp(max(odds, -700.0))
+    return log((t10 + t11 * e) / (t00 + t01 * e))
+
+
 class Model:
     """Log potentials of features and of parent-child labels."""
 
@@ -265,39 +281,26 @@ class Model:
         """P(content) of every node by sum-product messages, up and then down the tree."""
         n, parent, odds = len(page.tag), page.parent, self.odds
         moves = [self.move[kind_of(page, k)] for k in range(n)]
-        # up[k]: product of the node's potential and its children's messages; a child's message is a pair over the parent's label
-        up0, up1, m0, m1 = [1.0] * n, [1.0] * n, [1.0] * n, [1.0] * n
+        # log odds throughout: messages add up, so neither the number of children nor their order matters
+        up, sent, out = [0.0] * n, [0.0] * n, [0.0] * n
         for k in range(n):
             s = 0.0
             for f in features(page, k):
                 s += odds.get(f, 0.0)
-            up1[k] = 2.718281828459045 ** max(-30.0, min(30.0, s))
+            up[k] = max(-30.0, min(30.0, s))
         for k in range(n - 1, 0, -1):
-            a, b = up0[k], up1[k]
-            z = a + b
-            a, b = a / z, b / z
-            up0[k], up1[k] = a, b
             t00, t01, t10, t11 = moves[k]
-            x, y = t00 * a + t01 * b, t10 * a + t11 * b
-            z = x + y
-            m0[k], m1[k] = x, y = x / z, y / z
-            p = parent[k]
-            x, y = up0[p] * x, up1[p] * y
-            z = x + y
-            up0[p], up1[p] = x / z, y / z
-        # down[k]: what the rest of the tree says about the node
-        d0, d1, out = [1.0] * n, [1.0] * n, [0.0] * n
-        d1[0] = 0.01  # the root holds everything
+            sent[k] = _through(up[k], t00, t01, t10, t11)
+            up[parent[k]] += sent[k]
+        # what the rest of the tree says about the node; the root holds everything
+        down = [0.0] * n
+        down[0] = log(0.01)
         for k in range(n):
             if k:
-                p = parent[k]
-                x, y = d0[p] * up0[p] / m0[k], d1[p] * up1[p] / m1[k]
-                z = x + y
-                x, y = x / z, y / z
                 t00, t01, t10, t11 = moves[k]
-                d0[k], d1[k] = x * t00 + y * t10, x * t01 + y * t11
-            a, b = d0[k] * up0[k], d1[k] * up1[k]
-            out[k] = b / (a + b)
+                down[k] = _through(down[parent[k]] + up[parent[k]] - sent[k], t00, t10, t01, t11)
+            both = down[k] + up[k]
+            out[k] = 1 / (1 + exp(min(-both, 700.0)))
         return out
 
     def extract(self, source: str | None) -> str:

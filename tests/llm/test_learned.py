@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html import unescape
@@ -273,3 +274,26 @@ def test_language_fit_is_bounded_by_rows(spark, monkeypatch):
     rows = [(1, f"w{word(k)}", "en") for k in range(600)] + [(None, "ein text", "de")] * 300
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
     assert 45 <= len(model.words) <= 51
+
+
+def test_messages_do_not_depend_on_order(model):
+    """A thousand children: the same sums whatever comes first."""
+    links = '<p><a href="x">one two three</a> <a href="y">four five six</a></p>' * 500
+    prose = "<p>This is a sentence of plain prose that goes on for a while, as sentences do. And here is one more.</p>" * 500
+    found = []
+    for body in (links + prose, prose + links):
+        page = html_extract.parse(f"<html><body><div>{body}</div></body></html>")
+        p = model.marginals(page)
+        assert all(0 <= x <= 1 for x in p)
+        found.append((page.tag.index("div"), p, page))
+    (at, a, one), (_, b, two) = found
+    assert abs(a[at] - b[at]) < 1e-9
+    split = lambda p, page: sorted(round(x, 9) for x, t in zip(p, page.tag) if t == "#text")
+    assert split(a, one) == split(b, two)
+
+
+def test_deep_and_unmatched_tags_take_linear_time():
+    for source in ("<center>" * 100_000 + "deep", "</center>" * 100_000 + "deep", "<option>" * 50_000 + "<center>" * 50_000 + "deep", "<dt>" * 30_000 + "</dl></td>" * 30_000 + "deep"):
+        begun = time.thread_time()
+        page = html_extract.parse(source)
+        assert time.thread_time() - begun < 5 and page.text[-1] == "deep"
