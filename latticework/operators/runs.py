@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scans
+
 
 def best_and_final(log: DataFrame) -> DataFrame:
     """Per run and dataset the best ap with its first epoch, and the last epoch's ap."""
@@ -80,16 +80,13 @@ def weighted_mean(rows: DataFrame, value: str, weight: str, keys: list[str]) ->
 
 
 def interpolated(log: DataFrame, value: str = "ap", com: float = 5.0, keys=("run", "dataset")) -> DataFrame:
-    """Gaps filled linearly, then exponential smoothing (adjusted weights) along each run; a run's log is small."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("epoch")
-        filled = pdf[value].astype(float).interpolate()
-        return pdf[[*keys, "epoch"]].assign(filled=filled, smooth=filled.ewm(com=com).mean())
-
-    types = dict(log.dtypes)
-    schema = ", ".join(f"{k} {types[k]}" for k in (*keys, "epoch")) + ", filled double, smooth double"
-    return log.select(*keys, "epoch", value).groupBy(*keys).applyInPandas(run, schema)
+    """Gaps filled linearly, then exponential smoothing (adjusted weights) along each run, as scans: a log of any size is spread over
+    blocks."""
+    rows = scans.placed(log.select(*keys, "epoch", value), list(keys), "epoch", value)
+    longest = (rows.agg(F.max("_i")).first()[0] or 0) + 1
+    full = scans.filled(rows).withColumn("_w", F.when(F.col("_x").isNotNull(), 1.0))
+    done = scans.decayed(full, {"_x": "_sum", "_w": "_weight"}, com / (1 + com), longest)
+    return done.select(*keys, "epoch", F.col("_x").alias("filled"), (F.col("_sum") / F.nullif(F.col("_weight"), F.lit(0.0))).alias("smooth"))
 
 
 def pr_summary(rows: DataFrame, keys: list[str]) -> DataFrame:

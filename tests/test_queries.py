@@ -4,15 +4,18 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from latticework.functions import kernels as K
 from latticework.functions import linked as L
 from latticework.functions import ordered as O
+from latticework.functions import scans
 from latticework.operators import boxes as B
 from latticework.operators import curation as C
 from latticework.operators import detections as P
 from latticework.operators import metrics as E
+from latticework.operators import runs as R
 from latticework.plans import registry, views
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -228,3 +231,20 @@ def test_average_precision_of_nothing_found(spark):
     m = spark.createDataFrame(rows, "dataset string, image_id long, det long, kind string, score double, level int")
     got = {r.dataset: r.ap_total for r in E.average_precision(E.curve(m, ["dataset"]), ["dataset"], m).collect()}
     assert got == {"a": 0.5, "b": 0.0}
+
+
+@pytest.mark.parametrize("com", [0.01, 3000.0])
+def test_smoothing_in_blocks(spark, monkeypatch, com):
+    """Gap filling and smoothing equal pandas, whatever the blocks and however long the run."""
+    monkeypatch.setattr(scans, "BLOCK", 7)
+    monkeypatch.setattr(L, "RUN_ROWS", 150)
+    rng = np.random.default_rng(9)
+    rows = [(run, "d", i, None if i < gap or rng.random() < 0.4 or 100 <= i < 130 else float(rng.normal())) for run, n, gap in (("long", 200, 30), ("short", 9, 0), ("none", 5, 9)) for i in range(n)]
+    log = spark.createDataFrame(rows, "run string, dataset string, epoch long, ap double").repartition(4)
+    got = {(r.run, r.epoch): (r.filled, r.smooth) for r in R.interpolated(log, com=com).collect()}
+    assert len(got) == len(rows)
+    for run in ("long", "short", "none"):
+        own = pd.Series([np.nan if v is None else v for r, _, _, v in rows if r == run]).interpolate()
+        want = list(zip(own, own.ewm(com=com).mean()))
+        found = [tuple(np.nan if v is None else v for v in got[run, i]) for i in range(len(want))]
+        assert np.allclose(found, want, rtol=1e-9, atol=1e-9, equal_nan=True)
