@@ -152,12 +152,11 @@ def confirmation_list(evals: DataFrame, corpus: DataFrame, k: int = 12, top: int
 
 def material_baseline(frames: DataFrame, materials: list[str], scans: int = 10, vector: str = "v", scan: str = "scan") -> DataFrame:
     """Correlations between the first frames of up to `scans` scans of a material (a part of the scan's name)."""
-    out = None
-    for m in materials:
-        own = frames.where(F.lower(F.col(scan).cast("string")).contains(m.lower()))
-        first = own.groupBy(scan).agg(F.min("frame_idx").alias("frame_idx"), F.min_by(vector, "frame_idx").alias("_v")).orderBy("frame_idx").limit(scans)
-        first = first.withColumn("material", F.lit(m))
-        out = first if out is None else out.unionByName(first)
+    name = F.lower(F.col(scan).cast("string"))
+    of = F.filter(F.array(*[F.lit(m) for m in materials]), lambda m: name.contains(F.lower(m)))  # one pass, a row per material of a scan
+    first = frames.withColumn("material", F.explode(of)).groupBy("material", scan).agg(F.min("frame_idx").alias("frame_idx"), F.min_by(vector, "frame_idx").alias("_v"))
+    place = F.row_number().over(Window.partitionBy("material").orderBy("frame_idx", scan))
+    out = stored(first.withColumn("_p", place).where(F.col("_p") <= scans).drop("_p"), "material-frames")
     a = out.select("material", F.col("frame_idx").alias("_a"), F.col("_v").alias("_va"))
     b = out.select("material", F.col("frame_idx").alias("_b"), F.col("_v").alias("_vb"))
     p = a.join(b, "material").where("_a < _b").withColumn("corr", shared_correlation(F.col("_va"), F.col("_vb")))

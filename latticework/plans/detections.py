@@ -67,6 +67,16 @@ def matched_counts(s, d):
     return E.image_counts(matched(s, d))
 
 
+def merged(s, d):
+    """Counts of the union of two sets, whose images must not meet, and the images that two other sets share."""
+    m = V.matches(s, d)
+    a, b = (m.where(F.col("image_id") % 2 == k) for k in (0, 1))
+    both = E.image_counts(E.merge([a, b])).agg(*[F.sum(f"n_{k}").alias(f"n_{k}") for k in ("tp", "fp", "fn")])
+    shared = E.image_overlap(m.where("image_id % 3 > 0"), m.where("image_id % 5 > 0")).agg(F.count(F.lit(1)).alias("n_shared"))
+    wrong = E.image_overlap(a, b).agg(F.count(F.lit(1)).alias("n_wrong"))
+    return both.crossJoin(shared).crossJoin(wrong)  # a row each
+
+
 def q_error(s, d):
     j = B.pairs(V.truths(s, d), V.boxes(s, d).select("image_id", "det", *B.XYXY, "score"), ["image_id"]).where("gt = p_det").withColumnRenamed("p_score", "score")
     return E.mean_q_error(j, 0.3).select("n", R("q_error").alias("q_error"))
@@ -259,6 +269,8 @@ PLANS = {
       (t.x2-t.x1)*(t.y2-t.y1)+(b.x2-b.x1)*(b.y2-b.y1) AS a FROM truths t JOIN boxes b USING (image_id)) SELECT image_id, gt, det, round(CASE WHEN i/(a-i) <= 0.1 THEN 1e7 ELSE c END, 6) AS cost FROM p"""),
     "e2_e3_match": (matched, f"WITH RECURSIVE {V.TRUTHS}, {_nms('boxes', 'o', _THR)}, {_MATCHED} SELECT * FROM mt"),
     "e4_image_counts": (matched_counts, f"WITH RECURSIVE {V.TRUTHS}, {_nms('boxes', 'o', _THR)}, {_MATCHED} SELECT image_id, count_if(kind = 'tp')::BIGINT AS n_tp, count_if(kind = 'fp')::BIGINT AS n_fp, count_if(kind = 'fn')::BIGINT AS n_fn FROM mt GROUP BY 1"),
+    "e4_merged": (merged, f"""WITH {V.MATCHES} SELECT count_if(kind = 'tp')::BIGINT AS n_tp, count_if(kind = 'fp')::BIGINT AS n_fp, count_if(kind = 'fn')::BIGINT AS n_fn,
+      count(DISTINCT CASE WHEN image_id % 3 > 0 AND image_id % 5 > 0 THEN image_id END) AS n_shared, 0::BIGINT AS n_wrong FROM matches"""),
     "e5_q_error": (q_error, f"WITH {V.TRUTHS} SELECT count(*) AS n, round(avg((b.x1+b.x2-t.x1-t.x2)/2),6) AS q_error FROM truths t JOIN boxes b ON t.image_id = b.image_id AND t.gt = b.det WHERE b.score > 0.3"),
     "e6_e7_curve": (curve, f"WITH {V.MATCHES}, {_curve()} SELECT dataset, rank, image_id, det, {', '.join(f'round({c} + 1e-9::DOUBLE, 6) AS {c}' for c in ('score', 'recall', 'precision', 'interpolated', 'accuracy', 'fp_share', 'recall_low', 'recall_med', 'recall_high'))} FROM crv"),
     "e8_average_precision": (ap, f"WITH {V.MATCHES}, {_curve()}, {_ap()} SELECT dataset, {', '.join(f'round({c}, 6) AS {c}' for c in ('ap_total', 'ap_low', 'ap_med', 'ap_high'))} FROM ap UNION ALL SELECT DISTINCT 'missed', 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM matches WHERE kind = 'fn' AND image_id % 7 = 0"),

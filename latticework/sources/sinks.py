@@ -33,9 +33,9 @@ def write_keep_list(manifest: DataFrame, path: str) -> None:
 
 
 def write_report(rows: DataFrame, path: str, score: str = "score") -> None:
-    """A report by falling score; arrays as JSON text."""
+    """A report by falling score, ties by the other columns; arrays as JSON text."""
     cols = [F.to_json(c).alias(c) if t.startswith("array") else F.col(c) for c, t in rows.dtypes]
-    rows.orderBy(F.desc(score)).select(*cols).write.mode("overwrite").csv(path, header=True)
+    rows.orderBy(F.desc(score), *[c for c in rows.columns if c != score]).select(*cols).write.mode("overwrite").csv(path, header=True)
 
 
 def corpus(frames: DataFrame, manifest: DataFrame, h: int = H, w: int = W) -> DataFrame:
