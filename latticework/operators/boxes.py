@@ -119,8 +119,8 @@ def pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 P_XYXY = tuple(f"p_{c}" for c in XYXY)
-#: Side of a grid cell in pixels, about that of a box.
-CELL = 32.0
+#: Side of a grid cell in pixels, about that of a large box.
+CELL = 64.0
 
 
 def near_pairs(left: DataFrame, right: DataFrame, keys: list[str], cell: float = CELL) -> DataFrame:

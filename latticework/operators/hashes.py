@@ -40,7 +40,7 @@ def probes(hashes: DataFrame, hash_col: str, radii: list[range]) -> DataFrame:
     """A row per hash, quarter and change of that quarter: q, value. radii: bits changed in each quarter."""
     out = None
     for words in {r: [k for k in range(QUARTERS) if radii[k] == r] for r in radii}.items():
-        changed = F.explode(F.array(*[F.lit(x) for x in changes(words[0])]))
+        changed = F.explode(F.split(F.lit(",".join(map(str, changes(words[0])))), ",").cast("array<int>"))  # one literal, folded once
         parts = F.inline(F.array(*[F.struct(F.lit(k).alias("q"), _quarter(hash_col, k).alias("_own")) for k in words[1]]))
         rows = hashes.select(*hashes.columns, parts).withColumn("_c", changed)
         rows = rows.select(*hashes.columns, "q", F.col("_own").bitwiseXOR(F.col("_c")).alias("value"))
