@@ -19,7 +19,8 @@ Words are runs of letters and digits with capitals folded, so case and punctuati
 
 Defined results: null and empty texts are clean; an item without words matches nothing; an item of one to four words has one
 shingle of all its words and is compared with windows of as many words; repeated rows and a null doc_id give a
-row each; other columns are kept, and the new column `hits` gets `_` added until its name is free.
+row each; of windows that match equally well the first counts; a text of any length is searched whole; an empty table gives no rows, and an
+empty benchmark leaves all texts clean; other columns are kept, and the new column `hits` gets `_` added until its name is free.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ about `FIT_PAGES` labelled pages, chosen by hash (a documented bound); only the
 Text: character references decoded, white space inside a block made one space, blocks joined by an empty line.
 
 Defined results: a null or empty page gives an empty text; text outside any element belongs to the root; without labelled pages only the word lists
-speak, so that text without them is left out; repeated rows and null ids give a row each; other columns are not read.
+speak, so that text without them is left out; pages of any length and depth are parsed whole, in time linear in their tags; an empty table gives no
+rows; repeated rows and null ids give a row each; other columns are not read.
 """
 
 from __future__ import annotations

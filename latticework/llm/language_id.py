@@ -9,7 +9,8 @@ Bound (a documented parameter): the model is fitted on `FIT_DOCS` different labe
 so what is broadcast does not grow with the corpus. Prediction reads whole texts.
 
 Defined results: a null text, or one without letters, is `und` with score 0; a null lang is not learned; no labelled
-documents at all give `und` for all; repeated rows and null ids give a row each; other columns are not read.
+documents at all give `und` for all; of languages with equal sums the first by name is taken; texts of any length are read whole; an empty table
+gives no rows; repeated rows and null ids give a row each; other columns are not read.
 """
 
 from __future__ import annotations

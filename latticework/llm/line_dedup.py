@@ -14,7 +14,8 @@ is split by adaptive skew handling.
 
 Defined results: a null text has no lines and stays null; an empty text stays empty; a document is a doc_id (null, too) with its
 text, so different texts of one doc_id are different documents, and rows equal in both are one (their lines keep). All input columns are
-returned, whatever their names (n_dropped gets `_` added if it is taken); texts that lose no line are returned unchanged.
+returned, whatever their names (n_dropped gets `_` added if it is taken); texts that lose no line are returned unchanged; a line of any length is
+one line; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ the class where all its ids are null, too).
 Defined results: a null or empty text, or one of white space only, has no shingles and is a class of its own without
 links, key null; a text of one to four words has one shingle of all its words; rows that repeat a doc_id are counted as documents
 (classes are keyed by the digest of their shingles, so different texts of one doc_id, null too, stay apart); a null doc_id comes
-after all others, so copy_id and class_id are null only where all ids of the class are; other columns are not read.
+after all others, so copy_id and class_id are null only where all ids of the class are; a text of any length is one set of shingles; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,10 +5,11 @@ versioned bit masks, so a verdict, a new policy or an ablation is a bitwise expr
 pass over the texts.
 
 The `toxic` bit: a fixed English insult, or `LEAST_TERMS` words of a list that `fit_terms` derives per language from labelled
-rows (a bounded sample; the query's SQL states the same fit without the bound, which its tables do not reach).
+rows (a bounded sample of rows; the query's SQL states the same fit without that bound, which its tables do not reach).
 
 Defined results: a null or empty text has no words and fails `too_few_words`; null doc_id and repeated rows are kept
-as they are (one ledger row per input row); other columns of the input are ignored, so their names cannot clash.
+as they are (one ledger row per input row); other columns of the input are ignored, so their names cannot clash; a text of any length is
+measured whole; an empty table gives an empty ledger and ablations of 0 documents.
 """
 
 from __future__ import annotations

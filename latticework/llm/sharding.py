@@ -14,7 +14,8 @@ bucket counts (a row per bucket) are summed up in order. Results do not depend o
 
 Defined results: a null text has size 1 and the CRC-32 of the empty text; a null doc_id is an id like any other;
 equal rows are kept, each with a slot of its own (their order among themselves does not show); extra columns are
-written along; `shard` and `slot` get `_` added until their names are free.
+written along; `shard` and `slot` get `_` added until their names are free; a text of any length is one record, alone in its
+bucket if it fills it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Row of the file: part, block, first (ids of the part before it), n_ids, crc, doc
 of the document, last, n), payload (coded ids).
 
 Defined results: a null text counts as empty and has the end id only; a null doc_id comes first; rows with one doc_id
-follow each other, shorter text first, and are separate documents (key: part, position in the part); other columns are not read.
+follow each other, shorter text first, and are separate documents (key: part, position in the part); a long text is cut into pieces over blocks; an empty
+table gives an empty file; other columns are not read.
 """
 
 from __future__ import annotations

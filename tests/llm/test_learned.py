@@ -297,3 +297,15 @@ def test_deep_and_unmatched_tags_take_linear_time():
         begun = time.thread_time()
         page = html_extract.parse(source)
         assert time.thread_time() - begun < 5 and page.text[-1] == "deep"
+
+
+def test_very_long_texts_and_empty_tables(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 60_000)
+    rows = [(1, "the cat sat " * 100_000, "en"), (2, "der hund lag", "de"), (3, "the cat", "en"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sharding.write(docs.select("doc_id", "text"), str(tmp_path / "a"), shards=2)
+    got = {r.doc_id: r.text for r in sharding.read(spark, str(tmp_path / "a")).collect()}
+    assert got == {i: t for i, t, _ in rows}
+    model = language_id.fit(docs)
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(docs, model).collect()} == {1: "en", 2: "de", 3: "en", 4: "und"}
+    assert language_id.predict(docs.limit(0), model).count() == 0 and language_id.fit(docs.limit(0)).langs == []
