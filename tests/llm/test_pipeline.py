@@ -13,7 +13,7 @@ from .test_ngram_join import brute
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "ngram_join", "decontaminate", "bpe"]
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")} and set(ORACLE_SQL) <= set(QUERIES)
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")} and set(ORACLE_SQL) <= set(QUERIES)
 
 
 def test_run(spark, sf_dir):
