@@ -40,6 +40,8 @@ def probes(hashes: DataFrame, hash_col: str, radii: list[range]) -> DataFrame:
     """A row per hash, quarter and change of that quarter: q, value. radii: bits changed in each quarter."""
     out = None
     for words in {r: [k for k in range(QUARTERS) if radii[k] == r] for r in radii}.items():
+        if not words[0]:  # these quarters are not asked for
+            continue
         changed = F.explode(F.split(F.lit(",".join(map(str, changes(words[0])))), ",").cast("array<int>"))  # one literal, folded once
         parts = F.inline(F.array(*[F.struct(F.lit(k).alias("q"), _quarter(hash_col, k).alias("_own")) for k in words[1]]))
         rows = hashes.select(*hashes.columns, parts).withColumn("_c", changed)
@@ -48,6 +50,12 @@ def probes(hashes: DataFrame, hash_col: str, radii: list[range]) -> DataFrame:
     return out
 
 
+def _met(asked: DataFrame, quarters: DataFrame) -> DataFrame:
+    """Probes with the quarters that they ask for. Spark takes a query's thousands of probes for one row and would collect them for a broadcast:
+    both sides are dealt out instead, and a task builds its table from the quarters, four rows per hash."""
+    return asked.join(quarters.hint("shuffle_hash"), ["q", "value"])
+
+
 def _earlier(a: str, b: str, most: list[int]) -> Column:
     """Whether a quarter before q is within its radius, too."""
     hit = F.lit(False)
@@ -66,7 +74,7 @@ def within(a: DataFrame, b: DataFrame, radius: int, key: str = "vec_id", hash_co
     radii = [range(0, m + 1) for m in most]
     left = probes(a.select(F.col(key).alias("a"), F.col(hash_col).alias("_a")), "_a", radii)
     right = table(b.select(F.col(hash_col).alias("_b")).distinct(), "_b")
-    met = left.join(right, ["q", "value"]).where(~_earlier("_a", "_b", most)).withColumn("distance", hamming("_a", "_b")).where(F.col("distance") <= radius)
+    met = _met(left, right).where(~_earlier("_a", "_b", most)).withColumn("distance", hamming("_a", "_b")).where(F.col("distance") <= radius)
     found = met.select("a", "_b", "distance").join(b.select(F.col(key).alias("b"), F.col(hash_col).alias("_b")), "_b")
     return found.where(F.col("a") != F.col("b")).select("a", "b", "distance")
 
@@ -84,7 +92,7 @@ def nearest(evals: DataFrame, corpus: DataFrame, key: str = "vec_id", order: str
     best, done, r = None, left, FIRST
     while True:
         asked = probes(done, "_a", [range(0 if r == FIRST else r - MORE + 1, min(r, BITS) + 1)] * QUARTERS)
-        met = asked.join(right, ["q", "value"]).where(F.col("eval_id") != F.col(key)).withColumn("distance", hamming("_a", "_b").cast("long"))
+        met = _met(asked, right).where(F.col("eval_id") != F.col(key)).withColumn("distance", hamming("_a", "_b").cast("long"))
         found = met.select("eval_id", F.struct("distance", "place", key).alias("r"))
         found = (found if best is None else found.unionByName(best)).groupBy("eval_id").agg(F.min("r").alias("r"))
         best = stored(found, "nearest")

@@ -86,3 +86,12 @@ def test_fewer_rows_than_pairs():
     """Random hashes within 21 bits: probes meet a third of the pairs, against more than all of them by bands of two or three bits."""
     per_quarter = [len(H.changes(range(0, m + 1))) / (1 << H.BITS) for m in (5, 5, 4, 4)]
     assert sum(per_quarter) < 0.3
+
+
+def test_probes_are_not_broadcast(spark):
+    """Some hundreds of probes for each query come from a small table: they must not be collected for a broadcast."""
+    rows = spark.createDataFrame(hash_rows(300, 5), "vec_id long, phash long, frame_idx long")
+    asked = H.probes(rows.select(F.col("vec_id").alias("eval_id"), F.col("phash").alias("_a")), "_a", [range(0, 3)] * 4)
+    met = H._met(asked, H.table(rows.select(F.col("phash").alias("_b")).distinct(), "_b"))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Broadcast" not in plan
