@@ -245,3 +245,18 @@ def test_hashes_of_near_frames_stay_near():
     img = frame()
     again = np.where(img > 0, np.clip(img.astype(int) + 2, 1, 255), 0).astype(np.uint8)
     assert K.perceptual_hash(img) == K.perceptual_hash(img.copy()) and far(K.perceptual_hash(img), K.perceptual_hash(again)) <= 2
+
+
+@pytest.mark.parametrize("together", [64, 3])
+def test_suppression_of_many_groups(monkeypatch, together):
+    """All groups at once keep what each keeps by itself, at every threshold."""
+    monkeypatch.setattr(K, "TOGETHER", together)
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 12, 300)
+    lo = rng.integers(0, 40, (sizes.sum(), 2)).astype(float)
+    boxes = np.hstack([lo, lo + rng.integers(0, 30, lo.shape)])
+    begins, limits = np.cumsum(sizes) - sizes, rng.choice([0.0, 0.1, 0.4], (300, 3))
+    got = K.nms_groups(boxes, begins, limits)
+    for g, (a, n) in enumerate(zip(begins, sizes)):
+        for t in range(3):
+            assert (got[a : a + n, t] == K.nms(boxes[a : a + n], limits[g, t])).all()
