@@ -24,20 +24,26 @@ from .walk import walk
 RUN_ROWS = 1_000_000
 
 
-def runs(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The rows with _slice (the run within the key), _i (place in the key, from 0) and _n (rows of the key)."""
+def cut(df: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, bool]:
+    """The rows with _slice (the run within the key), _i (place in the key, from 0) and _n (rows of the key), and whether every key is one run."""
     large = stored(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > RUN_ROWS), "large-keys")
-    inside = Window.partitionBy(key, "_slice")
-    number = F.row_number().over(inside.orderBy(*order)).cast("long") - 1
     total = large.agg(F.sum("_n")).first()[0]
     if not total:
-        return df.withColumn("_slice", F.lit(0)).withColumns({"_i": number, "_n": F.count(F.lit(1)).over(inside)})
+        own = Window.partitionBy(key)
+        return df.withColumns({"_slice": F.lit(0), "_i": F.row_number().over(own.orderBy(*order)).cast("long") - 1, "_n": F.count(F.lit(1)).over(own)}), True
+    inside = Window.partitionBy(key, "_slice")
+    number = F.row_number().over(inside.orderBy(*order)).cast("long") - 1
     few = F.broadcast(large.select(key))  # a row per RUN_ROWS rows at most
-    cut = sliced(df.join(few, key, "left_semi"), [key], [F.col(c) for c in order], "runs", -(-total // RUN_ROWS))
-    offsets = before(cut, [key], {"_o": F.count(F.lit(1))}).join(F.broadcast(large), key)
+    dealt = sliced(df.join(few, key, "left_semi"), [key], [F.col(c) for c in order], "runs", -(-total // RUN_ROWS))
+    offsets = before(dealt, [key], {"_o": F.count(F.lit(1))}).join(F.broadcast(large), key)
     rest = df.join(few, key, "left_anti").withColumn("_slice", F.lit(0)).withColumns({"_i": number, "_n": F.count(F.lit(1)).over(inside)})
-    placed = cut.withColumn("_i", number).join(offsets, [key, "_slice"]).withColumn("_i", F.col("_i") + F.col("_o")).drop("_o")
-    return rest.unionByName(placed)
+    placed = dealt.withColumn("_i", number).join(offsets, [key, "_slice"]).withColumn("_i", F.col("_i") + F.col("_o")).drop("_o")
+    return rest.unionByName(placed), False
+
+
+def runs(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows of `cut`."""
+    return cut(df, key, order)[0]
 
 
 #: advance(states, rows of one run) -> states; a state is a whole number or None. In tables they are texts, since pandas would round them.
@@ -98,9 +104,12 @@ def beginnings(rows: DataFrame, key: str, order: list[str], advance: Advance, wi
         used = given
 
 
-def walk_runs(rows: DataFrame, key: str, order: list[str], advance: Advance, width: int, step: Callable[[list, pd.DataFrame], tuple[list, pd.DataFrame]], schema: str) -> DataFrame:
-    """step(states, rows of one run) -> (states, output rows) along every key, all runs at once."""
-    begin = beginnings(rows, key, order, advance, width)
+def walk_runs(
+    rows: DataFrame, key: str, order: list[str], advance: Advance, width: int, step: Callable[[list, pd.DataFrame], tuple[list, pd.DataFrame]], schema, whole: bool = False
+) -> DataFrame:
+    """step(states, rows of one run) -> (states, output rows) along every key, all runs at once. whole: every key is one run, so nothing is guessed,
+    and rows that are dealt out by key stay where they are."""
+    begin = None if whole else beginnings(rows, key, order, advance, width)
     none = F.lit(None).cast("array<string>")
     rows = rows.withColumn("begin", none) if begin is None else rows.join(F.broadcast(begin), [key, "_slice"], "left")
 
@@ -110,4 +119,4 @@ def walk_runs(rows: DataFrame, key: str, order: list[str], advance: Advance, wid
             state = [None] * width if given is None else _read(given)
         return step(state, pdf)
 
-    return walk(rows, [key, "_slice"], order, lambda: None, run, schema)
+    return walk(rows, [key] if whole else [key, "_slice"], order, lambda: None, run, schema)

@@ -5,6 +5,8 @@ Frames have key, scan, frame_idx, ord (first occurrence order), phash, md5, blan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 
@@ -14,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import dice
 from ..functions.kernels import decimate
-from ..functions.linked import runs, walk_runs
+from ..functions.linked import cut, walk_runs
 from ..functions.ordered import before, sliced
 from ..functions.store import stored
 
@@ -53,24 +55,51 @@ def hamming(a: Column | str, b: Column | str) -> Column:
 ORDER = ["frame_idx", "ord"]
 
 
-def _runs(frames: DataFrame) -> DataFrame:
-    """Narrow rows of the scans, cut into runs."""
-    return runs(frames.select("scan", "frame_idx", "ord", "key", "phash"), "scan", ORDER)
+#: Columns that are walked along with a frame; frames with others meet what was found by a join.
+NARROW = ["key", "scan", "frame_idx", "ord", "phash"]
+CARRIED = {*NARROW, "blank", "exact_dup", "excluded"}
 
 
-def flag_decimated(frames: DataFrame, threshold: int, name: str = "kept") -> DataFrame:
-    """Greedy last-kept decimation of each scan by frame_idx; only narrow rows are moved, the state is one hash, and a scan of
-    any size is walked by many tasks (linked.py)."""
+def _runs(frames: DataFrame) -> tuple[DataFrame, bool]:
+    """Narrow rows of the scans, cut into runs, and whether each scan is one run."""
+    return cut(frames.select(NARROW), "scan", ORDER)
 
-    def advance(states, pdf):
-        return [decimate(pdf["phash"].to_numpy(), threshold, states[0])[1]]
+
+def _met(frames: DataFrame, found: Callable[[DataFrame], DataFrame], added: list[str]) -> DataFrame:
+    """found(frames) with all columns of the frames: narrow frames go through it as they are, others meet its rows by key and ord."""
+    if set(frames.columns) <= CARRIED:
+        return found(frames).select(*frames.columns, *added)
+    rows = found(frames.select(NARROW)).select("key", "ord", *added)
+    return frames.join(rows, ["key", "ord"]).select(*frames.columns, *added)
+
+
+def _walked(rows: DataFrame, whole: bool, threshold: int, name: str) -> DataFrame:
+    """Rows of runs with the mark of D2; rows that `taken`, if there, leaves out are not marked and change nothing."""
+    chosen = "taken" in rows.columns
+
+    def kept(states, pdf):
+        hashes = pdf["phash"].to_numpy()
+        if not chosen:
+            return decimate(hashes, threshold, states[0])
+        at = np.flatnonzero(pdf["taken"].to_numpy(bool))
+        keep = np.zeros(len(pdf), bool)
+        keep[at], last = decimate(hashes[at], threshold, states[0])
+        return keep, last
+
+    columns = [c for c in rows.columns if c not in ("_slice", "_i", "_n", "taken")]
 
     def step(states, pdf):
-        keep, last = decimate(pdf["phash"].to_numpy(), threshold, states[0])
-        return [last], pdf[["key", "ord"]].assign(kept=keep)
+        keep, last = kept(states, pdf)
+        return [last], pdf[columns].assign(**{name: keep})
+
+    schema = rows.select(*columns).withColumn(name, F.lit(True)).schema
+    return walk_runs(rows, "scan", ORDER, lambda states, pdf: [kept(states, pdf)[1]], 1, step, schema, whole)
 
-    done = walk_runs(_runs(frames), "scan", ORDER, advance, 1, step, "key string, ord long, kept boolean")
-    return frames.join(done.withColumnRenamed("kept", name), ["key", "ord"])
+
+def flag_decimated(frames: DataFrame, threshold: int, name: str = "kept") -> DataFrame:
+    """Greedy last-kept decimation of each scan by frame_idx; only narrow rows are moved, the state is one hash, and a scan of
+    any size is walked by many tasks (linked.py)."""
+    return _met(frames, lambda f: _walked(*cut(f, "scan", ORDER), threshold, name), [name])
 
 
 def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
@@ -92,7 +121,8 @@ def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
             cols += [(t, scan, len(pdf) if k == 0 else 0, x, len(kept) if k == 0 else 0) for k, x in enumerate(dist)]
         return ends, pd.DataFrame(cols, columns=["threshold", "scan", "n", "dist", "n_kept"])
 
-    rows = walk_runs(_runs(frames), "scan", ORDER, advance, len(thresholds), step, "threshold int, scan string, n long, dist double, n_kept long")
+    rows, whole = _runs(frames)
+    rows = walk_runs(rows, "scan", ORDER, advance, len(thresholds), step, "threshold int, scan string, n long, dist double, n_kept long", whole)
     d = F.when(~F.isnan("dist"), F.col("dist"))
     return rows.groupBy("threshold").agg(
         F.sum("n_kept").alias("n_kept"), (F.sum("n") - F.sum("n_kept")).alias("n_dropped"), F.count_distinct("scan").alias("n_scans"),
@@ -100,10 +130,8 @@ def decimation_sweep(frames: DataFrame, thresholds: list[int]) -> DataFrame:
     )
 
 
-def even_positions(frames: DataFrame, cap: int) -> DataFrame:
-    """Frames of each scan at the positions floor(j * (n - 1) / (cap - 1)), the last one always; all if the scan has at most cap.
-    Places are found on narrow rows, run by run."""
-    ranked = _runs(frames)
+def _taken(cap: int) -> Column:
+    """Whether D4 takes the frame at place _i of the _n of its scan."""
     cap = F.lit(cap)
     step = (F.col("_n") - 1).cast("double") / (cap - 1)
     near = F.floor(F.col("_i") / step)  # the position is one of floor(j * step): try the j around i / step
@@ -111,21 +139,36 @@ def even_positions(frames: DataFrame, cap: int) -> DataFrame:
     for j in (near - 1, near, near + 1, near + 2):
         at = F.when(j == cap - 1, F.col("_n") - 1).otherwise(F.floor(j * step))
         taken = taken | ((j >= 0) & (j < cap) & (at == F.col("_i")))
-    taken = F.when(F.col("_n") <= cap, True).when(cap == 1, F.col("_i") == 0).otherwise(taken)
-    return frames.join(ranked.where(taken).select("key", "ord"), ["key", "ord"], "left_semi")
+    return F.when(F.col("_n") <= cap, True).when(cap == 1, F.col("_i") == 0).otherwise(taken)
+
+
+def even_positions(frames: DataFrame, cap: int) -> DataFrame:
+    """Frames of each scan at the positions floor(j * (n - 1) / (cap - 1)), the last one always; all if the scan has at most cap.
+    Places are found on narrow rows, run by run."""
+    return _met(frames, lambda f: cut(f, "scan", ORDER)[0].where(_taken(cap)), [])
 
 
 def capped(frames: DataFrame, cap: int, static: int = 1) -> DataFrame:
     """Even spacing up to the cap, then static frames (distance to the last kept at most `static`) go."""
-    return flag_decimated(even_positions(frames, cap), static).where("kept").drop("kept")
+    return flag_capped(frames, cap, static).where("kept").drop("kept")
+
+
+def flag_capped(frames: DataFrame, cap: int, static: int = 1) -> DataFrame:
+    """The frames with `kept`, whether `capped` keeps them: one walk finds both the places and the static frames."""
+
+    def found(f: DataFrame) -> DataFrame:
+        rows, whole = cut(f, "scan", ORDER)
+        return _walked(rows.withColumn("taken", F.coalesce(_taken(cap), F.lit(False))), whole, static, "kept")
+
+    return _met(frames, found, ["kept"])
 
 
 def scan_cap_counts(frames: DataFrame, caps: list[int], static: int = 1) -> DataFrame:
     """Frames kept per cap, for several caps in one pass over the scans (cap, n_kept)."""
-    return _cap_counts(_runs(frames), caps, static)
+    return _cap_counts(*_runs(frames), caps, static)
 
 
-def _cap_counts(ranked: DataFrame, caps: list[int], static: int = 1) -> DataFrame:
+def _cap_counts(ranked: DataFrame, whole: bool, caps: list[int], static: int = 1) -> DataFrame:
     def each(states, pdf):
         n, hashes, at = int(pdf["_n"].iat[0]), pdf["phash"].to_numpy(), pdf["_i"].to_numpy()
         for cap, last in zip(caps, states):
@@ -136,13 +179,14 @@ def _cap_counts(ranked: DataFrame, caps: list[int], static: int = 1) -> DataFram
         done = list(each(states, pdf))
         return [last for _, last in done], pd.DataFrame({"cap": caps, "n_kept": [int(keep.sum()) for keep, _ in done]})
 
-    found = walk_runs(ranked, "scan", ORDER, lambda states, pdf: [last for _, last in each(states, pdf)], len(caps), step, "cap int, n_kept long")
+    found = walk_runs(ranked, "scan", ORDER, lambda states, pdf: [last for _, last in each(states, pdf)], len(caps), step, "cap int, n_kept long", whole)
     return found.groupBy("cap").agg(F.sum("n_kept").alias("n_kept"))
 
 
 def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, steps: int = 18) -> tuple[int, int]:
     """The cap whose kept count is nearest to the target, by bisection; each round tries the caps of three rounds at once."""
-    ranked = stored(_runs(frames).repartition("scan", "_slice").sortWithinPartitions("scan", "_slice", *ORDER), "cap-frames")  # read in each round
+    ranked, whole = _runs(frames)
+    ranked = stored(ranked, "cap-frames")  # read in each round
     best, done, known = (None, None), 0, {}
     while done < steps and low <= high:
         tree, level = [], [(low, high)]
@@ -155,7 +199,7 @@ def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, ste
                     nxt += [(a, m - 1), (m + 1, b)]
             level = nxt
         fresh = [c for c in dict.fromkeys(tree) if c not in known]
-        known |= {r["cap"]: r["n_kept"] for r in _cap_counts(ranked, fresh).collect()}
+        known |= {r["cap"]: r["n_kept"] for r in _cap_counts(ranked, whole, fresh).collect()}
         for _ in range(3):
             if done >= steps or low > high:
                 break
@@ -173,7 +217,7 @@ def find_cap(frames: DataFrame, target: int, low: int = 1, high: int = 2000, ste
 
 def manifest_a(frames: DataFrame, threshold: int = 4) -> DataFrame:
     """Decimate all frames first; within_scan_dup > exact_dup > blank > calibrant_lab6 > keep."""
-    f = flag_decimated(flag_exact_duplicates(frames), threshold)
+    f = flag_decimated(flag_exact_duplicates(frames).select(*NARROW, "blank", "exact_dup"), threshold)
     reason = F.when(~F.col("kept"), "within_scan_dup").when(F.col("exact_dup"), "exact_dup").when(F.col("blank"), "blank").when(is_calibrant("scan", "key"), "calibrant_lab6").otherwise("keep")
     return f.select("key", "scan", "frame_idx", (reason == "keep").alias("keep"), reason.alias("reason"))
 
@@ -184,28 +228,32 @@ def excluded(frames: DataFrame) -> DataFrame:
     return f.withColumn("excluded", F.when(F.col("exact_dup"), "exact_dup").when(F.col("blank"), "blank").when(is_calibrant("scan"), "calibrant_lab6"))
 
 
-def _manifest(f: DataFrame, chosen: DataFrame, other: str) -> DataFrame:
-    marked = f.join(chosen.select("key", "ord", F.lit(True).alias("_kept")), ["key", "ord"], "left")
-    reason = F.coalesce("excluded", F.when(F.col("_kept"), "keep").otherwise(other))
-    return marked.select("key", "scan", "frame_idx", (reason == "keep").alias("keep"), reason.alias("reason"))
+def pool(frames: DataFrame) -> DataFrame:
+    """The frames that are not excluded, as a table of narrow rows."""
+    return stored(excluded(frames).where("excluded IS NULL").select(NARROW), "pool")
+
+
+def _manifest(frames: DataFrame, flagged: Callable[[DataFrame], DataFrame], other: str) -> DataFrame:
+    """The reasons of all frames: duplicates are sought once, and what `flagged` says of the pool is put beside the rest, not joined to it."""
+    f = stored(excluded(frames).select(*NARROW, "excluded"), "excluded")
+    left = flagged(f.where("excluded IS NULL").select(NARROW)).select("key", "scan", "frame_idx", F.when(F.col("kept"), "keep").otherwise(other).alias("reason"))
+    rows = left.unionByName(f.where("excluded IS NOT NULL").select("key", "scan", "frame_idx", F.col("excluded").alias("reason")))
+    return rows.select("key", "scan", "frame_idx", (F.col("reason") == "keep").alias("keep"), "reason")
 
 
 def manifest_b(frames: DataFrame, cap: int) -> DataFrame:
     """Exclude first, then even spacing up to the cap and the static trim."""
-    f = excluded(frames)
-    return _manifest(f, capped(f.where("excluded IS NULL"), cap), "within_scan_subsampled")
+    return _manifest(frames, lambda f: flag_capped(f, cap), "within_scan_subsampled")
 
 
 def manifest_c(frames: DataFrame, threshold: int) -> DataFrame:
     """Exclude first, then decimate what is left."""
-    f = excluded(frames)
-    kept = flag_decimated(f.where("excluded IS NULL"), threshold).where("kept")
-    return _manifest(f, kept, f"redundant_within_T{threshold}")
+    return _manifest(frames, lambda f: flag_decimated(f, threshold), f"redundant_within_T{threshold}")
 
 
 def manifest_counts(frames: DataFrame, threshold: int = 4) -> DataFrame:
     """Frames left after each step of manifest A, in one aggregation."""
-    f = flag_decimated(flag_exact_duplicates(frames), threshold)
+    f = flag_decimated(flag_exact_duplicates(frames).select(*NARROW, "blank", "exact_dup"), threshold)
     ok = F.col("kept")
     no_dup = ok & ~F.col("exact_dup")
     no_blank = no_dup & ~F.col("blank")

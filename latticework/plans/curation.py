@@ -31,7 +31,7 @@ def _even(out: str, cap: int) -> str:
 
 
 def _pool(spark, d):
-    return C.excluded(V.frames(spark, d)).where("excluded IS NULL")
+    return C.pool(V.frames(spark, d))
 
 
 def even(spark, d, cap):
@@ -67,8 +67,20 @@ def _caps_sql() -> str:
 
 def bisection(spark, d):
     target = 2000
-    cap, n = C.find_cap(_pool(spark, d), target)
-    return C.capped(_pool(spark, d), cap).agg(F.lit(target).cast("long").alias("target"), F.lit(cap).cast("long").alias("cap"), F.count(F.lit(1)).alias("n_kept"))
+    pool = _pool(spark, d)
+    cap, n = C.find_cap(pool, target)
+    return C.capped(pool, cap).agg(F.lit(target).cast("long").alias("target"), F.lit(cap).cast("long").alias("cap"), F.count(F.lit(1)).alias("n_kept"))
+
+
+def saturated(spark, d):
+    pool = _pool(spark, d)
+    return C.saturated_scans(pool, C.capped(pool, 2 * CAP))
+
+
+def _both(spark, d):
+    """What the smaller and the larger cap keep of one pool."""
+    pool = _pool(spark, d)
+    return C.capped(pool, SMALL_CAP), C.capped(pool, CAP)
 
 
 def redundancy(spark, d):
@@ -140,10 +152,10 @@ count(*) AS n_scans, sum(n)::BIGINT AS n_frames, max(n) AS largest, quantile_con
     "d11_kept_per_scan": (lambda s, d: C.kept_per_scan(C.manifest_c(V.frames(s, d), THRESHOLD)), f"{_C}, m AS ({_C_SEL}), n AS (SELECT scan, count(*) AS n FROM m WHERE reason = 'keep' GROUP BY 1) SELECT count(*) AS n_scans, min(n) AS least, quantile_cont(n, 0.5) AS median, max(n) AS most FROM n"),
     "d12_redundancy": (redundancy, f"""{_B}, g AS (SELECT bit_count(xor(phash, lag(phash) OVER (PARTITION BY scan ORDER BY frame_idx, ord)))::BIGINT AS x FROM even)
 SELECT coalesce(quantile_cont(x, 0.5), 99.0::DOUBLE) AS median, {', '.join(f'coalesce(round(avg((x <= {t})::INTEGER), 6), 0.0::DOUBLE) AS share_{t}' for t in (1, 2, 4, 8))}, coalesce(quantile_cont(x, 0.1), 99.0::DOUBLE) AS p10 FROM g WHERE x IS NOT NULL"""),
-    "d13_saturated": (lambda s, d: C.saturated_scans(_pool(s, d), even(s, d, 2 * CAP)), f"WITH RECURSIVE {V.FRAMES}, {EXCLUDED}, {_even('even', 2 * CAP)} SELECT * FROM (SELECT scan, count(*) AS available FROM pool GROUP BY 1) JOIN (SELECT scan, count(*) AS n_kept FROM even GROUP BY 1) USING (scan) WHERE n_kept = available"),
-    "d14_marginal_frames": (lambda s, d: C.marginal_frames(even(s, d, SMALL_CAP), even(s, d, CAP)), f"""{_BOTH}, n AS (SELECT key, scan, frame_idx, ord, least(bit_count(xor(phash, lag(phash) OVER w))::BIGINT, bit_count(xor(phash, lead(phash) OVER w))::BIGINT) AS nearest FROM large WINDOW w AS (PARTITION BY scan ORDER BY frame_idx, ord))
+    "d13_saturated": (saturated, f"WITH RECURSIVE {V.FRAMES}, {EXCLUDED}, {_even('even', 2 * CAP)} SELECT * FROM (SELECT scan, count(*) AS available FROM pool GROUP BY 1) JOIN (SELECT scan, count(*) AS n_kept FROM even GROUP BY 1) USING (scan) WHERE n_kept = available"),
+    "d14_marginal_frames": (lambda s, d: C.marginal_frames(*_both(s, d)), f"""{_BOTH}, n AS (SELECT key, scan, frame_idx, ord, least(bit_count(xor(phash, lag(phash) OVER w))::BIGINT, bit_count(xor(phash, lead(phash) OVER w))::BIGINT) AS nearest FROM large WINDOW w AS (PARTITION BY scan ORDER BY frame_idx, ord))
 SELECT key, scan, frame_idx, nearest FROM n WHERE (key, ord) NOT IN (SELECT key, ord FROM small)"""),
-    "d14_growth": (lambda s, d: C.growth_per_scan(even(s, d, SMALL_CAP), even(s, d, CAP)), f"{_BOTH} SELECT scan, count(*) AS gained FROM large WHERE (key, ord) NOT IN (SELECT key, ord FROM small) GROUP BY 1 ORDER BY gained DESC, scan LIMIT 12"),
+    "d14_growth": (lambda s, d: C.growth_per_scan(*_both(s, d)), f"{_BOTH} SELECT scan, count(*) AS gained FROM large WHERE (key, ord) NOT IN (SELECT key, ord FROM small) GROUP BY 1 ORDER BY gained DESC, scan LIMIT 12"),
     "d15_split": (lambda s, d: C.split(V.frames(s, d)).groupBy("scan", "is_val").agg(F.count(F.lit(1)).alias("n")), None),
     "d16_balanced_sample": (sample, f"""WITH {V.FRAMES}, sz AS (SELECT scan, count(*) AS n, row_number() OVER (ORDER BY scan) - 1 AS no FROM frames GROUP BY 1), fr AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY frame_idx, ord) - 1 AS fno FROM frames),
 dr AS (SELECT i AS draw, floor(('0x'||substr(md5('0|'||i),1,7))::BIGINT / 268435456.0::DOUBLE * (SELECT count(*) FROM sz))::BIGINT AS no, ('0x'||substr(md5('1|'||i),1,7))::BIGINT / 268435456.0::DOUBLE AS p FROM range(5000) t(i))

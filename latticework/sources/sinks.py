@@ -19,7 +19,7 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     """TSV with header and Parquet."""
     m = manifest.select("keep", "reason", "scan", "frame_idx", "key")
     m.write.mode("overwrite").parquet(f"{path}/parquet")
-    m.write.mode("overwrite").csv(f"{path}/tsv", sep="\t", header=True)
+    m.sparkSession.read.schema(m.schema).parquet(f"{path}/parquet").write.mode("overwrite").csv(f"{path}/tsv", sep="\t", header=True)
 
 
 def write_parts(prints: DataFrame, path: str) -> None:
