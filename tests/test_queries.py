@@ -248,3 +248,24 @@ def test_smoothing_in_blocks(spark, monkeypatch, com):
         want = list(zip(own, own.ewm(com=com).mean()))
         found = [tuple(np.nan if v is None else v for v in got[run, i]) for i in range(len(want))]
         assert np.allclose(found, want, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_frames_are_walked_without_a_join(spark, sf_dir):
+    """Narrow frames go through the walk as they are; frames with other columns meet its rows, with the same marks."""
+    pool = C.pool(views.frames(spark, sf_dir))
+    flagged = C.flag_capped(pool, 5)
+    assert "Join" not in flagged._jdf.queryExecution().executedPlan().toString()
+    wide = C.flag_capped(pool.withColumn("pixels", C.F.lit("x")), 5)
+    assert sorted(map(tuple, flagged.collect())) == sorted(tuple(r)[:5] + tuple(r)[6:] for r in wide.collect())
+    two_steps = C.flag_decimated(C.even_positions(pool, 5), 1).where("kept").drop("kept")
+    assert sorted(map(tuple, C.capped(pool, 5).collect())) == sorted(map(tuple, two_steps.collect()))
+
+
+def test_percentiles_of_one_frequent_value(spark, monkeypatch):
+    """Equal values are counted, so a value that nearly all rows have does not fill a slice."""
+    dealt, sliced = [], O.sliced
+    monkeypatch.setattr(O, "sliced", lambda *a, **b: dealt.append(sliced(*a, **b)) or dealt[-1])
+    values = [0.0] * 900 + [float(k) for k in range(100)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = O.percentiles(df, [], "v", {"a": 0.5, "b": 0.905, "c": 1.0}).first()
+    assert np.allclose([got.a, got.b, got.c], np.percentile(values, [50, 90.5, 100])) and dealt[0].count() == 100
