@@ -269,3 +269,15 @@ def test_percentiles_of_one_frequent_value(spark, monkeypatch):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = O.percentiles(df, [], "v", {"a": 0.5, "b": 0.905, "c": 1.0}).first()
     assert np.allclose([got.a, got.b, got.c], np.percentile(values, [50, 90.5, 100])) and dealt[0].count() == 100
+
+
+@pytest.mark.parametrize("few", [64, 3])
+def test_images_of_few_boxes_need_no_grid(spark, monkeypatch, few):
+    """Whether an image is dealt to cells or not, its overlapping pairs are the same; images of few boxes are joined as they are."""
+    monkeypatch.setattr(B, "FEW", few)
+    rows = [(i % 5, i, float(i * 37 % 200), float(i * 53 % 150), float(i * 37 % 200 + 70), float(i * 53 % 150 + 70)) for i in range(30) if i % 5 or i < 11]
+    left = spark.createDataFrame(rows, "image_id long, gt long, x1 double, y1 double, x2 double, y2 double")
+    near = B.near_pairs(left, left.withColumnRenamed("gt", "det"), ["image_id"])
+    assert ("_cx" in near._jdf.queryExecution().analyzed().toString()) == (few == 3)
+    hit = lambda a, b: a[0] == b[0] and max(a[2], b[2]) < min(a[4], b[4]) and max(a[3], b[3]) < min(a[5], b[5])
+    assert sorted((r.image_id, r.gt, r.p_det) for r in near.collect()) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if hit(a, b))
