@@ -26,8 +26,8 @@ def pairs(s, d):
     """All pairs of predictions and truths of an image: IoU, GIoU, DIoU, CIoU."""
     p = B.pairs(V.truths(s, d).drop("label", "level"), V.boxes(s, d).select("image_id", "det", *B.XYXY), ["image_id"])
     q = B.P_XYXY
-    measures = {"iou": B.iou(B.XYXY, q, 1e-6), "giou": B.giou(B.XYXY, q, 1e-6), "giou_rows": B.giou(B.XYXY, q), "diou": B.diou(B.XYXY, q), "ciou": B.ciou(B.XYXY, q)}
-    return p.select("image_id", "gt", F.col("p_det").alias("det"), *[UP(c).alias(n) for n, c in measures.items()])
+    measures = {"iou": B.iou(B.XYXY, q, 1e-6), "giou": B.giou(B.XYXY, q, 1e-6), "giou_rows": B.giou(B.XYXY, q), "diou": F.col("diou"), "ciou": F.col("ciou")}
+    return B.centred_overlaps(p, B.XYXY, q).select("image_id", "gt", F.col("p_det").alias("det"), *[UP(c).alias(n) for n, c in measures.items()])
 
 
 def mask_boxes(s, d):
@@ -67,8 +67,8 @@ def jittered(s, d):
 def raw_losses(s, d):
     """Distances of raw outputs."""
     b = V.boxes(s, d).withColumns({"p0": F.col("x1") / 100 - 1, "p1": F.col("y1") / 100 - 1, "p2": F.col("score") - 0.5, "p3": F.col("qty") / 50 - 0.5, "q0": F.col("x2") / 100 - 1, "q1": F.col("y2") / 150 - 1, "q2": F.col("score") * 2 - 1, "q3": F.col("cents") % 7 / 7.0})
-    dist = B.raw_distances(("p0", "p1", "p2", "p3"), ("q0", "q1", "q2", "q3"))
-    return b.select("image_id", "det", *[UP(x).alias(n) for n, x in zip(("diou", "ciou"), dist)])
+    dist = B.raw_distances(b, ("p0", "p1", "p2", "p3"), ("q0", "q1", "q2", "q3"))
+    return dist.select("image_id", "det", *[UP(F.col(c)).alias(c) for c in ("diou", "ciou")])
 
 
 def transforms(s, d):
