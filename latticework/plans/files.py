@@ -55,7 +55,9 @@ def _packed(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _grids(s, d) -> DataFrame:
-    return V.grids(s, d).select("vec_id", "h", "w", "pixels", F.floor(F.col("vec_id") / PER_TAR).alias("tar"))
+    """Frames with the number of their shard; a shard takes long to pack for its few bytes, so all cores have some."""
+    g = V.grids(s, d).select("vec_id", "h", "w", "pixels", F.floor(F.col("vec_id") / PER_TAR).alias("tar"))
+    return g.repartition(max(s.sparkContext.defaultParallelism, 1), "tar")
 
 
 def _tars(s, d) -> DataFrame:

@@ -33,7 +33,8 @@ STREAM_FROM = 64 << 20
 def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream_from: int = STREAM_FROM, range_bytes: int = tars.RANGE_BYTES) -> DataFrame:
     """Frames of tar shards (see `members`). `only` keeps shards whose name contains one of the texts.
 
-    Small shards come as Spark reads them, a task for a few of them. A larger one is read by a task per `range_bytes` of it.
+    Small shards come as Spark reads them, a task for a few of them. A larger one is read in ranges of `range_bytes`, by several tasks;
+    a task takes many neighbouring ranges if they are small.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tar").load(path)
     if only:
@@ -42,12 +43,14 @@ def shards(spark: SparkSession, path: str, only: list[str] | None = None, stream
         for x in only:
             keep = keep | name.contains(x)
         files = files.where(keep)
-    small = members(files.where(F.col("length") <= stream_from).select("path", "content"))
-    large = files.where(F.col("length") > stream_from).select("path")
-    if large.isEmpty():
+    is_large = F.col("length") > stream_from
+    sizes = files.agg(F.count_if(~is_large).alias("n_small"), F.sum(F.when(is_large, F.col("length"))).alias("large_bytes")).first()
+    small = members(files.where(~is_large).select("path", "content"))
+    if sizes.large_bytes is None:
         return small
-    large = large.repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
-    return small.unionByName(_named(tars.frames(spark, large, range_bytes)))
+    large = files.where(is_large).select("path").repartition(max(spark.sparkContext.defaultParallelism, 1), "path")
+    frames = _named(tars.frames(spark, large, sizes.large_bytes, range_bytes))
+    return small.unionByName(frames) if sizes.n_small else frames
 
 
 def frame_row(path: str, name: str, pos: int, data: bytes, sibling: bytes | None) -> tuple | None:

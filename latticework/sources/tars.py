@@ -1,8 +1,8 @@
 """Byte ranges of tar shards as a Spark data source.
 
 A job reads the headers of every shard once and stores an index: a row per PNG member with its place, its JSON sibling's place and the number of its
-range (`range_bytes` of the shard). The data source has a partition per range, so a shard of any size is read by many
-tasks; a task finds its members in the index and reads just their bytes. The driver knows the ranges, not the members.
+range (`range_bytes` of the shard). Ranges are dealt, neighbours together, to the partitions of the data source: a shard of any size is read by many
+tasks, and many small shards by few. A task finds its members in the index and reads just their bytes. The driver knows the partitions, neither ranges nor members.
 
 Shards and the shared folder must be in a store that pyarrow opens by its address.
 """
@@ -21,9 +21,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.store import folder
+from ..functions.store import folder, stored
 
-#: Bytes of a shard that one task reads.
+#: Bytes of a shard in one range, and of shards that one task reads.
 RANGE_BYTES = 64 << 20
 #: Frames that a reader holds at once.
 BATCH, BATCH_BYTES = 64, 64 << 20
@@ -62,7 +62,7 @@ class Range(InputPartition):
 
 
 class TarFrames(DataSource):
-    """Options: places (JSON list of index folders, one per range), schema of the frames as given to load."""
+    """Options: places (JSON list of index folders, one per task), schema of the frames as given to load."""
 
     @classmethod
     def name(cls) -> str:
@@ -96,6 +96,8 @@ class TarReader(DataSourceReader):
         rows, size, path, file = [], 0, None, None
         for m in members:
             if m["path"] != path:
+                if file is not None:
+                    file.close()
                 path, file = m["path"], opened(m["path"])
             data = file.read_at(m["size"], m["at"])
             meta = file.read_at(m["json_size"], m["json_at"]) if m["json_at"] >= 0 else None
@@ -110,12 +112,14 @@ class TarReader(DataSourceReader):
             yield record_batch(rows)
 
 
-def frames(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Frames of tar files (path), a task per byte range."""
-    path = folder(spark, "tar-index")
-    placed = index(files, range_bytes).withColumn("place", F.concat(F.sha2("path", 256), F.lit("-"), F.col("part")))
-    placed.repartition("place").write.partitionBy("place").parquet(path)
-    # a name per range_bytes of the shards
-    names = [r.place for r in spark.read.schema(f"{INDEX}, place string").parquet(path).select("place").distinct().orderBy("place").collect()]
+def frames(spark: SparkSession, files: DataFrame, total_bytes: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of tar files (path) of so many bytes in all. A task reads RANGE_BYTES of them, or less where there are cores for more tasks, and whole ranges."""
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    n = min(-(-total_bytes // range_bytes), max(2 * cores, -(-total_bytes // RANGE_BYTES)))
+    path = folder(spark, "tar-places")
+    dealt = stored(index(files, range_bytes), "tar-index").repartitionByRange(n, "path", "part")
+    dealt.withColumn("place", F.spark_partition_id()).write.partitionBy("place").parquet(path)
+    # a number per task
+    places = [r.place for r in spark.read.schema(f"{INDEX}, place int").parquet(path).select("place").distinct().orderBy("place").collect()]
     spark.dataSource.register(TarFrames)
-    return spark.read.format("tar_frames").option("places", json.dumps([f"{path}/place={x}" for x in names])).load()
+    return spark.read.format("tar_frames").option("places", json.dumps([f"{path}/place={x}" for x in places])).load()
