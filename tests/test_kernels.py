@@ -260,3 +260,32 @@ def test_suppression_of_many_groups(monkeypatch, together):
     for g, (a, n) in enumerate(zip(begins, sizes)):
         for t in range(3):
             assert (got[a : a + n, t] == K.nms(boxes[a : a + n], limits[g, t])).all()
+
+
+def test_overlapping_pairs(monkeypatch):
+    monkeypatch.setattr(K, "PAIRS", 97)
+    rng = np.random.default_rng(5)
+    for few in (0, 20, 1000):
+        boxes, group = [], []
+        for n in (90, 70):
+            lo = rng.integers(-80, 300, (n, 2)).astype(float)
+            boxes.append(np.hstack([lo, lo + rng.integers(0, 150, (n, 2))]))
+            group.append(np.sort(rng.choice([0, 0, 0, 2, 3], n)))
+        (a, b), (u, v) = boxes, group
+        i, j = K.overlapping(a, b, u, v, 64.0, few)
+        want = [(x, y) for x in range(90) for y in range(70) if u[x] == v[y] and (np.maximum(a[x, :2], b[y, :2]) < np.minimum(a[x, 2:], b[y, 2:])).all()]
+        assert sorted(zip(i.tolist(), j.tolist())) == want
+        assert len(K.overlapping(a[:0], b, u[:0], v, 64.0, few)[0]) == len(K.overlapping(a, b[:0], u, v[:0], 64.0, few)[0]) == 0
+
+
+def test_best_matching_of_small_components(monkeypatch):
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        e = np.unique(rng.integers(0, 30, rng.integers(1, 16)))
+        rng.shuffle(e)
+        a, b, cost, shared = e // 6, e % 6, rng.integers(0, 4, len(e)) / 2, rng.integers(0, 3, len(e)) / 7
+        fast = K.best_matching(a, b, cost, shared)
+        with monkeypatch.context() as m:
+            m.setattr(K, "SMALL", 0)
+            slow = K.best_matching(a, b, cost, shared)
+        assert sorted(fast.tolist()) == sorted(slow.tolist())

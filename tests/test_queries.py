@@ -1,5 +1,6 @@
 """Every query against its SQL in DuckDB, and operators against brute force."""
 
+import os
 from fractions import Fraction
 
 import duckdb
@@ -143,6 +144,35 @@ def test_sweep_metrics_one_by_one(spark, sf_dir):
         assert np.allclose((got[iou].ap_total, got[iou].recall, got[iou].fp_share), want)
 
 
+def test_sweep_metrics_stores_no_row_per_threshold(spark, sf_dir):
+    folder = f"{spark.conf.get('spark.checkpoint.dir')}/latticework"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    detections.sweep_metrics(spark, sf_dir).collect()
+    rows = sum(spark.read.parquet(f"{folder}/{x}").count() for x in set(os.listdir(folder)) - before)
+    assert 0 < rows <= 2 * spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+
+
+def test_sweep_metrics_of_crowded_images(spark, monkeypatch):
+    monkeypatch.setattr(E, "CHUNK", 50)
+    rng = np.random.default_rng(3)
+    rows = []
+    for image, n in [(1, 300)] + [(k, 12) for k in range(2, 30)]:
+        lo, size = rng.integers(0, 900 if n > 99 else 150, (n, 2)), rng.integers(10, 120, (n, 2))
+        for k in range(n):
+            box = [float(x) for x in (*lo[k], *(lo[k] + size[k]))]
+            rows.append((image, k, *box, float(rng.integers(0, 20)) / 20, int(rng.integers(0, 2))))
+    d = spark.createDataFrame(rows, "image_id long, det long, x1 double, y1 double, x2 double, y2 double, score double, label int")
+    t = d.where("det % 3 < 2 AND image_id % 7 > 0").selectExpr("image_id", "det AS gt", "x1 + 3 AS x1", "y1 + 2 AS y1", "x2 + 3 AS x2", "y2 + 2 AS y2", "label", "1 AS level")
+    got = {r.segment_iou: r for r in E.suppression_sweep(t, d, [0.4, 0.15, 0.1]).collect()}
+    for iou in (0.4, 0.15, 0.1):
+        points = E.curve(E.match(t, P.above(P.sweep(d, [iou]).drop("segment_iou"), 0.1)).withColumn("one", C.F.lit(1)), ["one"])
+        best = E.operating_points(points, ["one"]).where("point = 'accuracy'").first()
+        want = (E.average_precision(points, ["one"]).first().ap_total, best.recall, best.fp_share)
+        assert np.allclose((got[iou].ap_total, got[iou].recall, got[iou].fp_share), want)
+    assert E.suppression_sweep(t.limit(0), d, [0.4]).collect() == []
+    assert [tuple(r) for r in E.suppression_sweep(t, d.limit(0), [0.4, 0.1]).orderBy("segment_iou").collect()] == [(0.1, 0.0, None, None), (0.4, 0.0, None, None)]
+
+
 def test_empty_inputs(spark, sf_dir):
     b = views.boxes(spark, sf_dir).select("image_id", "det", *B.XYXY, "score", "label").limit(0)
     assert P.suppress(b).count() == 0 and P.fuse_boxes(b.withColumn("model", C.F.lit(0)), 2).count() == 0 and E.match(views.truths(spark, sf_dir).limit(0), b).count() == 0
